@@ -9,10 +9,14 @@ def _q(v: str) -> str:
     return "'" + v.replace("'", "''") + "'"
 
 
-def sql_where(f: FilterSpec, r: str = "r", c: str = "c") -> str:
+def sql_where(f: FilterSpec, r: str = "r", c: str | None = "c") -> str:
+    """WHERE text; ``c`` is the chunk alias, or None to test the release's item CPVs."""
     p: list[str] = []
-    if f.cpv_prefix is not None:
+    if f.cpv_prefix is not None and c is not None:
         p.append(f"len(list_filter({c}.cpv_codes, lambda x: starts_with(x, {_q(f.cpv_prefix)}))) > 0")
+    elif f.cpv_prefix is not None:
+        p.append(f"EXISTS (SELECT 1 FROM release_cpvs rc WHERE rc.ocid = {r}.ocid "
+                 f"AND starts_with(rc.cpv, {_q(f.cpv_prefix)}))")
     if f.main_procurement_category is not None:
         p.append(f"{r}.main_procurement_category = {_q(f.main_procurement_category)}")
     if f.procurement_method is not None:
