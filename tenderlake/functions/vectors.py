@@ -19,12 +19,18 @@ def l2_norm(v: Column | str) -> Column:
     return F.sqrt(F.aggregate(_c(v), F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a one-element ``transform``),
+    so an expression used inside a lambda is not recomputed per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def l2_normalize(v: Column | str, as_float: bool = True) -> Column:
     """Divide by the L2 norm; a zero vector is returned unchanged."""
-    vec = _c(v)
-    n = l2_norm(vec)
-    scaled = F.transform(vec, lambda x: x.cast("double") / n)
-    out = F.when(n > 0, scaled).otherwise(F.transform(vec, lambda x: x.cast("double")))
+    def body(vec: Column) -> Column:
+        return let(l2_norm(vec), lambda n: F.when(n > 0, F.transform(vec, lambda x: x.cast("double") / n))
+                   .otherwise(F.transform(vec, lambda x: x.cast("double"))))
+    out = let(_c(v), body)
     return out.cast("array<float>") if as_float else out
 
 

@@ -177,4 +177,6 @@ def with_views(names, body: str, extra: list[tuple[str, str]] = ()) -> str:
     """``WITH`` the named views (and what they depend on), extra CTEs, then ``body``."""
     parts = [f"{n} AS ({VIEWS[n].strip()})" for n in _closure(names)]
     parts += [f"{n} AS ({sql.strip()})" for n, sql in extra]
+    if not parts:
+        return body.strip()
     return "WITH " + ",\n".join(parts) + "\n" + body.strip()

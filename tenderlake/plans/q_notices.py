@@ -1 +1,55 @@
-"""Queries registered later."""
+"""Notice merge and count queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tenderlake.operators.notices import daily_phase_counts, lifecycle_state, merge_notices
+from tenderlake.plans.oracle_views import with_views
+from tenderlake.plans.registry import query, r6
+from tenderlake.sources import procurement as P
+
+TS_FMT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
+TS_SQL = "'%Y-%m-%dT%H:%M:%S.%fZ'"
+
+_MERGED_SQL = """
+SELECT ocid,
+       coalesce(list(DISTINCT phase) FILTER (WHERE phase IS NOT NULL), []::VARCHAR[]) AS tag,
+       arg_max(status, {'ts': ts, 'id': notice_id}) FILTER (WHERE status IS NOT NULL AND status <> '') AS status,
+       arg_max(description, {'ts': ts, 'id': notice_id}) FILTER (WHERE description IS NOT NULL AND description <> '') AS description,
+       arg_max(award_value, {'ts': ts, 'id': notice_id}) FILTER (WHERE award_value IS NOT NULL) AS award_value,
+       count(*) AS n_notices, min(ts) AS first_ts, max(ts) AS last_ts
+FROM notices GROUP BY ocid"""
+
+
+def present_merged(m):
+    return m.select("ocid", F.array_join("tag", ",").alias("tag"), "status", "description",
+                    r6("award_value").alias("award_value"), "n_notices",
+                    F.date_format("first_ts", TS_FMT).alias("first_ts"),
+                    F.date_format("last_ts", TS_FMT).alias("last_ts"))
+
+
+@query("notice_merge", with_views(["notices"], f"""
+SELECT ocid, array_to_string(list_sort(tag), ',') AS tag, status, description,
+       round(award_value, 6) AS award_value, n_notices,
+       strftime(first_ts, {TS_SQL}) AS first_ts, strftime(last_ts, {TS_SQL}) AS last_ts
+FROM merged""", [("merged", _MERGED_SQL)]), headline=True)
+def notice_merge(spark, sf_dir):
+    return present_merged(merge_notices(P.notices(spark, sf_dir)))
+
+
+@query("notice_lifecycle", with_views(["notices"], """
+SELECT ocid, CASE WHEN list_contains(tag, 'tender') AND list_contains(tag, 'award') THEN 'closed'
+                  WHEN list_contains(tag, 'tender') AND coalesce(status = 'active', FALSE) THEN 'open'
+                  ELSE 'other' END AS state
+FROM merged""", [("merged", _MERGED_SQL)]))
+def notice_lifecycle(spark, sf_dir):
+    m = merge_notices(P.notices(spark, sf_dir))
+    return m.select("ocid", lifecycle_state(F.col("tag"), F.coalesce(F.col("status"), F.lit(""))).alias("state"))
+
+
+@query("daily_phase_counts", with_views(["notices"], """
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, phase, count(*) AS n
+FROM notices WHERE phase IS NOT NULL GROUP BY 1, 2"""))
+def q_daily_phase_counts(spark, sf_dir):
+    return daily_phase_counts(P.notices(spark, sf_dir))
