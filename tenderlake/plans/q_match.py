@@ -54,7 +54,8 @@ WHERE m.rank <= {{k}}
 """
 
 
-def match_sql(filters: FilterSpec = FilterSpec(), k: int = K, mode: str = "exact") -> str:
+def match_ctes(filters: FilterSpec = FilterSpec(), k: int = K, mode: str = "exact"):
+    """(views, extra CTEs) ending in ``ranked``: the DuckDB twin of ``match_tenders``."""
     cond = sql_where(filters, r="r", c="c")
     score = cosine_sql("q.embedding", "c.embedding")
     views = ["requests", "profiles", "chunks", "releases", "release_nuts", "party_nuts"]
@@ -80,6 +81,11 @@ def match_sql(filters: FilterSpec = FilterSpec(), k: int = K, mode: str = "exact
                  "FROM scored) WHERE rn = 1"),
         ("ranked", "SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, doc_id) AS rank FROM best"),
     ]
+    return views, extra
+
+
+def match_sql(filters: FilterSpec = FilterSpec(), k: int = K, mode: str = "exact") -> str:
+    views, extra = match_ctes(filters, k, mode)
     return with_views(views, _MATCH_OUT.format(k=k), extra)
 
 
