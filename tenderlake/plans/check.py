@@ -59,9 +59,11 @@ def compare(spark, con, name: str, sf_dir: str) -> dict:
     if name not in ORACLE:
         res["status"] = "no-oracle"
         return res
+    t1 = time.time()
     rel = con.sql(ORACLE[name])
     d_cols = list(rel.columns)
     d_rec = rel.fetchall()
+    res["duck_sec"] = round(time.time() - t1, 2)
     res["duck_rows"] = len(d_rec)
     if sorted(s_cols) != sorted(d_cols):
         res["status"] = "schema"

@@ -11,7 +11,7 @@ from tenderlake.plans.oracle_views import with_views
 from tenderlake.plans.registry import joined, query, r6
 from tenderlake.plans.sql_filters import sql_where
 from tenderlake.sources import procurement as P
-from tenderlake.sources.tables import Tables
+from tenderlake.sources.stored import Views
 
 LIST_VIEWS = ["releases", "release_nuts", "party_nuts", "release_cpvs"]
 SUMMARY_SQL = """r.ocid, r.date, r.title, r.buyer_name, r.status, r.procurement_method,
@@ -20,7 +20,7 @@ SUMMARY_SQL = """r.ocid, r.date, r.title, r.buyer_name, r.status, r.procurement_
 
 
 def _meta(spark, sf_dir):
-    return release_metadata(P.releases(Tables(spark, sf_dir)))
+    return Views(spark, sf_dir).meta
 
 
 def _present(df):
@@ -96,9 +96,9 @@ SELECT k.ocid, r.ocid IS NOT NULL AS found, r.title, r.status, r.buyer_name,
        array_to_string(r.tag, ',') AS tag
 FROM (SELECT DISTINCT ocid FROM chunks) k LEFT JOIN releases r ON r.ocid = k.ocid"""))
 def release_lookup(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    keys = P.chunks(t).select("ocid").distinct()
-    got = get_releases(keys, P.releases(t))
+    t = Views(spark, sf_dir)
+    keys = t.chunks.select("ocid").distinct()
+    got = get_releases(keys, t.releases)
     return got.select("ocid", "found", F.col("tender.title").alias("title"),
                       F.col("tender.status").alias("status"), F.col("buyer.name").alias("buyer_name"),
                       F.array_join(F.col("tag"), ",").alias("tag"))
@@ -111,8 +111,8 @@ SELECT (SELECT count(*) FROM releases) AS api_release_count,
        (SELECT count(*) FROM profiles) AS company_profile_count,
        (SELECT count(*) FROM profiles WHERE embedding IS NULL) AS unembedded_profile_count"""))
 def q_index_info(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    return index_info(P.releases(t), P.chunks(t), P.profiles(t))
+    t = Views(spark, sf_dir)
+    return index_info(t.releases, t.chunks, t.profiles)
 
 
 @query("release_nuts", with_views(["releases", "release_nuts"], """

@@ -12,7 +12,7 @@ from tenderlake.plans.oracle_views import with_views
 from tenderlake.plans.q_match import match_ctes
 from tenderlake.plans.registry import query, r6
 from tenderlake.sources import procurement as P
-from tenderlake.sources.tables import Tables
+from tenderlake.sources.stored import Views
 
 
 def r2(c):
@@ -27,7 +27,7 @@ GROUP BY r.ocid, r.order_status, l.suppkey, l.supplier_name""")
 
 
 def _rel(spark, sf_dir):
-    return P.releases(spark, sf_dir)
+    return Views(spark, sf_dir).releases
 
 
 @query("competitor_frequency", with_views(["releases", "lots"], """
@@ -186,10 +186,10 @@ FROM (SELECT profile_id, ocid FROM ranked WHERE rank <= {COMPETITOR_K}) m JOIN t
 GROUP BY m.profile_id, t.name""", _cx + [_TENDERERS]))
 def q_competitors(spark, sf_dir):
     """Who wins the tenders that match each profile: match (award, with suppliers) -> parties -> counts."""
-    t = Tables(spark, sf_dir)
-    rel = P.releases(t)
-    meta = release_metadata(rel)
-    m = match_tenders(P.match_requests(t), P.profiles(t), P.chunks(t), meta, COMPETITOR_FILTER,
+    t = Views(spark, sf_dir)
+    rel = t.releases
+    meta = t.meta
+    m = match_tenders(t.requests, t.profiles, t.chunks, meta, COMPETITOR_FILTER,
                       k=COMPETITOR_K, mode="exact").select("profile_id", "ocid")
     parties = M.competitor_parties(rel, m.select("ocid"))
     return (m.join(parties, "ocid")

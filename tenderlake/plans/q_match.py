@@ -13,14 +13,14 @@ from tenderlake.plans.oracle_views import cosine_sql, with_views
 from tenderlake.plans.registry import joined, query, r6
 from tenderlake.plans.sql_filters import sql_where, truncate_sql
 from tenderlake.sources import procurement as P
-from tenderlake.sources.tables import Tables
+from tenderlake.sources.stored import Views
 
 K = 10
 NOTICE_URL_SQL = "'https://oeffentlichevergabe.de/ui/de/search/details?noticeId='"
 
 
-def _ready_queries(t: Tables):
-    res = resolve_profiles(P.match_requests(t), P.profiles(t))
+def _ready_queries(t: Views):
+    res = resolve_profiles(t.requests, t.profiles)
     return res.filter(F.col("status") == "ready").select("profile_id", "embedding")
 
 
@@ -33,9 +33,9 @@ def _present_matches(df):
 
 
 def run_match(spark, sf_dir, filters: FilterSpec = FilterSpec(), k: int = K, mode: str = "exact"):
-    t = Tables(spark, sf_dir)
-    meta = release_metadata(P.releases(t))
-    out = match_tenders(P.match_requests(t), P.profiles(t), P.chunks(t), meta, filters, k=k, mode=mode)
+    t = Views(spark, sf_dir)
+    meta = t.meta
+    out = match_tenders(t.requests, t.profiles, t.chunks, meta, filters, k=k, mode=mode)
     return _present_matches(out)
 
 
@@ -95,7 +95,7 @@ def match_sql(filters: FilterSpec = FilterSpec(), k: int = K, mode: str = "exact
 SELECT doc_id, ocid, chunk_type, text, array_to_string(cpv_codes, ',') AS cpv_codes,
        CAST(len(embedding) AS BIGINT) AS dim FROM chunks"""))
 def chunk_scan(spark, sf_dir):
-    c = P.chunks(spark, sf_dir)
+    c = Views(spark, sf_dir).chunks
     return c.select("doc_id", "ocid", "chunk_type", "text", joined("cpv_codes").alias("cpv_codes"),
                     F.size("embedding").cast("long").alias("dim"))
 
@@ -107,8 +107,8 @@ SELECT profile_id, CAST(rank AS BIGINT) AS rank, doc_id, ocid, score FROM (
     FROM ready q CROSS JOIN chunks c WHERE c.embedding IS NOT NULL))
 WHERE rank <= {K}""", [("ready", _READY)]), headline=True)
 def knn_topk(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    hits = top_k_similar(_ready_queries(t), P.chunks(t), K, query_id="profile_id", carry=["ocid"])
+    t = Views(spark, sf_dir)
+    hits = top_k_similar(_ready_queries(t), t.chunks, K, query_id="profile_id", carry=["ocid"])
     return hits.select("profile_id", "rank", "doc_id", "ocid", r6("score").alias("score"))
 
 
@@ -120,8 +120,8 @@ SELECT profile_id, CAST(rank AS BIGINT) AS rank, doc_id, ocid, score FROM (
 WHERE rank <= {K}""", [("ready", _READY)]))
 def knn_topk_blocked(spark, sf_dir):
     """Same result through the blocked (co-group) strategy used beyond the broadcast bound."""
-    t = Tables(spark, sf_dir)
-    hits = top_k_similar(_ready_queries(t), P.chunks(t), K, query_id="profile_id", carry=["ocid"],
+    t = Views(spark, sf_dir)
+    hits = top_k_similar(_ready_queries(t), t.chunks, K, query_id="profile_id", carry=["ocid"],
                          strategy="blocked", block_rows=2, corpus_buckets=4)
     return hits.select("profile_id", "rank", "doc_id", "ocid", r6("score").alias("score"))
 
@@ -144,8 +144,8 @@ SELECT q.profile_id,
             ELSE 'No company profile found with ID: ' || q.profile_id END AS message
 FROM requests q LEFT JOIN profiles p ON p.id = q.profile_id"""))
 def profile_match_status(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    return resolve_profiles(P.match_requests(t), P.profiles(t)).select("profile_id", "status", "message")
+    t = Views(spark, sf_dir)
+    return resolve_profiles(t.requests, t.profiles).select("profile_id", "status", "message")
 
 
 _HITS30 = [("ready", _READY),
@@ -155,13 +155,13 @@ _HITS30 = [("ready", _READY),
 
 
 def _hits30(t):
-    return top_k_similar(_ready_queries(t), P.chunks(t), 3 * K, query_id="profile_id", carry=["ocid"],
+    return top_k_similar(_ready_queries(t), t.chunks, 3 * K, query_id="profile_id", carry=["ocid"],
                          rank_col="hit_rank")
 
 
 @query("hit_ocids", with_views(["requests", "profiles", "chunks"], "SELECT DISTINCT ocid FROM hits", _HITS30))
 def q_hit_ocids(spark, sf_dir):
-    return hit_ocids(_hits30(Tables(spark, sf_dir)))
+    return hit_ocids(_hits30(Views(spark, sf_dir)))
 
 
 @query("match_dedup", with_views(["requests", "profiles", "chunks"], """
@@ -169,7 +169,7 @@ SELECT profile_id, ocid, doc_id, round(score, 6) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY profile_id, ocid ORDER BY score DESC, doc_id) AS rn FROM hits) WHERE rn = 1""",
                                   _HITS30))
 def q_match_dedup(spark, sf_dir):
-    d = dedup_by_ocid(_hits30(Tables(spark, sf_dir)))
+    d = dedup_by_ocid(_hits30(Views(spark, sf_dir)))
     return d.select("profile_id", "ocid", "doc_id", r6("score").alias("score"))
 
 
@@ -180,8 +180,8 @@ SELECT h.profile_id, CAST(h.hit_rank AS BIGINT) AS hit_rank, h.doc_id, h.ocid,
 FROM hits h LEFT JOIN releases r ON r.ocid = h.ocid""", _HITS30))
 def q_match_enriched(spark, sf_dir):
     from tenderlake.functions.text import notice_url
-    t = Tables(spark, sf_dir)
-    meta = release_metadata(P.releases(t)).withColumn("__found", F.lit(True))
+    t = Views(spark, sf_dir)
+    meta = t.meta.withColumn("__found", F.lit(True))
     e = enrich(_hits30(t), meta)
     return e.select("profile_id", "hit_rank", "doc_id", "ocid", notice_url(F.col("notice_id")).alias("url"),
                     "title", "buyer_name", "status", "has_awards",

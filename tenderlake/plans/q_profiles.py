@@ -13,14 +13,14 @@ from tenderlake.operators import profiles as K
 from tenderlake.plans.oracle_views import with_views
 from tenderlake.plans.registry import iso, joined, query
 from tenderlake.sources import procurement as P
-from tenderlake.sources.tables import Tables
+from tenderlake.sources.stored import Views
 
 STRINGS = T.ArrayType(T.StringType())
 _PVEC = "CAST(regexp_extract(p.id, '([0-9]+)$', 1) AS BIGINT)"
 
 
 def _snapshot(t):
-    return P.profiles(t)
+    return t.profiles
 
 
 def _vec_id():
@@ -62,7 +62,7 @@ SELECT {_PRESENT_SQL} FROM (
          TIMESTAMP '2024-02-01 00:00:00' + to_seconds(doc_id), NULL
   FROM documents)"""))
 def profile_create(spark, sf_dir):
-    t = Tables(spark, sf_dir)
+    t = Views(spark, sf_dir)
     return _present(K.create_profiles(_snapshot(t), _create_batch(t)))
 
 
@@ -110,7 +110,7 @@ SELECT {_PRESENT_SQL} FROM (
          CASE WHEN c.c = 1 THEN NULL ELSE p.embedding END AS embedding
   FROM profiles p LEFT JOIN chg c ON c.id = p.id)""", _UPD_CTE))
 def profile_update(spark, sf_dir):
-    t = Tables(spark, sf_dir)
+    t = Views(spark, sf_dir)
     nxt, _ = K.update_profiles(_snapshot(t), _changes(t))
     return _present(nxt)
 
@@ -119,7 +119,7 @@ def profile_update(spark, sf_dir):
 SELECT c.id, p.id IS NOT NULL AS updated, (p.id IS NOT NULL AND c.c = 1) AS needs_embedding
 FROM chg c LEFT JOIN profiles p ON p.id = c.id""", _UPD_CTE))
 def profile_update_status(spark, sf_dir):
-    t = Tables(spark, sf_dir)
+    t = Views(spark, sf_dir)
     _, status = K.update_profiles(_snapshot(t), _changes(t))
     return status
 
@@ -139,7 +139,7 @@ _DEL_CTE = [("dk", f"""SELECT p.id FROM profiles p WHERE ({_PVEC} // 100) % 2 =
 @query("profile_delete", with_views(["profiles"], """
 SELECT id, embedding IS NOT NULL AS has_embedding FROM profiles WHERE id NOT IN (SELECT id FROM dk)""", _DEL_CTE))
 def profile_delete(spark, sf_dir):
-    t = Tables(spark, sf_dir)
+    t = Views(spark, sf_dir)
     nxt, _ = K.delete_profiles(_snapshot(t), _delete_keys(t))
     return nxt.select("id", F.col("embedding").isNotNull().alias("has_embedding"))
 
@@ -147,7 +147,7 @@ def profile_delete(spark, sf_dir):
 @query("profile_delete_status", with_views(["profiles"], """
 SELECT dk.id, p.id IS NOT NULL AS deleted FROM dk LEFT JOIN profiles p ON p.id = dk.id""", _DEL_CTE))
 def profile_delete_status(spark, sf_dir):
-    t = Tables(spark, sf_dir)
+    t = Views(spark, sf_dir)
     _, status = K.delete_profiles(_snapshot(t), _delete_keys(t))
     return status
 
@@ -155,13 +155,13 @@ def profile_delete_status(spark, sf_dir):
 # ------------------------------------------------------- lookup / list
 
 def _request_keys(t):
-    return P.match_requests(t).select(F.col("profile_id").alias("id"))
+    return t.requests.select(F.col("profile_id").alias("id"))
 
 
 @query("profile_exists", with_views(["profiles", "requests"], """
 SELECT DISTINCT q.profile_id AS id FROM requests q WHERE q.profile_id IN (SELECT id FROM profiles)"""))
 def profile_exists(spark, sf_dir):
-    t = Tables(spark, sf_dir)
+    t = Views(spark, sf_dir)
     return K.profiles_exist(_snapshot(t), _request_keys(t))
 
 
@@ -173,7 +173,7 @@ SELECT q.profile_id AS id, p.id IS NOT NULL AS found, p.name, md5(p.description)
        p.embedding IS NOT NULL AS has_embedding
 FROM requests q LEFT JOIN profiles p ON p.id = q.profile_id"""))
 def profile_lookup(spark, sf_dir):
-    t = Tables(spark, sf_dir)
+    t = Views(spark, sf_dir)
     g = K.get_profiles(_request_keys(t), _snapshot(t))
     return g.select("id", "found", "name", F.md5("description").alias("description_md5"),
                     joined("cpv_codes").alias("cpv_codes"), joined("categories").alias("categories"),
@@ -187,19 +187,19 @@ SELECT id, name, array_to_string(list_sort(cpv_codes), ',') AS cpv_codes,
        strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at, embedding IS NOT NULL AS has_embedding
 FROM profiles ORDER BY created_at DESC, id"""))
 def profile_list(spark, sf_dir):
-    lst = K.list_profiles(_snapshot(Tables(spark, sf_dir)))
+    lst = K.list_profiles(_snapshot(Views(spark, sf_dir)))
     return lst.select("id", "name", joined("cpv_codes").alias("cpv_codes"), joined("categories").alias("categories"),
                       "location", iso("created_at").alias("created_at"), "has_embedding")
 
 
 @query("profile_count", with_views(["profiles"], "SELECT count(*) AS count FROM profiles"))
 def profile_count(spark, sf_dir):
-    return K.count_profiles(_snapshot(Tables(spark, sf_dir)))
+    return K.count_profiles(_snapshot(Views(spark, sf_dir)))
 
 
 @query("unembedded_profiles", with_views(["profiles"], "SELECT id, name FROM profiles WHERE embedding IS NULL"))
 def unembedded_profiles(spark, sf_dir):
-    return K.unembedded(_snapshot(Tables(spark, sf_dir))).select("id", "name")
+    return K.unembedded(_snapshot(Views(spark, sf_dir))).select("id", "name")
 
 
 # ------------------------------------------------------- encodings
@@ -226,7 +226,7 @@ FROM (SELECT p.id,
              to_json(p.categories)::VARCHAR AS categories_json
       FROM profiles p)"""))
 def profile_json_arrays(spark, sf_dir):
-    js = _json_snapshot(Tables(spark, sf_dir))
+    js = _json_snapshot(Views(spark, sf_dir))
     return js.select("id", "cpv_json", F.array_join(K.decode_json_array(F.col("cpv_json")), ",").alias("cpv_codes"),
                      F.array_join(K.decode_json_array(F.col("categories_json")), ",").alias("categories"))
 
@@ -236,7 +236,7 @@ SELECT id, embedding IS NOT NULL AS has_embedding, array_to_string(list_sort(cpv
 FROM profiles"""))
 def profile_schema_evolution(spark, sf_dir):
     """An old-layout snapshot (no vector column) read together with a current one."""
-    snap = _snapshot(Tables(spark, sf_dir))
+    snap = _snapshot(Views(spark, sf_dir))
     old = snap.filter(F.col("embedding").isNull()).drop("embedding")
     new = snap.filter(F.col("embedding").isNotNull())
     both = K.conform(new.unionByName(old, allowMissingColumns=True))
@@ -248,7 +248,7 @@ def profile_schema_evolution(spark, sf_dir):
 SELECT id, CAST(len(embedding) AS BIGINT) AS dim, TRUE AS same FROM profiles WHERE embedding IS NOT NULL"""))
 def profile_vector_import(spark, sf_dir):
     """Vectors exported to raw f32 BLOBs and imported back are bit-identical (A4)."""
-    snap = _snapshot(Tables(spark, sf_dir)).filter(F.col("embedding").isNotNull())
+    snap = _snapshot(Views(spark, sf_dir)).filter(F.col("embedding").isNotNull())
     blobs = K.vectors_to_blobs(snap.select("id", F.col("embedding").alias("orig")), vec_col="orig")
     back = K.vectors_from_blobs(blobs)
     return back.select("id", F.size("embedding").cast("long").alias("dim"),

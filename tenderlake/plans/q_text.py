@@ -13,7 +13,7 @@ from tenderlake.plans.oracle_views import with_views
 from tenderlake.plans.registry import joined, query, r6
 from tenderlake.plans.sql_filters import truncate_sql
 from tenderlake.sources import procurement as P
-from tenderlake.sources.tables import Tables
+from tenderlake.sources.stored import Views
 
 K = 10
 DIM = MODEL_DIM
@@ -22,14 +22,14 @@ SPLIT_SQL = r"'[^\p{L}\p{N}]+'"
 
 @query("truncate_text", with_views([], f"SELECT doc_id, {truncate_sql('text')} AS text FROM documents"))
 def q_truncate_text(spark, sf_dir):
-    d = Tables(spark, sf_dir).documents
+    d = Views(spark, sf_dir).documents
     return d.select("doc_id", truncate_utf8(F.col("text"), 200).alias("text"))
 
 
 @query("embed_prefix", with_views([], """
 SELECT doc_id, md5('query: ' || text) AS query_md5, md5('passage: ' || text) AS passage_md5 FROM documents"""))
 def q_embed_prefix(spark, sf_dir):
-    d = Tables(spark, sf_dir).documents
+    d = Views(spark, sf_dir).documents
     return d.select("doc_id", F.md5(with_role_prefix("text", "query")).alias("query_md5"),
                     F.md5(with_role_prefix("text", "passage")).alias("passage_md5"))
 
@@ -41,7 +41,7 @@ SELECT vec_id, CAST(dim AS BIGINT) AS dim, round(CASE WHEN nrm > 0 THEN x / nrm
       SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CASE WHEN vec_id % 50 = 0 THEN 0 ELSE 1 + vec_id % 5 END) AS v
       FROM embeddings)))"""))
 def q_l2_normalize(spark, sf_dir):
-    e = Tables(spark, sf_dir).embeddings
+    e = Views(spark, sf_dir).embeddings
     k = F.when(F.col("vec_id") % 50 == 0, F.lit(0)).otherwise(F.lit(1) + F.col("vec_id") % 5).cast("double")
     scaled = F.transform("embedding", lambda x: x.cast("double") * k)
     n = e.select("vec_id", l2_normalize(scaled, as_float=False).alias("v"))
@@ -64,7 +64,7 @@ FROM pd JOIN (SELECT text_id, sqrt(sum(m * m)) AS nrm FROM pd GROUP BY text_id)
              THEN sum(CAST(x AS DOUBLE)) FILTER (WHERE mask > 0) / count(*) FILTER (WHERE mask > 0) ELSE 0.0 END AS m
         FROM ex GROUP BY text_id, dim""")]))
 def q_mean_pool(spark, sf_dir):
-    e = Tables(spark, sf_dir).embeddings
+    e = Views(spark, sf_dir).embeddings
     v = F.col("vec_id")
     tokens = e.select((v / 4).cast("long").alias("text_id"), (v % 4).alias("pos"),
                       F.when((v % 7 == 0) | (((v / 4).cast("long") % 25) == 0), F.lit(0)).otherwise(F.lit(1)).alias("mask"),
@@ -89,7 +89,7 @@ def _weights_sql(buckets: str) -> str:
 @query("hash_embed", with_views([], "SELECT id AS doc_id, bucket, round(w, 6) AS weight FROM dw",
                                 [("db", _bucket_sql("documents", "doc_id", "text")), ("dw", _weights_sql("db"))]))
 def q_hash_embed(spark, sf_dir):
-    d = Tables(spark, sf_dir).documents
+    d = Views(spark, sf_dir).documents
     v = hash_embed(d, "doc_id", "text", DIM)
     ex = v.select("doc_id", F.posexplode("embedding").alias("bucket", "w")).filter(F.col("w") != 0)
     return ex.select("doc_id", "bucket", r6("w").alias("weight"))
@@ -108,9 +108,9 @@ WHERE rank <= {K}""", [("qb", _bucket_sql("benchmark", "item_id", "text")), ("qw
                         ("cb", _bucket_sql("chunks", "doc_id", "text")), ("cw", _weights_sql("cb"))]),
        headline=True)
 def q_search_topk(spark, sf_dir):
-    t = Tables(spark, sf_dir)
+    t = Views(spark, sf_dir)
     queries = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
-    hits = search_text(queries, P.chunks(t), k=K, dim=DIM)
+    hits = search_text(queries, t.chunks, k=K, dim=DIM)
     return hits.select("query_id", "rank", "doc_id", "ocid", "chunk_type", r6("score").alias("score"))
 
 
@@ -150,5 +150,5 @@ SELECT r.ocid || '#lot:' || l.lot_id, r.ocid, 'lot:' || l.lot_id, {_LOT_TXT}, co
 FROM releases r JOIN lots l ON l.orderkey = r.orderkey LEFT JOIN cp ON cp.ocid = r.ocid""",
                                   [("nn", _NUTS_ORDERED), ("cp", _CPVS)]))
 def q_build_chunks(spark, sf_dir):
-    c = build_chunks(P.releases(spark, sf_dir))
+    c = build_chunks(Views(spark, sf_dir).releases)
     return c.select("doc_id", "ocid", "chunk_type", "text", joined("cpv_codes").alias("cpv_codes"))
