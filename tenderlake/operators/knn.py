@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+DEFAULT_MAX_BROADCAST_ROWS = 200_000
 
 
 class VectorWidthError(ValueError):
@@ -64,40 +65,48 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
+SIM_BLOCK_ELEMENTS = 1 << 24   # cap on rows x queries of one similarity block (128 MiB of float64)
+
+
 def _local_topk(qmat: np.ndarray, cmat: np.ndarray, ids: np.ndarray, keys: np.ndarray | None,
                 k: int, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Top-k rows per query inside one batch.
 
     Returns (query_index, row_index, score_int) arrays.  Ordering is by
     (score desc, id asc); with ``keys`` only the best row per key competes.
+    The query side is processed in blocks so that one similarity block never
+    exceeds ``SIM_BLOCK_ELEMENTS`` entries, whatever the number of queries.
     """
     n = cmat.shape[0]
-    sim = cmat @ qmat.T                                   # n x q
-    x = sim * scale
-    s_int = (np.sign(x) * np.floor(np.abs(x) + 0.5)).astype(np.int64)   # half away from zero, like SQL round
     id_rank = pd.factorize(ids, sort=True)[0].astype(np.int64)   # ids are unique
+    inv = np.empty(n, dtype=np.int64)
+    inv[id_rank] = np.arange(n)
     big = n + 1
-    comp = s_int * big - id_rank[:, None]                 # unique per row, larger = better
     if keys is not None:
         key_codes = pd.factorize(keys, sort=True)[0]
         order = np.lexsort((id_rank, key_codes))
         sk = key_codes[order]
         starts = np.flatnonzero(np.r_[True, sk[1:] != sk[:-1]])
-        comp = np.maximum.reduceat(comp[order], starts, axis=0)   # n_keys x q
-    m = comp.shape[0]
-    if m > k:
-        top = np.argpartition(-comp, k - 1, axis=0)[:k]   # k x q
-        chosen = np.take_along_axis(comp, top, axis=0)
-    else:
-        chosen = comp
-    q_idx = np.broadcast_to(np.arange(comp.shape[1]), chosen.shape).ravel()
-    flat = chosen.ravel()
-    score_int = -((-flat) // big)                         # ceil division
-    rank_of = score_int * big - flat
-    inv = np.empty(n, dtype=np.int64)
-    inv[id_rank] = np.arange(n)
-    rows = inv[rank_of]
-    return q_idx, rows, score_int
+    step = max(1, SIM_BLOCK_ELEMENTS // max(n, 1))
+    out_q, out_r, out_s = [], [], []
+    for q0 in range(0, qmat.shape[0], step):
+        x = (cmat @ qmat[q0:q0 + step].T) * scale               # n x qb
+        s_int = (np.sign(x) * np.floor(np.abs(x) + 0.5)).astype(np.int64)   # half away from zero, like SQL round
+        comp = s_int * big - id_rank[:, None]                   # unique per row, larger = better
+        if keys is not None:
+            comp = np.maximum.reduceat(comp[order], starts, axis=0)   # n_keys x qb
+        m = comp.shape[0]
+        if m > k:
+            top = np.argpartition(-comp, k - 1, axis=0)[:k]     # k x qb
+            chosen = np.take_along_axis(comp, top, axis=0)
+        else:
+            chosen = comp
+        flat = chosen.ravel()
+        score_int = -((-flat) // big)                           # ceil division
+        out_q.append(np.broadcast_to(np.arange(q0, q0 + comp.shape[1]), chosen.shape).ravel())
+        out_r.append(inv[score_int * big - flat])
+        out_s.append(score_int)
+    return np.concatenate(out_q), np.concatenate(out_r), np.concatenate(out_s)
 
 
 def _merge_running(running: pd.DataFrame | None, cand: pd.DataFrame, k: int, id_col: str,
@@ -113,6 +122,13 @@ def _partition_topk(batches: Iterable[pa.RecordBatch], qmat: np.ndarray, qids: n
                     scale: float, id_col: str, vec_col: str, key_col: str | None,
                     out_cols: Sequence[str], qid_col: str, score_col: str, arrow_schema: pa.Schema,
                     ) -> Iterator[pa.RecordBatch]:
+    """Running top-k per query over all batches of one task.
+
+    Batch candidates are buffered and merged only when the buffer outgrows a
+    few times ``k x queries`` rows, so the merge cost stays linear."""
+    pending: list[pd.DataFrame] = []
+    pending_rows = 0
+    limit = 4 * k * max(len(qids), 1)
     running: pd.DataFrame | None = None
     dim = qmat.shape[1] if qmat.size else None
     for batch in batches:
@@ -130,10 +146,16 @@ def _partition_topk(batches: Iterable[pa.RecordBatch], qmat: np.ndarray, qids: n
         keys = (np.asarray(batch.column(key_col).to_pylist(), dtype=object)
                 if key_col is not None else None)
         q_idx, rows, s_int = _local_topk(qmat, cmat, ids, keys, k, scale)
-        payload = batch.select([c for c in out_cols]).take(pa.array(rows)).to_pandas()
+        payload = batch.select(list(out_cols)).take(pa.array(rows)).to_pandas()
         payload["__q"] = q_idx
         payload["__s"] = s_int
-        running = _merge_running(running, payload, k, id_col, key_col)
+        pending.append(payload)
+        pending_rows += len(payload)
+        if pending_rows > limit:
+            running = _merge_running(running, pd.concat(pending, ignore_index=True), k, id_col, key_col)
+            pending, pending_rows = [], 0
+    if pending:
+        running = _merge_running(running, pd.concat(pending, ignore_index=True), k, id_col, key_col)
     if running is None or running.empty:
         return
     out = running.copy()
@@ -160,6 +182,7 @@ def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
                   distinct_by: str | None = None, carry: Sequence[str] = (),
                   score_digits: int = 6, strategy: str = "auto",
                   max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
+                  max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
                   block_rows: int = 4096, corpus_buckets: int | None = None,
                   score_col: str = "score", rank_col: str = "rank") -> DataFrame:
     """Per query, the ``k`` most cosine-similar corpus rows (or distinct ``distinct_by`` keys).
@@ -172,8 +195,21 @@ def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
     spark = queries.sparkSession
     scale = float(10 ** score_digits)
     q = queries.select(F.col(query_id), F.col(query_vec)).filter(F.col(query_vec).isNotNull())
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(query_vec)).alias("d")).first()
-    n_q, dim = int(stats["n"]), int(stats["d"] or 0)
+    # One bounded action: fetch at most ``max_broadcast_rows + 1`` query rows.  If
+    # more exist, or their matrix is over the byte bound, the blocked strategy
+    # runs instead and nothing more than this probe reaches the driver.
+    probe = None
+    if strategy in ("auto", "broadcast"):
+        first = q.select(F.size(query_vec).alias("d")).limit(1).collect()
+        dim = int(first[0]["d"]) if first else 0
+        row_bound = min(max_broadcast_rows, max_broadcast_bytes // (8 * max(dim, 1)))
+        probe = q.limit(row_bound + 1).toArrow()
+        n_q = probe.num_rows
+        if n_q:
+            dim = int(pc.max(pc.list_value_length(probe.column(query_vec))).as_py() or 0)
+    else:
+        stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(query_vec)).alias("d")).first()
+        n_q, dim = int(stats["n"]), int(stats["d"] or 0)
     out_cols = [corpus_id] + ([distinct_by] if distinct_by else []) + [c for c in carry if c not in (corpus_id, distinct_by)]
     c_fields = {f.name: f for f in corpus.schema.fields}
     q_field = queries.schema[query_id]
@@ -187,14 +223,18 @@ def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
             query_id, rank_col, *out_cols, score_col)
 
     matrix_bytes = n_q * max(dim, 1) * 8
+    fits = n_q <= max_broadcast_rows and matrix_bytes <= max_broadcast_bytes
     if strategy == "auto":
-        strategy = "broadcast" if matrix_bytes <= max_broadcast_bytes else "blocked"
+        strategy = "broadcast" if fits else "blocked"
+    if strategy == "blocked" and probe is not None:
+        stats = q.agg(F.count(F.lit(1)).alias("n")).first()
+        n_q = int(stats["n"])
     key_col = distinct_by
 
     if strategy == "broadcast":
-        if matrix_bytes > max_broadcast_bytes:
-            raise ValueError(f"query matrix {matrix_bytes} bytes exceeds max_broadcast_bytes")
-        tbl = q.toArrow()
+        if not fits:
+            raise ValueError(f"query side ({n_q} rows, {matrix_bytes} bytes) exceeds the broadcast bound")
+        tbl = probe
         qmat, _ = _matrix(tbl.column(query_vec), None)
         qmat = _unit_rows(qmat)
         qids = np.asarray(tbl.column(query_id).to_pylist(), dtype=object)

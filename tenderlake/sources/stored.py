@@ -46,14 +46,24 @@ def enabled() -> bool:
     return os.environ.get("TENDERLAKE_STORED", "1") != "0"
 
 
-def _stamp(sf_dir: str) -> str:
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
+def _fs_status(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, hpath
+
+
+def _stamp(spark: SparkSession, sf_dir: str) -> str:
+    """Input folder + size and modification time of every input (any Hadoop filesystem) + view code."""
+    h = hashlib.sha1(sf_dir.rstrip("/").encode())
     for name in TABLE_NAMES:
-        p = os.path.join(sf_dir, f"{name}.parquet")
-        try:
-            st = os.stat(p)
-            h.update(f"{name}:{st.st_size}:{int(st.st_mtime)}".encode())
-        except OSError:
+        p = f"{sf_dir.rstrip('/')}/{name}.parquet"
+        fs, hp = _fs_status(spark, p)
+        if fs.exists(hp):
+            summary = fs.getContentSummary(hp)
+            mtime = max(int(st.getModificationTime()) for st in fs.listStatus(hp))
+            h.update(f"{name}:{summary.getLength()}:{summary.getFileCount()}:{mtime}".encode())
+        else:
             h.update(f"{name}:missing".encode())
     from tenderlake.operators import metadata
     h.update(inspect.getsource(P).encode())
@@ -62,10 +72,8 @@ def _stamp(sf_dir: str) -> str:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
+    fs, hp = _fs_status(spark, path + "/_SUCCESS")
+    return fs.exists(hp)
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +82,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if not enabled():
         return builder(Tables(spark, sf_dir))
     base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tenderlake-views/{_stamp(sf_dir)}/{name}"
+    path = f"{base}/tenderlake-views/{_stamp(spark, sf_dir)}/{name}"
     if not _exists(spark, path):
         df = builder(Tables(spark, sf_dir))
         (df.sortWithinPartitions(*sort_cols)

@@ -72,3 +72,23 @@ def test_plan_has_no_cartesian_product(spark):
     plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "MapInArrow" in plan and "WindowGroupLimit" in plan
+
+
+def test_auto_beyond_bound_and_small_sim_blocks(spark, monkeypatch):
+    import tenderlake.operators.knn as knn
+    monkeypatch.setattr(knn, "SIM_BLOCK_ELEMENTS", 64)      # forces query blocks inside every batch
+    rng = np.random.default_rng(11)
+    c = rng.normal(size=(120, 6))
+    ids = [f"d{i:03d}" for i in range(120)]
+    q = {f"q{j}": rng.normal(size=6) for j in range(9)}
+    corpus = spark.createDataFrame([(ids[i], c[i].tolist()) for i in range(120)], "doc_id string, embedding array<float>")
+    queries = spark.createDataFrame([(k_, v.tolist()) for k_, v in q.items()], "query_id string, embedding array<float>")
+    c32 = np.array(c, dtype=np.float32).astype(float)
+    q32 = {k_: np.array(v, dtype=np.float32).astype(float) for k_, v in q.items()}
+    want = _brute(q32, c32, ids, ids, 5, False)
+    for opts in ({"max_broadcast_rows": 2, "block_rows": 4, "corpus_buckets": 3}, {}):
+        res = knn.top_k_similar(queries, corpus.repartition(2), 5, **opts).collect()
+        got = {}
+        for r in sorted(res, key=lambda r: (r.query_id, r.rank)):
+            got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+        assert got == want
