@@ -16,9 +16,13 @@ from tenderlake.operators.knn import top_k_similar
 
 
 def search_text(queries: DataFrame, chunks: DataFrame, k: int = 10, dim: int = MODEL_DIM,
-                query_id: str = "query_id", query_text: str = "text", **knn_options) -> DataFrame:
+                query_id: str = "query_id", query_text: str = "text",
+                corpus_vectors: DataFrame | None = None, **knn_options) -> DataFrame:
+    """``corpus_vectors[doc_id, embedding]`` is the stored index; without it the
+    chunk texts are embedded on the fly with the same embedder."""
     qv = hash_embed(queries, query_id, query_text, dim)
-    cv = hash_embed(chunks.select("doc_id", "text"), "doc_id", "text", dim)
+    cv = corpus_vectors if corpus_vectors is not None else \
+        hash_embed(chunks.select("doc_id", "text"), "doc_id", "text", dim)
     corpus = chunks.select("doc_id", "ocid", "chunk_type", "text", "cpv_codes").join(cv, "doc_id", "inner")
     hits = top_k_similar(qv, corpus, k, query_id=query_id, corpus_id="doc_id",
                          carry=["ocid", "chunk_type", "text", "cpv_codes"], **knn_options)

@@ -110,7 +110,7 @@ WHERE rank <= {K}""", [("qb", _bucket_sql("benchmark", "item_id", "text")), ("qw
 def q_search_topk(spark, sf_dir):
     t = Views(spark, sf_dir)
     queries = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
-    hits = search_text(queries, t.chunks, k=K, dim=DIM)
+    hits = search_text(queries, t.chunks, k=K, dim=DIM, corpus_vectors=t.chunk_hash_vectors)
     return hits.select("query_id", "rank", "doc_id", "ocid", "chunk_type", r6("score").alias("score"))
 
 

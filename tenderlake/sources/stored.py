@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import inspect
 import os
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +34,13 @@ def _meta(t: Tables) -> DataFrame:
     return release_metadata(P.releases(t))
 
 
+def _chunk_hash_vectors(t: Tables) -> DataFrame:
+    from tenderlake.operators.embed import MODEL_DIM, hash_embed
+    return hash_embed(P.chunks(t).select("doc_id", "text"), "doc_id", "text", MODEL_DIM)
+
+
 BUILDERS = {
+    "chunk_hash_vectors": (_chunk_hash_vectors, ["doc_id"]),
     "releases": (P.releases, ["ocid"]),
     "release_meta": (_meta, ["date", "ocid"]),
     "chunks": (P.chunks, ["ocid", "doc_id"]),
@@ -76,18 +83,37 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hp)
 
 
+STAMP_TTL_SEC = 30.0
+_STAMPS: dict = {}
+_FRAMES: dict = {}
+
+
+def _cached_stamp(spark: SparkSession, sf_dir: str) -> str:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    hit = _STAMPS.get(key)
+    now = time.monotonic()
+    if hit is None or now - hit[0] > STAMP_TTL_SEC:
+        hit = (now, _stamp(spark, sf_dir))
+        _STAMPS[key] = hit
+    return hit[1]
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The stored copy of view ``name`` for ``sf_dir`` (written on first use)."""
     builder, sort_cols = BUILDERS[name]
     if not enabled():
         return builder(Tables(spark, sf_dir))
     base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tenderlake-views/{_stamp(spark, sf_dir)}/{name}"
+    path = f"{base}/tenderlake-views/{_cached_stamp(spark, sf_dir)}/{name}"
+    key = (spark.sparkContext.applicationId, path)
+    if key in _FRAMES:
+        return _FRAMES[key]
     if not _exists(spark, path):
         df = builder(Tables(spark, sf_dir))
         (df.sortWithinPartitions(*sort_cols)
            .write.mode("overwrite").option("compression", "zstd").parquet(path))
-    return spark.read.parquet(path)
+    _FRAMES[key] = spark.read.parquet(path)
+    return _FRAMES[key]
 
 
 class Views:
@@ -109,6 +135,10 @@ class Views:
     def chunks(self) -> DataFrame:
         return stored(self.spark, self.sf_dir, "chunks")
 
+    @property
+    def chunk_hash_vectors(self) -> DataFrame:
+        return stored(self.spark, self.sf_dir, "chunk_hash_vectors")
+
     @property
     def profiles(self) -> DataFrame:
         return stored(self.spark, self.sf_dir, "profiles")
