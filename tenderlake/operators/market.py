@@ -191,3 +191,18 @@ def threshold_class(releases: DataFrame, supplies: float = EU_THRESHOLD_SUPPLIES
     return releases.select("ocid", cat.alias("category"), thr.alias("threshold"),
                            F.when(v.isNull(), F.lit("unknown")).when(v >= thr, F.lit("above"))
                             .otherwise(F.lit("below")).alias("class"))
+
+
+def competitors(requests: DataFrame, profiles: DataFrame, chunks: DataFrame, releases: DataFrame,
+                meta: DataFrame, k: int = 30, mode: str = "exact") -> DataFrame:
+    """Who bids on and wins the tenders that match each profile:
+    match with ``tag=award, has_awards=true`` -> release parties -> counts per organisation."""
+    from tenderlake.functions.filters import FilterSpec
+    from tenderlake.operators.matching import match_tenders
+    m = match_tenders(requests, profiles, chunks, meta, FilterSpec(tag="award", has_awards=True),
+                      k=k, mode=mode).select("profile_id", "ocid")
+    parties = competitor_parties(releases, m.select("ocid"))
+    return (m.join(parties, "ocid")
+             .groupBy("profile_id", "name")
+             .agg(F.count_distinct("ocid").alias("n_releases"),
+                  F.count_distinct(F.when(F.col("is_supplier"), F.col("ocid"))).alias("n_won")))

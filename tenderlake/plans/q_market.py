@@ -187,12 +187,4 @@ GROUP BY m.profile_id, t.name""", _cx + [_TENDERERS]))
 def q_competitors(spark, sf_dir):
     """Who wins the tenders that match each profile: match (award, with suppliers) -> parties -> counts."""
     t = Views(spark, sf_dir)
-    rel = t.releases
-    meta = t.meta
-    m = match_tenders(t.requests, t.profiles, t.chunks, meta, COMPETITOR_FILTER,
-                      k=COMPETITOR_K, mode="exact").select("profile_id", "ocid")
-    parties = M.competitor_parties(rel, m.select("ocid"))
-    return (m.join(parties, "ocid")
-             .groupBy("profile_id", "name")
-             .agg(F.count_distinct("ocid").alias("n_releases"),
-                  F.count_distinct(F.when(F.col("is_supplier"), F.col("ocid"))).alias("n_won")))
+    return M.competitors(t.requests, t.profiles, t.chunks, t.releases, t.meta, k=COMPETITOR_K)

@@ -19,11 +19,23 @@ ORACLE: dict[str, str] = {}
 HEADLINE: list[str] = []
 
 
+def _utc(fn: QueryFn) -> QueryFn:
+    """Results are defined in UTC (day windows, ISO text); pin the session zone."""
+    import functools
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "Z"):
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+    return run
+
+
 def query(name: str, sql: str | None = None, headline: bool = False):
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+        QUERIES[name] = _utc(fn)
         if sql is not None:
             ORACLE[name] = sql
         if headline:

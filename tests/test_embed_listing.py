@@ -87,3 +87,14 @@ def test_index_info_empty(spark):
     e_prof = spark.createDataFrame([], S.PROFILE)
     r = index_info(e_rel, e_chunks, e_prof).first()
     assert tuple(r) == (0, 0, 0, 0, 0)
+
+
+def test_json_sink_omits_null_documents_url(spark, tmp_path):
+    import json
+    from tenderlake.sources.sinks import write_json
+    df = spark.createDataFrame([("a", None, None), ("b", "u", None)], "ocid string, documents_url string, title string")
+    write_json(df, str(tmp_path / "out"))
+    rows = sorted((json.loads(l) for l in spark.read.text(str(tmp_path / "out")).toPandas()["value"]),
+                  key=lambda d: d["ocid"])
+    assert rows[0] == {"ocid": "a", "title": None}
+    assert rows[1] == {"ocid": "b", "documents_url": "u", "title": None}

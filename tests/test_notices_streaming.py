@@ -86,3 +86,22 @@ def test_stream_dedup(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.notice_id for r in spark.sql("SELECT notice_id FROM dedup_t").collect()) == [1, 2]
+
+
+def test_alert_stream_matches_batch(spark, tmp_path):
+    """New chunks arriving as a stream are matched against the profiles per micro-batch."""
+    from tenderlake.sources.stored import Views
+    from tenderlake.operators.matching import match_tenders
+    from tenderlake.streaming.alerts import start_alerts
+    v = Views(spark, "/root/testdata/sf0.001")
+    chunks = v.chunks
+    src = str(tmp_path / "chunks")
+    chunks.coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema(chunks.schema).parquet(src)
+    target = str(tmp_path / "alerts")
+    q = start_alerts(stream, v.profiles, v.meta, target, str(tmp_path / "ck"), k=5, trigger_once=True)
+    q.awaitTermination(240)
+    got = spark.read.parquet(target).select("profile_id", "rank", "doc_id", "ocid", "score")
+    want = match_tenders(v.profiles.select(F.col("id").alias("profile_id")), v.profiles, chunks, v.meta, k=5) \
+        .select("profile_id", "rank", "doc_id", "ocid", "score")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
