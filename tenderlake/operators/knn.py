@@ -254,7 +254,9 @@ def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     ranked = _final_rank(cand, k, query_id, corpus_id, key_col, score_col, rank_col)
-    return ranked.select(query_id, rank_col, *out_cols, score_col)
+    out = ranked.select(query_id, rank_col, *out_cols, score_col)
+    out.query_count = n_q          # callers use it to bound the hit set (k x queries rows)
+    return out
 
 
 def _blocked_candidates(q: DataFrame, corpus_sel: DataFrame, k: int, n_q: int, scale: float,

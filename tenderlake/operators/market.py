@@ -199,8 +199,9 @@ def competitors(requests: DataFrame, profiles: DataFrame, chunks: DataFrame, rel
     match with ``tag=award, has_awards=true`` -> release parties -> counts per organisation."""
     from tenderlake.functions.filters import FilterSpec
     from tenderlake.operators.matching import match_tenders
-    m = match_tenders(requests, profiles, chunks, meta, FilterSpec(tag="award", has_awards=True),
-                      k=k, mode=mode).select("profile_id", "ocid")
+    from tenderlake.operators.matching import materialize_hits
+    m = materialize_hits(match_tenders(requests, profiles, chunks, meta, FilterSpec(tag="award", has_awards=True),
+                                       k=k, mode=mode).select("profile_id", "ocid"))
     parties = competitor_parties(releases, m.select("ocid"))
     return (m.join(parties, "ocid")
              .groupBy("profile_id", "name")

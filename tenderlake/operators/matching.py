@@ -55,6 +55,7 @@ def enrich(hits: DataFrame, meta: DataFrame, bounded_rows: int | None = None) ->
     first reduced by a semi join against the distinct hit OCIDs (broadcast when
     ``bounded_rows`` proves the key set small), then joined.
     """
+    hits = materialize_hits(hits)
     keys = hit_ocids(hits)
     if bounded_rows is not None and bounded_rows <= HIT_KEYS_BROADCAST_ROWS:
         keys = F.broadcast(keys)
@@ -62,6 +63,17 @@ def enrich(hits: DataFrame, meta: DataFrame, bounded_rows: int | None = None) ->
     return hits.join(reduced, "ocid", "left")
 
 
+def materialize_hits(hits: DataFrame) -> DataFrame:
+    """Write the (small) hit list once to the shared checkpoint folder.
+
+    It is read twice (distinct keys for the semi join, then the join itself);
+    without this the vector top-k over the whole corpus would run twice.  A
+    reliable checkpoint also survives the loss of the executors that made it."""
+    from tenderlake.session import checkpoint_dir
+    checkpoint_dir(hits.sparkSession)
+    return hits.checkpoint(eager=True)
+
+
 def dedup_by_ocid(df: DataFrame, group: str = "profile_id") -> DataFrame:
     """Best-scoring hit per (request, OCID); ties keep the earlier hit (lower doc_id)."""
     w = Window.partitionBy(group, "ocid").orderBy(F.col("score").desc(), F.col("doc_id").asc())
@@ -106,7 +118,8 @@ def match_tenders(requests: DataFrame, profiles: DataFrame, chunks: DataFrame, m
         fetch_k = 5 * k if filters.has_any() else 3 * k
         hits = top_k_similar(queries, chunks, fetch_k, query_id="profile_id", corpus_id="doc_id",
                              carry=hit_cols, rank_col="hit_rank", **knn_options)
-        joined = enrich(hits, meta, bounded_rows=None).filter(cond)
+        joined = enrich(hits, meta, bounded_rows=getattr(hits, "query_count", None) and
+                        hits.query_count * fetch_k).filter(cond)
         out = rank_top(dedup_by_ocid(joined), k)
     elif mode == "exact":
         if filters.needs_release():
@@ -119,7 +132,7 @@ def match_tenders(requests: DataFrame, profiles: DataFrame, chunks: DataFrame, m
             cand = chunks.filter(cond) if filters.cpv_prefix is not None else chunks
             hits = top_k_similar(queries, cand, k, query_id="profile_id", corpus_id="doc_id",
                                  distinct_by="ocid", carry=hit_cols, **knn_options)
-            out = enrich(hits, meta)
+            out = enrich(hits, meta, bounded_rows=getattr(hits, "query_count", None) and hits.query_count * k)
     else:
         raise ValueError("mode must be 'exact' or 'overfetch'")
     return _shape(out, text_bytes)

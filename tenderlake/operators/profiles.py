@@ -147,8 +147,11 @@ def delete_profiles(snapshot: DataFrame, keys: DataFrame) -> tuple[DataFrame, Da
 
 
 def profiles_exist(snapshot: DataFrame, keys: DataFrame) -> DataFrame:
-    """Ids of ``keys`` that exist."""
-    return keys.select("id").distinct().join(snapshot.select("id"), "id", "left_semi")
+    """Ids of ``keys`` that exist.
+
+    An inner equi-join on the (unique) snapshot ids, so the optimizer keeps a
+    hash join even when ``keys`` is a union with constant rows."""
+    return keys.select("id").distinct().join(snapshot.select("id"), "id", "inner")
 
 
 def get_profiles(keys: DataFrame, snapshot: DataFrame) -> DataFrame:
