@@ -16,6 +16,9 @@ from tenderlake.operators.metadata import match_deadline
 
 DEFAULT_LIMIT = 20
 MAX_LIMIT = 200
+# A page at offset o is a distributed top-(o + limit) whose final merge holds
+# o + limit rows; beyond this offset use keyset paging (``after=``).
+MAX_OFFSET = 10_000
 SUMMARY_COLUMNS = ("ocid", "date", "title", "buyer_name", "status", "procurement_method",
                    "main_procurement_category", "value_amount", "value_currency", "deadline",
                    "result_code", "documents_url")
@@ -40,9 +43,15 @@ def summaries(df: DataFrame) -> DataFrame:
 
 
 def list_releases(meta: DataFrame, filters: FilterSpec = FilterSpec(), limit: int | None = None,
-                  offset: int | None = None, after: tuple[str, str] | None = None) -> DataFrame:
-    """One page of release summaries, newest first (``date desc, ocid asc``)."""
+                  offset: int | None = None, after: tuple[str, str] | None = None,
+                  max_offset: int = MAX_OFFSET) -> DataFrame:
+    """One page of release summaries, newest first (``date desc, ocid asc``).
+
+    ``after=(date, ocid)`` continues after the last row of the previous page
+    (keyset paging); offsets above ``max_offset`` are refused in favour of it."""
     lim, off = clamp_page(limit, offset)
+    if after is None and off > max_offset:
+        raise ValueError(f"offset {off} > {max_offset}: page with after=(date, ocid) of the previous page")
     df = filtered_releases(meta, filters)
     if after is not None:
         d, o = after

@@ -83,8 +83,8 @@ def lots(t: Tables) -> DataFrame:
                             nuts_code(F.col("n_regionkey"), F.col("n_nationkey"))).alias("nuts")))
 
 
-def _lot_rows(t: Tables, orderkey_filter: Column | None = None) -> DataFrame:
-    lt = lots(t)
+def _lot_rows(t: Tables, orderkey_filter: Column | None = None, lots_df: DataFrame | None = None) -> DataFrame:
+    lt = lots(t) if lots_df is None else lots_df
     if orderkey_filter is not None:
         lt = lt.filter(orderkey_filter)
     return (lt.groupBy("orderkey")
@@ -93,8 +93,10 @@ def _lot_rows(t: Tables, orderkey_filter: Column | None = None) -> DataFrame:
                   "cpv", "nuts", "awarded"))).alias("lot_rows")))
 
 
-def releases(spark_or_tables, sf_dir: str | None = None) -> DataFrame:
-    """Nested OCDS-shaped releases, one per order (orders with key % 11 = 10 are absent)."""
+def releases(spark_or_tables, sf_dir: str | None = None, lots_df: DataFrame | None = None) -> DataFrame:
+    """Nested OCDS-shaped releases, one per order (orders with key % 11 = 10 are absent).
+
+    ``lots_df`` is an already stored ``lots`` table; without it lots are derived here."""
     t = _tables(spark_or_tables, sf_dir)
     keep = lambda c: (c % 11) != 10
     o = t.orders.filter(keep(F.col("o_orderkey"))).select(
@@ -103,7 +105,7 @@ def releases(spark_or_tables, sf_dir: str | None = None) -> DataFrame:
     nation = F.broadcast(t.nation.select(F.col("n_nationkey").alias("c_nationkey"),
                                          F.col("n_regionkey").alias("c_regionkey")))
     docs = t.documents.select(F.col("doc_id").alias("o_orderkey"), F.col("text").alias("description"))
-    lot_rows = _lot_rows(t, keep(F.col("orderkey"))).withColumnRenamed("orderkey", "o_orderkey")
+    lot_rows = _lot_rows(t, keep(F.col("orderkey")), lots_df).withColumnRenamed("orderkey", "o_orderkey")
 
     base = (o.join(cust, o.o_custkey == cust.c_custkey, "left")
              .join(nation, "c_nationkey", "left")
@@ -112,9 +114,12 @@ def releases(spark_or_tables, sf_dir: str | None = None) -> DataFrame:
 
     k = F.col("o_orderkey")
     lot_type = T.ArrayType(base.schema["lot_rows"].dataType.elementType)
-    rows = F.coalesce(F.col("lot_rows"), F.array().cast(lot_type))
-    awarded_rows = F.filter(rows, lambda l: l["awarded"])
-    any_awarded = F.exists(rows, lambda l: l["awarded"])
+    # arrays shared by many fields below, computed once per release
+    base = (base.withColumn("__rows", F.coalesce(F.col("lot_rows"), F.array().cast(lot_type)))
+                .withColumn("__awarded_rows", F.filter(F.col("__rows"), lambda l: l["awarded"])))
+    rows = F.col("__rows")
+    awarded_rows = F.col("__awarded_rows")
+    any_awarded = F.size(awarded_rows) > 0
     is_final = F.col("o_orderstatus") == F.lit("F")
     with_award = is_final & any_awarded
     award_sum = F.aggregate(awarded_rows, F.lit(0.0), lambda acc, l: acc + l["amount"])
@@ -228,12 +233,12 @@ def releases(spark_or_tables, sf_dir: str | None = None) -> DataFrame:
     )
 
 
-def chunks(spark_or_tables, sf_dir: str | None = None) -> DataFrame:
+def chunks(spark_or_tables, sf_dir: str | None = None, lots_df: DataFrame | None = None) -> DataFrame:
     """Embedded chunks: ``doc_id, ocid, chunk_type, text, cpv_codes, embedding``."""
     t = _tables(spark_or_tables, sf_dir)
     emb = t.embeddings.filter(F.col("vec_id") % 100 < 98).select("vec_id", "embedding")
     docs = t.documents.select(F.col("doc_id").alias("vec_id"), "text")
-    cpvs = (lots(t).groupBy("orderkey")
+    cpvs = ((lots(t) if lots_df is None else lots_df).groupBy("orderkey")
             .agg(F.array_sort(F.collect_set("cpv")).alias("cpv_codes")))
     kind = F.col("vec_id") % 3
     return (emb.join(docs, "vec_id", "left")

@@ -29,23 +29,40 @@ from tenderlake.session import checkpoint_dir
 from tenderlake.sources import procurement as P
 from tenderlake.sources.tables import TABLE_NAMES, Tables
 
-# view -> (builder, sort columns within files)
+# view -> (builder, sort columns within files); builders read the stored
+# views they depend on, so each derivation runs once (dict order = build order)
+def _lots(t: Tables) -> DataFrame:
+    return P.lots(t)
+
+
+def _releases(t: Tables) -> DataFrame:
+    return P.releases(t, lots_df=stored(t.spark, t.sf_dir, "lots"))
+
+
 def _meta(t: Tables) -> DataFrame:
-    return release_metadata(P.releases(t))
+    return release_metadata(stored(t.spark, t.sf_dir, "releases"))
+
+
+def _chunks(t: Tables) -> DataFrame:
+    return P.chunks(t, lots_df=stored(t.spark, t.sf_dir, "lots"))
 
 
 def _chunk_hash_vectors(t: Tables) -> DataFrame:
     from tenderlake.operators.embed import MODEL_DIM, hash_embed
-    return hash_embed(P.chunks(t).select("doc_id", "text"), "doc_id", "text", MODEL_DIM)
+    return hash_embed(stored(t.spark, t.sf_dir, "chunks").select("doc_id", "text"), "doc_id", "text", MODEL_DIM)
+
+
+def _profiles(t: Tables) -> DataFrame:
+    return P.profiles(t)
 
 
 BUILDERS = {
-    "chunk_hash_vectors": (_chunk_hash_vectors, ["doc_id"]),
-    "releases": (P.releases, ["ocid"]),
+    "lots": (_lots, ["orderkey", "lot_num"]),
+    "releases": (_releases, ["ocid"]),
     "release_meta": (_meta, ["date", "ocid"]),
-    "chunks": (P.chunks, ["ocid", "doc_id"]),
-    "profiles": (P.profiles, ["id"]),
-    "lots": (P.lots, ["orderkey", "lot_num"]),
+    "chunks": (_chunks, ["ocid", "doc_id"]),
+    "chunk_hash_vectors": (_chunk_hash_vectors, ["doc_id"]),
+    "profiles": (_profiles, ["id"]),
 }
 
 
@@ -62,7 +79,7 @@ def _fs_status(spark: SparkSession, path: str):
 
 def _stamp(spark: SparkSession, sf_dir: str) -> str:
     """Input folder + size and modification time of every input (any Hadoop filesystem) + view code."""
-    h = hashlib.sha1(sf_dir.rstrip("/").encode())
+    h = hashlib.sha1((sf_dir.rstrip("/") + os.environ.get("TENDERLAKE_VIEW_SALT", "")).encode())
     for name in TABLE_NAMES:
         p = f"{sf_dir.rstrip('/')}/{name}.parquet"
         fs, hp = _fs_status(spark, p)
@@ -83,6 +100,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hp)
 
 
+# the same views planned from the driver tables (TENDERLAKE_STORED=0)
+_PLANNED = {
+    "lots": P.lots,
+    "releases": P.releases,
+    "release_meta": lambda t: release_metadata(P.releases(t)),
+    "chunks": P.chunks,
+    "chunk_hash_vectors": lambda t: __import__("tenderlake.operators.embed", fromlist=["hash_embed"]).hash_embed(
+        P.chunks(t).select("doc_id", "text"), "doc_id", "text"),
+    "profiles": P.profiles,
+}
 STAMP_TTL_SEC = 30.0
 _STAMPS: dict = {}
 _FRAMES: dict = {}
@@ -102,7 +129,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The stored copy of view ``name`` for ``sf_dir`` (written on first use)."""
     builder, sort_cols = BUILDERS[name]
     if not enabled():
-        return builder(Tables(spark, sf_dir))
+        return _PLANNED[name](Tables(spark, sf_dir))
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tenderlake-views/{_cached_stamp(spark, sf_dir)}/{name}"
     key = (spark.sparkContext.applicationId, path)
@@ -111,7 +138,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if not _exists(spark, path):
         df = builder(Tables(spark, sf_dir))
         (df.sortWithinPartitions(*sort_cols)
-           .write.mode("overwrite").option("compression", "zstd").parquet(path))
+           .write.mode("overwrite").parquet(path))
     _FRAMES[key] = spark.read.parquet(path)
     return _FRAMES[key]
 

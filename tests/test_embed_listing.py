@@ -98,3 +98,14 @@ def test_json_sink_omits_null_documents_url(spark, tmp_path):
                   key=lambda d: d["ocid"])
     assert rows[0] == {"ocid": "a", "title": None}
     assert rows[1] == {"ocid": "b", "documents_url": "u", "title": None}
+
+
+def test_deep_offset_needs_keyset(spark):
+    from tenderlake.sources.stored import Views
+    meta = Views(spark, "/root/testdata/sf0.001").meta
+    with pytest.raises(ValueError):
+        list_releases(meta, offset=50_000)
+    first = list_releases(meta, limit=3).collect()
+    nxt = list_releases(meta, limit=3, after=(first[-1].date, first[-1].ocid)).collect()
+    both = list_releases(meta, limit=6).collect()
+    assert [r.ocid for r in first + nxt] == [r.ocid for r in both]

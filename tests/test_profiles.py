@@ -93,3 +93,12 @@ def test_schema_evolution_and_vectors(spark, tmp_path):
     assert back.first().embedding == [0.5, 0.25]
     filled = K.apply_vectors(both, back.select("id", "embedding"))
     assert K.unembedded(filled).select("id").collect()[0].id == "o"
+
+
+def test_create_generates_ids_and_snapshot_versions(spark, tmp_path):
+    batch = spark.createDataFrame([("N", "d")], "name string, description string")
+    snap = K.create_profiles(_empty(spark), batch)
+    r = snap.first()
+    assert len(r.id) == 36 and r.created_at is not None and r.cpv_codes == [] and r.embedding is None
+    p0 = K.write_snapshot(snap, str(tmp_path), 0)
+    assert p0.endswith("v=0") and K.read_profiles(spark, p0).count() == 1
