@@ -43,19 +43,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     The cluster names a shared folder there; the library only falls back to a
-    fresh local scratch folder when the setting is unset (local tests).
+    fresh local scratch folder when nothing is configured (local tests), and
+    then registers it with the SparkContext so ``checkpoint()`` works.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or _CONTEXT_DIRS.get(id(spark.sparkContext))
     if not d:
         d = tempfile.mkdtemp(prefix="tenderlake-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        _CONTEXT_DIRS[id(spark.sparkContext)] = d
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+_CONTEXT_DIRS: dict[int, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table inside the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")
