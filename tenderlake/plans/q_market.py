@@ -165,7 +165,7 @@ def q_open_tenders(spark, sf_dir):
 
 @query("threshold_class", with_views(["releases"], """
 SELECT ocid, main_procurement_category AS category,
-       CASE WHEN main_procurement_category = 'works' THEN 5538000.0 ELSE 221000.0 END AS threshold,
+       CAST(CASE WHEN main_procurement_category = 'works' THEN 5538000.0 ELSE 221000.0 END AS DOUBLE) AS threshold,
        CASE WHEN value_amount IS NULL THEN 'unknown'
             WHEN value_amount >= CASE WHEN main_procurement_category = 'works' THEN 5538000.0 ELSE 221000.0 END THEN 'above'
             ELSE 'below' END AS class
