@@ -39,6 +39,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 DEFAULT_MAX_BROADCAST_ROWS = 200_000
+DEFAULT_CANDIDATE_BUDGET_ROWS = 50_000_000   # rows entering the final top-k merge
 
 
 class VectorWidthError(ValueError):
@@ -183,6 +184,7 @@ def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
                   score_digits: int = 6, strategy: str = "auto",
                   max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
                   max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                  candidate_budget_rows: int = DEFAULT_CANDIDATE_BUDGET_ROWS,
                   block_rows: int = 4096, corpus_buckets: int | None = None,
                   score_col: str = "score", rank_col: str = "rank") -> DataFrame:
     """Per query, the ``k`` most cosine-similar corpus rows (or distinct ``distinct_by`` keys).
@@ -246,7 +248,8 @@ def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
             yield from _partition_topk(batches, qm, qi, k, scale, corpus_id, corpus_vec, key_col,
                                        out_cols, query_id, score_col, arrow_schema)
 
-        cand = corpus_sel.mapInArrow(run, out_schema)
+        scan = _limit_candidate_volume(corpus_sel, n_q, k, candidate_budget_rows)
+        cand = scan.mapInArrow(run, out_schema)
     elif strategy == "blocked":
         cand = _blocked_candidates(q, corpus_sel, k, n_q, scale, query_id, query_vec, corpus_id,
                                    corpus_vec, key_col, out_cols, score_col, out_schema,
@@ -259,6 +262,18 @@ def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
     return out
 
 
+def _limit_candidate_volume(corpus: DataFrame, n_q: int, k: int, budget_rows: int) -> DataFrame:
+    """Each corpus task emits up to ``k x queries`` candidates, so the merge
+    shuffle is ``k x queries x tasks`` rows.  When that exceeds the budget the
+    scan is coalesced (no shuffle) into fewer, larger tasks; their memory does
+    not grow, since batches stream through a running top-k."""
+    spark = corpus.sparkSession
+    tasks = corpus.rdd.getNumPartitions()
+    floor = max(1, spark.sparkContext.defaultParallelism)
+    want = max(floor, budget_rows // max(1, n_q * k))
+    return corpus.coalesce(want) if want < tasks else corpus
+
+
 def _blocked_candidates(q: DataFrame, corpus_sel: DataFrame, k: int, n_q: int, scale: float,
                         query_id: str, query_vec: str, corpus_id: str, corpus_vec: str,
                         key_col: str | None, out_cols: list[str], score_col: str,

@@ -26,6 +26,10 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+_SPARK_TO_DUCK = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN",
+                  "int": "INTEGER"}
+
+
 def _norm(v):
     if v is None:
         return None
@@ -69,6 +73,13 @@ def compare(spark, con, name: str, sf_dir: str) -> dict:
         res["status"] = "schema"
         res["detail"] = {"spark": s_cols, "duck": d_cols}
         return res
+    spark_types = {f.name: _SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in sdf.schema.fields}
+    duck_types = {c: str(t) for c, t in zip(d_cols, rel.types)}
+    if spark_types != duck_types:
+        res["status"] = "types"
+        res["detail"] = {c: (spark_types[c], duck_types[c]) for c in s_cols if spark_types[c] != duck_types[c]}
+        return res
     a, b = _rows(s_cols, s_rec), _rows(d_cols, d_rec)
     if a == b:
         res["status"] = "match"

@@ -92,3 +92,17 @@ def test_auto_beyond_bound_and_small_sim_blocks(spark, monkeypatch):
         for r in sorted(res, key=lambda r: (r.query_id, r.rank)):
             got.setdefault(r.query_id, []).append((r.doc_id, r.score))
         assert got == want
+
+
+def test_candidate_budget_coalesces_scan(spark):
+    from tenderlake.operators.knn import _limit_candidate_volume, top_k_similar
+    corpus = spark.range(200).selectExpr("cast(id as string) as doc_id",
+                                         "array(cast(id % 7 as float), cast(id % 5 as float) + 1) as embedding")
+    corpus = corpus.repartition(16)
+    assert _limit_candidate_volume(corpus, 100, 10, 10_000).rdd.getNumPartitions() < 16
+    assert _limit_candidate_volume(corpus, 1, 1, 10_000).rdd.getNumPartitions() == 16
+    queries = spark.createDataFrame([("q", [1.0, 1.0])], "query_id string, embedding array<float>")
+    a = top_k_similar(queries, corpus, 5, candidate_budget_rows=10).collect()
+    b = top_k_similar(queries, corpus, 5).collect()
+    assert [(r.doc_id, r.score) for r in sorted(a, key=lambda r: r.rank)] == \
+        [(r.doc_id, r.score) for r in sorted(b, key=lambda r: r.rank)]
