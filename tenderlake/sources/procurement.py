@@ -87,10 +87,25 @@ def _lot_rows(t: Tables, orderkey_filter: Column | None = None, lots_df: DataFra
     lt = lots(t) if lots_df is None else lots_df
     if orderkey_filter is not None:
         lt = lt.filter(orderkey_filter)
+    null_s = F.lit(None).cast("string")
+    # the OCDS lot and item of each line, built here per row (whole-stage codegen)
+    # so the release build only extracts them
+    lot = F.struct(
+        F.col("lot_id").alias("id"), F.concat(F.lit("Los "), F.col("lot_id")).alias("title"),
+        null_s.alias("description"),
+        F.struct(F.col("amount").cast("double").alias("amount"), F.lit("EUR").alias("currency")).alias("value"),
+        F.struct(null_s.alias("city"), null_s.alias("postal_code"), F.col("nuts").alias("nuts_code"),
+                 F.lit("DE").alias("country")).alias("location"),
+        F.lit(None).cast(S.DURATION).alias("duration"), F.lit(None).cast("boolean").alias("euFunded"),
+        F.lit(None).cast("int").alias("maxRenewals"))
+    item = F.struct(
+        F.col("lot_id").alias("id"), null_s.alias("description"),
+        F.struct(F.lit("CPV").alias("scheme"), F.col("cpv").alias("id"), null_s.alias("description")).alias("classification"),
+        F.col("quantity").alias("quantity"), F.lit("EA").alias("unit"), F.col("lot_id").alias("relatedLot"))
     return (lt.groupBy("orderkey")
               .agg(F.array_sort(F.collect_list(F.struct(
                   "lot_num", "lot_id", "amount", "quantity", "suppkey", "supplier_name",
-                  "cpv", "nuts", "awarded"))).alias("lot_rows")))
+                  "cpv", "nuts", "awarded", lot.alias("lot"), item.alias("item")))).alias("lot_rows")))
 
 
 def releases(spark_or_tables, sf_dir: str | None = None, lots_df: DataFrame | None = None) -> DataFrame:
@@ -174,14 +189,8 @@ def releases(spark_or_tables, sf_dir: str | None = None, lots_df: DataFrame | No
         F.struct(F.lit("Qualitaet").alias("name"), F.lit("quality").alias("criterionType"),
                  (F.lit(100.0) - price_weight).alias("weight")))
 
-    lots_col = F.transform(rows, lambda l: F.struct(
-        l["lot_id"].alias("id"), F.concat(F.lit("Los "), l["lot_id"]).alias("title"), null_s.alias("description"),
-        value(l["amount"]).alias("value"), location(l["nuts"]).alias("location"), no_duration.alias("duration"),
-        F.lit(None).cast("boolean").alias("euFunded"), F.lit(None).cast("int").alias("maxRenewals")))
-    items_col = F.transform(rows, lambda l: F.struct(
-        l["lot_id"].alias("id"), null_s.alias("description"),
-        F.struct(F.lit("CPV").alias("scheme"), l["cpv"].alias("id"), null_s.alias("description")).alias("classification"),
-        l["quantity"].alias("quantity"), F.lit("EA").alias("unit"), l["lot_id"].alias("relatedLot")))
+    lots_col = F.transform(rows, lambda l: l["lot"])
+    items_col = F.transform(rows, lambda l: l["item"])
 
     status = _case(F.col("o_orderstatus"), STATUS_BY_ORDER_STATUS)
     result_code = (F.when(with_award, F.lit("selec-w")).when(is_final, F.lit("clos-nw"))
