@@ -1,0 +1,49 @@
+"""A ``BatchEmbedder`` for a transformer encoder exported to ONNX.
+
+Use with ``embed_texts(df, "text", lambda: OnnxEmbedder(model_path, tokenizer_path))``:
+the factory runs once per Python worker, each Arrow batch is tokenized
+(truncated to the token limit, padded to its longest text) and run through the
+session; pooling, normalisation and the width check happen in ``embed_texts``.
+The model files are the caller's; nothing is downloaded.  ``onnxruntime`` and
+``tokenizers`` are imported only when the embedder is built.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+class OnnxEmbedder:
+    def __init__(self, model_path: str | None = None, tokenizer_path: str | None = None,
+                 session=None, tokenizer=None, threads: int = 1):
+        if tokenizer is None:
+            from tokenizers import Tokenizer
+            tokenizer = Tokenizer.from_file(tokenizer_path)
+        if session is None:
+            import onnxruntime as ort
+            opts = ort.SessionOptions()
+            opts.intra_op_num_threads = threads      # tasks already use the cores
+            opts.graph_optimization_level = ort.GraphOptimizationLevel.ORT_ENABLE_ALL
+            session = ort.InferenceSession(model_path, sess_options=opts, providers=["CPUExecutionProvider"])
+        self.tokenizer = tokenizer
+        self.session = session
+        self.input_names = {i.name for i in session.get_inputs()}
+
+    def tokenize(self, texts: list[str], max_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+        encs = self.tokenizer.encode_batch(texts)
+        ids = [e.ids[:max_tokens] for e in encs]
+        seq = max(1, max(len(x) for x in ids))
+        out = np.zeros((len(ids), seq), dtype=np.int64)
+        mask = np.zeros((len(ids), seq), dtype=np.int64)
+        for i, x in enumerate(ids):
+            out[i, :len(x)] = x
+            mask[i, :len(x)] = 1
+        return out, mask
+
+    def forward(self, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        feed = {"input_ids": ids, "attention_mask": mask}
+        if "token_type_ids" in self.input_names:
+            feed["token_type_ids"] = np.zeros_like(ids)
+        feed = {k: v for k, v in feed.items() if k in self.input_names}
+        hidden = self.session.run(None, feed)[0]
+        return np.asarray(hidden)

@@ -109,3 +109,43 @@ def test_deep_offset_needs_keyset(spark):
     nxt = list_releases(meta, limit=3, after=(first[-1].date, first[-1].ocid)).collect()
     both = list_releases(meta, limit=6).collect()
     assert [r.ocid for r in first + nxt] == [r.ocid for r in both]
+
+
+class _FakeInput:
+    def __init__(self, name):
+        self.name = name
+
+
+class _FakeSession:
+    """Stands in for an ONNX session: hidden state = one-hot of (token id % 3)."""
+
+    def get_inputs(self):
+        return [_FakeInput("input_ids"), _FakeInput("attention_mask"), _FakeInput("token_type_ids")]
+
+    def run(self, _outputs, feed):
+        assert set(feed) == {"input_ids", "attention_mask", "token_type_ids"}
+        return [np.eye(3)[feed["input_ids"] % 3]]
+
+
+def _word_tokenizer():
+    from tokenizers import Tokenizer
+    from tokenizers.models import WordLevel
+    from tokenizers.pre_tokenizers import Whitespace
+    tok = Tokenizer(WordLevel({"[UNK]": 0, "query": 1, ":": 2, "bau": 3, "brücke": 4}, unk_token="[UNK]"))
+    tok.pre_tokenizer = Whitespace()
+    return tok
+
+
+def test_onnx_embedder_adapter(spark):
+    from tenderlake.operators.onnx_embedder import OnnxEmbedder
+    tok_json = _word_tokenizer().to_str()
+
+    def factory():
+        from tokenizers import Tokenizer
+        return OnnxEmbedder(session=_FakeSession(), tokenizer=Tokenizer.from_str(tok_json))
+
+    df = spark.createDataFrame([(1, "bau brücke"), (2, "bau")], "id long, text string")
+    out = {r.id: r.embedding for r in embed_texts(df, "text", factory, role="query", dim=3, max_tokens=3).collect()}
+    # "query: bau brücke" -> ids [1, 2, 3] after the 3-token limit -> one-hots of 1, 2, 0
+    assert np.allclose(out[1], np.array([1, 1, 1]) / np.sqrt(3))
+    assert np.allclose(out[2], np.array([1, 1, 1]) / np.sqrt(3))
