@@ -6,11 +6,9 @@ from pyspark.sql import functions as F
 
 from tenderlake.functions.filters import FilterSpec
 from tenderlake.operators.listing import count_releases, get_releases, index_info, list_releases
-from tenderlake.operators.metadata import release_metadata
 from tenderlake.plans.oracle_views import with_views
 from tenderlake.plans.registry import joined, query, r6
 from tenderlake.plans.sql_filters import sql_where
-from tenderlake.sources import procurement as P
 from tenderlake.sources.stored import Views
 
 LIST_VIEWS = ["releases", "release_nuts", "party_nuts", "release_cpvs"]

@@ -6,12 +6,9 @@ from pyspark.sql import functions as F
 
 from tenderlake.functions.filters import FilterSpec
 from tenderlake.operators import market as M
-from tenderlake.operators.matching import match_tenders
-from tenderlake.operators.metadata import release_metadata
 from tenderlake.plans.oracle_views import with_views
 from tenderlake.plans.q_match import match_ctes
 from tenderlake.plans.registry import query, r6
-from tenderlake.sources import procurement as P
 from tenderlake.sources.stored import Views
 
 

@@ -8,11 +8,9 @@ from tenderlake.functions.filters import FilterSpec
 from tenderlake.operators.knn import top_k_similar
 from tenderlake.operators.matching import (dedup_by_ocid, enrich, hit_ocids, match_tenders,
                                            resolve_profiles)
-from tenderlake.operators.metadata import release_metadata
 from tenderlake.plans.oracle_views import cosine_sql, with_views
 from tenderlake.plans.registry import joined, query, r6
 from tenderlake.plans.sql_filters import sql_where, truncate_sql
-from tenderlake.sources import procurement as P
 from tenderlake.sources.stored import Views
 
 K = 10

@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 from tenderlake.operators import profiles as K
 from tenderlake.plans.oracle_views import with_views
 from tenderlake.plans.registry import iso, joined, query
-from tenderlake.sources import procurement as P
 from tenderlake.sources.stored import Views
 
 STRINGS = T.ArrayType(T.StringType())

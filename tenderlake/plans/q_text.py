@@ -12,7 +12,6 @@ from tenderlake.operators.search import search_text
 from tenderlake.plans.oracle_views import with_views
 from tenderlake.plans.registry import joined, query, r6
 from tenderlake.plans.sql_filters import truncate_sql
-from tenderlake.sources import procurement as P
 from tenderlake.sources.stored import Views
 
 K = 10
