@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tenderlake import schemas as S
 
 
 def _latest(value: str, keep: Column) -> Column:
@@ -17,26 +20,34 @@ def _latest(value: str, keep: Column) -> Column:
     return F.max_by(F.col(value), F.when(keep, F.struct("ts", "notice_id")))
 
 
-def _nonempty(c: str) -> Column:
-    return F.col(c).isNotNull() & (F.col(c) != F.lit(""))
+KEY, ORDER, PHASE = "ocid", ("ts", "notice_id"), "phase"
+
 
+def merge_aggregates(schema: T.StructType | None = None) -> list[Column]:
+    """Aggregates of the merge for a notice schema.
 
-def merge_aggregates() -> list[Column]:
-    return [
-        F.array_sort(F.collect_set("phase")).alias("tag"),
-        _latest("status", _nonempty("status")).alias("status"),
-        _latest("description", _nonempty("description")).alias("description"),
-        _latest("award_value", F.col("award_value").isNotNull()).alias("award_value"),
-        F.count(F.lit(1)).alias("n_notices"),
-        F.min("ts").alias("first_ts"),
-        F.max("ts").alias("last_ts"),
-    ]
+    ``phase`` values are unioned into ``tag``; every other field takes its
+    latest value by (ts, notice_id) among the notices where it is present:
+    non-NULL, strings also non-empty, arrays also non-empty."""
+    fields = (schema or S.NOTICE).fields
+    aggs = [F.array_sort(F.collect_set(PHASE)).alias("tag")]
+    for f in fields:
+        if f.name in (KEY, PHASE) or f.name in ORDER:
+            continue
+        present = F.col(f.name).isNotNull()
+        if isinstance(f.dataType, T.StringType):
+            present = present & (F.col(f.name) != F.lit(""))
+        elif isinstance(f.dataType, T.ArrayType):
+            present = present & (F.size(F.col(f.name)) > 0)
+        aggs.append(_latest(f.name, present).alias(f.name))
+    aggs += [F.count(F.lit(1)).alias("n_notices"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")]
+    return aggs
 
 
 def merge_notices(notices: DataFrame) -> DataFrame:
     """Notices of one OCID -> one release (D8): tag is the union of phases;
-    scalar fields take the latest non-empty value; arrival order is irrelevant."""
-    return notices.groupBy("ocid").agg(*merge_aggregates())
+    other fields take the latest present value; arrival order is irrelevant."""
+    return notices.groupBy(KEY).agg(*merge_aggregates(notices.schema))
 
 
 def lifecycle_state(tag: Column, status: Column) -> Column:

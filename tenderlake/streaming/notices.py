@@ -31,7 +31,7 @@ def read_notice_stream(spark: SparkSession, path: str, max_files_per_trigger: in
 
 
 def merge_notices_stream(notices: DataFrame) -> DataFrame:
-    return notices.groupBy("ocid").agg(*merge_aggregates())
+    return notices.groupBy("ocid").agg(*merge_aggregates(notices.schema))
 
 
 def upsert_snapshot(target: str):
@@ -54,6 +54,13 @@ def read_snapshot(spark: SparkSession, target: str) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r", "epoch")
 
 
+def compact_snapshot(spark: SparkSession, target: str, out: str) -> str:
+    """Periodic job: write the current merged state once (one row per OCID) to
+    ``out``, so readers stop scanning every epoch folder."""
+    read_snapshot(spark, target).write.mode("errorifexists").parquet(out)
+    return out
+
+
 def daily_phase_counts_stream(notices: DataFrame, lateness: str = "1 day") -> DataFrame:
     return (notices.filter(F.col("phase").isNotNull())
                    .withWatermark("ts", lateness)

@@ -105,3 +105,13 @@ def test_alert_stream_matches_batch(spark, tmp_path):
     want = match_tenders(v.profiles.select(F.col("id").alias("profile_id")), v.profiles, chunks, v.meta, k=5) \
         .select("profile_id", "rank", "doc_id", "ocid", "score")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_merge_array_fields_latest_nonempty(spark):
+    from pyspark.sql import types as T
+    schema = T.StructType(S.NOTICE.fields + [T.StructField("awards", T.ArrayType(T.StringType()))])
+    rows = [(1, "a", T0, "tender", "active", None, None, ["x"]),
+            (2, "a", T0 + dt.timedelta(minutes=5), "award", "complete", None, None, []),
+            (3, "a", T0 + dt.timedelta(minutes=9), None, None, None, None, None)]
+    r = merge_notices(spark.createDataFrame(rows, schema)).first()
+    assert r.awards == ["x"] and r.status == "complete" and r.n_notices == 3
