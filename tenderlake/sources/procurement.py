@@ -108,22 +108,83 @@ def _lot_rows(t: Tables, orderkey_filter: Column | None = None, lots_df: DataFra
                   "cpv", "nuts", "awarded", lot.alias("lot"), item.alias("item")))).alias("lot_rows")))
 
 
+# ------------------------------------------------------------ order-level rules
+# One definition each, used by the nested release build and the flat metadata.
+
+def _iso(c: Column) -> Column:
+    return F.date_format(c, ISO_FMT)
+
+
+def _status(orderstatus: Column) -> Column:
+    return _case(orderstatus, STATUS_BY_ORDER_STATUS)
+
+
+def _method(priority: Column) -> Column:
+    return _case(priority, METHOD_BY_PRIORITY)
+
+
+def _category(segment: Column) -> Column:
+    return _case(segment, CATEGORY_BY_SEGMENT, "goods")
+
+
+def _value_amount(k: Column, totalprice: Column) -> Column:
+    return F.when(k % 7 != 0, totalprice).cast("double")
+
+
+def _end_date(orderdate: Column) -> Column:
+    return _iso(orderdate + F.expr("INTERVAL 30 DAYS"))
+
+
+def _submission_deadline(k: Column, orderdate: Column) -> Column:
+    return F.when(k % 3 != 0, _iso(orderdate + F.expr("INTERVAL 21 DAYS")))
+
+
+def _eu_funded(k: Column) -> Column:
+    return F.when(k % 5 == 0, F.lit(True)).when(k % 5 == 1, F.lit(None).cast("boolean")).otherwise(F.lit(False))
+
+
+def _documents_url(k: Column) -> Column:
+    return F.when(k % 5 == 2, F.concat(F.lit(DOCUMENTS_URL_BASE), k.cast("string")))
+
+
+def _tag(orderstatus: Column) -> Column:
+    return (F.when(orderstatus == F.lit("F"), F.array(F.lit("tender"), F.lit("award")))
+             .when(orderstatus == F.lit("O"), F.array(F.lit("tender")))
+             .when(orderstatus == F.lit("P"), F.array(F.lit("planning")))
+             .otherwise(F.array().cast(T.ArrayType(T.StringType()))))
+
+
+def _result_code(orderstatus: Column, with_award: Column) -> Column:
+    is_final = orderstatus == F.lit("F")
+    return (F.when(is_final & with_award, F.lit("selec-w")).when(is_final, F.lit("clos-nw"))
+             .when(orderstatus == F.lit("O"), F.lit("open-nw")))
+
+
+def _orders_with_buyer(t: Tables) -> DataFrame:
+    keep = (F.col("o_orderkey") % 11) != 10
+    o = t.orders.filter(keep).select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    cust = t.customer.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    nation = F.broadcast(t.nation.select(F.col("n_nationkey").alias("c_nationkey"),
+                                         F.col("n_regionkey").alias("c_regionkey")))
+    return (o.join(cust, o.o_custkey == cust.c_custkey, "left")
+             .join(nation, "c_nationkey", "left"))
+
+
+def _buyer_nuts() -> Column:
+    return F.when(F.col("c_regionkey").isNotNull(), nuts_code(F.col("c_regionkey"), F.col("c_nationkey")))
+
+
 def releases(spark_or_tables, sf_dir: str | None = None, lots_df: DataFrame | None = None) -> DataFrame:
     """Nested OCDS-shaped releases, one per order (orders with key % 11 = 10 are absent).
 
     ``lots_df`` is an already stored ``lots`` table; without it lots are derived here."""
     t = _tables(spark_or_tables, sf_dir)
     keep = lambda c: (c % 11) != 10
-    o = t.orders.filter(keep(F.col("o_orderkey"))).select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
-    cust = t.customer.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    nation = F.broadcast(t.nation.select(F.col("n_nationkey").alias("c_nationkey"),
-                                         F.col("n_regionkey").alias("c_regionkey")))
     docs = t.documents.select(F.col("doc_id").alias("o_orderkey"), F.col("text").alias("description"))
     lot_rows = _lot_rows(t, keep(F.col("orderkey")), lots_df).withColumnRenamed("orderkey", "o_orderkey")
 
-    base = (o.join(cust, o.o_custkey == cust.c_custkey, "left")
-             .join(nation, "c_nationkey", "left")
+    base = (_orders_with_buyer(t)
              .join(lot_rows, "o_orderkey", "left")
              .join(docs, "o_orderkey", "left"))
 
@@ -139,8 +200,8 @@ def releases(spark_or_tables, sf_dir: str | None = None, lots_df: DataFrame | No
     with_award = is_final & any_awarded
     award_sum = F.aggregate(awarded_rows, F.lit(0.0), lambda acc, l: acc + l["amount"])
     award_value = F.when(with_award, F.when(k % 13 == 0, F.lit(1.0)).otherwise(award_sum))
-    buyer_nuts = F.when(F.col("c_regionkey").isNotNull(), nuts_code(F.col("c_regionkey"), F.col("c_nationkey")))
-    iso = lambda c: F.date_format(c, ISO_FMT)
+    buyer_nuts = _buyer_nuts()
+    iso = _iso
     value = lambda amount: F.struct(amount.cast("double").alias("amount"), F.lit("EUR").alias("currency"))
     location = lambda nuts: F.struct(F.lit(None).cast("string").alias("city"),
                                      F.lit(None).cast("string").alias("postal_code"),
@@ -192,21 +253,20 @@ def releases(spark_or_tables, sf_dir: str | None = None, lots_df: DataFrame | No
     lots_col = F.transform(rows, lambda l: l["lot"])
     items_col = F.transform(rows, lambda l: l["item"])
 
-    status = _case(F.col("o_orderstatus"), STATUS_BY_ORDER_STATUS)
-    result_code = (F.when(with_award, F.lit("selec-w")).when(is_final, F.lit("clos-nw"))
-                    .when(F.col("o_orderstatus") == F.lit("O"), F.lit("open-nw")))
-    eu = F.when(k % 5 == 0, F.lit(True)).when(k % 5 == 1, F.lit(None).cast("boolean")).otherwise(F.lit(False))
+    status = _status(F.col("o_orderstatus"))
+    result_code = _result_code(F.col("o_orderstatus"), any_awarded)
+    eu = _eu_funded(k)
     tender = F.struct(
         F.concat(F.lit("Tender "), k.cast("string")).alias("title"),
         F.col("description").alias("description"),
         status.alias("status"),
-        _case(F.col("o_orderpriority"), METHOD_BY_PRIORITY).alias("procurementMethod"),
+        _method(F.col("o_orderpriority")).alias("procurementMethod"),
         F.col("o_orderpriority").alias("procurementMethodDetails"),
-        _case(F.col("c_mktsegment"), CATEGORY_BY_SEGMENT, "goods").alias("mainProcurementCategory"),
-        value(F.when(k % 7 != 0, F.col("o_totalprice"))).alias("value"),
+        _category(F.col("c_mktsegment")).alias("mainProcurementCategory"),
+        value(_value_amount(k, F.col("o_totalprice"))).alias("value"),
         F.struct(iso(F.col("o_orderdate")).alias("startDate"),
-                 iso(F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS")).alias("endDate")).alias("tenderPeriod"),
-        F.when(k % 3 != 0, iso(F.col("o_orderdate") + F.expr("INTERVAL 21 DAYS"))).alias("submissionDeadline"),
+                 _end_date(F.col("o_orderdate")).alias("endDate")).alias("tenderPeriod"),
+        _submission_deadline(k, F.col("o_orderdate")).alias("submissionDeadline"),
         F.struct(F.lit("CPV").alias("scheme"), F.get(rows, 0)["cpv"].alias("id"),
                  null_s.alias("description")).alias("classification"),
         F.array().cast(T.ArrayType(S.SELECTION_CRITERION)).alias("selectionCriteria"),
@@ -219,14 +279,11 @@ def releases(spark_or_tables, sf_dir: str | None = None, lots_df: DataFrame | No
         F.lit(None).cast("int").alias("maxRenewals"),
         F.lit(None).cast("int").alias("maxLotsAwarded"),
         F.lit(None).cast("int").alias("maxLotsSubmitted"),
-        F.when(k % 5 == 2, F.concat(F.lit(DOCUMENTS_URL_BASE), k.cast("string"))).alias("documentsUrl"),
+        _documents_url(k).alias("documentsUrl"),
         lots_col.alias("lots"),
         items_col.alias("items"),
     )
-    tag = (F.when(is_final, F.array(F.lit("tender"), F.lit("award")))
-            .when(F.col("o_orderstatus") == F.lit("O"), F.array(F.lit("tender")))
-            .when(F.col("o_orderstatus") == F.lit("P"), F.array(F.lit("planning")))
-            .otherwise(F.array().cast(T.ArrayType(T.StringType()))))
+    tag = _tag(F.col("o_orderstatus"))
     return base.select(
         F.concat(F.lit("ocds-"), k.cast("string")).alias("ocid"),
         F.concat(F.lit("N-"), k.cast("string")).alias("id"),
@@ -242,6 +299,57 @@ def releases(spark_or_tables, sf_dir: str | None = None, lots_df: DataFrame | No
     )
 
 
+def release_meta(spark_or_tables, sf_dir: str | None = None, lots_df: DataFrame | None = None) -> DataFrame:
+    """The flat release metadata (``operators.metadata.META_COLUMNS``) straight from the lots.
+
+    Equal to ``release_metadata(releases(...))`` but without building lot arrays:
+    per order only booleans and sets of NUTS and CPV codes are aggregated (sets
+    bounded by the code vocabularies), all partially before the shuffle, so an
+    order with a huge number of lines is never collected into one row."""
+    t = _tables(spark_or_tables, sf_dir)
+    lt = (lots(t) if lots_df is None else lots_df).filter((F.col("orderkey") % 11) != 10)
+    per_order = (lt.groupBy(F.col("orderkey").alias("o_orderkey"))
+                   .agg(F.bool_or("awarded").alias("any_awarded"),
+                        F.bool_or(F.col("awarded") & F.col("supplier_name").isNotNull()).alias("awarded_supplier"),
+                        F.array_sort(F.collect_set("cpv")).alias("release_cpv_codes"),
+                        F.collect_set(F.when(F.col("supplier_name").isNotNull(), F.col("nuts"))).alias("supplier_nuts")))
+    first_pos = (lt.filter(F.col("nuts").isNotNull())
+                   .groupBy("orderkey", "nuts").agg(F.min("lot_num").alias("pos"))
+                   .groupBy(F.col("orderkey").alias("o_orderkey"))
+                   .agg(F.array_sort(F.collect_list(F.struct("pos", "nuts"))).alias("lot_nuts")))
+    base = (_orders_with_buyer(t).join(per_order, "o_orderkey", "left").join(first_pos, "o_orderkey", "left"))
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    strings = T.ArrayType(T.StringType())
+    empty = F.array().cast(strings)
+    buyer = F.array(_buyer_nuts())
+    lot_nuts = F.coalesce(F.transform("lot_nuts", lambda x: x["nuts"]), empty)
+    not_null = lambda a: F.filter(a, lambda x: x.isNotNull())
+    any_awarded = F.coalesce(F.col("any_awarded"), F.lit(False))
+    return base.select(
+        F.concat(F.lit("ocds-"), k.cast("string")).alias("ocid"),
+        F.concat(F.lit("N-"), k.cast("string")).alias("notice_id"),
+        _iso(F.col("o_orderdate")).alias("date"),
+        F.concat(F.lit("Tender "), k.cast("string")).alias("title"),
+        F.col("c_name").alias("buyer_name"),
+        _method(F.col("o_orderpriority")).alias("procurement_method"),
+        _category(F.col("c_mktsegment")).alias("main_procurement_category"),
+        _value_amount(k, F.col("o_totalprice")).alias("value_amount"),
+        F.lit("EUR").alias("value_currency"),
+        _end_date(F.col("o_orderdate")).alias("deadline"),
+        _submission_deadline(k, F.col("o_orderdate")).alias("submission_deadline"),
+        _status(status).alias("status"),
+        _tag(status).alias("tag"),
+        ((status == F.lit("F")) & F.coalesce(F.col("awarded_supplier"), F.lit(False))).alias("has_awards"),
+        _eu_funded(k).alias("eu_funded"),
+        F.array_distinct(not_null(F.concat(buyer, lot_nuts))).alias("location_nuts"),
+        _documents_url(k).alias("documents_url"),
+        _result_code(status, any_awarded).alias("result_code"),
+        F.array_sort(F.array_distinct(not_null(F.concat(buyer, F.coalesce(F.col("supplier_nuts"), empty)))))
+         .alias("party_nuts"),
+        F.coalesce(F.col("release_cpv_codes"), empty).alias("release_cpv_codes"),
+    )
+
+
 def chunks(spark_or_tables, sf_dir: str | None = None, lots_df: DataFrame | None = None) -> DataFrame:
     """Embedded chunks: ``doc_id, ocid, chunk_type, text, cpv_codes, embedding``."""
     t = _tables(spark_or_tables, sf_dir)

@@ -24,7 +24,6 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.operators.metadata import release_metadata
 from tenderlake.session import checkpoint_dir
 from tenderlake.sources import procurement as P
 from tenderlake.sources.tables import TABLE_NAMES, Tables
@@ -40,7 +39,7 @@ def _releases(t: Tables) -> DataFrame:
 
 
 def _meta(t: Tables) -> DataFrame:
-    return release_metadata(stored(t.spark, t.sf_dir, "releases"))
+    return P.release_meta(t, lots_df=stored(t.spark, t.sf_dir, "lots"))
 
 
 def _chunks(t: Tables) -> DataFrame:
@@ -104,7 +103,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 _PLANNED = {
     "lots": P.lots,
     "releases": P.releases,
-    "release_meta": lambda t: release_metadata(P.releases(t)),
+    "release_meta": P.release_meta,
     "chunks": P.chunks,
     "chunk_hash_vectors": lambda t: __import__("tenderlake.operators.embed", fromlist=["hash_embed"]).hash_embed(
         P.chunks(t).select("doc_id", "text"), "doc_id", "text"),

@@ -109,3 +109,17 @@ def test_exact_never_worse_than_overfetch(spark):
         assert len(e) >= len(g)
         assert e.score.min() >= g.score.min() - 1e-12 or len(e) > len(g)
     assert not ex.duplicated(["profile_id", "ocid"]).any()
+
+
+def test_flat_metadata_equals_nested_projection(spark):
+    """The stored metadata (bounded aggregates over lots) equals the projection of the nested releases."""
+    from tenderlake.sources import procurement as P
+    from tenderlake.sources.tables import Tables
+    t = Tables(spark, "/root/testdata/sf0.01")
+    flat = P.release_meta(t)
+    nested = release_metadata(P.releases(t))
+    norm = lambda df: df.withColumn("party_nuts", F.array_sort(F.array_distinct("party_nuts")))
+    cols = sorted(flat.columns)
+    assert cols == sorted(nested.columns)
+    a, b = norm(flat).select(cols), norm(nested).select(cols)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
