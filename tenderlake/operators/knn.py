@@ -25,8 +25,9 @@ broken by the corpus id (ascending), everywhere the same way.
 
 from __future__ import annotations
 
+import dataclasses
 import math
-from typing import Iterable, Iterator, Sequence
+from typing import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,21 @@ class VectorWidthError(ValueError):
     pass
 
 
+@dataclasses.dataclass(frozen=True)
+class PairFilter:
+    """An exact per-(query, corpus row) admission rule, evaluated per Arrow batch.
+
+    ``fn(query_info, batch)`` gets the listed query columns (Python lists, one
+    entry per query) and a corpus batch that holds ``corpus_cols``; it returns a
+    boolean matrix (rows x queries).  Rejected pairs never compete for the top-k."""
+    query_cols: tuple[str, ...]
+    corpus_cols: tuple[str, ...]
+    fn: Callable[[dict, pa.RecordBatch], np.ndarray]
+
+
+_REJECTED = np.iinfo(np.int64).min // 4
+
+
 def _matrix(list_array: pa.Array, dim: int | None) -> tuple[np.ndarray, int]:
     """Arrow list<float> column -> (rows x dim) float64 matrix, width checked."""
     if isinstance(list_array, pa.ChunkedArray):
@@ -70,7 +86,7 @@ SIM_BLOCK_ELEMENTS = 1 << 24   # cap on rows x queries of one similarity block (
 
 
 def _local_topk(qmat: np.ndarray, cmat: np.ndarray, ids: np.ndarray, keys: np.ndarray | None,
-                k: int, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                k: int, scale: float, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Top-k rows per query inside one batch.
 
     Returns (query_index, row_index, score_int) arrays.  Ordering is by
@@ -94,6 +110,8 @@ def _local_topk(qmat: np.ndarray, cmat: np.ndarray, ids: np.ndarray, keys: np.nd
         x = (cmat @ qmat[q0:q0 + step].T) * scale               # n x qb
         s_int = (np.sign(x) * np.floor(np.abs(x) + 0.5)).astype(np.int64)   # half away from zero, like SQL round
         comp = s_int * big - id_rank[:, None]                   # unique per row, larger = better
+        if mask is not None:
+            comp = np.where(mask[:, q0:q0 + step], comp, _REJECTED)
         if keys is not None:
             comp = np.maximum.reduceat(comp[order], starts, axis=0)   # n_keys x qb
         m = comp.shape[0]
@@ -103,8 +121,12 @@ def _local_topk(qmat: np.ndarray, cmat: np.ndarray, ids: np.ndarray, keys: np.nd
         else:
             chosen = comp
         flat = chosen.ravel()
+        qcol = np.broadcast_to(np.arange(q0, q0 + comp.shape[1]), chosen.shape).ravel()
+        if mask is not None:
+            ok = flat != _REJECTED
+            flat, qcol = flat[ok], qcol[ok]
         score_int = -((-flat) // big)                           # ceil division
-        out_q.append(np.broadcast_to(np.arange(q0, q0 + comp.shape[1]), chosen.shape).ravel())
+        out_q.append(qcol)
         out_r.append(inv[score_int * big - flat])
         out_s.append(score_int)
     return np.concatenate(out_q), np.concatenate(out_r), np.concatenate(out_s)
@@ -122,6 +144,7 @@ def _merge_running(running: pd.DataFrame | None, cand: pd.DataFrame, k: int, id_
 def _partition_topk(batches: Iterable[pa.RecordBatch], qmat: np.ndarray, qids: np.ndarray, k: int,
                     scale: float, id_col: str, vec_col: str, key_col: str | None,
                     out_cols: Sequence[str], qid_col: str, score_col: str, arrow_schema: pa.Schema,
+                    pair_filter: PairFilter | None = None, qinfo: dict | None = None,
                     ) -> Iterator[pa.RecordBatch]:
     """Running top-k per query over all batches of one task.
 
@@ -146,7 +169,8 @@ def _partition_topk(batches: Iterable[pa.RecordBatch], qmat: np.ndarray, qids: n
         ids = np.asarray(batch.column(id_col).to_pylist(), dtype=object)
         keys = (np.asarray(batch.column(key_col).to_pylist(), dtype=object)
                 if key_col is not None else None)
-        q_idx, rows, s_int = _local_topk(qmat, cmat, ids, keys, k, scale)
+        mask = pair_filter.fn(qinfo, batch) if pair_filter is not None else None
+        q_idx, rows, s_int = _local_topk(qmat, cmat, ids, keys, k, scale, mask)
         payload = batch.select(list(out_cols)).take(pa.array(rows)).to_pandas()
         payload["__q"] = q_idx
         payload["__s"] = s_int
@@ -186,7 +210,8 @@ def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
                   max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
                   candidate_budget_rows: int = DEFAULT_CANDIDATE_BUDGET_ROWS,
                   block_rows: int = 4096, corpus_buckets: int | None = None,
-                  score_col: str = "score", rank_col: str = "rank") -> DataFrame:
+                  score_col: str = "score", rank_col: str = "rank",
+                  pair_filter: PairFilter | None = None) -> DataFrame:
     """Per query, the ``k`` most cosine-similar corpus rows (or distinct ``distinct_by`` keys).
 
     Output: ``query_id, rank, corpus_id, [distinct_by], carry..., score``.
@@ -196,7 +221,8 @@ def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
         raise ValueError("k must be positive")
     spark = queries.sparkSession
     scale = float(10 ** score_digits)
-    q = queries.select(F.col(query_id), F.col(query_vec)).filter(F.col(query_vec).isNotNull())
+    q_extra = list(pair_filter.query_cols) if pair_filter is not None else []
+    q = queries.select(F.col(query_id), F.col(query_vec), *q_extra).filter(F.col(query_vec).isNotNull())
     # One bounded action: fetch at most ``max_broadcast_rows + 1`` query rows.  If
     # more exist, or their matrix is over the byte bound, the blocked strategy
     # runs instead and nothing more than this probe reaches the driver.
@@ -218,7 +244,8 @@ def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
     out_schema = T.StructType([T.StructField(query_id, q_field.dataType)]
                               + [T.StructField(c, c_fields[c].dataType) for c in out_cols]
                               + [T.StructField(score_col, T.DoubleType())])
-    corpus_sel = corpus.select(*out_cols, corpus_vec)
+    c_extra = [c for c in (pair_filter.corpus_cols if pair_filter is not None else ()) if c not in out_cols]
+    corpus_sel = corpus.select(*out_cols, *c_extra, corpus_vec)
     if n_q == 0:
         empty = spark.createDataFrame([], out_schema)
         return empty.withColumn(rank_col, F.lit(None).cast("long")).select(
@@ -240,20 +267,21 @@ def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
         qmat, _ = _matrix(tbl.column(query_vec), None)
         qmat = _unit_rows(qmat)
         qids = np.asarray(tbl.column(query_id).to_pylist(), dtype=object)
-        bc = spark.sparkContext.broadcast((qmat, qids))
+        qinfo = {c: tbl.column(c).to_pylist() for c in q_extra}
+        bc = spark.sparkContext.broadcast((qmat, qids, qinfo))
         arrow_schema = to_arrow_schema(out_schema)
 
         def run(batches):
-            qm, qi = bc.value
+            qm, qi, info = bc.value
             yield from _partition_topk(batches, qm, qi, k, scale, corpus_id, corpus_vec, key_col,
-                                       out_cols, query_id, score_col, arrow_schema)
+                                       out_cols, query_id, score_col, arrow_schema, pair_filter, info)
 
         scan = _limit_candidate_volume(corpus_sel, n_q, k, candidate_budget_rows)
         cand = scan.mapInArrow(run, out_schema)
     elif strategy == "blocked":
         cand = _blocked_candidates(q, corpus_sel, k, n_q, scale, query_id, query_vec, corpus_id,
                                    corpus_vec, key_col, out_cols, score_col, out_schema,
-                                   block_rows, corpus_buckets)
+                                   block_rows, corpus_buckets, pair_filter, c_extra)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     ranked = _final_rank(cand, k, query_id, corpus_id, key_col, score_col, rank_col)
@@ -278,7 +306,8 @@ def _blocked_candidates(q: DataFrame, corpus_sel: DataFrame, k: int, n_q: int, s
                         query_id: str, query_vec: str, corpus_id: str, corpus_vec: str,
                         key_col: str | None, out_cols: list[str], score_col: str,
                         out_schema: T.StructType, block_rows: int,
-                        corpus_buckets: int | None) -> DataFrame:
+                        corpus_buckets: int | None, pair_filter: PairFilter | None = None,
+                        c_extra: Sequence[str] = ()) -> DataFrame:
     spark = q.sparkSession
     n_blocks = max(1, math.ceil(n_q / block_rows))
     buckets = corpus_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -294,9 +323,10 @@ def _blocked_candidates(q: DataFrame, corpus_sel: DataFrame, k: int, n_q: int, s
         qmat, _ = _matrix(qtbl.column(query_vec), None)
         qmat = _unit_rows(qmat)
         qids = np.asarray(qtbl.column(query_id).to_pylist(), dtype=object)
-        batches = ctbl.select(out_cols + [corpus_vec]).combine_chunks().to_batches()
+        qinfo = {c: qtbl.column(c).to_pylist() for c in (pair_filter.query_cols if pair_filter else ())}
+        batches = ctbl.select(out_cols + list(c_extra) + [corpus_vec]).combine_chunks().to_batches()
         outs = list(_partition_topk(batches, qmat, qids, k, scale, corpus_id, corpus_vec, key_col,
-                                    out_cols, query_id, score_col, arrow_schema))
+                                    out_cols, query_id, score_col, arrow_schema, pair_filter, qinfo))
         return pa.Table.from_batches(outs, schema=arrow_schema) if outs else arrow_schema.empty_table()
 
     return (qb.groupBy("__cb", "__qb")

@@ -18,7 +18,11 @@ from pyspark.sql import functions as F
 from tenderlake.functions.filters import FilterSpec
 from tenderlake.functions.text import (NO_EMBEDDING_MESSAGE, NOT_FOUND_MESSAGE, notice_url,
                                        truncate_utf8)
-from tenderlake.operators.knn import top_k_similar
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from tenderlake.operators.knn import PairFilter, top_k_similar
 from tenderlake.operators.metadata import match_deadline
 
 MATCH_COLUMNS = ("profile_id", "rank", "doc_id", "ocid", "url", "chunk_type", "text", "cpv_codes",
@@ -30,9 +34,50 @@ META_OUT = ("notice_id", "title", "buyer_name", "procurement_method", "main_proc
 HIT_KEYS_BROADCAST_ROWS = 2_000_000
 
 
-def resolve_profiles(requests: DataFrame, profiles: DataFrame, id_col: str = "profile_id") -> DataFrame:
+HINT_CATEGORY_COL = "__hint_category"
+
+
+def _hint_mask(qinfo: dict, batch: pa.RecordBatch) -> np.ndarray:
+    """Profile hints: release category in the profile's categories (if it lists any) and a chunk CPV
+    code sharing its 2-digit division with one of the profile's CPV codes (if it lists any)."""
+    qcats, qcpvs = qinfo["categories"], qinfo["cpv_codes"]
+    n, nq = batch.num_rows, len(qcats)
+    vocab = sorted({c for cs in qcats for c in (cs or [])})
+    allowed = np.zeros((len(vocab) + 1, nq), dtype=bool)        # last row: category not listed / NULL
+    pos = {c: i for i, c in enumerate(vocab)}
+    for j, cs in enumerate(qcats):
+        for c in cs or []:
+            allowed[pos[c], j] = True
+    cats = batch.column(HINT_CATEGORY_COL).to_pylist()
+    row_cat = np.array([pos.get(c, len(vocab)) for c in cats], dtype=np.int64)
+    cat_ok = allowed[row_cat] | np.array([not cs for cs in qcats])[None, :]
+    qdiv = np.zeros((100, nq), dtype=np.float32)
+    for j, cs in enumerate(qcpvs):
+        for c in cs or []:
+            if len(c) >= 2 and c[:2].isdigit():
+                qdiv[int(c[:2]), j] = 1.0
+    codes = batch.column("cpv_codes")
+    lengths = pc.list_value_length(codes).fill_null(0).to_numpy(zero_copy_only=False)
+    flat = pc.list_flatten(codes)
+    heads = pc.utf8_slice_codeunits(flat, 0, 2).to_pylist()
+    rows = np.repeat(np.arange(n), lengths)
+    divs = np.array([int(h) if h and h.isdigit() and len(h) == 2 else -1 for h in heads], dtype=np.int64)
+    rdiv = np.zeros((n, 100), dtype=np.float32)
+    keep = divs >= 0
+    rdiv[rows[keep], divs[keep]] = 1.0
+    cpv_ok = (rdiv @ qdiv > 0) | np.array([not cs for cs in qcpvs])[None, :]
+    return cat_ok & cpv_ok
+
+
+PROFILE_HINTS = PairFilter(query_cols=("categories", "cpv_codes"),
+                           corpus_cols=(HINT_CATEGORY_COL, "cpv_codes"), fn=_hint_mask)
+
+
+def resolve_profiles(requests: DataFrame, profiles: DataFrame, id_col: str = "profile_id",
+                     with_hints: bool = False) -> DataFrame:
     """Three outcomes per request: ``ready`` (has a vector), ``no_embedding``, ``not_found`` (C4)."""
-    p = profiles.select(F.col("id").alias(id_col), "embedding", F.lit(True).alias("__exists"))
+    hints = ["categories", "cpv_codes"] if with_hints else []
+    p = profiles.select(F.col("id").alias(id_col), "embedding", *hints, F.lit(True).alias("__exists"))
     j = requests.select(id_col).join(p, id_col, "left")
     status = (F.when(F.col("embedding").isNotNull(), F.lit("ready"))
                .when(F.col("__exists"), F.lit("no_embedding"))
@@ -40,7 +85,7 @@ def resolve_profiles(requests: DataFrame, profiles: DataFrame, id_col: str = "pr
     message = (F.when(F.col("embedding").isNotNull(), F.lit(None).cast("string"))
                 .when(F.col("__exists"), F.lit(NO_EMBEDDING_MESSAGE))
                 .otherwise(F.concat(F.lit(NOT_FOUND_MESSAGE), F.col(id_col))))
-    return j.select(id_col, status.alias("status"), message.alias("message"), "embedding")
+    return j.select(id_col, status.alias("status"), message.alias("message"), "embedding", *hints)
 
 
 def hit_ocids(hits: DataFrame) -> DataFrame:
@@ -100,13 +145,22 @@ def _shape(df: DataFrame, text_bytes: int) -> DataFrame:
 
 def match_tenders(requests: DataFrame, profiles: DataFrame, chunks: DataFrame, meta: DataFrame,
                   filters: FilterSpec = FilterSpec(), k: int = 10, mode: str = "exact",
-                  text_bytes: int = 200, **knn_options) -> DataFrame:
-    """Ranked tender matches for every ``ready`` request (columns ``MATCH_COLUMNS``)."""
+                  text_bytes: int = 200, use_profile_hints: bool = False, **knn_options) -> DataFrame:
+    """Ranked tender matches for every ``ready`` request (columns ``MATCH_COLUMNS``).
+
+    Like the reference, a profile's own CPV codes and categories are ignored
+    unless ``use_profile_hints=True``; then each profile only matches chunks of
+    its categories and CPV divisions (an exact per-pair rule inside the top-k)."""
     if k <= 0:
         raise ValueError("k must be positive")
-    resolved = resolve_profiles(requests, profiles)
+    resolved = resolve_profiles(requests, profiles, with_hints=use_profile_hints)
+    hint_cols = ["categories", "cpv_codes"] if use_profile_hints else []
     queries = (resolved.filter(F.col("status") == "ready")
-                       .select(F.col("profile_id"), F.col("embedding")))
+                       .select(F.col("profile_id"), F.col("embedding"), *hint_cols))
+    if use_profile_hints:
+        cats = meta.select("ocid", F.col("main_procurement_category").alias(HINT_CATEGORY_COL))
+        chunks = chunks.join(cats, "ocid", "left")
+        knn_options = dict(knn_options, pair_filter=PROFILE_HINTS)
     hit_cols = ["ocid", "chunk_type", "text", "cpv_codes"]
     cond = filters.column(cpv_col="cpv_codes")
     meta_cols = ["ocid"] + list(META_OUT) + [c for c in ("has_awards", "tag", "eu_funded", "status",
@@ -115,7 +169,7 @@ def match_tenders(requests: DataFrame, profiles: DataFrame, chunks: DataFrame, m
     meta = meta.select(*meta_cols)
 
     if mode == "overfetch":
-        fetch_k = 5 * k if filters.has_any() else 3 * k
+        fetch_k = 5 * k if (filters.has_any() or use_profile_hints) else 3 * k
         hits = top_k_similar(queries, chunks, fetch_k, query_id="profile_id", corpus_id="doc_id",
                              carry=hit_cols, rank_col="hit_rank", **knn_options)
         joined = enrich(hits, meta, bounded_rows=getattr(hits, "query_count", None) and

@@ -30,10 +30,11 @@ def _present_matches(df):
                      "documents_url")
 
 
-def run_match(spark, sf_dir, filters: FilterSpec = FilterSpec(), k: int = K, mode: str = "exact"):
+def run_match(spark, sf_dir, filters: FilterSpec = FilterSpec(), k: int = K, mode: str = "exact",
+              hints: bool = False):
     t = Views(spark, sf_dir)
     meta = t.meta
-    out = match_tenders(t.requests, t.profiles, t.chunks, meta, filters, k=k, mode=mode)
+    out = match_tenders(t.requests, t.profiles, t.chunks, meta, filters, k=k, mode=mode, use_profile_hints=hints)
     return _present_matches(out)
 
 
@@ -52,24 +53,33 @@ WHERE m.rank <= {{k}}
 """
 
 
-def match_ctes(filters: FilterSpec = FilterSpec(), k: int = K, mode: str = "exact"):
+HINT_SQL = ("(len(ph.categories) = 0 OR coalesce(list_contains(ph.categories, rh.main_procurement_category), FALSE)) "
+            "AND (len(ph.cpv_codes) = 0 OR list_has_any(list_transform(c.cpv_codes, lambda x: substr(x, 1, 2)), "
+            "list_transform(ph.cpv_codes, lambda y: substr(y, 1, 2))))")
+HINT_JOIN = "JOIN profiles ph ON ph.id = q.profile_id LEFT JOIN releases rh ON rh.ocid = c.ocid"
+
+
+def match_ctes(filters: FilterSpec = FilterSpec(), k: int = K, mode: str = "exact", hints: bool = False):
     """(views, extra CTEs) ending in ``ranked``: the DuckDB twin of ``match_tenders``."""
     cond = sql_where(filters, r="r", c="c")
     score = cosine_sql("q.embedding", "c.embedding")
+    hjoin = HINT_JOIN if hints else ""
+    hcond = HINT_SQL if hints else "TRUE"
     views = ["requests", "profiles", "chunks", "releases", "release_nuts", "party_nuts"]
     if mode == "exact":
         join = "JOIN releases r ON r.ocid = c.ocid" if filters.needs_release() else "LEFT JOIN releases r ON r.ocid = c.ocid"
         extra = [
             ("ready", _READY),
             ("scored", f"SELECT q.profile_id, c.doc_id, c.ocid, c.chunk_type, c.text, c.cpv_codes, {score} AS score "
-                       f"FROM ready q CROSS JOIN chunks c {join} WHERE c.embedding IS NOT NULL AND {cond}"),
+                       f"FROM ready q CROSS JOIN chunks c {join} {hjoin} "
+                       f"WHERE c.embedding IS NOT NULL AND {cond} AND {hcond}"),
         ]
     else:
-        fetch_k = 5 * k if filters.has_any() else 3 * k
+        fetch_k = 5 * k if (filters.has_any() or hints) else 3 * k
         extra = [
             ("ready", _READY),
             ("allscored", f"SELECT q.profile_id, c.doc_id, c.ocid, c.chunk_type, c.text, c.cpv_codes, {score} AS score "
-                          f"FROM ready q CROSS JOIN chunks c WHERE c.embedding IS NOT NULL"),
+                          f"FROM ready q CROSS JOIN chunks c {hjoin} WHERE c.embedding IS NOT NULL AND {hcond}"),
             ("hits", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, doc_id) AS hit_rank "
                      f"FROM allscored) WHERE hit_rank <= {fetch_k}"),
             ("scored", f"SELECT c.* FROM hits c LEFT JOIN releases r ON r.ocid = c.ocid WHERE {cond}"),
@@ -82,8 +92,8 @@ def match_ctes(filters: FilterSpec = FilterSpec(), k: int = K, mode: str = "exac
     return views, extra
 
 
-def match_sql(filters: FilterSpec = FilterSpec(), k: int = K, mode: str = "exact") -> str:
-    views, extra = match_ctes(filters, k, mode)
+def match_sql(filters: FilterSpec = FilterSpec(), k: int = K, mode: str = "exact", hints: bool = False) -> str:
+    views, extra = match_ctes(filters, k, mode, hints)
     return with_views(views, _MATCH_OUT.format(k=k), extra)
 
 
@@ -223,3 +233,14 @@ for _n, _s in FILTER_CASES.items():
     _register_filter(_n, _s, "exact")
 for _n, _s in OVERFETCH_CASES.items():
     _register_filter(_n, _s, "overfetch")
+
+
+@query("match_profile_hints", match_sql(mode="exact", hints=True))
+def q_match_profile_hints(spark, sf_dir):
+    """Opt-in: each profile only matches its own categories and CPV divisions."""
+    return run_match(spark, sf_dir, mode="exact", hints=True)
+
+
+@query("match_profile_hints_overfetch", match_sql(FilterSpec(status="complete"), mode="overfetch", hints=True))
+def q_match_profile_hints_overfetch(spark, sf_dir):
+    return run_match(spark, sf_dir, FilterSpec(status="complete"), mode="overfetch", hints=True)

@@ -1,10 +1,15 @@
 """Exact top-k against brute force: ties, zero/NULL vectors, distinct keys, both strategies."""
 
+import sys
+
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from tenderlake.operators.knn import top_k_similar
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _brute(q, c, ids, keys, k, distinct):
     out = {}
@@ -106,3 +111,32 @@ def test_candidate_budget_coalesces_scan(spark):
     b = top_k_similar(queries, corpus, 5).collect()
     assert [(r.doc_id, r.score) for r in sorted(a, key=lambda r: r.rank)] == \
         [(r.doc_id, r.score) for r in sorted(b, key=lambda r: r.rank)]
+
+
+def _parity_mask(qinfo, batch):
+    qpar = np.array(qinfo["par"])[None, :]
+    rpar = np.array(batch.column("rpar").to_pylist())[:, None]
+    return qpar == rpar
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "blocked"])
+def test_pair_filter_is_exact(spark, strategy):
+    from tenderlake.operators.knn import PairFilter
+    rng = np.random.default_rng(3)
+    c = rng.normal(size=(150, 5))
+    ids = [f"d{i:03d}" for i in range(150)]
+    q = {f"q{j}": rng.normal(size=5) for j in range(6)}
+    corpus = spark.createDataFrame([(ids[i], i % 2, c[i].tolist()) for i in range(150)],
+                                   "doc_id string, rpar int, embedding array<float>")
+    queries = spark.createDataFrame([(k_, j % 2, v.tolist()) for j, (k_, v) in enumerate(q.items())],
+                                    "query_id string, par int, embedding array<float>")
+    pf = PairFilter(query_cols=("par",), corpus_cols=("rpar",), fn=_parity_mask)
+    res = top_k_similar(queries, corpus.repartition(3), 4, strategy=strategy, pair_filter=pf,
+                        block_rows=2, corpus_buckets=3).collect()
+    c32 = np.array(c, dtype=np.float32).astype(float)
+    for j, (k_, v) in enumerate(q.items()):
+        keep = [i for i in range(150) if i % 2 == j % 2]
+        want = _brute({k_: np.array(v, dtype=np.float32).astype(float)}, c32[keep], [ids[i] for i in keep],
+                      [ids[i] for i in keep], 4, False)[k_]
+        got = [(r.doc_id, r.score) for r in sorted((r for r in res if r.query_id == k_), key=lambda r: r.rank)]
+        assert got == want
