@@ -1,7 +1,7 @@
 """Procurement views derived from the driver's tables.
 
 The rules are fixed in FIXTURES.md section 4 and are mirrored one for one by
-the DuckDB oracle CTEs in ``tenderlake.plans.oracle``.
+the DuckDB oracle CTEs in ``tenderlake.plans.oracle_views``.
 
 Scale notes
 -----------
