@@ -19,7 +19,9 @@ from __future__ import annotations
 import hashlib
 import inspect
 import os
+import threading
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,6 +114,7 @@ _PLANNED = {
 STAMP_TTL_SEC = 30.0
 _STAMPS: dict = {}
 _FRAMES: dict = {}
+_LOCKS: dict = {}
 
 
 def _cached_stamp(spark: SparkSession, sf_dir: str) -> str:
@@ -134,14 +137,27 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, path)
     if key in _FRAMES:
         return _FRAMES[key]
-    if not _exists(spark, path):
-        df = builder(Tables(spark, sf_dir))
-        (df.sortWithinPartitions(*sort_cols)
-           .write.mode("overwrite").parquet(path))
-    _FRAMES[key] = spark.read.parquet(path)
+    with _LOCKS.setdefault(path, threading.Lock()):
+        if key not in _FRAMES:
+            if not _exists(spark, path):
+                _build(spark, builder(Tables(spark, sf_dir)), sort_cols, path)
+            _FRAMES[key] = spark.read.parquet(path)
     return _FRAMES[key]
 
 
+def _build(spark: SparkSession, df: DataFrame, sort_cols, path: str) -> None:
+    """Write into a fresh folder, then rename it into place: readers never see a
+    half-written table, a failed job leaves nothing behind at ``path``, and of two
+    concurrent builders the first rename wins."""
+    tmp = f"{path}.tmp-{uuid.uuid4().hex}"
+    df.sortWithinPartitions(*sort_cols).write.parquet(tmp)
+    fs, src = _fs_status(spark, tmp)
+    _, dst = _fs_status(spark, path)
+    if not fs.exists(dst) and fs.rename(src, dst):
+        return
+    fs.delete(src, True)                      # another builder won; keep its copy
+
+
 class Views:
     """Attribute access to the procurement views of one folder (stored or planned)."""
 
