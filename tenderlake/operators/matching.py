@@ -37,35 +37,48 @@ HIT_KEYS_BROADCAST_ROWS = 2_000_000
 HINT_CATEGORY_COL = "__hint_category"
 
 
-def _hint_mask(qinfo: dict, batch: pa.RecordBatch) -> np.ndarray:
-    """Profile hints: release category in the profile's categories (if it lists any) and a chunk CPV
-    code sharing its 2-digit division with one of the profile's CPV codes (if it lists any)."""
+def _hint_tables(qinfo: dict) -> dict:
+    """Query-side lookup arrays, built once per executor (cached in the broadcast dict)."""
+    cached = qinfo.get("__hint_tables")
+    if cached is not None:
+        return cached
     qcats, qcpvs = qinfo["categories"], qinfo["cpv_codes"]
-    n, nq = batch.num_rows, len(qcats)
+    nq = len(qcats)
     vocab = sorted({c for cs in qcats for c in (cs or [])})
-    allowed = np.zeros((len(vocab) + 1, nq), dtype=bool)        # last row: category not listed / NULL
     pos = {c: i for i, c in enumerate(vocab)}
-    for j, cs in enumerate(qcats):
-        for c in cs or []:
-            allowed[pos[c], j] = True
-    cats = batch.column(HINT_CATEGORY_COL).to_pylist()
-    row_cat = np.array([pos.get(c, len(vocab)) for c in cats], dtype=np.int64)
-    cat_ok = allowed[row_cat] | np.array([not cs for cs in qcats])[None, :]
+    allowed = np.zeros((len(vocab) + 1, nq), dtype=bool)        # last row: category not listed / NULL
     qdiv = np.zeros((100, nq), dtype=np.float32)
-    for j, cs in enumerate(qcpvs):
+    for j, (cs, cp) in enumerate(zip(qcats, qcpvs)):
         for c in cs or []:
+            allowed[pos[c], j] = True
+        for c in cp or []:
             if len(c) >= 2 and c[:2].isdigit():
                 qdiv[int(c[:2]), j] = 1.0
+    tables = {"vocab": pa.array(vocab, type=pa.string()), "allowed": allowed, "qdiv": qdiv,
+              "any_cat": np.array([not cs for cs in qcats])[None, :],
+              "any_cpv": np.array([not cs for cs in qcpvs])[None, :]}
+    qinfo["__hint_tables"] = tables
+    return tables
+
+
+def _hint_mask(qinfo: dict, batch: pa.RecordBatch) -> np.ndarray:
+    """Profile hints: release category in the profile's categories (if it lists any) and a chunk CPV
+    code sharing its 2-digit division with one of the profile's CPV codes (if it lists any)."""
+    h = _hint_tables(qinfo)
+    n = batch.num_rows
+    idx = pc.index_in(batch.column(HINT_CATEGORY_COL), value_set=h["vocab"])
+    row_cat = idx.fill_null(len(h["vocab"])).to_numpy(zero_copy_only=False).astype(np.int64)
+    cat_ok = h["allowed"][row_cat] | h["any_cat"]
     codes = batch.column("cpv_codes")
     lengths = pc.list_value_length(codes).fill_null(0).to_numpy(zero_copy_only=False)
-    flat = pc.list_flatten(codes)
-    heads = pc.utf8_slice_codeunits(flat, 0, 2).to_pylist()
+    heads = pc.utf8_slice_codeunits(pc.list_flatten(codes), 0, 2)
+    ok = pc.and_(pc.utf8_is_digit(heads), pc.equal(pc.utf8_length(heads), 2)).fill_null(False)
     rows = np.repeat(np.arange(n), lengths)
-    divs = np.array([int(h) if h and h.isdigit() and len(h) == 2 else -1 for h in heads], dtype=np.int64)
+    ok_np = ok.to_numpy(zero_copy_only=False)
+    divs = pc.cast(pc.if_else(ok, heads, "-1"), pa.int64()).to_numpy(zero_copy_only=False)
     rdiv = np.zeros((n, 100), dtype=np.float32)
-    keep = divs >= 0
-    rdiv[rows[keep], divs[keep]] = 1.0
-    cpv_ok = (rdiv @ qdiv > 0) | np.array([not cs for cs in qcpvs])[None, :]
+    rdiv[rows[ok_np], divs[ok_np]] = 1.0
+    cpv_ok = (rdiv @ h["qdiv"] > 0) | h["any_cpv"]
     return cat_ok & cpv_ok
 
 
