@@ -85,22 +85,23 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
 SIM_BLOCK_ELEMENTS = 1 << 24   # cap on rows x queries of one similarity block (128 MiB of float64)
 
 
-def _local_topk(qmat: np.ndarray, cmat: np.ndarray, ids: np.ndarray, keys: np.ndarray | None,
+def _local_topk(qmat: np.ndarray, cmat: np.ndarray, id_rank: np.ndarray, key_codes: np.ndarray | None,
                 k: int, scale: float, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Top-k rows per query inside one batch.
 
+    ``id_rank`` is each row's rank by corpus id (unique ids, 0..n-1);
+    ``key_codes`` (optional) the dense rank of its ``distinct_by`` key.
     Returns (query_index, row_index, score_int) arrays.  Ordering is by
-    (score desc, id asc); with ``keys`` only the best row per key competes.
+    (score desc, id asc); with keys only the best row per key competes.
     The query side is processed in blocks so that one similarity block never
     exceeds ``SIM_BLOCK_ELEMENTS`` entries, whatever the number of queries.
     """
     n = cmat.shape[0]
-    id_rank = pd.factorize(ids, sort=True)[0].astype(np.int64)   # ids are unique
     inv = np.empty(n, dtype=np.int64)
     inv[id_rank] = np.arange(n)
     big = n + 1
+    keys = key_codes
     if keys is not None:
-        key_codes = pd.factorize(keys, sort=True)[0]
         order = np.lexsort((id_rank, key_codes))
         sk = key_codes[order]
         starts = np.flatnonzero(np.r_[True, sk[1:] != sk[:-1]])
@@ -166,11 +167,15 @@ def _partition_topk(batches: Iterable[pa.RecordBatch], qmat: np.ndarray, qids: n
                 continue
         cmat, _ = _matrix(batch.column(vec_col), dim)
         cmat = _unit_rows(cmat)
-        ids = np.asarray(batch.column(id_col).to_pylist(), dtype=object)
-        keys = (np.asarray(batch.column(key_col).to_pylist(), dtype=object)
-                if key_col is not None else None)
+        # ranks in byte order of the ids / keys, computed in Arrow (no Python objects)
+        id_rank = pc.rank(batch.column(id_col), sort_keys="ascending", tiebreaker="first")
+        id_rank = id_rank.to_numpy(zero_copy_only=False).astype(np.int64) - 1
+        key_codes = None
+        if key_col is not None:
+            key_codes = pc.rank(batch.column(key_col), sort_keys="ascending", tiebreaker="dense")
+            key_codes = key_codes.to_numpy(zero_copy_only=False).astype(np.int64) - 1
         mask = pair_filter.fn(qinfo, batch) if pair_filter is not None else None
-        q_idx, rows, s_int = _local_topk(qmat, cmat, ids, keys, k, scale, mask)
+        q_idx, rows, s_int = _local_topk(qmat, cmat, id_rank, key_codes, k, scale, mask)
         payload = batch.select(list(out_cols)).take(pa.array(rows)).to_pandas()
         payload["__q"] = q_idx
         payload["__s"] = s_int
