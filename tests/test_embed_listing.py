@@ -149,3 +149,18 @@ def test_onnx_embedder_adapter(spark):
     # "query: bau brücke" -> ids [1, 2, 3] after the 3-token limit -> one-hots of 1, 2, 0
     assert np.allclose(out[1], np.array([1, 1, 1]) / np.sqrt(3))
     assert np.allclose(out[2], np.array([1, 1, 1]) / np.sqrt(3))
+
+
+def test_match_responses_shape(spark):
+    import json
+    from tenderlake.operators.matching import match_tenders
+    from tenderlake.sources.sinks import match_responses
+    from tenderlake.sources.stored import Views
+    v = Views(spark, "/root/testdata/sf0.001")
+    m = match_tenders(v.requests, v.profiles, v.chunks, v.meta, k=3)
+    docs = {r.profile_id: json.loads(r.json) for r in match_responses(m, v.requests).collect()}
+    ready = [p for p, d in docs.items() if d["count"]]
+    assert len(ready) == 5 and all(docs[p]["count"] == 3 for p in ready)
+    first = docs[ready[0]]["matches"]
+    assert [x["rank"] for x in first] == [1, 2, 3] and "url" in first[0] and "profile_id" not in first[0]
+    assert docs["profile-unknown"] == {"profile_id": "profile-unknown", "count": 0, "matches": []}
