@@ -21,9 +21,16 @@ CONFIDENTIAL_VALUE_FLAG = "val-tot"
 RESULT_CODES = ("selec-w", "clos-nw", "open-nw")
 
 
-def competitor_parties(releases: DataFrame, ocids: DataFrame | None = None) -> DataFrame:
-    """One row per (release, organisation) in role ``tenderer`` or ``supplier``."""
-    r = releases if ocids is None else releases.join(ocids.select("ocid").distinct(), "ocid", "left_semi")
+def competitor_parties(releases: DataFrame, ocids: DataFrame | None = None,
+                       broadcast_keys: bool = False) -> DataFrame:
+    """One row per (release, organisation) in role ``tenderer`` or ``supplier``.
+
+    ``broadcast_keys`` marks a key set whose size the caller has checked, so the
+    releases are filtered where they lie instead of being shuffled."""
+    keys = None if ocids is None else ocids.select("ocid").distinct()
+    if keys is not None and broadcast_keys:
+        keys = F.broadcast(keys)
+    r = releases if keys is None else releases.join(keys, "ocid", "left_semi")
     p = r.select("ocid", F.explode("parties").alias("p"))
     roles = F.col("p.roles")
     return (p.filter(F.array_contains(roles, "tenderer") | F.array_contains(roles, "supplier"))
@@ -202,7 +209,9 @@ def competitors(requests: DataFrame, profiles: DataFrame, chunks: DataFrame, rel
     from tenderlake.operators.matching import materialize_hits
     m = materialize_hits(match_tenders(requests, profiles, chunks, meta, FilterSpec(tag="award", has_awards=True),
                                        k=k, mode=mode).select("profile_id", "ocid"))
-    parties = competitor_parties(releases, m.select("ocid"))
+    from tenderlake.operators.matching import HIT_KEYS_BROADCAST_ROWS
+    small = m.count() <= HIT_KEYS_BROADCAST_ROWS        # cheap: m is a checkpointed, bounded table
+    parties = competitor_parties(releases, m.select("ocid"), broadcast_keys=small)
     return (m.join(parties, "ocid")
              .groupBy("profile_id", "name")
              .agg(F.count_distinct("ocid").alias("n_releases"),
