@@ -68,11 +68,23 @@ def count_releases(meta: DataFrame, filters: FilterSpec = FilterSpec()) -> DataF
     return filtered_releases(meta, filters).agg(F.count(F.lit(1)).alias("total"))
 
 
-def get_releases(keys: DataFrame, releases: DataFrame) -> DataFrame:
-    """Look up releases by ``ocid``: every key comes back, with ``found``."""
-    r = releases.withColumn("found", F.lit(True))
-    return (keys.select("ocid").join(r, "ocid", "left")
-                .withColumn("found", F.coalesce(F.col("found"), F.lit(False))))
+LOOKUP_BROADCAST_KEYS = 1_000_000
+
+
+def get_releases(keys: DataFrame, releases: DataFrame,
+                 broadcast_below: int = LOOKUP_BROADCAST_KEYS) -> DataFrame:
+    """Look up releases by ``ocid``: every key comes back, with ``found``.
+
+    A key list proved small by a capped count (at most ``broadcast_below + 1``
+    rows are counted) is broadcast into a semi join, so the release table is
+    filtered where it lies; larger key sets use a plain shuffle join."""
+    k = keys.select("ocid")
+    r = releases
+    if k.limit(broadcast_below + 1).count() <= broadcast_below:
+        r = releases.join(F.broadcast(k.distinct()), "ocid", "left_semi")
+    r = r.withColumn("found", F.lit(True))
+    return (k.join(r, "ocid", "left")
+             .withColumn("found", F.coalesce(F.col("found"), F.lit(False))))
 
 
 def index_info(releases: DataFrame, chunks: DataFrame, profiles: DataFrame) -> DataFrame:
