@@ -11,18 +11,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderlake.operators.embed import MODEL_DIM, hash_embed
+from tenderlake.operators.embed import MODEL_DIM, embed_texts, hash_embed
 from tenderlake.operators.knn import top_k_similar
 
 
 def search_text(queries: DataFrame, chunks: DataFrame, k: int = 10, dim: int = MODEL_DIM,
                 query_id: str = "query_id", query_text: str = "text",
-                corpus_vectors: DataFrame | None = None, **knn_options) -> DataFrame:
+                corpus_vectors: DataFrame | None = None, embedder_factory=None,
+                **knn_options) -> DataFrame:
     """``corpus_vectors[doc_id, embedding]`` is the stored index; without it the
-    chunk texts are embedded on the fly with the same embedder."""
-    qv = hash_embed(queries, query_id, query_text, dim)
-    cv = corpus_vectors if corpus_vectors is not None else \
-        hash_embed(chunks.select("doc_id", "text"), "doc_id", "text", dim)
+    chunk texts are embedded on the fly with the same embedder.  With
+    ``embedder_factory`` a model embeds the queries (``query:`` role) and, when
+    no index is given, the chunks (``passage:`` role); otherwise hashed vectors."""
+    if embedder_factory is not None:
+        qv = (embed_texts(queries.select(query_id, query_text), query_text, embedder_factory,
+                          role="query", dim=dim)
+              .select(query_id, "embedding"))
+        cv = corpus_vectors if corpus_vectors is not None else \
+            embed_texts(chunks.select("doc_id", "text"), "text", embedder_factory, role="passage",
+                        dim=dim).select("doc_id", "embedding")
+    else:
+        qv = hash_embed(queries, query_id, query_text, dim)
+        cv = corpus_vectors if corpus_vectors is not None else \
+            hash_embed(chunks.select("doc_id", "text"), "doc_id", "text", dim)
     corpus = chunks.select("doc_id", "ocid", "chunk_type", "text", "cpv_codes").join(cv, "doc_id", "inner")
     hits = top_k_similar(qv, corpus, k, query_id=query_id, corpus_id="doc_id",
                          carry=["ocid", "chunk_type", "text", "cpv_codes"], **knn_options)

@@ -164,3 +164,15 @@ def test_match_responses_shape(spark):
     first = docs[ready[0]]["matches"]
     assert [x["rank"] for x in first] == [1, 2, 3] and "url" in first[0] and "profile_id" not in first[0]
     assert docs["profile-unknown"] == {"profile_id": "profile-unknown", "count": 0, "matches": []}
+
+
+def test_search_text_with_model(spark):
+    from tenderlake.operators.search import search_text
+    chunks = spark.createDataFrame(
+        [("c1", "o1", "tender", "ab ab ab", []), ("c2", "o2", "tender", "abc abcd", []), ("c3", "o3", "lot:1", None, [])],
+        "doc_id string, ocid string, chunk_type string, text string, cpv_codes array<string>")
+    queries = spark.createDataFrame([("q", "ab")], "query_id string, text string")
+    hits = search_text(queries, chunks, k=2, dim=4, embedder_factory=lambda: StubModel(4)).collect()
+    # passage chunks: "passage: ab ab ab" -> tokens passage:(8->0) ab ab ab (2) ; query "query: ab" -> 2, 2
+    assert [h.doc_id for h in sorted(hits, key=lambda h: h.rank)] == ["c1", "c2"]
+    assert all(h.query_id == "q" for h in hits) and len(hits) == 2
