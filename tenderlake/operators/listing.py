@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderlake.functions.filters import FilterSpec
+from tenderlake.operators.joins import reduce_to_keys
 from tenderlake.operators.metadata import match_deadline
 
 DEFAULT_LIMIT = 20
@@ -79,10 +80,7 @@ def get_releases(keys: DataFrame, releases: DataFrame,
     rows are counted) is broadcast into a semi join, so the release table is
     filtered where it lies; larger key sets use a plain shuffle join."""
     k = keys.select("ocid")
-    r = releases
-    if k.limit(broadcast_below + 1).count() <= broadcast_below:
-        r = releases.join(F.broadcast(k.distinct()), "ocid", "left_semi")
-    r = r.withColumn("found", F.lit(True))
+    r = reduce_to_keys(releases, k, "ocid", broadcast_below).withColumn("found", F.lit(True))
     return (k.join(r, "ocid", "left")
              .withColumn("found", F.coalesce(F.col("found"), F.lit(False))))
 

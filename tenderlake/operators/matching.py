@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tenderlake.operators.joins import reduce_to_keys
 from tenderlake.operators.knn import PairFilter, top_k_similar
 from tenderlake.operators.metadata import match_deadline
 
@@ -91,6 +92,7 @@ def resolve_profiles(requests: DataFrame, profiles: DataFrame, id_col: str = "pr
     """Three outcomes per request: ``ready`` (has a vector), ``no_embedding``, ``not_found`` (C4)."""
     hints = ["categories", "cpv_codes"] if with_hints else []
     p = profiles.select(F.col("id").alias(id_col), "embedding", *hints, F.lit(True).alias("__exists"))
+    p = reduce_to_keys(p, requests, id_col)
     j = requests.select(id_col).join(p, id_col, "left")
     status = (F.when(F.col("embedding").isNotNull(), F.lit("ready"))
                .when(F.col("__exists"), F.lit("no_embedding"))

@@ -156,7 +156,8 @@ def profiles_exist(snapshot: DataFrame, keys: DataFrame) -> DataFrame:
 
 def get_profiles(keys: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Full rows with ``has_embedding``, or ``found = false`` (K4)."""
-    snap = conform(snapshot).withColumn("found", F.lit(True))
+    from tenderlake.operators.joins import reduce_to_keys
+    snap = reduce_to_keys(conform(snapshot), keys, "id").withColumn("found", F.lit(True))
     return (keys.select("id").join(snap, "id", "left")
                 .withColumn("found", F.coalesce(F.col("found"), F.lit(False)))
                 .withColumn("has_embedding", F.col("embedding").isNotNull())
