@@ -45,3 +45,13 @@ def test_aggregations_are_partial_before_the_shuffle(spark, name, partial):
 def test_knn_merge_is_window_group_limited(spark):
     plan = _plan(spark, "knn_topk")
     assert "MapInArrow" in plan and "WindowGroupLimit" in plan and "Window" in plan
+
+
+def test_reduce_to_keys_both_branches(spark):
+    from tenderlake.operators.joins import reduce_to_keys
+    big = spark.range(1000).selectExpr("cast(id as string) as k", "id as v")
+    keys = spark.createDataFrame([("1",), ("5",), ("5",), ("zz",)], "k string")
+    small = reduce_to_keys(big, keys, "k", cap=10)
+    plan = small._sc._jvm.PythonSQLUtils.explainString(small._jdf.queryExecution(), "formatted")
+    assert sorted(r.k for r in small.collect()) == ["1", "5"] and "BroadcastHashJoin" in plan
+    assert reduce_to_keys(big, keys, "k", cap=2).count() == 1000      # too many keys: left to the join
