@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm import exact_dedup, mixing
+from tenderlake.llm import byte_bpe, exact_dedup, mixing
 from tenderlake.llm.common import documents
 
 LLM_QUERIES: dict = {}
@@ -78,3 +78,17 @@ _MIX_SQL = f"""
 @llm_query("op7_mix_sources", _MIX_SQL)
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
+
+
+BYTE_BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@llm_query("op3_byte_bpe")
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path(BYTE_BPE_RANKS)
+    return byte_bpe.decode(byte_bpe.encode(documents(spark, sf_dir), path), path, digests=True)
