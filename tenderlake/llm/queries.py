@@ -6,11 +6,14 @@ digest columns that its contract names from the operator's own output.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm import byte_bpe, exact_dedup, mixing
+from tenderlake.llm import byte_bpe, exact_dedup, mixing, repair_shards
 from tenderlake.llm.common import documents
+from tenderlake.session import checkpoint_dir
 
 LLM_QUERIES: dict = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -92,3 +95,13 @@ def tokenizer_path(name: str) -> str:
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path(BYTE_BPE_RANKS)
     return byte_bpe.decode(byte_bpe.encode(documents(spark, sf_dir), path), path, digests=True)
+
+
+WORD_BPE = "word_bpe_49k.json"
+
+
+@llm_query("op2_repair_shards")
+def op2_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark).rstrip('/')}/llm-repair-{uuid.uuid4().hex}"
+    repair_shards.write_shards(documents(spark, sf_dir), tokenizer_path(WORD_BPE), path)
+    return repair_shards.read_documents(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
