@@ -11,9 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm import byte_bpe, exact_dedup, mixing, repair_shards
+from tenderlake.llm import byte_bpe, exact_dedup, mixing, repair_shards, warc_derive
 from tenderlake.llm.common import documents
 from tenderlake.session import checkpoint_dir
+from tenderlake.sources.tables import read_table
 
 LLM_QUERIES: dict = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -105,3 +106,9 @@ def op2_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-repair-{uuid.uuid4().hex}"
     repair_shards.write_shards(documents(spark, sf_dir), tokenizer_path(WORD_BPE), path)
     return repair_shards.read_documents(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@llm_query("op1_warc_derivatives")
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return warc_derive.derive(warc_derive.responses_from_pages(pages), keep=("page_id",))
