@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm import byte_bpe, exact_dedup, mixing, repair_shards, warc_derive
+from tenderlake.llm import byte_bpe, exact_dedup, mixing, quality_nbsvm, repair_shards, warc_derive
 from tenderlake.llm.common import documents
 from tenderlake.session import checkpoint_dir
 from tenderlake.sources.tables import read_table
@@ -112,3 +112,11 @@ def op2_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     return warc_derive.derive(warc_derive.responses_from_pages(pages), keep=("page_id",))
+
+
+@llm_query("op5_quality_nbsvm")
+def op5_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality_nbsvm.train(docs, read_table(spark, sf_dir, "labels"))
+    return (quality_nbsvm.score(docs, model)
+            .select("doc_id", quality_nbsvm.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"))
