@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm import byte_bpe, exact_dedup, mixing, quality_nbsvm, repair_shards, warc_derive
+from tenderlake.llm import byte_bpe, exact_dedup, mixing, pii, quality_nbsvm, repair_shards, warc_derive
 from tenderlake.llm.common import documents
 from tenderlake.session import checkpoint_dir
 from tenderlake.sources.tables import read_table
@@ -120,3 +120,9 @@ def op5_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_nbsvm.train(docs, read_table(spark, sf_dir, "labels"))
     return (quality_nbsvm.score(docs, model)
             .select("doc_id", quality_nbsvm.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"))
+
+
+@llm_query("op8_pii")
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (pii.find_pii(documents(spark, sf_dir))
+            .select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans"))

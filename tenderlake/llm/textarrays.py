@@ -75,7 +75,27 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0]:off[-1]], off - off[0]
 
 
-def split_words(column: pa.Array, lower: bool = False, hashes: bool = True) -> Words:
+def _punctuation_table() -> np.ndarray:
+    t = np.zeros(256, bool)
+    t[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+    return t
+
+
+def _trim(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words without the ASCII punctuation at their ends; words of nothing else go."""
+    sign = once("punctuation-table", _punctuation_table)
+    start, end = start.copy(), end.copy()
+    for at, step, offset in ((start, 1, 0), (end, -1, -1)):
+        live = np.arange(len(at))
+        while len(live):
+            live = live[start[live] < end[live]]
+            live = live[sign[buf[at[live] + offset]]]
+            at[live] += step
+    real = start < end
+    return start[real], end[real]
+
+
+def split_words(column: pa.Array, lower: bool = False, hashes: bool = True, trim: bool = False) -> Words:
     """Words (maximal runs without blanks and \\x09-\\x0D) of every text, with 64-bit hashes."""
     buf, off = text_bytes(column)
     if lower:
@@ -90,6 +110,8 @@ def split_words(column: pa.Array, lower: bool = False, hashes: bool = True) -> W
     closes = word.copy()
     closes[:-1] &= space[1:] | edge[1:n]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    if trim:
+        start, end = _trim(buf, start, end)
     first = np.searchsorted(start, off)
     if not hashes:
         return Words(buf, start, end, first, np.zeros(0, np.uint64))
