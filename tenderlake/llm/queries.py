@@ -11,7 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm import byte_bpe, exact_dedup, mixing, pii, quality_nbsvm, repair_shards, warc_derive
+from tenderlake.llm import (byte_bpe, exact_dedup, improbable_digest, mixing, pii, quality_nbsvm, repair_shards,
+                            warc_derive)
 from tenderlake.llm.common import documents
 from tenderlake.session import checkpoint_dir
 from tenderlake.sources.tables import read_table
@@ -126,3 +127,8 @@ def op5_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (pii.find_pii(documents(spark, sf_dir))
             .select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans"))
+
+
+@llm_query("op10_improbable_digest")
+def op10_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return improbable_digest.compare_neighbours(documents(spark, sf_dir))
