@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderlake.llm import (byte_bpe, exact_dedup, improbable_digest, mixing, pii, quality_nbsvm, repair_shards,
-                            warc_derive)
+                            substring_dedup, warc_derive)
 from tenderlake.llm.common import documents
 from tenderlake.session import checkpoint_dir
 from tenderlake.sources.tables import read_table
@@ -132,3 +132,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm_query("op10_improbable_digest")
 def op10_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return improbable_digest.compare_neighbours(documents(spark, sf_dir))
+
+
+@llm_query("op4_substring_dedup")
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (substring_dedup.remove_repeats(documents(spark, sf_dir))
+            .select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
