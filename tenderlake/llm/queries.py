@@ -11,8 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm import (byte_bpe, exact_dedup, improbable_digest, mixing, pii, quality_nbsvm, repair_shards,
-                            substring_dedup, warc_derive)
+from tenderlake.llm import (byte_bpe, exact_dedup, improbable_digest, jaccard_join, mixing, pii, quality_nbsvm,
+                            repair_shards, substring_dedup, warc_derive)
 from tenderlake.llm.common import documents
 from tenderlake.session import checkpoint_dir
 from tenderlake.sources.tables import read_table
@@ -138,3 +138,8 @@ def op10_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (substring_dedup.remove_repeats(documents(spark, sf_dir))
             .select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
+
+
+@llm_query("op9_jaccard_join")
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked_classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
