@@ -12,7 +12,7 @@ alphabet, the rules (two symbols each), the expansion length of every symbol, th
 round, the sequence.  ``read_tokens`` uses the lengths to decode any range of one document alone.
 
 Encoding: the tokenizer's words never span white space, so each distinct white-space-free piece is
-encoded once by the library and then taken from a cache.
+encoded once by the library and then taken from a cache of bounded size.
 
 Cases: a null or empty text has only its closing id; documents with equal ids stay side by side in
 text order; a null id sorts first; a closing id that also occurs inside a text is told apart by its
@@ -21,6 +21,7 @@ own symbol.  Other columns are ignored.  An empty table gives no files and an em
 
 from __future__ import annotations
 
+import re
 import zlib
 from typing import Iterator
 
@@ -30,47 +31,73 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenderlake.llm.common import once
-from tenderlake.llm.textarrays import chunks, text_bytes
+from tenderlake.llm.textarrays import PieceCache, chunks, split_words
 
 SHARD_TOKENS = 1 << 21
 MAX_SYMBOLS = 1 << 16            # symbols are stored in 16 bits
 RULES_PER_ROUND = 4096
 MIN_COUNT = 8                    # a pair this frequent in its shard becomes a rule
 MIN_GAIN = 0.02                  # a round that shortens the sequence by less is the last
-CACHE_WORDS = 400_000
+
+
+_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([,.]?)")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else the next free one."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    free = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(free)) for b in range(256)]
 
 
 class WordEncoder:
-    """A tokenizer file of the tokenizers library, with a cache of white-space-free pieces."""
+    """A tokenizer file of the tokenizers library, with a cache of white-space-free pieces.
+
+    New pieces of Latin letters (and one closing comma or stop), which the file's normaliser only
+    lower-cases and its splitter leaves whole, go straight to the library's merge model; all others
+    through the whole library.  ``plain`` says whether the file is of that kind.
+    """
 
     def __init__(self, path: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
-        self.recent: dict[bytes, bytes] = {}
-
-    def encode(self, raw: bytes) -> bytes:
-        """Ids of one UTF-8 text as uint32."""
-        return b"".join(self.lookup(raw.split()))
-
-    def lookup(self, words: list[bytes]) -> list[bytes]:
-        got = list(map(self.cache.get, words))
-        missing = [k for k, g in enumerate(got) if g is None]
-        if missing:
-            recent = self.recent
-            new = list({words[k] for k in missing if words[k] not in recent})
-            if len(recent) + len(new) > CACHE_WORDS:
-                kept = {words[k]: recent[words[k]] for k in missing if words[k] in recent}
-                recent.clear()
-                recent.update(kept)
-            for w, e in zip(new, self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                (self.cache if len(self.cache) < CACHE_WORDS else recent)[w] = np.array(e.ids, np.uint32).tobytes()
-            for k in missing:
-                g = self.cache.get(words[k])
-                got[k] = recent[words[k]] if g is None else g
-        return got
+        self.cache = PieceCache()
+        self.letter = _byte_letters()
+        probe = ["Hello", "\u00c9t\u00e9,", "\u00f1.", "don", "\u00dfx", "O"]
+        self.plain = all(self._merge(p) == self.tok.encode(p, add_special_tokens=False).ids for p in probe)
+
+    def _merge(self, piece: str) -> list[int]:
+        sign = piece[-1] if piece[-1] in ",." else ""
+        word = piece[:-1] if sign else piece
+        out = []
+        for part in (word, sign):
+            if part:
+                text = "".join([self.letter[b] for b in part.lower().encode()]) if not part.isascii() else part.lower()
+                out += [t.id for t in self.tok.model.tokenize(text)]
+        return out
+
+    def make(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [p.decode("utf-8", "replace") for p in pieces]
+        out: list = [None] * len(texts)
+        rest = []
+        for k, t in enumerate(texts):
+            if self.plain and _PLAIN.fullmatch(t):
+                out[k] = self._merge(t)
+            else:
+                rest.append(k)
+        for k, e in zip(rest, self.tok.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)):
+            out[k] = e.ids
+        size = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter((i for ids in out for i in ids), np.uint32, int(size.sum())), size
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids (uint32) of every text."""
+        words = split_words(column, hashes=False)
+        ids, size = self.cache.ids(words.buf, words.start, words.end, self.make)
+        to = np.append(0, np.cumsum(size))[words.first].tolist()
+        return [ids[a:b] for a, b in zip(to, to[1:])]
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -223,10 +250,8 @@ def write_shards(docs: DataFrame, tokenizer: str, out_path: str, closing_id: int
 
         for batch in batches:
             for piece in chunks(batch, text_col):
-                buf, off = text_bytes(piece.column(text_col))
-                raw = buf.tobytes()
-                for i, a, b in zip(piece.column(id_col).to_pylist(), off.tolist(), off[1:].tolist()):
-                    ids = enc.encode(raw[a:b]) + close
+                for i, own in zip(piece.column(id_col).to_pylist(), enc.encode(piece.column(text_col))):
+                    ids = own.tobytes() + close
                     if held and size + (len(ids) >> 2) > SHARD_TOKENS:
                         yield pack()
                         held, size, shard = [], 0, shard + 1

@@ -37,6 +37,117 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def slice_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ``buf[start:end]``: a polynomial in an odd base by one running sum, then mixed; never 0."""
+    n = len(buf)
+    size = 1 << max(16, n.bit_length())
+    store = once("powers", dict)
+    if size not in store:
+        store.clear()
+        store[size] = (_powers(MULT, size), _powers(INVERSE, size))
+    up, down = store[size]
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+    h = (total[end] - total[start]) * down[start]
+    return np.maximum(mix64(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.uint64(1))
+
+
+class PieceCache:
+    """Ids of text pieces by 64-bit hash: an open-addressing table in flat arrays, for whole chunks at once.
+
+    Two different pieces share a hash with a chance of about 1e-7 for a million pieces.  When the
+    table is full it starts anew, so memory is bounded by ``slots``.
+    """
+
+    PROBES = 12
+
+    def __init__(self, slots_log2: int = 22):
+        self.bits = slots_log2
+        self.clear()
+
+    def clear(self) -> None:
+        size = 1 << self.bits
+        self.key = np.zeros(size, np.uint64)                   # 0: free
+        self.where = np.zeros(size, np.int32)
+        self.offset = np.zeros(1 << 16, np.int64)              # of entry i; entry i ends where i + 1 begins
+        self.pool = np.zeros(1 << 18, np.uint32)
+        self.entries = 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Entry of each hash, or -1."""
+        out = np.full(len(h), -1, np.int32)
+        mask = (1 << self.bits) - 1
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        key = self.key[slot]
+        same = key == h
+        out[same] = self.where[slot[same]]
+        left = np.flatnonzero(~same & (key != 0))
+        for step in range(1, self.PROBES):
+            if not len(left):
+                break
+            at = (slot[left] + step) & mask
+            key = self.key[at]
+            same = key == h[left]
+            out[left[same]] = self.where[at[same]]
+            left = left[~same & (key != 0)]
+        return out
+
+    def add(self, h: np.ndarray, made: tuple[np.ndarray, np.ndarray]) -> None:
+        """Entries for distinct new hashes: all their ids in one array, and the number of ids of each."""
+        ids, size = made
+        start = int(self.offset[self.entries])
+        need, many = start + len(ids), self.entries + len(size) + 1
+        while len(self.pool) < need:
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while len(self.offset) < many:
+            self.offset = np.concatenate([self.offset, np.zeros_like(self.offset)])
+        self.pool[start:need] = ids
+        self.offset[self.entries + 1:many] = start + np.cumsum(size)
+        entry = np.arange(self.entries, many - 1, dtype=np.int32)
+        self.entries = many - 1
+        mask = (1 << self.bits) - 1
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        for step in range(self.PROBES):
+            at = (slot + step) & mask
+            free = self.key[at] == 0
+            self.key[at[free]] = h[free]                       # of several, one stays
+            won = free & (self.key[at] == h)
+            self.where[at[won]] = entry[won]
+            h, slot, entry = h[~won], slot[~won], entry[~won]
+            if not len(h):
+                break
+
+    def ids(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all slices, one after the other, and their number in each; ``make`` gives those of new pieces."""
+        h = slice_hashes(buf, start, end)
+        entry = self.find(h)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            fresh, at, back = np.unique(h[new], return_index=True, return_inverse=True)
+            at = new[at]
+            if self.entries + len(fresh) > 0.6 * (1 << self.bits):
+                self.clear()
+                return self._all_new(buf, start, end, h, make)
+            base = self.entries
+            raw = buf.tobytes()
+            self.add(fresh, make([raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())]))
+            entry[new] = base + back
+        return self._gather(entry)
+
+    def _all_new(self, buf, start, end, h, make):
+        fresh, at, back = np.unique(h, return_index=True, return_inverse=True)
+        raw = buf.tobytes()
+        self.add(fresh, make([raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())]))
+        return self._gather(back)
+
+    def _gather(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lo = self.offset[entry]
+        size = self.offset[entry + 1] - lo
+        to = np.cumsum(size)
+        total = int(to[-1]) if len(to) else 0
+        return self.pool[np.arange(total) + np.repeat(lo - (to - size), size)], size
+
+
 def _space_table() -> np.ndarray:
     t = np.zeros(256, bool)
     t[[0x20, 9, 10, 11, 12, 13]] = True
@@ -115,16 +226,7 @@ def split_words(column: pa.Array, lower: bool = False, hashes: bool = True, trim
     first = np.searchsorted(start, off)
     if not hashes:
         return Words(buf, start, end, first, np.zeros(0, np.uint64))
-    size = 1 << max(16, int(n).bit_length())
-    store = once("powers", dict)
-    if size not in store:
-        store.clear()
-        store[size] = (_powers(MULT, size), _powers(INVERSE, size))
-    up, down = store[size]
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    h = (total[end] - total[start]) * down[start]
-    return Words(buf, start, end, first, mix64(h ^ (end - start).astype(np.uint64) << np.uint64(56)))
+    return Words(buf, start, end, first, slice_hashes(buf, start, end))
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
