@@ -8,7 +8,7 @@ prefix compositions of whole blocks are found by an associative scan over one mu
 (all blocks advance together, block totals are scanned the same way).  Applied to the state at a
 block's start they give the state before each code point, and with it every boundary.
 
-The slices between boundaries feed a cache; slices not in it are merged together, all words of one
+The slices between boundaries feed a cache of bounded size (by 64-bit hash); slices not in it are merged together, all words of one
 length class as rows of a matrix, one lowest-rank leftmost merge a row and step, as the public
 library does.  Very long slices use a heap.  Slice offsets (in tokens and in bytes) are returned
 with the ids, so any slice can be decoded alone.
@@ -34,10 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tenderlake.llm.common import once
-from tenderlake.llm.textarrays import chunks, text_bytes
+from tenderlake.llm.textarrays import PieceCache, chunks, text_bytes
 
 CHUNK_BYTES = 1 << 21
-CACHE_SLICES = 300_000
 HEAP_BYTES = 64                  # slices longer than this merge through a heap
 
 # character classes
@@ -174,8 +173,7 @@ class Ranks:
         self.pair_key = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max)
         self.pair_rank = np.append(np.array(vals, np.int64)[order], 0)
         self.none = self.width                                # larger than any rank
-        self.cache: dict[bytes, bytes] = {}
-        self.recent: dict[bytes, bytes] = {}
+        self.cache = PieceCache()
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of ids a and b (-1: no id), or ``none``."""
@@ -240,54 +238,37 @@ class Ranks:
                 offer(before[i])
         return [self.ranks[part[i]] for i in range(n) if alive[i]]
 
-    def merge(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids (little-endian int32) of every piece."""
-        out: list = [b""] * len(pieces)
+    def make(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, one after the other, and the number of ids of each."""
+        size = np.zeros(len(pieces), np.int64)
         groups: dict[int, list[int]] = {}
+        got: list[tuple[np.ndarray, np.ndarray]] = []              # pieces, their ids in the same order
         for k, raw in enumerate(pieces):
             if len(raw) > HEAP_BYTES:
-                out[k] = np.array(self.merge_long(raw), np.int32).tobytes()
+                ids = np.array(self.merge_long(raw), np.uint32)
+                size[k] = len(ids)
+                got.append((np.array([k]), ids))
             else:
                 groups.setdefault(max(2, 1 << (len(raw) - 1).bit_length()), []).append(k)
         for width, some in groups.items():
             for lo in range(0, len(some), 20_000):
-                part = some[lo:lo + 20_000]
-                raws = [pieces[k] for k in part]
+                part = np.array(some[lo:lo + 20_000])
+                raws = [pieces[k] for k in part.tolist()]
                 flat = np.frombuffer(b"".join([r.ljust(width, b"\0") for r in raws]), np.uint8).reshape(len(part), width)
-                size = np.fromiter(map(len, raws), np.int64, len(raws))
-                ids = np.where(np.arange(width)[None, :] < size[:, None], self.byte_id[flat], -1)
+                length = np.fromiter(map(len, raws), np.int64, len(raws))
+                ids = np.where(np.arange(width)[None, :] < length[:, None], self.byte_id[flat], -1)
                 ids = self.merge_rows(ids)
-                have = ids >= 0
-                data = ids[have].astype(np.int32).tobytes()
-                to = np.cumsum(have.sum(axis=1) * 4).tolist()
-                at = 0
-                for k, end in zip(part, to):
-                    out[k] = data[at:end]
-                    at = end
-        return out
-
-    def lookup(self, slices: list[bytes]) -> list[bytes]:
-        """Ids of every slice, from the cache or merged now.
-
-        Slices seen first stay (frequent ones come early); later ones share a second, recent half.
-        """
-        got = list(map(self.cache.get, slices))
-        missing = [k for k, g in enumerate(got) if g is None]
-        if missing:
-            recent = self.recent
-            new = list({slices[k] for k in missing if slices[k] not in recent})
-            if len(recent) + len(new) > CACHE_SLICES:
-                kept = {slices[k]: recent[slices[k]] for k in missing if slices[k] in recent}
-                recent.clear()
-                recent.update(kept)
-            for s, ids in zip(new, self.merge(new)):
-                (self.cache if len(self.cache) < CACHE_SLICES else recent)[s] = ids
-            for k in missing:
-                s = slices[k]
-                got[k] = self.cache.get(s) or recent[s]
-        return got
-
-    def encode(self, buf: np.ndarray, offsets: np.ndarray) -> list[tuple[bytes, np.ndarray]]:
+                size[part] = (ids >= 0).sum(axis=1)
+                got.append((part, ids[ids >= 0].astype(np.uint32)))
+        to = np.cumsum(size)
+        out = np.empty(int(to[-1]) if len(to) else 0, np.uint32)
+        for part, ids in got:
+            n = size[part]
+            upto = np.cumsum(n)
+            out[np.arange(len(ids)) + np.repeat(to[part] - n - (upto - n), n)] = ids
+        return out, size
+
+    def encode(self, buf: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each UTF-8 text ``buf[offsets[d]:offsets[d + 1]]`` its ids and the number of ids of each slice."""
         raw = buf.tobytes()
         points = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
@@ -300,11 +281,10 @@ class Ranks:
         at = byte_at[point_at]
         real = marked[cut] != 0x110000
         start, stop = at[:-1][real[:-1]], at[1:][real[:-1]]
-        slices = [raw[a:b] for a, b in zip(start.tolist(), stop.tolist())]
-        got = self.lookup(slices)
-        first = np.searchsorted(start, offsets).tolist()
-        count = np.fromiter(map(len, got), np.int32, len(got)) >> 2
-        return [(b"".join(got[a:b]), count[a:b]) for a, b in zip(first, first[1:])]
+        ids, count = self.cache.ids(buf, start, stop, self.make)
+        first = np.searchsorted(start, offsets)
+        to = np.append(0, np.cumsum(count))[first].tolist()
+        return [(ids[a:b], count[c:d]) for a, b, c, d in zip(to, to[1:], first.tolist(), first[1:].tolist())]
 
 
 def _ranks(path: str) -> Ranks:
@@ -314,21 +294,25 @@ def _ranks(path: str) -> Ranks:
 ENCODED = "n_tokens bigint, ids binary, slice_tokens binary"
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_tokens, ids, slice_tokens``: ids and tokens per slice as little-endian int32."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def _kinds(df: DataFrame, cols: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, columns ``keep``, ``n_tokens, ids, slice_tokens``: ids and tokens per slice as little-endian int32."""
+    cols = [id_col, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = _ranks(path)
         for batch in batches:
             for part in chunks(batch, text_col, CHUNK_BYTES):
                 got = ranks.encode(*text_bytes(part.column(text_col)))
-                yield pa.record_batch([part.column(id_col), pa.array([len(i) >> 2 for i, _ in got], pa.int64()),
-                                       pa.array([i for i, _ in got], pa.binary()),
-                                       pa.array([s.tobytes() for _, s in got], pa.binary())],
-                                      names=[id_col, "n_tokens", "ids", "slice_tokens"])
+                yield pa.record_batch([*[part.column(c) for c in cols], pa.array([len(i) for i, _ in got], pa.int64()),
+                                       pa.array([i.tobytes() for i, _ in got], pa.binary()),
+                                       pa.array([s.astype(np.int32).tobytes() for _, s in got], pa.binary())],
+                                      names=[*cols, "n_tokens", "ids", "slice_tokens"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {ENCODED}")
+    return docs.select(*dict.fromkeys([*cols, text_col])).mapInArrow(run, f"{_kinds(docs, cols)}, {ENCODED}")
 
 
 def decode_ids(ranks: Ranks, ids: np.ndarray) -> bytes:
@@ -341,9 +325,9 @@ def decode_slice(ranks: Ranks, ids: np.ndarray, slice_tokens: np.ndarray, at: in
     return decode_ids(ranks, ids[lo:lo + int(slice_tokens[at])])
 
 
-def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", digests: bool = False) -> DataFrame:
-    """``id_col, n_tokens, decoded`` (bytes), or with ``digests`` the SHA-256 of ids and of bytes."""
-    kind = encoded.schema[id_col].dataType.simpleString()
+def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", digests: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, columns ``keep``, ``n_tokens, decoded`` (bytes), or with ``digests`` the SHA-256 of ids and of bytes."""
+    cols = [id_col, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = _ranks(path)
@@ -355,13 +339,14 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", digests: bool
                     out.append(decode_ids(ranks, ids))
                     if digests:
                         ids_sha.append(hashlib.sha256(",".join([ranks.decimal[i] for i in ids.tolist()]).encode()).hexdigest())
-                cols = [part.column(id_col), part.column("n_tokens")]
+                got = [*[part.column(c) for c in cols], part.column("n_tokens")]
                 if digests:
-                    cols += [pa.array(ids_sha, pa.string()), pa.array([hashlib.sha256(b).hexdigest() for b in out], pa.string())]
+                    got += [pa.array(ids_sha, pa.string()), pa.array([hashlib.sha256(b).hexdigest() for b in out], pa.string())]
                     names = ["ids_sha256", "decoded_sha256"]
                 else:
-                    cols, names = cols + [pa.array(out, pa.binary())], ["decoded"]
-                yield pa.record_batch(cols, names=[id_col, "n_tokens", *names])
+                    got, names = got + [pa.array(out, pa.binary())], ["decoded"]
+                yield pa.record_batch(got, names=[*cols, "n_tokens", *names])
 
     tail = "ids_sha256 string, decoded_sha256 string" if digests else "decoded binary"
-    return encoded.select(id_col, "n_tokens", "ids").mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, {tail}")
+    asked = dict.fromkeys([*cols, "n_tokens", "ids"])
+    return encoded.select(*asked).mapInArrow(run, f"{_kinds(encoded, cols)}, n_tokens bigint, {tail}")
