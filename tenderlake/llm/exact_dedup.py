@@ -67,29 +67,33 @@ def _verdicts(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int) ->
                                            F.lit(1).cast("bigint").alias("group_size")))
 
 
-_KEPT = F.col("_id").eqNullSafe(F.col("keep_id"))
+def _kept() -> Column:
+    return F.col("_id").eqNullSafe(F.col("keep_id"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """One row per input row: ``id_col, keep_id, group_size, kept``; the largest id of a group stays."""
     v = _verdicts(docs, id_col, text_col, prefix_chars)
-    return v.select(F.col("_id").alias(id_col), "keep_id", "group_size", _KEPT.alias("kept"))
+    return v.select(F.col("_id").alias(id_col), "keep_id", "group_size", _kept().alias("kept"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """``docs`` with one row of each group of equal texts left (all columns unchanged)."""
     v = stage_table(_verdicts(docs, id_col, text_col, prefix_chars), "exact-dedup-verdicts")
-    odd = (v.groupBy("_id").agg(F.count("*").alias("_rows"), F.min(_KEPT).alias("_all"))
+    odd = (v.groupBy("_id").agg(F.count("*").alias("_rows"), F.min(_kept()).alias("_all"))
            .filter("_rows > 1 OR NOT _all").withColumnRenamed("_id", "_gid"))
-    marked = docs.join(odd, F.col(id_col).eqNullSafe(F.col("_gid")), "left")
-    plain = marked.filter("_rows IS NULL").select(*docs.columns)
+    # the whole row travels as one struct, so its column names meet no others
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"))
+    own_id, own_text = F.col(f"_doc.{id_col}"), F.col(f"_doc.{text_col}")
+    marked = whole.join(odd, own_id.eqNullSafe(F.col("_gid")), "left")
+    plain = marked.filter("_rows IS NULL").select("_doc.*")
     # Rows of an id that repeats are told apart by their text; of equal ones the first by content stays.
     known = v.filter("_full IS NOT NULL").select(F.col("_id").alias("_vid"), "_full", "keep_id").distinct()
-    first = Window.partitionBy("_h", id_col).orderBy(F.xxhash64(*[F.col(c) for c in docs.columns]))
-    again = (marked.filter("_rows > 1").withColumn("_h", F.sha2(normalised(F.col(text_col)), 256))
-             .join(known, (F.col("_h") == F.col("_full")) & F.col(id_col).eqNullSafe(F.col("_vid")), "left")
-             .filter(F.col("_full").isNull() | F.col(id_col).eqNullSafe(F.col("keep_id")))
-             .withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").select(*docs.columns))
+    first = Window.partitionBy("_h", "_gid").orderBy(F.xxhash64("_doc"))
+    again = (marked.filter("_rows > 1").withColumn("_h", F.sha2(normalised(own_text), 256))
+             .join(known, (F.col("_h") == F.col("_full")) & own_id.eqNullSafe(F.col("_vid")), "left")
+             .filter(F.col("_full").isNull() | own_id.eqNullSafe(F.col("keep_id")))
+             .withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").select("_doc.*"))
     return plain.unionByName(again)

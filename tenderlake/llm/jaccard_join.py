@@ -446,4 +446,5 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stays = found.filter("_class IS NOT NULL").groupBy("_class").agg(
         F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_row"))).alias("_best")).select(F.col("_best._row").alias("_r"))
     stays = stays.unionByName(found.filter("_class IS NULL").select(F.col("_row").alias("_r"))).distinct()
-    return docs.join(stays, _row_key(id_col, text_col) == F.col("_r"), "left_semi")
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), _row_key(id_col, text_col).alias("_row"))
+    return whole.join(stays, F.col("_row") == F.col("_r"), "left_semi").select("_doc.*")

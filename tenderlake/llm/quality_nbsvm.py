@@ -189,25 +189,33 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_ro
             "bias": row["bias"], "slope": row["slope"], "shift": row["shift"]}
 
 
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col`` (and columns ``keep``) with ``score`` and ``predicted`` of every document."""
+def _scores(model: dict, column: pa.Array) -> np.ndarray:
+    got = margins(model, features(column))
+    return 1 / (1 + np.exp(-np.clip(model["slope"] * got + model["shift"], -30, 30)))
+
+
+def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, score, predicted`` of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    cols = [id_col, *keep]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)
-    asked = list(dict.fromkeys([*cols, text_col]))
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
             for part in chunks(batch, text_col):
-                got = margins(m, features(part.column(text_col)))
-                p = 1 / (1 + np.exp(-np.clip(m["slope"] * got + m["shift"], -30, 30)))
-                yield pa.record_batch([*[part.column(c) for c in cols], pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))],
-                                      names=[*cols, "score", "predicted"])
+                p = _scores(shared.value, part.column(text_col))
+                yield pa.record_batch([part.column(id_col), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))],
+                                      names=[id_col, "score", "predicted"])
 
-    return docs.select(*asked).mapInArrow(run, f"{kinds}, score double, predicted int")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
 
 
-def keep_good(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that the classifier rejects (all columns unchanged)."""
-    return score(docs, model, id_col, text_col, keep=tuple(c for c in docs.columns if c != id_col)).filter("predicted = 1").select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, text_col):
+                yield part.filter(pa.array(_scores(shared.value, part.column(text_col)) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
