@@ -18,8 +18,8 @@ of 2**20 bits (bounded, broadcast; a chance hit only counts a word more); the wa
 rows, and texts are joined only for documents that get added spans.
 
 Cases: a null text is empty and has no spans.  A null id is a document of its own kind: its base
-spans are reported, its mentions are not evidence and it gets no added spans.  Rows that repeat an
-id count once in n and get the same added spans.  Other columns are ignored; an empty table gives
+spans are reported, its mentions are not evidence and it gets no added spans.  n counts rows; rows
+that repeat an id get the added spans of either.  Other columns are ignored; an empty table gives
 an empty table.
 """
 
@@ -173,33 +173,40 @@ def _document_frequency(docs: DataFrame, wanted: DataFrame, id_col: str, text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.unpackbits(shared.value).astype(bool)
+        held: list[np.ndarray] = []
+
+        def counts() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
+            held.clear()
+            return pa.record_batch([pa.array(h, pa.int64()), pa.array(n, pa.int64())], names=["h", "n"])
+
         for batch in batches:
             for part in chunks(batch, text_col):
                 words = split_words(part.column(text_col), lower=True, trim=True)
                 at = np.flatnonzero(mask[(words.hash % np.uint64(FILTER_BITS)).astype(np.int64)])
                 doc = np.searchsorted(words.first, at, "right") - 1
-                pairs = np.unique(np.stack([words.hash[at].astype(np.int64), doc]), axis=1)
-                ids = part.column(id_col).take(pa.array(pairs[1]))
-                yield pa.record_batch([pa.array(pairs[0], pa.int64()), ids], names=["h", "id"])
+                held.append(np.unique(np.stack([words.hash[at].astype(np.int64), doc]), axis=1)[0])
+                if sum(map(len, held)) > 4_000_000:
+                    yield counts()
+        yield counts()
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.filter(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, f"h bigint, id {kind}")
-    return rows.join(wanted, "h", "left_semi").groupBy("h", "id").agg(F.lit(1).alias("_one")).groupBy("h").agg(F.count("*").alias("n_term"))
+    rows = docs.filter(F.col(id_col).isNotNull()).select(text_col).mapInArrow(run, "h bigint, n bigint")
+    return rows.groupBy("h").agg(F.sum("n").alias("n_term")).join(wanted, "h", "left_semi")
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      min_contexts: int = MIN_CONTEXTS, generalise: float = GENERALISE) -> DataFrame:
     """``entity, term, ratio``: terms whose PMI with the entity reaches ``generalise`` of its information content."""
-    seen = found.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.explode("seen").alias("s")).select("_id", "s.*")
+    known = found.filter(F.col(id_col).isNotNull() & (F.size("seen") > 0))
+    seen = known.select(F.explode("seen").alias("s")).select("s.*")
     contexts = (seen.filter("term <> ''").groupBy("entity", "term", "h", "ctx").agg(F.lit(1).alias("_one"))
                 .groupBy("entity", "term", "h").agg(F.count("*").alias("n_ctx")).filter(F.col("n_ctx") >= min_contexts))
     contexts = stage_table(contexts, "pii-candidates")
     wanted = contexts.select("h").distinct()
-    n_docs = docs.filter(F.col(id_col).isNotNull()).select(F.count_distinct(id_col)).first()[0]
-    both = (seen.join(contexts.select("entity", "term"), ["entity", "term"], "left_semi").groupBy("entity", "term", "_id").agg(F.lit(1).alias("_one"))
-            .groupBy("entity", "term").agg(F.count("*").alias("n_both")))
-    alone = (seen.join(contexts.select("entity").distinct(), "entity", "left_semi").groupBy("entity", "_id").agg(F.lit(1).alias("_one"))
-             .groupBy("entity").agg(F.count("*").alias("n_entity")))
+    n_docs = docs.filter(F.col(id_col).isNotNull()).count()
+    pairs = known.select(F.explode(F.array_distinct(F.transform("seen", lambda s: F.struct(s["entity"], s["term"])))).alias("s")).select("s.*")
+    both = (pairs.join(contexts.select("entity", "term"), ["entity", "term"], "left_semi").groupBy("entity", "term").agg(F.count("*").alias("n_both")))
+    alone = (known.select(F.explode(F.array_distinct(F.col("seen.entity"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")))
     df = _document_frequency(docs, wanted, id_col, text_col)
     content = F.log(F.lit(float(max(n_docs, 1))) / F.col("n_entity"))
     # an entity in (almost) every document has no content to disclose
