@@ -3,19 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-SMALL_KEYS = 1_000_000
+from tenderlake.session import write_once
 
 
-def reduce_to_keys(big: DataFrame, keys: DataFrame, key: str, cap: int = SMALL_KEYS) -> DataFrame:
-    """Rows of ``big`` whose ``key`` occurs in ``keys`` when the key set is small, else ``big``.
+def reduce_to_keys(big: DataFrame, keys: DataFrame, key: str, written: bool = False) -> DataFrame:
+    """Rows of ``big`` whose ``key`` occurs in ``keys``.
 
-    The key set is counted with a cap (at most ``cap + 1`` rows); a small one is
-    broadcast into a semi join, so the large side is filtered where it lies and
-    the following join only moves matching rows.  A large key set leaves the
-    join to the planner (shuffle join)."""
-    k = keys.select(key)
-    if k.limit(cap + 1).count() <= cap:
-        return big.join(F.broadcast(k.distinct()), key, "left_semi")
-    return big
+    The keys are written once (unless they come from a written table), so Spark knows their size in bytes: a
+    set under its broadcast threshold filters ``big`` where it lies, a larger one is joined by shuffle."""
+    small = keys.select(key).distinct()
+    return big.join(small if written else write_once(small, "keys"), key, "left_semi")

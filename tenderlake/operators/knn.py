@@ -1,26 +1,23 @@
 """Exact cosine top-k of many query vectors against a large corpus.
 
-Plan
-----
-The corpus is never collected and no (query, corpus) pair is ever a row.
-
-* ``broadcast`` strategy (query matrix within ``max_broadcast_bytes``, checked
-  with one count over the query side): the unit-normalised query matrix is
-  shipped once per executor; ``corpus.mapInArrow`` multiplies each Arrow batch
-  (rows x dim) by it and keeps a running top-k per query for the whole task.
-  Each task emits at most ``k x queries`` rows.
-* ``blocked`` strategy (larger query sets): queries are split into blocks of
-  ``block_rows`` and corpus rows into hash buckets; each (bucket, block) cell
-  is one co-group task doing the same matmul, so memory per task is bounded
-  by block and bucket size, not by the number of queries.
-
-A final ``row_number`` over the (small) candidate set merges the partial
-top-k lists.  With ``distinct_by`` the operator returns the top-k *distinct*
-keys (best row per key), which is exact because every partial list is itself
-a top-k of distinct keys.
+One plan for every size:
+
+* The query vectors (distinct by id) are written once and cut into blocks of ``block_bytes``.
+* For each block, its unit-normalised matrix is broadcast (at most ``block_bytes``, by
+  construction) and ``corpus.mapInArrow`` multiplies each Arrow batch by it, keeping a running
+  top-k per query.  Only the corpus id, short keys and the vector enter that scan.
+* A task emits at most ``k`` rows a query.  They are merged in two levels, first within one of
+  ``MERGE_SALTS`` groups of tasks, then per query, so the merge of one query is spread as well.
+* Short columns in ``through`` travel with the scan; columns in ``carry`` (texts, metadata) are joined to
+  the final hits by id.
+
+Neither a (query, corpus) pair nor the corpus is ever a row of a shuffle, and memory per task depends on
+the block and on k, not on the number of queries or the size of the corpus.  With ``distinct_by``
+the operator returns the top-k *distinct* keys (best row per key), which is exact because every
+partial list is itself a top-k of distinct keys.
 
 Scores are cosine similarities rounded to ``score_digits`` decimals; ties are
-broken by the corpus id (ascending), everywhere the same way.
+broken by the corpus id (ascending), everywhere the same way.  Repeated query ids count once.
 """
 
 from __future__ import annotations
@@ -38,9 +35,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
-DEFAULT_MAX_BROADCAST_ROWS = 200_000
-DEFAULT_CANDIDATE_BUDGET_ROWS = 50_000_000   # rows entering the final top-k merge
+from tenderlake.session import write_once
+
+BLOCK_BYTES = 64 * 1024 * 1024      # of one broadcast query matrix (float64)
+MERGE_SALTS = 32                    # groups of corpus tasks in the first level of the merge
 
 
 class VectorWidthError(ValueError):
@@ -144,7 +142,7 @@ def _merge_running(running: pd.DataFrame | None, cand: pd.DataFrame, k: int, id_
 
 def _partition_topk(batches: Iterable[pa.RecordBatch], qmat: np.ndarray, qids: np.ndarray, k: int,
                     scale: float, id_col: str, vec_col: str, key_col: str | None,
-                    out_cols: Sequence[str], qid_col: str, score_col: str, arrow_schema: pa.Schema,
+                    out_cols: Sequence[str], qid_col: str, score_col: str, arrow_schema: pa.Schema, salt: int,
                     pair_filter: PairFilter | None = None, qinfo: dict | None = None,
                     ) -> Iterator[pa.RecordBatch]:
     """Running top-k per query over all batches of one task.
@@ -191,149 +189,91 @@ def _partition_topk(batches: Iterable[pa.RecordBatch], qmat: np.ndarray, qids: n
     out = running.copy()
     out[qid_col] = qids[out["__q"].to_numpy()]
     out[score_col] = out["__s"].to_numpy() / scale
+    out["__salt"] = salt
     out = out.drop(columns=["__q", "__s"])
     yield pa.RecordBatch.from_pandas(out[arrow_schema.names], schema=arrow_schema, preserve_index=False)
 
 
-def _final_rank(cand: DataFrame, k: int, qid_col: str, id_col: str, key_col: str | None,
-                score_col: str, rank_col: str) -> DataFrame:
+def _best(cand: DataFrame, k: int, groups: list[str], id_col: str, key_col: str | None, score_col: str,
+          rank_col: str) -> DataFrame:
+    """The first ``k`` rows (of distinct keys) within ``groups``."""
     order = [F.col(score_col).desc(), F.col(id_col).asc()]
     if key_col is not None:
-        w_key = Window.partitionBy(qid_col, key_col).orderBy(*order)
+        w_key = Window.partitionBy(*groups, key_col).orderBy(*order)
         cand = cand.withColumn("__kr", F.row_number().over(w_key)).filter("__kr = 1").drop("__kr")
-    w = Window.partitionBy(qid_col).orderBy(*order)
-    return (cand.withColumn(rank_col, F.row_number().over(w).cast("long"))
-                .filter(F.col(rank_col) <= k))
+    w = Window.partitionBy(*groups).orderBy(*order)
+    return cand.withColumn(rank_col, F.row_number().over(w).cast("long")).filter(F.col(rank_col) <= k)
 
 
 def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
                   query_id: str = "query_id", query_vec: str = "embedding",
                   corpus_id: str = "doc_id", corpus_vec: str = "embedding",
-                  distinct_by: str | None = None, carry: Sequence[str] = (),
-                  score_digits: int = 6, strategy: str = "auto",
-                  max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
-                  max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                  candidate_budget_rows: int = DEFAULT_CANDIDATE_BUDGET_ROWS,
-                  block_rows: int = 4096, corpus_buckets: int | None = None,
+                  distinct_by: str | None = None, through: Sequence[str] = (), carry: Sequence[str] = (),
+                  score_digits: int = 6, block_bytes: int = BLOCK_BYTES,
                   score_col: str = "score", rank_col: str = "rank",
                   pair_filter: PairFilter | None = None) -> DataFrame:
     """Per query, the ``k`` most cosine-similar corpus rows (or distinct ``distinct_by`` keys).
 
-    Output: ``query_id, rank, corpus_id, [distinct_by], carry..., score``.
+    Output: ``query_id, rank, corpus_id, [distinct_by], through..., carry..., score``.
     Query rows with a NULL vector and corpus rows with a NULL vector are ignored.
     """
     if k <= 0:
         raise ValueError("k must be positive")
     spark = queries.sparkSession
-    scale = float(10 ** score_digits)
     q_extra = list(pair_filter.query_cols) if pair_filter is not None else []
-    q = queries.select(F.col(query_id), F.col(query_vec), *q_extra).filter(F.col(query_vec).isNotNull())
-    # One bounded action: fetch at most ``max_broadcast_rows + 1`` query rows.  If
-    # more exist, or their matrix is over the byte bound, the blocked strategy
-    # runs instead and nothing more than this probe reaches the driver.
-    probe = None
-    if strategy in ("auto", "broadcast"):
-        first = q.select(F.size(query_vec).alias("d")).limit(1).collect()
-        dim = int(first[0]["d"]) if first else 0
-        row_bound = min(max_broadcast_rows, max_broadcast_bytes // (8 * max(dim, 1)))
-        probe = q.limit(row_bound + 1).toArrow()
-        n_q = probe.num_rows
-        if n_q:
-            dim = int(pc.max(pc.list_value_length(probe.column(query_vec))).as_py() or 0)
-    else:
-        stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(query_vec)).alias("d")).first()
-        n_q, dim = int(stats["n"]), int(stats["d"] or 0)
-    out_cols = [corpus_id] + ([distinct_by] if distinct_by else []) + [c for c in carry if c not in (corpus_id, distinct_by)]
-    c_fields = {f.name: f for f in corpus.schema.fields}
-    q_field = queries.schema[query_id]
-    out_schema = T.StructType([T.StructField(query_id, q_field.dataType)]
-                              + [T.StructField(c, c_fields[c].dataType) for c in out_cols]
-                              + [T.StructField(score_col, T.DoubleType())])
-    c_extra = [c for c in (pair_filter.corpus_cols if pair_filter is not None else ()) if c not in out_cols]
-    corpus_sel = corpus.select(*out_cols, *c_extra, corpus_vec)
+    q = (queries.select(F.col(query_id), F.col(query_vec), *q_extra).filter(F.col(query_vec).isNotNull())
+         .dropDuplicates([query_id]))
+    q = write_once(q, "queries")
+    n_q, dim = q.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(query_vec)), F.lit(0))).first()
+    block_rows = max(1, block_bytes // (8 * max(dim, 1)))
+    n_blocks = max(1, math.ceil(n_q / block_rows))
+    narrow = list(dict.fromkeys([corpus_id, *([distinct_by] if distinct_by else []), *through]))
+    rest = [c for c in carry if c not in narrow]
+    fields = {f.name: f for f in corpus.schema.fields}
+    schema = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType),
+                           *[T.StructField(c, fields[c].dataType) for c in narrow],
+                           T.StructField(score_col, T.DoubleType()), T.StructField("__salt", T.IntegerType())])
+    c_extra = [c for c in (pair_filter.corpus_cols if pair_filter is not None else ()) if c not in narrow]
+    scan = corpus.select(*narrow, *c_extra, corpus_vec)
+
+    def block_hits(block: DataFrame):
+        cand, bc = _block_candidates(block, scan, k, float(10 ** score_digits), query_id, query_vec, corpus_id, corpus_vec,
+                                     distinct_by, narrow, score_col, schema, q_extra, pair_filter)
+        part = _best(cand, k, [query_id, "__salt"], corpus_id, distinct_by, score_col, rank_col).drop(rank_col, "__salt")
+        return _best(part, k, [query_id], corpus_id, distinct_by, score_col, rank_col), bc
+
     if n_q == 0:
-        empty = spark.createDataFrame([], out_schema)
-        return empty.withColumn(rank_col, F.lit(None).cast("long")).select(
-            query_id, rank_col, *out_cols, score_col)
-
-    matrix_bytes = n_q * max(dim, 1) * 8
-    fits = n_q <= max_broadcast_rows and matrix_bytes <= max_broadcast_bytes
-    if strategy == "auto":
-        strategy = "broadcast" if fits else "blocked"
-    if strategy == "blocked" and probe is not None:
-        stats = q.agg(F.count(F.lit(1)).alias("n")).first()
-        n_q = int(stats["n"])
-    key_col = distinct_by
-
-    if strategy == "broadcast":
-        if not fits:
-            raise ValueError(f"query side ({n_q} rows, {matrix_bytes} bytes) exceeds the broadcast bound")
-        tbl = probe
-        qmat, _ = _matrix(tbl.column(query_vec), None)
-        qmat = _unit_rows(qmat)
-        qids = np.asarray(tbl.column(query_id).to_pylist(), dtype=object)
-        qinfo = {c: tbl.column(c).to_pylist() for c in q_extra}
-        bc = spark.sparkContext.broadcast((qmat, qids, qinfo))
-        arrow_schema = to_arrow_schema(out_schema)
-
-        def run(batches):
-            qm, qi, info = bc.value
-            yield from _partition_topk(batches, qm, qi, k, scale, corpus_id, corpus_vec, key_col,
-                                       out_cols, query_id, score_col, arrow_schema, pair_filter, info)
-
-        scan = _limit_candidate_volume(corpus_sel, n_q, k, candidate_budget_rows)
-        cand = scan.mapInArrow(run, out_schema)
-    elif strategy == "blocked":
-        cand = _blocked_candidates(q, corpus_sel, k, n_q, scale, query_id, query_vec, corpus_id,
-                                   corpus_vec, key_col, out_cols, score_col, out_schema,
-                                   block_rows, corpus_buckets, pair_filter, c_extra)
+        hits = spark.createDataFrame([], schema).drop("__salt").withColumn(rank_col, F.lit(None).cast("long"))
+    elif n_blocks == 1:
+        hits, _ = block_hits(q)
     else:
-        raise ValueError(f"unknown strategy {strategy!r}")
-    ranked = _final_rank(cand, k, query_id, corpus_id, key_col, score_col, rank_col)
-    out = ranked.select(query_id, rank_col, *out_cols, score_col)
-    out.query_count = n_q          # callers use it to bound the hit set (k x queries rows)
-    return out
-
-
-def _limit_candidate_volume(corpus: DataFrame, n_q: int, k: int, budget_rows: int) -> DataFrame:
-    """Each corpus task emits up to ``k x queries`` candidates, so the merge
-    shuffle is ``k x queries x tasks`` rows.  When that exceeds the budget the
-    scan is coalesced (no shuffle) into fewer, larger tasks; their memory does
-    not grow, since batches stream through a running top-k."""
-    spark = corpus.sparkSession
-    tasks = corpus.rdd.getNumPartitions()
-    floor = max(1, spark.sparkContext.defaultParallelism)
-    want = max(floor, budget_rows // max(1, n_q * k))
-    return corpus.coalesce(want) if want < tasks else corpus
-
-
-def _blocked_candidates(q: DataFrame, corpus_sel: DataFrame, k: int, n_q: int, scale: float,
-                        query_id: str, query_vec: str, corpus_id: str, corpus_vec: str,
-                        key_col: str | None, out_cols: list[str], score_col: str,
-                        out_schema: T.StructType, block_rows: int,
-                        corpus_buckets: int | None, pair_filter: PairFilter | None = None,
-                        c_extra: Sequence[str] = ()) -> DataFrame:
-    spark = q.sparkSession
-    n_blocks = max(1, math.ceil(n_q / block_rows))
-    buckets = corpus_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    qb = (q.withColumn("__qb", F.pmod(F.xxhash64(query_id), F.lit(n_blocks)))
-           .withColumn("__cb", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))))
-    cb = (corpus_sel.withColumn("__cb", F.pmod(F.xxhash64(corpus_id), F.lit(buckets)))
-                    .withColumn("__qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
-    arrow_schema = to_arrow_schema(out_schema)
-
-    def cell(qtbl: pa.Table, ctbl: pa.Table) -> pa.Table:
-        if qtbl.num_rows == 0 or ctbl.num_rows == 0:
-            return arrow_schema.empty_table()
-        qmat, _ = _matrix(qtbl.column(query_vec), None)
-        qmat = _unit_rows(qmat)
-        qids = np.asarray(qtbl.column(query_id).to_pylist(), dtype=object)
-        qinfo = {c: qtbl.column(c).to_pylist() for c in (pair_filter.query_cols if pair_filter else ())}
-        batches = ctbl.select(out_cols + list(c_extra) + [corpus_vec]).combine_chunks().to_batches()
-        outs = list(_partition_topk(batches, qmat, qids, k, scale, corpus_id, corpus_vec, key_col,
-                                    out_cols, query_id, score_col, arrow_schema, pair_filter, qinfo))
-        return pa.Table.from_batches(outs, schema=arrow_schema) if outs else arrow_schema.empty_table()
-
-    return (qb.groupBy("__cb", "__qb")
-              .cogroup(cb.groupBy("__cb", "__qb"))
-              .applyInArrow(cell, out_schema))
+        hits = None                                     # one block at a time; its hits are written, its matrix dropped
+        for b in range(n_blocks):
+            part, bc = block_hits(q.filter(F.pmod(F.xxhash64(query_id), F.lit(n_blocks)) == b))
+            part = write_once(part, "block-hits")
+            bc.unpersist()
+            hits = part if hits is None else hits.unionByName(part)
+    if rest:
+        hits = write_once(hits, "hits")                 # read for its size by the planner, then joined
+        hits = hits.join(corpus.select(corpus_id, *rest), corpus_id)
+    return hits.select(query_id, rank_col, *narrow, *rest, score_col)
+
+
+def _block_candidates(block: DataFrame, scan: DataFrame, k: int, scale: float, query_id: str, query_vec: str, corpus_id: str,
+                      corpus_vec: str, key_col: str | None, out_cols: list[str], score_col: str, schema: T.StructType,
+                      q_extra: list[str], pair_filter: PairFilter | None):
+    """Partial top-k lists of one block of queries (its rows fit the block size), and the broadcast matrix."""
+    tbl = block.toArrow()
+    qmat = _unit_rows(_matrix(tbl.column(query_vec), None)[0])
+    qids = np.asarray(tbl.column(query_id).to_pylist(), dtype=object)
+    qinfo = {c: tbl.column(c).to_pylist() for c in q_extra}
+    bc = block.sparkSession.sparkContext.broadcast((qmat, qids, qinfo))
+    arrow_schema = to_arrow_schema(schema)
+
+    def run(batches):
+        from pyspark import TaskContext
+        qm, qi, info = bc.value
+        yield from _partition_topk(batches, qm, qi, k, scale, corpus_id, corpus_vec, key_col, out_cols, query_id, score_col,
+                                   arrow_schema, TaskContext.get().partitionId() % MERGE_SALTS, pair_filter, info)
+
+    return scan.mapInArrow(run, schema), bc

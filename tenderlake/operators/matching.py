@@ -12,6 +12,8 @@ chunks, then filter and dedup, which may return fewer than k.
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,16 +27,16 @@ import pyarrow.compute as pc
 from tenderlake.operators.joins import reduce_to_keys
 from tenderlake.operators.knn import PairFilter, top_k_similar
 from tenderlake.operators.metadata import match_deadline
+from tenderlake.session import write_once
 
 MATCH_COLUMNS = ("profile_id", "rank", "doc_id", "ocid", "url", "chunk_type", "text", "cpv_codes",
                  "score", "title", "buyer_name", "procurement_method", "main_procurement_category",
                  "value_amount", "value_currency", "deadline", "documents_url")
 META_OUT = ("notice_id", "title", "buyer_name", "procurement_method", "main_procurement_category",
             "value_amount", "value_currency", "deadline", "submission_deadline", "documents_url")
-# hits per request are bounded by k (or 5k); below this many we broadcast the hit keys
-HIT_KEYS_BROADCAST_ROWS = 2_000_000
 
 
+META_COLUMNS = META_OUT + ("has_awards", "tag", "eu_funded", "status", "location_nuts", "result_code", "party_nuts", "date")
 HINT_CATEGORY_COL = "__hint_category"
 
 
@@ -108,30 +110,13 @@ def hit_ocids(hits: DataFrame) -> DataFrame:
     return hits.select("ocid").distinct()
 
 
-def enrich(hits: DataFrame, meta: DataFrame, bounded_rows: int | None = None) -> DataFrame:
+def enrich(hits: DataFrame, meta: DataFrame, written: bool = False) -> DataFrame:
     """Left join hits to release metadata on ``ocid`` (C1); missing releases keep the hit.
 
-    The hit list is small (queries x k), the metadata large: the metadata is
-    first reduced by a semi join against the distinct hit OCIDs (broadcast when
-    ``bounded_rows`` proves the key set small), then joined.
-    """
-    hits = materialize_hits(hits)
-    keys = hit_ocids(hits)
-    if bounded_rows is not None and bounded_rows <= HIT_KEYS_BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    reduced = meta.join(keys, "ocid", "left_semi")
-    return hits.join(reduced, "ocid", "left")
-
-
-def materialize_hits(hits: DataFrame) -> DataFrame:
-    """Write the (small) hit list once to the shared checkpoint folder.
-
-    It is read twice (distinct keys for the semi join, then the join itself);
-    without this the vector top-k over the whole corpus would run twice.  A
-    reliable checkpoint also survives the loss of the executors that made it."""
-    from tenderlake.session import checkpoint_dir
-    checkpoint_dir(hits.sparkSession)
-    return hits.checkpoint(eager=True)
+    The hit list is small (queries x k), the metadata large.  The hits are written once (so the
+    top-k over the corpus runs once) and the metadata is reduced to their OCIDs before the join."""
+    hits = hits if written else write_once(hits, "hits")
+    return hits.join(reduce_to_keys(meta, hits, "ocid", written=True), "ocid", "left")
 
 
 def dedup_by_ocid(df: DataFrame, group: str = "profile_id") -> DataFrame:
@@ -158,6 +143,11 @@ def _shape(df: DataFrame, text_bytes: int) -> DataFrame:
         match_deadline().alias("deadline"), "documents_url")
 
 
+def _with_chunk(rows: DataFrame, hits: DataFrame, chunks: DataFrame, *cols: str) -> DataFrame:
+    """Columns of the hit chunks; ``hits``: a written table with the ids of ``rows``."""
+    return rows.join(reduce_to_keys(chunks.select("doc_id", *cols), hits, "doc_id", written=True), "doc_id")
+
+
 def match_tenders(requests: DataFrame, profiles: DataFrame, chunks: DataFrame, meta: DataFrame,
                   filters: FilterSpec = FilterSpec(), k: int = 10, mode: str = "exact",
                   text_bytes: int = 200, use_profile_hints: bool = False, **knn_options) -> DataFrame:
@@ -172,36 +162,31 @@ def match_tenders(requests: DataFrame, profiles: DataFrame, chunks: DataFrame, m
     hint_cols = ["categories", "cpv_codes"] if use_profile_hints else []
     queries = (resolved.filter(F.col("status") == "ready")
                        .select(F.col("profile_id"), F.col("embedding"), *hint_cols))
+    # The top-k scan carries ids, keys and vectors; texts and metadata are joined to the hits.
+    corpus = chunks.select("doc_id", "ocid", "embedding", "cpv_codes")
     if use_profile_hints:
         cats = meta.select("ocid", F.col("main_procurement_category").alias(HINT_CATEGORY_COL))
-        chunks = chunks.join(cats, "ocid", "left")
+        corpus = corpus.join(cats, "ocid", "left")
         knn_options = dict(knn_options, pair_filter=PROFILE_HINTS)
-    hit_cols = ["ocid", "chunk_type", "text", "cpv_codes"]
-    cond = filters.column(cpv_col="cpv_codes")
-    meta_cols = ["ocid"] + list(META_OUT) + [c for c in ("has_awards", "tag", "eu_funded", "status",
-                                                        "location_nuts", "result_code", "party_nuts",
-                                                        "date") if c not in META_OUT]
-    meta = meta.select(*meta_cols)
+    meta = meta.select("ocid", *META_COLUMNS)
 
     if mode == "overfetch":
         fetch_k = 5 * k if (filters.has_any() or use_profile_hints) else 3 * k
-        hits = top_k_similar(queries, chunks, fetch_k, query_id="profile_id", corpus_id="doc_id",
-                             carry=hit_cols, rank_col="hit_rank", **knn_options)
-        joined = enrich(hits, meta, bounded_rows=getattr(hits, "query_count", None) and
-                        hits.query_count * fetch_k).filter(cond)
-        out = rank_top(dedup_by_ocid(joined), k)
+        hits = write_once(top_k_similar(queries, corpus, fetch_k, query_id="profile_id", corpus_id="doc_id", through=["ocid"],
+                                        rank_col="hit_rank", **knn_options), "hits")
+        joined = enrich(hits, meta, written=True)
+        if filters.cpv_prefix is not None:
+            joined = _with_chunk(joined, hits, chunks, "cpv_codes")
+        out = rank_top(dedup_by_ocid(joined.filter(filters.column(cpv_col="cpv_codes"))), k).drop("cpv_codes")
     elif mode == "exact":
+        if filters.cpv_prefix is not None:
+            corpus = corpus.filter(FilterSpec(cpv_prefix=filters.cpv_prefix).column(cpv_col="cpv_codes"))
         if filters.needs_release():
-            cand = chunks.join(meta, "ocid", "inner").filter(cond)
-            carry = hit_cols + list(META_OUT)
-            hits = top_k_similar(queries, cand, k, query_id="profile_id", corpus_id="doc_id",
-                                 distinct_by="ocid", carry=carry, **knn_options)
-            out = hits
-        else:
-            cand = chunks.filter(cond) if filters.cpv_prefix is not None else chunks
-            hits = top_k_similar(queries, cand, k, query_id="profile_id", corpus_id="doc_id",
-                                 distinct_by="ocid", carry=hit_cols, **knn_options)
-            out = enrich(hits, meta, bounded_rows=getattr(hits, "query_count", None) and hits.query_count * k)
+            release_part = dataclasses.replace(filters, cpv_prefix=None)
+            corpus = reduce_to_keys(corpus, meta.filter(release_part.column()), "ocid")
+        hits = write_once(top_k_similar(queries, corpus, k, query_id="profile_id", corpus_id="doc_id", distinct_by="ocid",
+                                        **knn_options), "hits")
+        out = enrich(hits, meta, written=True)
     else:
         raise ValueError("mode must be 'exact' or 'overfetch'")
-    return _shape(out, text_bytes)
+    return _shape(_with_chunk(out, hits, chunks, "chunk_type", "text", "cpv_codes"), text_bytes)

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderlake.operators.embed import MODEL_DIM, embed_texts, hash_embed
+from tenderlake.operators.joins import reduce_to_keys
 from tenderlake.operators.knn import top_k_similar
+from tenderlake.session import write_once
 
 
 def search_text(queries: DataFrame, chunks: DataFrame, k: int = 10, dim: int = MODEL_DIM,
@@ -34,15 +36,20 @@ def search_text(queries: DataFrame, chunks: DataFrame, k: int = 10, dim: int = M
         qv = hash_embed(queries, query_id, query_text, dim)
         cv = corpus_vectors if corpus_vectors is not None else \
             hash_embed(chunks.select("doc_id", "text"), "doc_id", "text", dim)
-    corpus = chunks.select("doc_id", "ocid", "chunk_type", "text", "cpv_codes").join(cv, "doc_id", "inner")
-    hits = top_k_similar(qv, corpus, k, query_id=query_id, corpus_id="doc_id",
-                         carry=["ocid", "chunk_type", "text", "cpv_codes"], **knn_options)
-    return hits.select(query_id, "rank", "doc_id", "ocid", "chunk_type", "text", "cpv_codes", "score")
+    hits = top_k_similar(qv, cv.select("doc_id", "embedding"), k, query_id=query_id, corpus_id="doc_id", **knn_options)
+    return _with_chunks(hits, chunks, query_id)
+
+
+def _with_chunks(hits: DataFrame, chunks: DataFrame, query_id: str) -> DataFrame:
+    """The top-k needs ids and vectors only; the few hits then fetch their chunks."""
+    hits = write_once(hits, "hits")
+    found = reduce_to_keys(chunks.select("doc_id", "ocid", "chunk_type", "text", "cpv_codes"), hits, "doc_id", written=True)
+    return (hits.join(found, "doc_id")
+            .select(query_id, "rank", "doc_id", "ocid", "chunk_type", "text", "cpv_codes", "score"))
 
 
 def search_vectors(query_vectors: DataFrame, chunks: DataFrame, k: int = 10, query_id: str = "query_id",
                    **knn_options) -> DataFrame:
     """The same ranking for queries that already carry an ``embedding``."""
-    hits = top_k_similar(query_vectors, chunks, k, query_id=query_id, corpus_id="doc_id",
-                         carry=["ocid", "chunk_type", "text", "cpv_codes"], **knn_options)
-    return hits.select(query_id, "rank", "doc_id", "ocid", "chunk_type", "text", "cpv_codes", "score")
+    hits = top_k_similar(query_vectors, chunks.select("doc_id", "embedding"), k, query_id=query_id, corpus_id="doc_id", **knn_options)
+    return _with_chunks(hits, chunks, query_id)

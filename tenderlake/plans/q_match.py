@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tenderlake.functions.filters import FilterSpec
+from tenderlake.functions.text import NO_EMBEDDING_MESSAGE, NOTICE_BASE_URL, NOT_FOUND_MESSAGE
 from tenderlake.operators.knn import top_k_similar
 from tenderlake.operators.matching import (dedup_by_ocid, enrich, hit_ocids, match_tenders,
                                            resolve_profiles)
@@ -14,7 +15,7 @@ from tenderlake.plans.sql_filters import sql_where, truncate_sql
 from tenderlake.sources.stored import Views
 
 K = 10
-NOTICE_URL_SQL = "'https://oeffentlichevergabe.de/ui/de/search/details?noticeId='"
+NOTICE_URL_SQL = f"'{NOTICE_BASE_URL}'"
 
 
 def _ready_queries(t: Views):
@@ -116,7 +117,7 @@ SELECT profile_id, CAST(rank AS BIGINT) AS rank, doc_id, ocid, score FROM (
 WHERE rank <= {K}""", [("ready", _READY)]), headline=True)
 def knn_topk(spark, sf_dir):
     t = Views(spark, sf_dir)
-    hits = top_k_similar(_ready_queries(t), t.chunks, K, query_id="profile_id", carry=["ocid"])
+    hits = top_k_similar(_ready_queries(t), t.chunks, K, query_id="profile_id", through=["ocid"])
     return hits.select("profile_id", "rank", "doc_id", "ocid", r6("score").alias("score"))
 
 
@@ -127,10 +128,10 @@ SELECT profile_id, CAST(rank AS BIGINT) AS rank, doc_id, ocid, score FROM (
     FROM ready q CROSS JOIN chunks c WHERE c.embedding IS NOT NULL))
 WHERE rank <= {K}""", [("ready", _READY)]))
 def knn_topk_blocked(spark, sf_dir):
-    """Same result through the blocked (co-group) strategy used beyond the broadcast bound."""
+    """Same result with the queries cut into many blocks, as for query sets beyond one block."""
     t = Views(spark, sf_dir)
-    hits = top_k_similar(_ready_queries(t), t.chunks, K, query_id="profile_id", carry=["ocid"],
-                         strategy="blocked", block_rows=2, corpus_buckets=4)
+    hits = top_k_similar(_ready_queries(t), t.chunks, K, query_id="profile_id", through=["ocid"],
+                         block_bytes=2 * 8 * 64)
     return hits.select("profile_id", "rank", "doc_id", "ocid", r6("score").alias("score"))
 
 
@@ -144,12 +145,12 @@ def q_match_tenders_exact(spark, sf_dir):
     return run_match(spark, sf_dir, mode="exact")
 
 
-@query("profile_match_status", with_views(["requests", "profiles"], """
+@query("profile_match_status", with_views(["requests", "profiles"], f"""
 SELECT q.profile_id,
        CASE WHEN p.embedding IS NOT NULL THEN 'ready' WHEN p.id IS NOT NULL THEN 'no_embedding' ELSE 'not_found' END AS status,
        CASE WHEN p.embedding IS NOT NULL THEN NULL
-            WHEN p.id IS NOT NULL THEN 'No embedding found for this profile. The embedder may not have been available when the profile was created.'
-            ELSE 'No company profile found with ID: ' || q.profile_id END AS message
+            WHEN p.id IS NOT NULL THEN '{NO_EMBEDDING_MESSAGE}'
+            ELSE '{NOT_FOUND_MESSAGE}' || q.profile_id END AS message
 FROM requests q LEFT JOIN profiles p ON p.id = q.profile_id"""))
 def profile_match_status(spark, sf_dir):
     t = Views(spark, sf_dir)
@@ -163,7 +164,7 @@ _HITS30 = [("ready", _READY),
 
 
 def _hits30(t):
-    return top_k_similar(_ready_queries(t), t.chunks, 3 * K, query_id="profile_id", carry=["ocid"],
+    return top_k_similar(_ready_queries(t), t.chunks, 3 * K, query_id="profile_id", through=["ocid"],
                          rank_col="hit_rank")
 
 

@@ -7,9 +7,11 @@ its settings.  ``get_session`` is for tests, benches and local runs.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -40,25 +42,28 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder for intermediate tables.
 
-    The cluster names a shared folder there; the library only falls back to a
-    fresh local scratch folder when nothing is configured (local tests), and
-    then registers it with the SparkContext so ``checkpoint()`` works.
+    It is ``spark.checkpoint.dir``, else the folder the context was given by ``setCheckpointDir``.
+    A local session (tests) without either gets a scratch folder of its own; on a cluster a
+    machine-local folder would not be seen by the executors, so the setting is required there.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or _CONTEXT_DIRS.get(id(spark.sparkContext))
-    if not d:
-        d = tempfile.mkdtemp(prefix="tenderlake-ckpt-")
-        _CONTEXT_DIRS[id(spark.sparkContext)] = d
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tenderlake-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder
 
 
-_CONTEXT_DIRS: dict[int, str] = {}
+def write_once(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back.
 
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path for an intermediate table inside the shared checkpoint folder."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}"
+    What is read twice is computed once, a lost executor re-reads files, and the planner knows the
+    size of the result, so it chooses between broadcast and shuffle by bytes."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tenderlake-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

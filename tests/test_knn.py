@@ -1,5 +1,6 @@
-"""Exact top-k against brute force: ties, zero/NULL vectors, distinct keys, both strategies."""
+"""Exact top-k against brute force: ties, zero/NULL vectors, distinct keys, any number of query blocks."""
 
+import re
 import sys
 
 import numpy as np
@@ -30,9 +31,9 @@ def _brute(q, c, ids, keys, k, distinct):
     return out
 
 
-@pytest.mark.parametrize("strategy", ["broadcast", "blocked"])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 2 * 8 * 8])
 @pytest.mark.parametrize("distinct", [False, True])
-def test_topk_matches_brute_force(spark, strategy, distinct):
+def test_topk_matches_brute_force(spark, block_bytes, distinct):
     rng = np.random.default_rng(7)
     n, d = 300, 8
     c = rng.integers(-2, 3, size=(n, d)).astype(float)   # many exact ties
@@ -44,9 +45,8 @@ def test_topk_matches_brute_force(spark, strategy, distinct):
         [(ids[i], keys[i], c[i].tolist()) for i in range(n)] + [("dnull", "o0", None)],
         "doc_id string, ocid string, embedding array<float>")
     queries = spark.createDataFrame([(k_, v.tolist()) for k_, v in q.items()], "query_id string, embedding array<float>")
-    res = top_k_similar(queries, corpus.repartition(3), 7, carry=["ocid"],
-                        distinct_by="ocid" if distinct else None, strategy=strategy,
-                        block_rows=2, corpus_buckets=3).collect()
+    res = top_k_similar(queries, corpus.repartition(3), 7, through=["ocid"],
+                        distinct_by="ocid" if distinct else None, block_bytes=block_bytes).collect()
     got = {}
     for r in sorted(res, key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append((r.doc_id, r.score))
@@ -79,7 +79,7 @@ def test_plan_has_no_cartesian_product(spark):
     assert "MapInArrow" in plan and "WindowGroupLimit" in plan
 
 
-def test_auto_beyond_bound_and_small_sim_blocks(spark, monkeypatch):
+def test_many_query_blocks_and_small_sim_blocks(spark, monkeypatch):
     import tenderlake.operators.knn as knn
     monkeypatch.setattr(knn, "SIM_BLOCK_ELEMENTS", 64)      # forces query blocks inside every batch
     rng = np.random.default_rng(11)
@@ -91,7 +91,7 @@ def test_auto_beyond_bound_and_small_sim_blocks(spark, monkeypatch):
     c32 = np.array(c, dtype=np.float32).astype(float)
     q32 = {k_: np.array(v, dtype=np.float32).astype(float) for k_, v in q.items()}
     want = _brute(q32, c32, ids, ids, 5, False)
-    for opts in ({"max_broadcast_rows": 2, "block_rows": 4, "corpus_buckets": 3}, {}):
+    for opts in ({"block_bytes": 4 * 8 * 6}, {}):
         res = knn.top_k_similar(queries, corpus.repartition(2), 5, **opts).collect()
         got = {}
         for r in sorted(res, key=lambda r: (r.query_id, r.rank)):
@@ -99,18 +99,31 @@ def test_auto_beyond_bound_and_small_sim_blocks(spark, monkeypatch):
         assert got == want
 
 
-def test_candidate_budget_coalesces_scan(spark):
-    from tenderlake.operators.knn import _limit_candidate_volume, top_k_similar
-    corpus = spark.range(200).selectExpr("cast(id as string) as doc_id",
-                                         "array(cast(id % 7 as float), cast(id % 5 as float) + 1) as embedding")
-    corpus = corpus.repartition(16)
-    assert _limit_candidate_volume(corpus, 100, 10, 10_000).rdd.getNumPartitions() < 16
-    assert _limit_candidate_volume(corpus, 1, 1, 10_000).rdd.getNumPartitions() == 16
+def test_repeated_queries_count_once(spark):
+    corpus = spark.range(200).selectExpr("cast(id as string) as doc_id", "id as extra",
+                                         "array(cast(id % 7 as float), cast(id % 5 as float) + 1) as embedding").repartition(16)
+    queries = spark.createDataFrame([("q", [1.0, 1.0]), ("r", [1.0, 2.0])], "query_id string, embedding array<float>")
+    rows = lambda df: sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in df.collect())
+    once = rows(top_k_similar(queries, corpus, 5))
+    assert rows(top_k_similar(queries.unionByName(queries), corpus, 5)) == once
+    assert rows(top_k_similar(queries, corpus, 5, carry=["extra"])) == once
+
+
+def test_building_runs_no_job_over_the_corpus(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    corpus = (spark.range(50).selectExpr("cast(id as string) as doc_id", "'a long text' as text", "array(cast(id as float), 1f) as embedding")
+              .mapInArrow(count, "doc_id string, text string, embedding array<float>"))
     queries = spark.createDataFrame([("q", [1.0, 1.0])], "query_id string, embedding array<float>")
-    a = top_k_similar(queries, corpus, 5, candidate_budget_rows=10).collect()
-    b = top_k_similar(queries, corpus, 5).collect()
-    assert [(r.doc_id, r.score) for r in sorted(a, key=lambda r: r.rank)] == \
-        [(r.doc_id, r.score) for r in sorted(b, key=lambda r: r.rank)]
+    hits = top_k_similar(queries, corpus, 3)
+    assert seen.value == 0
+    plan = hits._sc._jvm.PythonSQLUtils.explainString(hits._jdf.queryExecution(), "formatted")
+    inner = plan[plan.rindex("MapInArrow"):]
+    assert hits.count() == 3 and seen.value == 50 and "text" not in re.findall(r"MapInArrow\nInput \[\d+\]: \[([^\]]*)\]", inner + plan)[0]
 
 
 def _parity_mask(qinfo, batch):
@@ -119,8 +132,8 @@ def _parity_mask(qinfo, batch):
     return qpar == rpar
 
 
-@pytest.mark.parametrize("strategy", ["broadcast", "blocked"])
-def test_pair_filter_is_exact(spark, strategy):
+@pytest.mark.parametrize("block_bytes", [1 << 20, 2 * 8 * 5])
+def test_pair_filter_is_exact(spark, block_bytes):
     from tenderlake.operators.knn import PairFilter
     rng = np.random.default_rng(3)
     c = rng.normal(size=(150, 5))
@@ -131,8 +144,8 @@ def test_pair_filter_is_exact(spark, strategy):
     queries = spark.createDataFrame([(k_, j % 2, v.tolist()) for j, (k_, v) in enumerate(q.items())],
                                     "query_id string, par int, embedding array<float>")
     pf = PairFilter(query_cols=("par",), corpus_cols=("rpar",), fn=_parity_mask)
-    res = top_k_similar(queries, corpus.repartition(3), 4, strategy=strategy, pair_filter=pf,
-                        block_rows=2, corpus_buckets=3).collect()
+    res = top_k_similar(queries, corpus.repartition(3), 4, pair_filter=pf,
+                        block_bytes=block_bytes).collect()
     c32 = np.array(c, dtype=np.float32).astype(float)
     for j, (k_, v) in enumerate(q.items()):
         keep = [i for i in range(150) if i % 2 == j % 2]

@@ -23,7 +23,12 @@ def test_top_k_runs_once_and_keys_are_broadcast(spark, name):
 
 
 def test_exact_filtered_match_pushes_release_filters(spark):
-    plan = _plan(spark, "filter_conjunction")
+    from tenderlake.plans.q_match import FILTER_CASES
+    from tenderlake.sources.stored import Views
+    import dataclasses
+    spec = dataclasses.replace(FILTER_CASES["filter_conjunction"], cpv_prefix=None)
+    keys = Views(spark, SF).meta.filter(spec.column()).select("ocid")           # what the match reduces the chunks to
+    plan = keys._sc._jvm.PythonSQLUtils.explainString(keys._jdf.queryExecution(), "formatted")
     assert "PushedFilters: [IsNotNull(status), IsNotNull(value_amount), EqualTo(status,active)" in plan
 
 
@@ -42,16 +47,40 @@ def test_aggregations_are_partial_before_the_shuffle(spark, name, partial):
     assert partial in plan and "hashpartitioning" in plan
 
 
-def test_knn_merge_is_window_group_limited(spark):
-    plan = _plan(spark, "knn_topk")
-    assert "MapInArrow" in plan and "WindowGroupLimit" in plan and "Window" in plan
+def test_knn_merge_is_window_group_limited_in_two_levels(spark):
+    from tenderlake.operators.knn import top_k_similar
+    from tenderlake.sources.stored import Views
+    t = Views(spark, SF)
+    queries = t.profiles.select("id", "embedding")
+    hits = top_k_similar(queries, t.chunks, 10, query_id="id")
+    plan = hits._sc._jvm.PythonSQLUtils.explainString(hits._jdf.queryExecution(), "formatted")
+    assert "MapInArrow" in plan and plan.count("WindowGroupLimit") >= 2 and "__salt" in plan and "text#" not in plan
 
 
-def test_reduce_to_keys_both_branches(spark):
+def test_reduce_to_keys_is_sized_in_bytes(spark):
     from tenderlake.operators.joins import reduce_to_keys
     big = spark.range(1000).selectExpr("cast(id as string) as k", "id as v")
     keys = spark.createDataFrame([("1",), ("5",), ("5",), ("zz",)], "k string")
-    small = reduce_to_keys(big, keys, "k", cap=10)
+    small = reduce_to_keys(big, keys, "k")
     plan = small._sc._jvm.PythonSQLUtils.explainString(small._jdf.queryExecution(), "formatted")
     assert sorted(r.k for r in small.collect()) == ["1", "5"] and "BroadcastHashJoin" in plan
-    assert reduce_to_keys(big, keys, "k", cap=2).count() == 1000      # too many keys: left to the join
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = reduce_to_keys(big, keys, "k")
+        plan = shuffled._sc._jvm.PythonSQLUtils.explainString(shuffled._jdf.queryExecution(), "formatted")
+        assert sorted(r.k for r in shuffled.collect()) == ["1", "5"] and "BroadcastHashJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+@pytest.mark.parametrize("name", ["filter_conjunction", "search_topk", "match_tenders"])
+def test_no_exchange_carries_texts(spark, name):
+    plan = _plan(spark, name)
+    for block in plan.split("\n\n"):
+        if "Exchange\nInput" in block and "Broadcast" not in block:
+            assert "text#" not in block, block
+
+
+def test_award_lot_link_needs_no_shuffle(spark):
+    assert "Exchange" not in _plan(spark, "award_lot_link")
