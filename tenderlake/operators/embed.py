@@ -63,12 +63,15 @@ def _densify(batches, id_col: str, dim: int, out_col: str):
 
 def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = MODEL_DIM,
                out_col: str = "embedding") -> DataFrame:
-    """Dense unit ``array<float>`` of width ``dim`` per id; texts without tokens get no row.
+    """Dense unit ``array<float>`` of width ``dim`` per id; a text without tokens has the zero vector.
 
     Per id at most ``dim`` (bucket, count) pairs are collected, then an Arrow
     batch scatters them into dense rows and normalises them with numpy."""
     sparse = hash_buckets(df, id_col, text_col, dim)
-    per_doc = (sparse.groupBy(id_col)
+    every = df.select(id_col, F.lit(None).cast(sparse.schema["bucket"].dataType).alias("bucket"),
+                      F.lit(None).cast(sparse.schema["count"].dataType).alias("count"))
+    # the marker row of each id has no bucket; collect_list leaves its nulls out
+    per_doc = (sparse.select(id_col, "bucket", "count").unionByName(every).groupBy(id_col)
                      .agg(F.collect_list("bucket").alias("buckets"), F.collect_list("count").alias("counts")))
     schema = T.StructType([df.schema[id_col], T.StructField(out_col, S.VECTOR)])
     return per_doc.mapInArrow(lambda it: _densify(it, id_col, dim, out_col), schema)
@@ -78,16 +81,45 @@ def mean_pool(tokens: DataFrame, text_col: str = "text_id", pos_col: str = "pos"
               mask_col: str = "mask", hidden_col: str = "hidden", normalize: bool = True) -> DataFrame:
     """Masked mean of token vectors per text and dimension, then L2 normalised.
 
-    A text whose tokens are all masked gets a zero vector."""
-    exploded = tokens.select(text_col, mask_col, F.posexplode(hidden_col).alias("dim", "x"))
-    keep = F.col(mask_col) > 0
-    per_dim = (exploded.groupBy(text_col, "dim")
-                       .agg(F.sum(F.when(keep, F.col("x").cast("double"))).alias("s"),
-                            F.count_if(keep).alias("n")))
-    mean = F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(F.lit(0.0))
-    vec = (per_dim.groupBy(text_col)
-                  .agg(F.sort_array(F.collect_list(F.struct(F.col("dim"), mean.alias("v")))).alias("e"))
-                  .select(text_col, F.transform("e", lambda s: s["v"]).alias("embedding")))
+    Token vectors are summed per text within each Arrow batch, so a text contributes one row a batch
+    to the shuffle, not one a token and dimension.  A text whose tokens are all masked gets a zero vector."""
+    id_field = tokens.schema[text_col]
+
+    def partial(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            live = pc.and_(pc.greater(b.column(mask_col), 0), pc.is_valid(b.column(hidden_col))).fill_null(False)
+            codes = b.column(text_col).dictionary_encode()
+            group = codes.indices.to_numpy(zero_copy_only=False) if not codes.null_count else \
+                codes.indices.fill_null(len(codes.dictionary)).to_numpy(zero_copy_only=False)
+            on = live.to_numpy(zero_copy_only=False)
+            n_groups = int(group.max()) + 1
+            counts = np.bincount(group[on], minlength=n_groups)
+            width = pc.max(pc.list_value_length(b.column(hidden_col))).as_py() or 0
+            sums = np.zeros((n_groups, width))
+            kept = b.column(hidden_col).filter(live)
+            if len(kept):
+                flat = pc.list_flatten(kept).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(kept), -1)
+                order = np.argsort(group[on], kind="stable")
+                g = group[on][order]
+                starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+                sums[g[starts]] = np.add.reduceat(flat[order], starts, axis=0)
+            first = np.full(n_groups, -1)
+            first[group[::-1]] = np.arange(len(group))[::-1]
+            seen = np.flatnonzero(first >= 0)
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(0, len(seen) * width + 1, width or 1, dtype=np.int32)[:len(seen) + 1]
+                                                    if width else np.zeros(len(seen) + 1, np.int32)), pa.array(sums[seen].ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(text_col).take(pa.array(first[seen])), pa.array(counts[seen].astype(np.int64)), vec],
+                                             names=[text_col, "n", "s"])
+
+    schema = T.StructType([id_field, T.StructField("n", T.LongType()), T.StructField("s", T.ArrayType(T.DoubleType()))])
+    parts = tokens.select(text_col, mask_col, hidden_col).mapInArrow(partial, schema)
+    add = lambda acc, x: F.when(F.size(acc) == 0, x).otherwise(F.zip_with(acc, x, lambda p, q: p + q))
+    per_text = parts.groupBy(text_col).agg(F.sum("n").alias("n"), F.collect_list("s").alias("parts"))   # one part a batch
+    total = F.aggregate("parts", F.array().cast("array<double>"), add)
+    vec = per_text.select(text_col, "n", total.alias("s")).select(
+        text_col, F.transform("s", lambda x: F.when(F.col("n") > 0, x / F.col("n")).otherwise(F.lit(0.0))).alias("embedding"))
     if normalize:
         vec = vec.withColumn("embedding", l2_normalize("embedding", as_float=False))
     return vec
@@ -119,7 +151,7 @@ def pool_and_normalize(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return np.divide(mean, norm, out=np.zeros_like(mean), where=norm > 0)
 
 
-_WORKER_MODELS: dict[int, BatchEmbedder] = {}
+FORWARD_TEXTS = 64                  # texts that go through the model at once
 
 
 def embed_texts(df: DataFrame, text_col: str, embedder_factory: Callable[[], BatchEmbedder] | None,
@@ -127,33 +159,33 @@ def embed_texts(df: DataFrame, text_col: str, embedder_factory: Callable[[], Bat
                 out_col: str = "embedding") -> DataFrame:
     """Append ``out_col`` (``array<float>`` of width ``dim``) computed by a batch model.
 
-    ``embedder_factory`` is called once per Python worker (lazy load); a
-    missing model is an error at plan time, not an empty result."""
+    ``embedder_factory`` is called once per task, on its first text; a missing model is an error at
+    plan time, not an empty result.  Texts go through the model ``FORWARD_TEXTS`` at a time, so memory
+    does not depend on the Arrow batch size."""
     if embedder_factory is None:
         raise EmbedderMissing("no embedding model supplied; pass embedder_factory")
     if role not in ("query", "passage"):
         raise ValueError("role must be 'query' or 'passage'")
     prefix = QUERY_PREFIX if role == "query" else PASSAGE_PREFIX
     out_schema = T.StructType(df.schema.fields + [T.StructField(out_col, S.VECTOR)])
-    key = id(embedder_factory)
 
     def run(batches):
-        model = _WORKER_MODELS.get(key)
-        if model is None:
-            model = _WORKER_MODELS[key] = embedder_factory()
+        model = None
         for b in batches:
             texts = b.column(text_col).to_pylist()
             live = [i for i, t in enumerate(texts) if t is not None]
-            vecs: list = [None] * len(texts)
-            if live:
-                ids, mask = model.tokenize([prefix + texts[i] for i in live], max_tokens)
+            rows = np.zeros((len(texts), dim), np.float32)
+            for lo in range(0, len(live), FORWARD_TEXTS):
+                model = model or embedder_factory()
+                some = live[lo:lo + FORWARD_TEXTS]
+                ids, mask = model.tokenize([prefix + texts[i] for i in some], max_tokens)
                 hidden = model.forward(ids, mask)
                 if hidden.ndim != 3 or hidden.shape[2] != dim:
                     raise ValueError(f"model output shape {hidden.shape}, expected (batch, seq, {dim})")
-                pooled = pool_and_normalize(hidden, mask).astype(np.float32)
-                for j, i in enumerate(live):
-                    vecs[i] = pooled[j].tolist()
-            arr = pa.array(vecs, type=pa.list_(pa.float32()))
+                rows[some] = pool_and_normalize(hidden, mask)
+            null = np.ones(len(texts), bool)
+            null[live] = False
+            arr = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, dim, dtype=np.int32)), pa.array(rows.ravel()), mask=pa.array(null))
             yield pa.RecordBatch.from_arrays(list(b.columns) + [arr], names=list(b.schema.names) + [out_col])
 
     return df.mapInArrow(run, out_schema)

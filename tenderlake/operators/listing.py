@@ -14,21 +14,23 @@ from pyspark.sql import functions as F
 from tenderlake.functions.filters import FilterSpec
 from tenderlake.operators.joins import reduce_to_keys
 from tenderlake.operators.metadata import match_deadline
+from tenderlake.session import write_once
 
 DEFAULT_LIMIT = 20
-MAX_LIMIT = 200
-# A page at offset o is a distributed top-(o + limit) whose final merge holds
-# o + limit rows; beyond this offset use keyset paging (``after=``).
-MAX_OFFSET = 10_000
+MAX_LIMIT = 200                 # the page size the tool documents; a larger page must be asked for by name
 SUMMARY_COLUMNS = ("ocid", "date", "title", "buyer_name", "status", "procurement_method",
                    "main_procurement_category", "value_amount", "value_currency", "deadline",
                    "result_code", "documents_url")
 
 
-def clamp_page(limit: int | None, offset: int | None) -> tuple[int, int]:
+def page_bounds(limit: int | None, offset: int | None, max_limit: int = MAX_LIMIT) -> tuple[int, int]:
+    """Defaults for a page; a limit outside 1..``max_limit`` or a negative offset is an error, never cut."""
     lim = DEFAULT_LIMIT if limit is None else int(limit)
-    lim = max(1, min(lim, MAX_LIMIT))
-    off = 0 if offset is None else max(0, int(offset))
+    off = 0 if offset is None else int(offset)
+    if not 1 <= lim <= max_limit:
+        raise ValueError(f"limit {lim} is not in 1..{max_limit}; pass max_limit for larger pages")
+    if off < 0:
+        raise ValueError("offset must not be negative")
     return lim, off
 
 
@@ -45,14 +47,12 @@ def summaries(df: DataFrame) -> DataFrame:
 
 def list_releases(meta: DataFrame, filters: FilterSpec = FilterSpec(), limit: int | None = None,
                   offset: int | None = None, after: tuple[str, str] | None = None,
-                  max_offset: int = MAX_OFFSET) -> DataFrame:
+                  max_limit: int = MAX_LIMIT) -> DataFrame:
     """One page of release summaries, newest first (``date desc, ocid asc``).
 
-    ``after=(date, ocid)`` continues after the last row of the previous page
-    (keyset paging); offsets above ``max_offset`` are refused in favour of it."""
-    lim, off = clamp_page(limit, offset)
-    if after is None and off > max_offset:
-        raise ValueError(f"offset {off} > {max_offset}: page with after=(date, ocid) of the previous page")
+    Any offset works; its cost grows with the offset.  ``after=(date, ocid)`` continues after the last
+    row of the previous page instead (keyset paging) and costs what the first page costs."""
+    lim, off = page_bounds(limit, offset, max_limit)
     df = filtered_releases(meta, filters)
     if after is not None:
         d, o = after
@@ -69,30 +69,25 @@ def count_releases(meta: DataFrame, filters: FilterSpec = FilterSpec()) -> DataF
     return filtered_releases(meta, filters).agg(F.count(F.lit(1)).alias("total"))
 
 
-LOOKUP_BROADCAST_KEYS = 1_000_000
-
-
-def get_releases(keys: DataFrame, releases: DataFrame,
-                 broadcast_below: int = LOOKUP_BROADCAST_KEYS) -> DataFrame:
-    """Look up releases by ``ocid``: every key comes back, with ``found``.
-
-    A key list proved small by a capped count (at most ``broadcast_below + 1``
-    rows are counted) is broadcast into a semi join, so the release table is
-    filtered where it lies; larger key sets use a plain shuffle join."""
-    k = keys.select("ocid")
-    r = reduce_to_keys(releases, k, "ocid", broadcast_below).withColumn("found", F.lit(True))
+def get_releases(keys: DataFrame, releases: DataFrame) -> DataFrame:
+    """Look up releases by ``ocid``: every key comes back, with ``found``."""
+    k = write_once(keys.select("ocid"), "keys")
+    r = reduce_to_keys(releases, k, "ocid", written=True).withColumn("found", F.lit(True))
     return (k.join(r, "ocid", "left")
              .withColumn("found", F.coalesce(F.col("found"), F.lit(False))))
 
 
 def index_info(releases: DataFrame, chunks: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Release, embedding and profile counts in one row (D1). Empty inputs give zeros."""
+    """Release, embedding and profile counts in one row (D1). Empty inputs give zeros.
+
+    Vectors have one width, so it is read from one row; the counts need only whether a vector is there."""
     r = releases.agg(F.count(F.lit(1)).alias("api_release_count"))
-    c = chunks.agg(F.count("embedding").alias("api_embedding_count"),
-                   F.coalesce(F.max(F.size("embedding")), F.lit(0)).cast("long").alias("dimension"))
+    c = chunks.agg(F.count("embedding").alias("api_embedding_count"))
+    d = chunks.filter(F.col("embedding").isNotNull()).select(F.size("embedding").cast("long").alias("dimension")).limit(1)
     p = profiles.agg(F.count(F.lit(1)).alias("company_profile_count"),
                      F.count_if(F.col("embedding").isNull()).alias("unembedded_profile_count"))
-    parts = r.unionByName(c, allowMissingColumns=True).unionByName(p, allowMissingColumns=True)
+    parts = (r.unionByName(c, allowMissingColumns=True).unionByName(d, allowMissingColumns=True)
+             .unionByName(p, allowMissingColumns=True))
     cols = ["api_release_count", "api_embedding_count", "dimension", "company_profile_count",
             "unembedded_profile_count"]
     return parts.agg(*[F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c) for c in cols])

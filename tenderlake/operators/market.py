@@ -11,26 +11,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenderlake.operators.joins import reduce_to_keys
 from tenderlake.operators.metadata import location_nuts
+from tenderlake.session import write_once
 
 # EU thresholds for the threshold class (EUR).
 EU_THRESHOLD_SUPPLIES_SERVICES = 221_000.0
 EU_THRESHOLD_WORKS = 5_538_000.0
 PLACEHOLDER_AWARD_VALUE = 1.0
 CONFIDENTIAL_VALUE_FLAG = "val-tot"
-RESULT_CODES = ("selec-w", "clos-nw", "open-nw")
+SUBMITTED_TENDERS = "tenders"       # code of the submission statistic that counts bids
 
 
-def competitor_parties(releases: DataFrame, ocids: DataFrame | None = None,
-                       broadcast_keys: bool = False) -> DataFrame:
-    """One row per (release, organisation) in role ``tenderer`` or ``supplier``.
-
-    ``broadcast_keys`` marks a key set whose size the caller has checked, so the
-    releases are filtered where they lie instead of being shuffled."""
-    keys = None if ocids is None else ocids.select("ocid").distinct()
-    if keys is not None and broadcast_keys:
-        keys = F.broadcast(keys)
-    r = releases if keys is None else releases.join(keys, "ocid", "left_semi")
+def competitor_parties(releases: DataFrame, ocids: DataFrame | None = None, written: bool = False) -> DataFrame:
+    """One row per (release, organisation) in role ``tenderer`` or ``supplier``."""
+    r = releases if ocids is None else reduce_to_keys(releases, ocids, "ocid", written)
     p = r.select("ocid", F.explode("parties").alias("p"))
     roles = F.col("p.roles")
     return (p.filter(F.array_contains(roles, "tenderer") | F.array_contains(roles, "supplier"))
@@ -47,44 +42,61 @@ def competitor_frequency(releases: DataFrame, ocids: DataFrame | None = None) ->
 
 
 def likely_winner(releases: DataFrame) -> DataFrame:
-    """Award releases: award suppliers if any; else the only tenderer; else unknown."""
+    """Award releases: award suppliers if any; else parties in role supplier; else the only tenderer; else unknown."""
     award = releases.filter(F.array_contains(F.col("tag"), "award"))
-    suppliers = F.array_sort(F.array_distinct(F.filter(
-        F.flatten(F.transform(F.col("awards"), lambda a: F.transform(a["suppliers"], lambda s: s["name"]))),
-        lambda x: x.isNotNull())))
-    tenderers = F.filter(F.col("parties"), lambda p: F.array_contains(p["roles"], "tenderer"))
+    names = lambda c: F.array_sort(F.array_distinct(F.filter(c, lambda x: x.isNotNull())))
+    in_role = lambda role: F.filter(F.col("parties"), lambda p: F.array_contains(p["roles"], role))
+    suppliers = names(F.flatten(F.transform(F.col("awards"), lambda a: F.transform(a["suppliers"], lambda s: s["name"]))))
+    parties = names(F.transform(in_role("supplier"), lambda p: p["name"]))
+    named = F.when(F.size(suppliers) > 0, suppliers).when(F.size(parties) > 0, parties)
+    tenderers = in_role("tenderer")
     return award.select(
         "ocid",
-        F.when(F.size(suppliers) > 0, F.array_join(suppliers, ","))
+        F.when(named.isNotNull(), F.array_join(named, ","))
          .when(F.size(tenderers) == 1, F.get(tenderers, 0)["name"]).alias("winner"),
-        F.when(F.size(suppliers) > 0, F.lit("supplier"))
+        F.when(named.isNotNull(), F.lit("supplier"))
          .when(F.size(tenderers) == 1, F.lit("sole_tenderer")).otherwise(F.lit("unknown")).alias("basis"))
 
 
 def cpv_levels(cpv: Column) -> list[Column]:
-    """Division / group / class prefixes (2, 4, 5 digits) of an 8-digit CPV code (H7)."""
-    return [F.substring(cpv, 1, n).alias(f"d{n}") for n in (2, 4, 5)]
+    """Division, group, class prefixes (2, 4, 5 digits) and the whole 8 digits of a CPV code (H7)."""
+    return [F.substring(cpv, 1, n).alias(f"d{n}") for n in (2, 4, 5, 8)]
+
+
+def _with_lot_amounts(releases: DataFrame, *cols: str) -> DataFrame:
+    """``ocid``, ``cols`` and ``lot_amount``: a map from lot id to its value; of lots that share an id the first counts."""
+    entries = F.array_sort(F.transform("tender.lots", lambda l, i: F.struct(l["id"].alias("id"), i.alias("i"), l["value"]["amount"].alias("amount"))))
+    r = releases.select("ocid", *cols, entries.alias("_lots"))
+    first = F.filter("_lots", lambda e, i: e["id"].isNotNull() & ((i == 0) | ~F.get(F.col("_lots"), i - 1)["id"].eqNullSafe(e["id"])))
+    return r.select("ocid", *[c.split(".")[-1] for c in cols],
+                    F.map_from_entries(F.transform(first, lambda e: F.struct(e["id"], e["amount"]))).alias("lot_amount"))
 
 
 def release_items(releases: DataFrame) -> DataFrame:
     """Items with their CPV code and the value of the lot they belong to."""
-    it = releases.select("ocid", F.col("tender.lots").alias("lots"), F.explode("tender.items").alias("item"))
-    lot_value = F.get(F.filter("lots", lambda l: l["id"] == F.col("item.relatedLot")), 0)["value"]["amount"]
-    return it.select("ocid", F.col("item.classification.id").alias("cpv"), lot_value.alias("amount"))
+    it = _with_lot_amounts(releases, "tender.items").select("ocid", "lot_amount", F.explode("items").alias("item"))
+    return it.select("ocid", F.col("item.classification.id").alias("cpv"),
+                     F.element_at("lot_amount", F.col("item.relatedLot")).alias("amount"))
 
 
 def cpv_rollup(releases: DataFrame) -> DataFrame:
-    """Item counts, releases and lot value per CPV division, group and class."""
+    """Item counts, releases and lot value per CPV division, group, class and code."""
     items = release_items(releases).filter(F.col("cpv").isNotNull())
     return (items.select("ocid", "amount", *cpv_levels(F.col("cpv")))
-                 .rollup("d2", "d4", "d5")
+                 .rollup("d2", "d4", "d5", "d8")
                  .agg(F.grouping_id().cast("long").alias("gid"), F.count(F.lit(1)).alias("n_items"),
                       F.count_distinct("ocid").alias("n_releases"), F.sum("amount").alias("value")))
 
 
 def method_competition(releases: DataFrame) -> DataFrame:
-    """Releases, bidders, awards and value per procurement method."""
-    bids = F.size(F.filter("parties", lambda p: F.array_contains(p["roles"], "tenderer")))
+    """Releases, bids, awards and value per procurement method.
+
+    Bids are the tenders that the awards' submission statistics count, else the parties in role tenderer."""
+    counted = F.filter(F.flatten(F.transform(F.filter("awards", lambda a: a["submissionStatistics"].isNotNull()),
+                                             lambda a: a["submissionStatistics"])),
+                       lambda s: (s["code"] == SUBMITTED_TENDERS) & s["count"].isNotNull())
+    parties = F.size(F.filter("parties", lambda p: F.array_contains(p["roles"], "tenderer"))).cast("long")
+    bids = F.when(F.size(counted) > 0, F.aggregate(counted, F.lit(0).cast("long"), lambda acc, s: acc + s["count"])).otherwise(parties)
     has_awards = F.coalesce(F.exists("awards", lambda a: F.coalesce(F.size(a["suppliers"]), F.lit(0)) > 0),
                             F.lit(False))
     base = releases.select(F.col("tender.procurementMethod").alias("procurement_method"), bids.alias("bids"),
@@ -132,12 +144,19 @@ def estimate_vs_award(releases: DataFrame) -> DataFrame:
 
 
 def result_by_month(releases: DataFrame) -> DataFrame:
-    """Release counts per month and result code."""
-    base = releases.select(F.substring("date", 1, 7).alias("month"),
-                           F.coalesce(F.col("tender.resultCode"), F.lit("none")).alias("code"))
-    p = base.groupBy("month").pivot("code", list(RESULT_CODES) + ["none"]).agg(F.count(F.lit(1)))
-    return p.select("month", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c.replace("-", "_"))
-                               for c in list(RESULT_CODES) + ["none"]])
+    """Release counts per month and result code, any code (D15); without one it counts as ``none``."""
+    return _by_month(releases, F.coalesce(F.col("tender.resultCode"), F.lit("none")).alias("result_code"))
+
+
+def result_status_by_month(releases: DataFrame) -> DataFrame:
+    """Release counts per month, result code and tender status."""
+    return _by_month(releases, F.coalesce(F.col("tender.resultCode"), F.lit("none")).alias("result_code"),
+                     F.coalesce(F.col("tender.status"), F.lit("none")).alias("status"))
+
+
+def _by_month(releases: DataFrame, *keys: Column) -> DataFrame:
+    base = releases.select(F.substring("date", 1, 7).alias("month"), *keys)
+    return base.groupBy(*base.columns).agg(F.count(F.lit(1)).alias("n_releases"))
 
 
 def criteria_weights(releases: DataFrame) -> DataFrame:
@@ -171,15 +190,26 @@ def nuts_rollup(releases: DataFrame, levels=(2, 3, 4, 5)) -> DataFrame:
 
 
 def award_lot_link(releases: DataFrame) -> DataFrame:
-    """Awards linked to the lots (and items) they cover (C7): explode + equi-join on (ocid, lot id)."""
-    aw = (releases.select("ocid", F.explode("awards").alias("a"))
-                  .select("ocid", F.col("a.id").alias("award_id"), F.explode("a.relatedLots").alias("lot_id"),
-                          F.size("a.suppliers").alias("n_suppliers")))
-    lots = (releases.select("ocid", F.explode("tender.lots").alias("l"))
-                    .select("ocid", F.col("l.id").alias("lot_id"), F.col("l.value.amount").alias("lot_amount")))
-    items = (releases.select("ocid", F.explode("tender.items").alias("i"))
-                     .select("ocid", F.col("i.relatedLot").alias("lot_id"), F.col("i.classification.id").alias("item_cpv")))
-    return aw.join(lots, ["ocid", "lot_id"], "left").join(items, ["ocid", "lot_id"], "left")
+    """Awards linked to the lots (and items) they cover.
+
+    Awards, lots and items of a process are in one row, so the link is two map lookups there: no
+    shuffle, and each array is sorted once instead of searched per award."""
+    r = _with_lot_amounts(releases, "awards", "tender.items")
+    by_lot = F.array_sort(F.transform(F.filter("items", lambda x: x["relatedLot"].isNotNull()),
+                                      lambda x, i: F.struct(x["relatedLot"].alias("lot"), i.alias("i"), x["classification"]["id"].alias("cpv"))))
+    r = r.select("ocid", "awards", "lot_amount", by_lot.alias("_items"))
+    starts = F.filter(F.transform("_items", lambda x, i: F.when((i == 0) | (F.get(F.col("_items"), i - 1)["lot"] != x["lot"]), i)),
+                      lambda p: p.isNotNull())
+    r = r.select("ocid", "awards", "lot_amount", "_items", starts.alias("_at"))
+    upto = lambda k: F.coalesce(F.get(F.col("_at"), k + 1), F.size("_items"))
+    groups = F.map_from_arrays(F.transform("_at", lambda p: F.get(F.col("_items"), p)["lot"]),
+                               F.transform("_at", lambda p, k: F.slice(F.col("_items"), p + 1, upto(k) - p)))
+    aw = (r.select("ocid", "lot_amount", groups.alias("_by_lot"), F.explode("awards").alias("a"))
+           .select("ocid", "lot_amount", "_by_lot", F.col("a.id").alias("award_id"), F.explode("a.relatedLots").alias("lot_id"),
+                   F.size("a.suppliers").alias("n_suppliers")))
+    return aw.select("ocid", "lot_id", "award_id", "n_suppliers", F.element_at("lot_amount", F.col("lot_id")).alias("lot_amount"),
+                     F.explode_outer(F.element_at("_by_lot", F.col("lot_id"))).alias("_item")).select(
+                         "ocid", "lot_id", "award_id", "n_suppliers", "lot_amount", F.col("_item.cpv").alias("item_cpv"))
 
 
 def lifecycle(releases: DataFrame) -> DataFrame:
@@ -206,12 +236,9 @@ def competitors(requests: DataFrame, profiles: DataFrame, chunks: DataFrame, rel
     match with ``tag=award, has_awards=true`` -> release parties -> counts per organisation."""
     from tenderlake.functions.filters import FilterSpec
     from tenderlake.operators.matching import match_tenders
-    from tenderlake.operators.matching import materialize_hits
-    m = materialize_hits(match_tenders(requests, profiles, chunks, meta, FilterSpec(tag="award", has_awards=True),
-                                       k=k, mode=mode).select("profile_id", "ocid"))
-    from tenderlake.operators.matching import HIT_KEYS_BROADCAST_ROWS
-    small = m.count() <= HIT_KEYS_BROADCAST_ROWS        # cheap: m is a checkpointed, bounded table
-    parties = competitor_parties(releases, m.select("ocid"), broadcast_keys=small)
+    m = write_once(match_tenders(requests, profiles, chunks, meta, FilterSpec(tag="award", has_awards=True),
+                                 k=k, mode=mode).select("profile_id", "ocid"), "matches")
+    parties = competitor_parties(releases, m, written=True)
     return (m.join(parties, "ocid")
              .groupBy("profile_id", "name")
              .agg(F.count_distinct("ocid").alias("n_releases"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tenderlake.functions.filters import FilterSpec
-from tenderlake.operators.listing import count_releases, get_releases, index_info, list_releases
+from tenderlake.operators.listing import count_releases, get_releases, index_info, list_releases, summaries
+from tenderlake.operators.metadata import release_metadata
 from tenderlake.plans.oracle_views import with_views
 from tenderlake.plans.registry import joined, query, r6
 from tenderlake.plans.sql_filters import sql_where
@@ -64,11 +65,18 @@ def list_releases_page(spark, sf_dir):
     return _present(list_releases(_meta(spark, sf_dir), PAGE_FILTER, limit=20, offset=40))
 
 
-@query("list_releases_clamped", with_views(LIST_VIEWS, f"""
-SELECT {SUMMARY_SQL} FROM releases r ORDER BY r.date DESC, r.ocid LIMIT 200"""))
-def list_releases_clamped(spark, sf_dir):
-    """A limit above the maximum is clamped to 200."""
-    return _present(list_releases(_meta(spark, sf_dir), FilterSpec(), limit=5000))
+@query("list_releases_large_page", with_views(LIST_VIEWS, f"""
+SELECT {SUMMARY_SQL} FROM releases r ORDER BY r.date DESC, r.ocid LIMIT 5000"""))
+def list_releases_large_page(spark, sf_dir):
+    """A page above the documented 200 that the caller asked for by name."""
+    return _present(list_releases(_meta(spark, sf_dir), FilterSpec(), limit=5000, max_limit=5000))
+
+
+@query("list_releases_deep_offset", with_views(LIST_VIEWS, f"""
+SELECT {SUMMARY_SQL} FROM releases r ORDER BY r.date DESC, r.ocid LIMIT 50 OFFSET 12000"""))
+def list_releases_deep_offset(spark, sf_dir):
+    """Any offset is served."""
+    return _present(list_releases(_meta(spark, sf_dir), FilterSpec(), limit=50, offset=12000))
 
 
 @query("list_releases_total", with_views(LIST_VIEWS, f"""
@@ -121,3 +129,14 @@ def q_release_nuts(spark, sf_dir):
     m = _meta(spark, sf_dir)
     return (m.filter(F.size("location_nuts") > 0)
              .select("ocid", joined("location_nuts", sort=False).alias("location_nuts")))
+
+
+@query("release_metadata", with_views(LIST_VIEWS, f"""
+SELECT {SUMMARY_SQL}, r.has_awards, r.eu_funded,
+       coalesce((SELECT string_agg(DISTINCT p.nuts, ',' ORDER BY p.nuts) FROM party_nuts p WHERE p.ocid = r.ocid), '') AS party_nuts
+FROM releases r"""))
+def q_release_metadata(spark, sf_dir):
+    """The projection of nested releases itself, row by row."""
+    m = release_metadata(Views(spark, sf_dir).releases)
+    extra = m.select("ocid", "has_awards", "eu_funded", joined("party_nuts").alias("party_nuts"))
+    return _present(summaries(m)).join(extra, "ocid")

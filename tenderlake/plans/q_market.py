@@ -49,21 +49,24 @@ def q_likely_winner(spark, sf_dir):
 
 
 @query("cpv_rollup", with_views(["releases", "lots"], """
-SELECT CAST(GROUPING(d2, d4, d5) AS BIGINT) AS gid, d2, d4, d5, count(*) AS n_items,
+SELECT CAST(GROUPING(d2, d4, d5, d8) AS BIGINT) AS gid, d2, d4, d5, d8, count(*) AS n_items,
        count(DISTINCT ocid) AS n_releases, round(sum(amount), 2) AS value
-FROM (SELECT r.ocid, substr(l.cpv, 1, 2) AS d2, substr(l.cpv, 1, 4) AS d4, substr(l.cpv, 1, 5) AS d5, l.amount
+FROM (SELECT r.ocid, substr(l.cpv, 1, 2) AS d2, substr(l.cpv, 1, 4) AS d4, substr(l.cpv, 1, 5) AS d5,
+             substr(l.cpv, 1, 8) AS d8, l.amount
       FROM releases r JOIN lots l ON l.orderkey = r.orderkey WHERE l.cpv IS NOT NULL)
-GROUP BY ROLLUP (d2, d4, d5)"""))
+GROUP BY ROLLUP (d2, d4, d5, d8)"""))
 def q_cpv_rollup(spark, sf_dir):
     c = M.cpv_rollup(_rel(spark, sf_dir))
-    return c.select("gid", "d2", "d4", "d5", "n_items", "n_releases", r2("value").alias("value"))
+    return c.select("gid", "d2", "d4", "d5", "d8", "n_items", "n_releases", r2("value").alias("value"))
 
 
-@query("method_competition", with_views(["releases"], """
-SELECT procurement_method, count(*) AS n_releases, round(avg(n_tenderers), 6) AS avg_bids,
+@query("method_competition", with_views(["releases", "lots"], """
+SELECT procurement_method, count(*) AS n_releases,
+       round(avg(CASE WHEN order_status = 'F' THEN coalesce(s.n, 0) ELSE n_tenderers END), 6) AS avg_bids,
        count(*) FILTER (WHERE has_awards) AS n_awarded, round(sum(value_amount), 2) AS total_value,
        round(avg(value_amount), 6) AS avg_value
-FROM releases GROUP BY procurement_method"""), headline=True)
+FROM releases r LEFT JOIN (SELECT orderkey, count(DISTINCT suppkey) AS n FROM lots GROUP BY orderkey) s ON s.orderkey = r.orderkey
+GROUP BY procurement_method"""), headline=True)
 def q_method_competition(spark, sf_dir):
     m = M.method_competition(_rel(spark, sf_dir))
     return m.select("procurement_method", "n_releases", r6("avg_bids").alias("avg_bids"), "n_awarded",
@@ -97,16 +100,20 @@ def q_estimate_vs_award(spark, sf_dir):
 
 
 @query("result_by_month", with_views(["releases"], """
-SELECT substr(date, 1, 7) AS month,
-       count(*) FILTER (WHERE result_code = 'selec-w') AS selec_w,
-       count(*) FILTER (WHERE result_code = 'clos-nw') AS clos_nw,
-       count(*) FILTER (WHERE result_code = 'open-nw') AS open_nw,
-       count(*) FILTER (WHERE result_code IS NULL) AS none
-FROM releases GROUP BY 1"""))
+SELECT substr(date, 1, 7) AS month, coalesce(result_code, 'none') AS result_code, count(*) AS n_releases
+FROM releases GROUP BY 1, 2"""))
 def q_result_by_month(spark, sf_dir):
     return M.result_by_month(_rel(spark, sf_dir))
 
 
+@query("result_status_by_month", with_views(["releases"], """
+SELECT substr(date, 1, 7) AS month, coalesce(result_code, 'none') AS result_code, coalesce(status, 'none') AS status,
+       count(*) AS n_releases
+FROM releases GROUP BY 1, 2, 3"""))
+def q_result_status_by_month(spark, sf_dir):
+    return M.result_status_by_month(_rel(spark, sf_dir))
+
+
 _CRIT = ("crit", """SELECT ocid, 'price' AS t, price_weight AS w FROM releases
                     UNION ALL SELECT ocid, 'quality', 100.0 - price_weight FROM releases""")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tenderlake import schemas as S
 from tenderlake.functions.filters import FilterSpec
 from tenderlake.operators.embed import EmbedderMissing, embed_texts, hash_embed, mean_pool
-from tenderlake.operators.listing import clamp_page, index_info, list_releases
+from tenderlake.operators.listing import index_info, list_releases, page_bounds
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -65,11 +65,14 @@ def test_hash_embed_whole_text(spark):
     df = spark.createDataFrame([(1, long_text), (2, "!!!")], "id long, text string")
     rows = {r.id: r.embedding for r in hash_embed(df, "id", "text", 16).collect()}
     v = np.array(rows[1])
-    assert 2 not in rows and abs(np.linalg.norm(v) - 1) < 1e-6 and np.count_nonzero(v) == 2
+    assert rows[2] == [0.0] * 16 and abs(np.linalg.norm(v) - 1) < 1e-6 and np.count_nonzero(v) == 2
 
 
-def test_clamp_page():
-    assert clamp_page(None, None) == (20, 0) and clamp_page(5000, -1) == (200, 0)
+def test_page_bounds():
+    assert page_bounds(None, None) == (20, 0) and page_bounds(5000, 30_000, max_limit=5000) == (5000, 30_000)
+    for limit, offset in ((201, 0), (0, 0), (5, -1)):
+        with pytest.raises(ValueError):
+            page_bounds(limit, offset)
 
 
 def test_listing_pushes_filters_to_scan(spark):
@@ -100,57 +103,19 @@ def test_json_sink_omits_null_documents_url(spark, tmp_path):
     assert rows[1] == {"ocid": "b", "documents_url": "u", "title": None}
 
 
-def test_deep_offset_needs_keyset(spark):
+def test_deep_offset_and_keyset(spark):
     from tenderlake.sources.stored import Views
     meta = Views(spark, "/root/testdata/sf0.001").meta
-    with pytest.raises(ValueError):
-        list_releases(meta, offset=50_000)
+    n = meta.count()
+    assert list_releases(meta, offset=50_000).count() == 0
+    assert [r.ocid for r in list_releases(meta, limit=5, offset=n - 2).collect()] == \
+        [r.ocid for r in list_releases(meta, limit=n, max_limit=n).collect()][-2:]
     first = list_releases(meta, limit=3).collect()
     nxt = list_releases(meta, limit=3, after=(first[-1].date, first[-1].ocid)).collect()
     both = list_releases(meta, limit=6).collect()
     assert [r.ocid for r in first + nxt] == [r.ocid for r in both]
 
 
-class _FakeInput:
-    def __init__(self, name):
-        self.name = name
-
-
-class _FakeSession:
-    """Stands in for an ONNX session: hidden state = one-hot of (token id % 3)."""
-
-    def get_inputs(self):
-        return [_FakeInput("input_ids"), _FakeInput("attention_mask"), _FakeInput("token_type_ids")]
-
-    def run(self, _outputs, feed):
-        assert set(feed) == {"input_ids", "attention_mask", "token_type_ids"}
-        return [np.eye(3)[feed["input_ids"] % 3]]
-
-
-def _word_tokenizer():
-    from tokenizers import Tokenizer
-    from tokenizers.models import WordLevel
-    from tokenizers.pre_tokenizers import Whitespace
-    tok = Tokenizer(WordLevel({"[UNK]": 0, "query": 1, ":": 2, "bau": 3, "brücke": 4}, unk_token="[UNK]"))
-    tok.pre_tokenizer = Whitespace()
-    return tok
-
-
-def test_onnx_embedder_adapter(spark):
-    from tenderlake.operators.onnx_embedder import OnnxEmbedder
-    tok_json = _word_tokenizer().to_str()
-
-    def factory():
-        from tokenizers import Tokenizer
-        return OnnxEmbedder(session=_FakeSession(), tokenizer=Tokenizer.from_str(tok_json))
-
-    df = spark.createDataFrame([(1, "bau brücke"), (2, "bau")], "id long, text string")
-    out = {r.id: r.embedding for r in embed_texts(df, "text", factory, role="query", dim=3, max_tokens=3).collect()}
-    # "query: bau brücke" -> ids [1, 2, 3] after the 3-token limit -> one-hots of 1, 2, 0
-    assert np.allclose(out[1], np.array([1, 1, 1]) / np.sqrt(3))
-    assert np.allclose(out[2], np.array([1, 1, 1]) / np.sqrt(3))
-
-
 def test_match_responses_shape(spark):
     import json
     from tenderlake.operators.matching import match_tenders
