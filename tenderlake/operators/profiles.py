@@ -8,13 +8,19 @@ the reference reports an outcome, a status frame).  All are joins on ``id``
 
 from __future__ import annotations
 
+import functools
+import re
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenderlake import schemas as S
+from tenderlake.session import write_once
 
 PROFILE_COLUMNS = ("id", "name", "description", "cpv_codes", "categories", "location",
                    "created_at", "embedding")
@@ -30,10 +36,10 @@ def _strings_or_empty(c: Column) -> Column:
 # ------------------------------------------------------------------ encoding
 
 def decode_json_array(text: Column) -> Column:
-    """JSON text -> array<string>; NULL, malformed or non-array text gives [] (A3)."""
+    """JSON text -> array<string>; NULL, malformed or non-array text, or one with a null in it, gives [] (A3)."""
     parsed = F.from_json(text, STRINGS)
     shape = F.coalesce(F.schema_of_variant(F.try_parse_json(text)), F.lit(""))
-    ok = shape.isin("ARRAY<STRING>", "ARRAY<VOID>")
+    ok = (shape == "ARRAY<STRING>") & ~F.exists(parsed, lambda x: x.isNull())
     return F.when(ok, _strings_or_empty(parsed)).otherwise(F.array().cast(STRINGS))
 
 
@@ -43,10 +49,16 @@ def encode_json_array(arr: Column) -> Column:
 
 
 def conform(df: DataFrame) -> DataFrame:
-    """Bring any profile frame to the current schema (A5): an old snapshot
-    without ``embedding`` gains a NULL vector; rows are kept."""
+    """Bring any profile frame to the current schema (A3, A4, A5): lists stored as JSON text are decoded, a
+    binary vector is read as little-endian f32, and an old snapshot without ``embedding`` gains a NULL
+    vector; rows are kept."""
     cols = set(df.columns)
     out = df
+    for c in ("cpv_codes", "categories"):
+        if c in cols and isinstance(df.schema[c].dataType, T.StringType):
+            out = out.withColumn(c, decode_json_array(F.col(c)))
+    if "embedding" in cols and isinstance(df.schema["embedding"].dataType, T.BinaryType):
+        out = vectors_from_blobs(out, "embedding", "embedding")
     for f in S.PROFILE.fields:
         if f.name not in cols:
             out = out.withColumn(f.name, F.lit(None).cast(f.dataType))
@@ -56,9 +68,28 @@ def conform(df: DataFrame) -> DataFrame:
 
 
 def read_profiles(spark: SparkSession, *paths: str) -> DataFrame:
-    """Read one or more snapshot folders, old and new layouts alike (A3, A5)."""
-    df = spark.read.option("mergeSchema", "true").parquet(*paths)
-    return conform(df)
+    """Read snapshots, old and new layouts alike.
+
+    A path that holds versions (``v=<n>``) is read as its latest one; several paths are read together,
+    each in its own layout."""
+    frames = []
+    for path in paths:
+        df = conform(spark.read.parquet(_latest(spark, path)))
+        frames.append(df)
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def _latest(spark: SparkSession, path: str) -> str:
+    """``path``, or its folder ``v=<n>`` of the largest n (found through Spark's own file listing)."""
+    if re.search(r"/v=\d+/?$", path):
+        return path
+    found = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+             .select(F.regexp_extract("path", r"/v=(\d+)/[^/]*$", 1).alias("v")).filter("v <> ''")
+             .agg(F.max(F.col("v").cast("bigint"))).first()[0])
+    return path if found is None else f"{path.rstrip('/')}/v={found}"
 
 
 def write_snapshot(df: DataFrame, base: str, version: int) -> str:
@@ -70,11 +101,12 @@ def write_snapshot(df: DataFrame, base: str, version: int) -> str:
 
 # ---------------------------------------------------------------- operations
 
-def create_profiles(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
-    """Insert a batch (K1): arrays default to [], vector NULL until embedded.
+def create_profiles(snapshot: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Insert a batch (K1).  Returns (next snapshot, status[id, created, embedded]).
 
-    ``id`` and ``created_at`` are taken from the batch when present, else a
-    random UUID and the current UTC time (H12)."""
+    Arrays default to [], the vector is NULL until embedded.  ``id`` and ``created_at`` are taken from
+    the batch when present, else a random UUID and the current UTC time (H12).  An id that exists, or that
+    repeats within the batch, is not inserted again: the existing row, or the first by content, stays."""
     cols = set(batch.columns)
     new = batch.select(
         (F.col("id") if "id" in cols else F.expr("uuid()")).alias("id"),
@@ -84,12 +116,28 @@ def create_profiles(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
         (F.col("location") if "location" in cols else F.lit(None).cast("string")).alias("location"),
         (F.col("created_at") if "created_at" in cols else F.current_timestamp()).alias("created_at"),
         F.lit(None).cast(S.VECTOR).alias("embedding"))
-    return conform(snapshot).unionByName(conform(new))
+    new = write_once(conform(new), "new-profiles")      # random ids are drawn once
+    snap = conform(snapshot)
+    known = snap.select("id").withColumn("__known", F.lit(True))
+    first = Window.partitionBy("id").orderBy("__known", "name", "description", "location", "created_at", F.xxhash64("cpv_codes", "categories"))
+    marked = new.join(known, "id", "left").withColumn("__n", F.row_number().over(first))
+    fresh = F.col("__known").isNull() & (F.col("__n") == 1)
+    status = marked.select("id", fresh.alias("created"), F.lit(False).alias("embedded"))
+    return snap.unionByName(marked.filter(fresh).select(*PROFILE_COLUMNS)), status
 
 
 def _fold_changes(changes: DataFrame) -> DataFrame:
-    """Several changes for one id apply in ``seq`` order: per field the last supplied value wins."""
-    seq = F.col("seq") if "seq" in changes.columns else F.lit(0)
+    """Several changes for one id apply in ``seq`` order: per field the last supplied value wins.
+
+    Without ``seq`` one change of an id may supply fields; a second would have no defined order and is an error."""
+    if "seq" in changes.columns:
+        seq = F.col("seq")
+    else:
+        twice = F.raise_error(F.lit("several changes for one id need a seq column")).cast("int")
+        supplies = functools.reduce(lambda a, b: a | b, [F.coalesce(F.col(f)["supplied"], F.lit(False)) for f in CHANGE_FIELDS if f in changes.columns], F.lit(False))
+        count = F.count_if(supplies).over(Window.partitionBy("id"))
+        changes = changes.withColumn("__seq", F.when(count > 1, twice).otherwise(F.lit(0)))
+        seq = F.col("__seq")
     aggs = []
     for f in CHANGE_FIELDS:
         if f not in changes.columns:
@@ -183,15 +231,26 @@ def unembedded(snapshot: DataFrame) -> DataFrame:
 
 
 def apply_vectors(snapshot: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Set vectors from ``vectors[id, embedding]``; other rows unchanged (K6)."""
-    v = vectors.select("id", F.col("embedding").cast(S.VECTOR).alias("__new"))
+    """Set vectors from ``vectors[id, embedding]``; other rows unchanged (K6).
+
+    Of several vectors for one id the largest (as an array) counts."""
+    v = vectors.groupBy("id").agg(F.max(F.col("embedding").cast(S.VECTOR)).alias("__new"))
     return (conform(snapshot).join(v, "id", "left")
             .withColumn("embedding", F.coalesce(F.col("__new"), F.col("embedding")))
             .drop("__new").select(*PROFILE_COLUMNS))
 
 
-def _decode_blobs(blobs: pd.Series) -> pd.Series:
-    return blobs.map(lambda b: None if b is None else np.frombuffer(bytes(b), dtype="<f4").tolist())
+def _decode_batch(column: pa.Array) -> pa.Array:
+    """Binary column of equal or different widths -> list<float>, one reinterpretation of the whole buffer."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if (size % 4).any():
+        raise ValueError("a vector BLOB is not a whole number of 4-byte floats")
+    raw = b"".join(pc.drop_null(column).to_pylist())
+    at = np.append(0, np.cumsum(size // 4)).astype(np.int32)
+    null = None if not column.null_count else column.is_null()
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(raw, "<f4")), mask=null)
 
 
 def _encode_blobs(vecs: pd.Series) -> pd.Series:
@@ -199,11 +258,15 @@ def _encode_blobs(vecs: pd.Series) -> pd.Series:
 
 
 def vectors_from_blobs(df: DataFrame, blob_col: str = "embedding_blob", out_col: str = "embedding") -> DataFrame:
-    """Bulk import of raw little-endian f32 BLOBs into ``array<float>`` (A4).
+    """Bulk import of raw little-endian f32 BLOBs into ``array<float>`` (A4), whole Arrow buffers at once."""
+    fields = [f for f in df.schema.fields if f.name != out_col] + [T.StructField(out_col, S.VECTOR)]
+
+    def run(batches):
+        for b in batches:
+            keep = [n for n in b.schema.names if n != out_col]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in keep], _decode_batch(b.column(blob_col))], names=[*keep, out_col])
 
-    Arrow-batched: one ``np.frombuffer`` per row inside a pandas UDF."""
-    decode = F.pandas_udf(_decode_blobs, S.VECTOR)
-    return df.withColumn(out_col, decode(F.col(blob_col)))
+    return df.mapInArrow(run, T.StructType(fields))
 
 
 def vectors_to_blobs(df: DataFrame, vec_col: str = "embedding", out_col: str = "embedding_blob") -> DataFrame:

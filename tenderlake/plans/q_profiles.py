@@ -62,7 +62,28 @@ SELECT {_PRESENT_SQL} FROM (
   FROM documents)"""))
 def profile_create(spark, sf_dir):
     t = Views(spark, sf_dir)
-    return _present(K.create_profiles(_snapshot(t), _create_batch(t)))
+    return _present(K.create_profiles(_snapshot(t), _create_batch(t))[0])
+
+
+@query("profile_create_status", with_views(["profiles"], """
+SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS id, TRUE AS created, FALSE AS embedded FROM documents
+UNION ALL SELECT id, FALSE, FALSE FROM profiles"""))
+def profile_create_status(spark, sf_dir):
+    """New ids are created once; ids that exist are reported and not inserted again."""
+    t = Views(spark, sf_dir)
+    batch = _create_batch(t)
+    again = _snapshot(t).select("id", F.lit("Again").alias("name"), "description", "cpv_codes", "location", "created_at")
+    return K.create_profiles(_snapshot(t), batch.unionByName(again))[1]
+
+
+@query("profile_import", with_views(["profiles"], f"SELECT {_PRESENT_SQL}, CAST(len(embedding) AS BIGINT) AS dim FROM profiles"))
+def profile_import(spark, sf_dir):
+    """A table in the old layout (lists as JSON text, vectors as BLOBs) reads as the current one."""
+    snap = _snapshot(Views(spark, sf_dir))
+    old = K.vectors_to_blobs(snap).drop("embedding").withColumnRenamed("embedding_blob", "embedding")
+    old = old.withColumn("cpv_codes", K.encode_json_array(F.col("cpv_codes"))).withColumn("categories", K.encode_json_array(F.col("categories")))
+    c = K.conform(old)
+    return _present(c).join(c.select("id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).cast("long").alias("dim")), "id")
 
 
 # ------------------------------------------------------------------ update (K2)

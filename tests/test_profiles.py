@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +40,10 @@ def test_lifecycle(spark):
           dt.datetime(2024, 1, 1))],
         "id string, name string, description string, cpv_codes array<string>, categories array<string>, "
         "location string, created_at timestamp")
-    snap = K.create_profiles(_empty(spark), batch)
+    snap, made = K.create_profiles(_empty(spark), batch)
+    assert [tuple(r) for r in made.collect()] == [("p1", True, False)]
+    again, made = K.create_profiles(snap, batch.unionByName(batch))
+    assert again.count() == 1 and [tuple(r) for r in made.collect()] == [("p1", False, False)] * 2
     got = K.get_profiles(spark.createDataFrame([("p1",)], "id string"), snap).first()
     assert got.found and not got.has_embedding and got.cpv_codes == ["45000000"]
     snap2, status = K.update_profiles(snap, _change(spark, [_row("p1", name="Acme Industries")]))
@@ -72,9 +76,9 @@ def test_list_order_and_json(spark):
          ("a", "A", "d", [], [], None, dt.datetime(2024, 1, 1), None),
          ("c", "C", "d", [], [], None, dt.datetime(2024, 1, 2), None)], S.PROFILE)
     assert [r.id for r in K.list_profiles(snap).collect()] == ["c", "a", "b"]
-    df = spark.createDataFrame([('["x","y"]',), ('["x"',), (None,), ('{"a":1}',), ("[1,2]",)], "t string")
+    df = spark.createDataFrame([('["x","y"]',), ('["x"',), (None,), ('{"a":1}',), ("[1,2]",), ('["a",null]',), ("[null]",), ("[]",)], "t string")
     got = [r[0] for r in df.select(K.decode_json_array(F.col("t"))).collect()]
-    assert got == [["x", "y"], [], [], [], []]
+    assert got == [["x", "y"]] + [[]] * 7
 
 
 def test_schema_evolution_and_vectors(spark, tmp_path):
@@ -97,8 +101,27 @@ def test_schema_evolution_and_vectors(spark, tmp_path):
 
 def test_create_generates_ids_and_snapshot_versions(spark, tmp_path):
     batch = spark.createDataFrame([("N", "d")], "name string, description string")
-    snap = K.create_profiles(_empty(spark), batch)
+    snap, _ = K.create_profiles(_empty(spark), batch)
     r = snap.first()
     assert len(r.id) == 36 and r.created_at is not None and r.cpv_codes == [] and r.embedding is None
     p0 = K.write_snapshot(snap, str(tmp_path), 0)
     assert p0.endswith("v=0") and K.read_profiles(spark, p0).count() == 1
+    K.write_snapshot(snap, str(tmp_path), 1)
+    K.write_snapshot(snap, str(tmp_path), 10)
+    assert K.read_profiles(spark, str(tmp_path)).count() == 1         # the latest version only
+
+
+def test_imported_layout_and_vector_rules(spark, tmp_path):
+    spark.createDataFrame([("a", "A", "d", '["45000000"]', "[null]", None, dt.datetime(2024, 1, 1), bytes.fromhex("0000003f0000803e")),
+                           ("b", "B", "d", None, "x", None, dt.datetime(2024, 1, 1), None)],
+                          "id string, name string, description string, cpv_codes string, categories string, location string, "
+                          "created_at timestamp, embedding binary").write.parquet(str(tmp_path / "old"))
+    snap = K.read_profiles(spark, str(tmp_path / "old"))
+    rows = {r.id: r for r in snap.collect()}
+    assert rows["a"].cpv_codes == ["45000000"] and rows["a"].categories == [] and rows["a"].embedding == [0.5, 0.25]
+    assert rows["b"].cpv_codes == [] and rows["b"].embedding is None
+    two = spark.createDataFrame([("b", [1.0, 2.0]), ("b", [0.0, 9.0])], "id string, embedding array<float>")
+    done = {r.id: r.embedding for r in K.apply_vectors(snap, two).collect()}
+    assert done == {"a": [0.5, 0.25], "b": [1.0, 2.0]}
+    with pytest.raises(Exception, match="seq"):
+        K.update_profiles(snap, _change(spark, [_row("a", name="x"), _row("a", name="y")]))[0].collect()
