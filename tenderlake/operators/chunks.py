@@ -27,6 +27,7 @@ def _field(label: str, value: Column) -> Column:
 
 def build_chunks(releases: DataFrame) -> DataFrame:
     t = F.col("tender")
+    t_items = releases.schema["tender"].dataType["items"].dataType
     deadline = F.coalesce(t["submissionDeadline"], t["tenderPeriod"]["endDate"])
     cpvs = F.array_sort(F.array_distinct(F.filter(
         F.coalesce(F.transform(t["items"], lambda i: i["classification"]["id"]),
@@ -41,13 +42,18 @@ def build_chunks(releases: DataFrame) -> DataFrame:
     criteria = F.array_join(F.transform(t["awardCriteria"],
                                         lambda c: F.concat(c["criterionType"], F.lit(" "),
                                                            F.format_string("%.0f", c["weight"]), F.lit("%"))), ", ")
+    selection = F.array_join(F.transform(t["selectionCriteria"], lambda c: F.concat_ws(": ", c["criterionType"], c["description"])), "; ")
+    described = F.array_join(F.array_sort(F.array_distinct(F.transform(
+        F.filter(F.coalesce(t["items"], F.array().cast(t_items)), lambda i: i["classification"]["description"].isNotNull()),
+        lambda i: F.concat_ws(" ", i["classification"]["id"], i["classification"]["description"])))), "; ")
     tender = F.concat_ws(sep,
                          _field("Titel", t["title"]), _field("Beschreibung", t["description"]),
                          _field("Verfahren", t["procurementMethod"]),
                          _field("Kategorie", t["mainProcurementCategory"]),
                          _field("Wert", money(t["value"]["amount"], t["value"]["currency"])),
                          _field("Frist", deadline), _field("Auftraggeber", F.col("buyer.name")),
-                         _field("CPV", F.array_join(cpvs, ",")),
+                         _field("CPV", F.array_join(cpvs, ",")), _field("CPV-Beschreibung", described),
+                         _field("Eignungskriterien", selection),
                          _field("Zuschlagskriterien", criteria),
                          _field("Ergebnis", t["resultCode"]))
     base = releases.select("ocid", summary.alias("summary_text"), tender.alias("tender_text"),

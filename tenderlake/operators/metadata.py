@@ -1,7 +1,7 @@
 """Flat release metadata, the columns the match and listing paths filter on.
 
 ``release_metadata`` is a pure projection of nested releases: no shuffle.
-Written once as a table (``write_metadata``) its top-level columns get
+Written once as a table, its top-level columns get
 parquet min/max statistics, so equality/range/prefix filters prune row groups
 and nested fields the caller does not read are never decoded.
 """
@@ -63,8 +63,8 @@ def release_metadata(releases: DataFrame) -> DataFrame:
         location_nuts(t).alias("location_nuts"),
         t["documentsUrl"].alias("documents_url"),
         t["resultCode"].alias("result_code"),
-        _strings(F.filter(F.transform(F.col("parties"), lambda p: p["nutsCode"]),
-                          lambda x: x.isNotNull())).alias("party_nuts"),
+        F.array_sort(F.array_distinct(_strings(F.filter(F.transform(F.col("parties"), lambda p: p["nutsCode"]),
+                                                        lambda x: x.isNotNull())))).alias("party_nuts"),
         F.array_sort(F.array_distinct(F.filter(
             _strings(F.transform(t["items"], lambda i: i["classification"]["id"])),
             lambda x: x.isNotNull()))).alias("release_cpv_codes"),

@@ -8,6 +8,8 @@ process with millions of notices still costs one small row per map task.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,31 +17,37 @@ from pyspark.sql import types as T
 from tenderlake import schemas as S
 
 
-def _latest(value: str, keep: Column) -> Column:
-    """Latest value by (ts, notice_id) among notices where ``keep`` holds."""
-    return F.max_by(F.col(value), F.when(keep, F.struct("ts", "notice_id")))
+KEY, ORDER, PHASE = "ocid", ("ts", "notice_id"), "phase"
 
 
-KEY, ORDER, PHASE = "ocid", ("ts", "notice_id"), "phase"
+def _present(path: str, kind: T.DataType) -> Column:
+    c = F.col(path)
+    if isinstance(kind, T.StringType):
+        return c.isNotNull() & (c != F.lit(""))
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return c.isNotNull() & (F.size(c) > 0)
+    return c.isNotNull()
+
+
+def _merged(path: str, kind: T.DataType) -> Column:
+    """Latest present value by (ts, notice_id); structs are merged field by field, NULL when nothing is present."""
+    if isinstance(kind, T.StructType):
+        parts = [_merged(f"{path}.`{f.name}`", f.dataType).alias(f.name) for f in kind.fields]
+        some = functools.reduce(lambda a, b: a | b, [p.isNotNull() for p in parts])
+        return F.when(some, F.struct(*parts))
+    return F.max_by(F.col(path), F.when(_present(path, kind), F.struct(*ORDER)))
 
 
 def merge_aggregates(schema: T.StructType | None = None) -> list[Column]:
-    """Aggregates of the merge for a notice schema.
+    """Aggregates of the merge for a notice schema, flat or release-shaped (nested ``tender``, ``buyer``).
 
-    ``phase`` values are unioned into ``tag``; every other field takes its
-    latest value by (ts, notice_id) among the notices where it is present:
-    non-NULL, strings also non-empty, arrays also non-empty."""
+    ``phase`` values are unioned into ``tag``; every other field, at any depth of structs, takes its
+    latest value by (ts, notice_id) among the notices where it is present: non-NULL, strings also
+    non-empty, arrays also non-empty.  So an absent or empty field never erases an earlier value, and
+    ``awards`` come from the latest notice that has some."""
     fields = (schema or S.NOTICE).fields
     aggs = [F.array_sort(F.collect_set(PHASE)).alias("tag")]
-    for f in fields:
-        if f.name in (KEY, PHASE) or f.name in ORDER:
-            continue
-        present = F.col(f.name).isNotNull()
-        if isinstance(f.dataType, T.StringType):
-            present = present & (F.col(f.name) != F.lit(""))
-        elif isinstance(f.dataType, T.ArrayType):
-            present = present & (F.size(F.col(f.name)) > 0)
-        aggs.append(_latest(f.name, present).alias(f.name))
+    aggs += [_merged(f"`{f.name}`", f.dataType).alias(f.name) for f in fields if f.name not in (KEY, PHASE, *ORDER)]
     aggs += [F.count(F.lit(1)).alias("n_notices"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")]
     return aggs
 

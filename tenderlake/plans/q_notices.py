@@ -38,6 +38,21 @@ def notice_merge(spark, sf_dir):
     return present_merged(merge_notices(P.notices(spark, sf_dir)))
 
 
+@query("notice_merge_nested", with_views(["notices"], """
+SELECT ocid, status, description, round(award_value, 6) AS award_value,
+       (SELECT count(*) FROM notices x WHERE x.ocid = m.ocid AND x.award_value IS NOT NULL) > 0 AS has_award
+FROM merged m""", [("merged", _MERGED_SQL)]))
+def notice_merge_nested(spark, sf_dir):
+    """Release-shaped notices: fields inside ``tender`` merge one by one, ``awards`` come from the latest notice with some."""
+    n = P.notices(spark, sf_dir)
+    award = F.struct(F.col("award_value").alias("value"))
+    nested = n.select("notice_id", "ocid", "ts", "phase", F.struct("status", "description").alias("tender"),
+                      F.when(F.col("award_value").isNotNull(), F.array(award)).otherwise(F.array().cast("array<struct<value:double>>")).alias("awards"))
+    m = merge_notices(nested)
+    return m.select("ocid", "tender.status", "tender.description", r6(F.get("awards", 0)["value"]).alias("award_value"),
+                    F.coalesce(F.size("awards") > 0, F.lit(False)).alias("has_award"))
+
+
 @query("notice_lifecycle", with_views(["notices"], """
 SELECT ocid, CASE WHEN list_contains(tag, 'tender') AND list_contains(tag, 'award') THEN 'closed'
                   WHEN list_contains(tag, 'tender') AND coalesce(status = 'active', FALSE) THEN 'open'

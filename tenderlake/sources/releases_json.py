@@ -35,12 +35,27 @@ def normalize_releases(df: DataFrame) -> DataFrame:
               .withColumn("tender", tender.cast(tender_t)))
 
 
-def read_releases(spark: SparkSession, path: str) -> DataFrame:
-    """Read JSON-lines releases with the release schema (PERMISSIVE)."""
-    df = spark.read.schema(S.RELEASE).option("mode", "PERMISSIVE").json(path)
-    return normalize_releases(df)
+def _untyped_suppliers(schema: T.StructType) -> T.StructType:
+    """The release schema with ``awards[].suppliers`` as JSON texts, whatever their type."""
+    award = T.StructType([T.StructField(f.name, T.ArrayType(T.StringType())) if f.name == "suppliers" else f for f in S.AWARD.fields])
+    return T.StructType([T.StructField(f.name, T.ArrayType(award)) if f.name == "awards" else f for f in schema.fields])
+
+
+def _supplier(text: Column) -> Column:
+    """An object as it is; any other value counts as a supplier of that name."""
+    typed = F.from_json(text, S.SUPPLIER)
+    plain = F.struct(F.lit(None).cast("string").alias("id"), text.alias("name"))
+    return F.when(F.startswith(F.ltrim(text), F.lit("{")), typed).otherwise(plain)
 
 
-def parse_releases(json_col: Column) -> Column:
-    """``from_json`` twin of ``read_releases`` for a string column."""
-    return F.from_json(json_col, S.RELEASE)
+def parse_releases(lines: DataFrame, json_col: str = "value") -> DataFrame:
+    """JSON texts -> releases; texts that are not a JSON object are left out."""
+    ok = F.schema_of_variant(F.try_parse_json(F.col(json_col))).startswith("OBJECT")
+    raw = lines.filter(ok).select(F.from_json(F.col(json_col), _untyped_suppliers(S.RELEASE)).alias("r")).select("r.*")
+    awards = F.transform("awards", lambda a: a.withField("suppliers", F.transform(a["suppliers"], _supplier)))
+    return normalize_releases(raw.withColumn("awards", awards))
+
+
+def read_releases(spark: SparkSession, path: str) -> DataFrame:
+    """Read JSON-lines releases with the release schema; malformed lines are left out."""
+    return parse_releases(spark.read.text(path))

@@ -34,30 +34,37 @@ def merge_notices_stream(notices: DataFrame) -> DataFrame:
     return notices.groupBy("ocid").agg(*merge_aggregates(notices.schema))
 
 
-def upsert_snapshot(target: str):
+def upsert_snapshot(target: str, generation: int = 0):
     """``foreachBatch`` function: replace the rows of the touched OCIDs.
 
-    Each epoch writes ``target/epoch=<id>``; a re-run of an epoch after a
-    failure overwrites the same folder, so the sink is idempotent.  Readers
-    take, per OCID, the row of the highest epoch (``read_snapshot``)."""
+    Each epoch writes ``target/generation=<g>-epoch=<id>``; a re-run of an epoch after a failure
+    overwrites the same folder, so the sink is idempotent.  Epochs count from 0 again with a new
+    streaming checkpoint: give that run the next ``generation``.  Rows carry both numbers, and readers
+    take, per OCID, the row of the highest (generation, epoch)."""
     def write(batch: DataFrame, epoch_id: int) -> None:
-        (batch.withColumn("epoch", F.lit(int(epoch_id)).cast("long"))
-              .write.mode("overwrite").parquet(f"{target.rstrip('/')}/epoch={int(epoch_id)}"))
+        (batch.withColumn("generation", F.lit(int(generation)).cast("long")).withColumn("epoch", F.lit(int(epoch_id)).cast("long"))
+              .write.mode("overwrite").parquet(f"{target.rstrip('/')}/generation-{int(generation)}-epoch-{int(epoch_id)}"))
     return write
 
 
-def read_snapshot(spark: SparkSession, target: str) -> DataFrame:
-    """Current merged state: the latest epoch's row per OCID."""
-    from pyspark.sql import Window
-    df = spark.read.parquet(target)
-    w = Window.partitionBy("ocid").orderBy(F.col("epoch").desc())
-    return df.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r", "epoch")
+def _newest(spark: SparkSession, folders: tuple[str, ...]) -> DataFrame:
+    """Per OCID the row of the highest (generation, epoch), with partial aggregation before the shuffle."""
+    df = spark.read.option("recursiveFileLookup", "true").parquet(*folders)
+    row = F.max_by(F.struct(*[F.col(c) for c in df.columns]), F.struct("generation", "epoch"))
+    return df.groupBy("ocid").agg(row.alias("r")).select("r.*")
+
+
+def read_snapshot(spark: SparkSession, *folders: str) -> DataFrame:
+    """Current merged state from an upsert target, compacted copies, or both together."""
+    return _newest(spark, folders).drop("generation", "epoch")
 
 
 def compact_snapshot(spark: SparkSession, target: str, out: str) -> str:
-    """Periodic job: write the current merged state once (one row per OCID) to
-    ``out``, so readers stop scanning every epoch folder."""
-    read_snapshot(spark, target).write.mode("errorifexists").parquet(out)
+    """Periodic job: write the current merged state once (one row per OCID) to ``out``.
+
+    Generation and epoch stay, so ``read_snapshot(spark, out, target)`` is right beside epochs that
+    arrive later; epochs up to the compaction may then be removed from ``target``."""
+    _newest(spark, (target,)).write.mode("errorifexists").parquet(out)
     return out
 
 

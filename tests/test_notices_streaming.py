@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tenderlake import schemas as S
 from tenderlake.operators.notices import daily_phase_counts, merge_notices
 from tenderlake.streaming.notices import (daily_phase_counts_stream, dedup_notices_stream, merge_notices_stream,
-                                          read_notice_stream, read_snapshot, upsert_snapshot)
+                                          compact_snapshot, read_notice_stream, read_snapshot, upsert_snapshot)
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -138,3 +138,29 @@ def test_stream_merge_survives_restart(spark, tmp_path):
     got = read_snapshot(spark, target).select(cols)
     want = merge_notices(notices).select(cols)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_nested_fields_merge_one_by_one(spark):
+    schema = ("notice_id long, ocid string, ts timestamp, phase string, tender struct<title:string,description:string,"
+              "value:struct<amount:double,currency:string>,lots:array<string>>, buyer struct<name:string>, awards array<struct<id:string>>")
+    t = lambda h: dt.datetime(2024, 1, 1, h)
+    rows = [(1, "a", t(1), "tender", ("T1", "desc", (1.0, "EUR"), ["l"]), ("B",), [("A1",)]),
+            (2, "a", t(2), "award", ("T1b", None, (2.0, None), []), None, []),
+            (3, "a", t(3), "award", None, ("",), None), (4, "b", t(1), "tender", None, None, None)]
+    got = {r.ocid: r for r in merge_notices(spark.createDataFrame(rows, schema).repartition(3)).collect()}
+    a = got["a"]
+    assert (a.tender.title, a.tender.description, a.tender.value.amount, a.tender.value.currency, a.tender.lots) == ("T1b", "desc", 2.0, "EUR", ["l"])
+    assert a.buyer.name == "B" and [x.id for x in a.awards] == ["A1"]
+    assert got["b"].tender is None and got["b"].buyer is None
+
+
+def test_compaction_reads_beside_new_epochs(spark, tmp_path):
+    target, out = str(tmp_path / "snap"), str(tmp_path / "compact")
+    frame = lambda rows: spark.createDataFrame(rows, "ocid string, n long")
+    write = upsert_snapshot(target)
+    write(frame([("a", 1), ("b", 1)]), 0)
+    write(frame([("a", 2)]), 7)
+    compact_snapshot(spark, target, out)
+    assert sorted(map(tuple, read_snapshot(spark, out).collect())) == [("a", 2), ("b", 1)]
+    upsert_snapshot(target, generation=1)(frame([("b", 5)]), 0)         # a new checkpoint counts epochs from 0
+    assert sorted(map(tuple, read_snapshot(spark, out, target).collect())) == [("a", 2), ("b", 5)]

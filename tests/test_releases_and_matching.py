@@ -44,6 +44,31 @@ def test_defaults_and_has_awards(meta):
     assert rows["o-missing-tender"].has_awards is False
 
 
+def test_untyped_suppliers_and_malformed_lines(spark, tmp_path):
+    lines = [json.dumps({"ocid": "o-text", "awards": [{"suppliers": ["Acme", 7]}, {"suppliers": None}], "parties": [
+                {"nutsCode": "DE9"}, {"nutsCode": "DE1"}, {"nutsCode": "DE9"}, {"nutsCode": None}]}),
+             json.dumps({"ocid": "o-mixed", "awards": [{"suppliers": [{"id": "s", "name": "B {x}"}, "C"]}]}),
+             '{"ocid": "broken", ', "", "[1, 2]", json.dumps({"ocid": "o-bad-field", "tag": "no list", "id": "R"})]
+    p = tmp_path / "r.json"
+    p.write_text("\n".join(lines))
+    rows = {r.ocid: r for r in read_releases(spark, str(p)).collect()}
+    assert sorted(rows) == ["o-bad-field", "o-mixed", "o-text"]
+    assert [s.name for s in rows["o-text"].awards[0].suppliers] == ["Acme", "7"] and rows["o-text"].awards[1].suppliers == []
+    assert [(s.id, s.name) for s in rows["o-mixed"].awards[0].suppliers] == [("s", "B {x}"), (None, "C")]
+    assert rows["o-bad-field"].id == "R"
+    m = {r.ocid: r for r in release_metadata(read_releases(spark, str(p))).collect()}
+    assert m["o-text"].has_awards and m["o-text"].party_nuts == ["DE1", "DE9"]
+
+
+def test_repeated_requests_change_nothing(spark):
+    from tenderlake.plans.q_match import K
+    from tenderlake.sources.stored import Views
+    t = Views(spark, "/root/testdata/sf0.001")
+    rows = lambda req: sorted((r.profile_id, r["rank"], r.ocid, r.doc_id) for r in match_tenders(
+        req, t.profiles, t.chunks, t.meta, FilterSpec(status="complete"), k=K, mode="overfetch").collect())
+    assert rows(t.requests.unionByName(t.requests)) == rows(t.requests)
+
+
 def test_eu_funded_both_spellings_and_null(meta):
     assert _ids(meta, FilterSpec(eu_funded=True)) == ["o-null-tag"]
     assert _ids(meta, FilterSpec(eu_funded=False)) == ["o-empty-awards"]
