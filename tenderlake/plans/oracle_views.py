@@ -42,7 +42,7 @@ SELECT orderkey,
        count(DISTINCT suppkey) AS n_bidders,
        count(DISTINCT CASE WHEN supplier_name IS NOT NULL THEN suppkey END) AS n_tenderers,
        min(lot_num) AS first_lot
-FROM lots WHERE orderkey % 11 <> 10 GROUP BY orderkey
+FROM lots GROUP BY orderkey
 """, ("lots",))
 
 view("releases", f"""
@@ -85,7 +85,6 @@ LEFT JOIN customer c ON c.c_custkey = o.o_custkey
 LEFT JOIN nation cn ON cn.n_nationkey = c.c_nationkey
 LEFT JOIN lot_orders lo ON lo.orderkey = o.o_orderkey
 LEFT JOIN documents d ON d.doc_id = o.o_orderkey
-WHERE o.o_orderkey % 11 <> 10
 """, ("lot_orders",))
 
 # every NUTS code of a release with its position: tender location (0), then lots
@@ -109,7 +108,7 @@ SELECT DISTINCT r.ocid, l.cpv FROM releases r JOIN lots l ON l.orderkey = r.orde
 
 view("chunks", """
 SELECT CAST(e.vec_id AS VARCHAR) AS doc_id,
-       'ocds-' || CAST(e.vec_id // 3 AS VARCHAR) AS ocid,
+       CASE WHEN (e.vec_id // 3) % 11 = 10 THEN 'ocds-withdrawn-' ELSE 'ocds-' END || CAST(e.vec_id // 3 AS VARCHAR) AS ocid,
        CASE e.vec_id % 3 WHEN 0 THEN 'summary' WHEN 1 THEN 'tender' ELSE 'lot:1' END AS chunk_type,
        d.text AS text,
        coalesce(cp.cpv_codes, []::VARCHAR[]) AS cpv_codes,
@@ -127,7 +126,7 @@ SELECT 'profile-' || CAST(e.vec_id AS VARCHAR) AS id,
        coalesce(d.text, '') AS description,
        CASE WHEN e.vec_id % 2 = 1 THEN ['45000000', '72000000'] ELSE []::VARCHAR[] END AS cpv_codes,
        CASE WHEN e.vec_id % 2 = 1 THEN ['works'] ELSE []::VARCHAR[] END AS categories,
-       CASE WHEN e.vec_id % 2 = 1 THEN 'Berlin, Germany' END AS location,
+       CASE WHEN e.vec_id % 2 = 1 THEN 'Kassel, Hessen' END AS location,
        TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(e.vec_id // 100 AS INTEGER)) AS created_at,
        CASE WHEN e.vec_id % 100 = 99 THEN e.embedding END AS embedding
 FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id

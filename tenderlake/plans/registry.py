@@ -20,14 +20,22 @@ HEADLINE: list[str] = []
 
 
 def _utc(fn: QueryFn) -> QueryFn:
-    """Results are defined in UTC (day windows, ISO text); pin the session zone."""
+    """Results are defined in UTC (day windows, ISO text).
+
+    The zone is part of each expression from the moment a query is built, so the session's own setting is
+    put back once the query is planned."""
     import functools
 
     @functools.wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "Z"):
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return fn(spark, sf_dir)
+        zone = spark.conf.get("spark.sql.session.timeZone")
+        if zone in ("UTC", "Etc/UTC", "Z"):
+            return fn(spark, sf_dir)
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        try:
+            return fn(spark, sf_dir)
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", zone)
     return run
 
 

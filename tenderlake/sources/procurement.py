@@ -161,8 +161,7 @@ def _result_code(orderstatus: Column, with_award: Column) -> Column:
 
 
 def _orders_with_buyer(t: Tables) -> DataFrame:
-    keep = (F.col("o_orderkey") % 11) != 10
-    o = t.orders.filter(keep).select(
+    o = t.orders.select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     cust = t.customer.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     nation = F.broadcast(t.nation.select(F.col("n_nationkey").alias("c_nationkey"),
@@ -176,13 +175,12 @@ def _buyer_nuts() -> Column:
 
 
 def releases(spark_or_tables, sf_dir: str | None = None, lots_df: DataFrame | None = None) -> DataFrame:
-    """Nested OCDS-shaped releases, one per order (orders with key % 11 = 10 are absent).
+    """Nested OCDS-shaped releases, one per order.
 
     ``lots_df`` is an already stored ``lots`` table; without it lots are derived here."""
     t = _tables(spark_or_tables, sf_dir)
-    keep = lambda c: (c % 11) != 10
     docs = t.documents.select(F.col("doc_id").alias("o_orderkey"), F.col("text").alias("description"))
-    lot_rows = _lot_rows(t, keep(F.col("orderkey")), lots_df).withColumnRenamed("orderkey", "o_orderkey")
+    lot_rows = _lot_rows(t, F.lit(True), lots_df).withColumnRenamed("orderkey", "o_orderkey")
 
     base = (_orders_with_buyer(t)
              .join(lot_rows, "o_orderkey", "left")
@@ -307,7 +305,7 @@ def release_meta(spark_or_tables, sf_dir: str | None = None, lots_df: DataFrame
     bounded by the code vocabularies), all partially before the shuffle, so an
     order with a huge number of lines is never collected into one row."""
     t = _tables(spark_or_tables, sf_dir)
-    lt = (lots(t) if lots_df is None else lots_df).filter((F.col("orderkey") % 11) != 10)
+    lt = lots(t) if lots_df is None else lots_df
     per_order = (lt.groupBy(F.col("orderkey").alias("o_orderkey"))
                    .agg(F.bool_or("awarded").alias("any_awarded"),
                         F.bool_or(F.col("awarded") & F.col("supplier_name").isNotNull()).alias("awarded_supplier"),
@@ -362,7 +360,8 @@ def chunks(spark_or_tables, sf_dir: str | None = None, lots_df: DataFrame | None
                .withColumn("orderkey", F.expr("vec_id div 3"))
                .join(cpvs, "orderkey", "left")
                .select(F.col("vec_id").cast("string").alias("doc_id"),
-                       F.concat(F.lit("ocds-"), F.col("orderkey").cast("string")).alias("ocid"),
+                       F.concat(F.when(F.col("orderkey") % 11 == 10, F.lit("ocds-withdrawn-")).otherwise(F.lit("ocds-")),
+                                F.col("orderkey").cast("string")).alias("ocid"),
                        F.when(kind == 0, F.lit("summary")).when(kind == 1, F.lit("tender"))
                         .otherwise(F.lit("lot:1")).alias("chunk_type"),
                        F.col("text"),
@@ -384,7 +383,7 @@ def profiles(spark_or_tables, sf_dir: str | None = None) -> DataFrame:
                        F.when(odd, F.array(F.lit("45000000"), F.lit("72000000")))
                         .otherwise(F.array().cast(strings)).alias("cpv_codes"),
                        F.when(odd, F.array(F.lit("works"))).otherwise(F.array().cast(strings)).alias("categories"),
-                       F.when(odd, F.lit("Berlin, Germany")).alias("location"),
+                       F.when(odd, F.lit("Kassel, Hessen")).alias("location"),
                        (F.lit("2024-01-01 00:00:00").cast("timestamp")
                         + F.make_dt_interval(days=F.expr("cast(vec_id div 100 as int)"))).alias("created_at"),
                        F.when(F.col("vec_id") % 100 == 99, F.col("embedding")).alias("embedding")))
@@ -414,9 +413,3 @@ def notices(spark_or_tables, sf_dir: str | None = None) -> DataFrame:
         F.when(et == "click", F.col("props")).when(et == "signup", F.lit("")).alias("description"),
         F.when(et == "purchase", F.col("value")).alias("award_value"),
     )
-
-
-def procurement_views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    t = Tables(spark, sf_dir)
-    return {"releases": releases(t), "chunks": chunks(t), "profiles": profiles(t),
-            "requests": match_requests(t), "notices": notices(t), "lots": lots(t)}

@@ -19,8 +19,8 @@ from __future__ import annotations
 import hashlib
 import inspect
 import os
+import sys
 import threading
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,9 +90,12 @@ def _stamp(spark: SparkSession, sf_dir: str) -> str:
             h.update(f"{name}:{summary.getLength()}:{summary.getFileCount()}:{mtime}".encode())
         else:
             h.update(f"{name}:missing".encode())
-    from tenderlake.operators import metadata
-    h.update(inspect.getsource(P).encode())
-    h.update(inspect.getsource(metadata).encode())
+    from tenderlake import schemas
+    from tenderlake.functions import filters, text, vectors
+    from tenderlake.operators import embed, metadata
+    from tenderlake.sources import tables
+    for module in (P, metadata, embed, schemas, filters, text, vectors, tables, sys.modules[__name__]):
+        h.update(inspect.getsource(module).encode())
     return h.hexdigest()[:16]
 
 
@@ -111,29 +114,17 @@ _PLANNED = {
         P.chunks(t).select("doc_id", "text"), "doc_id", "text"),
     "profiles": P.profiles,
 }
-STAMP_TTL_SEC = 30.0
-_STAMPS: dict = {}
 _FRAMES: dict = {}
 _LOCKS: dict = {}
 
 
-def _cached_stamp(spark: SparkSession, sf_dir: str) -> str:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    hit = _STAMPS.get(key)
-    now = time.monotonic()
-    if hit is None or now - hit[0] > STAMP_TTL_SEC:
-        hit = (now, _stamp(spark, sf_dir))
-        _STAMPS[key] = hit
-    return hit[1]
-
-
 def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The stored copy of view ``name`` for ``sf_dir`` (written on first use)."""
     builder, sort_cols = BUILDERS[name]
     if not enabled():
         return _PLANNED[name](Tables(spark, sf_dir))
     base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tenderlake-views/{_cached_stamp(spark, sf_dir)}/{name}"
+    path = f"{base}/tenderlake-views/{_stamp(spark, sf_dir)}/{name}"
     key = (spark.sparkContext.applicationId, path)
     if key in _FRAMES:
         return _FRAMES[key]
