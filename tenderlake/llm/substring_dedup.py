@@ -17,9 +17,10 @@ group of suffixes whose anchor occurs in one document only holds no repeat: it i
    ``WINDOW``: suffixes that share their first ``WINDOW`` words form one node, named by the 64-bit hash
    of its path.  A node with suffixes of several documents is a deep internal node, and its smallest
    id decides.  Runs of decided windows are the maximal repeats.
-3. Groups over ``GROUP`` occurrences are partitioned by their longest prefix instead, the node itself:
-   smallest ids are pre-aggregated before the shuffle and joined back salted, so a passage in a
-   third of all documents meets many tasks, and no group is ever gathered whole.
+3. Groups over ``GROUP`` occurrences are partitioned by their longest prefixes instead, the nodes
+   themselves.  Rows with the same run of nodes are merged first (smallest id, pre-aggregated before the
+   shuffle), and what is decided for a run is joined back salted, so a passage in a third of all
+   documents meets many tasks, and no group is ever gathered whole.
 
 Cases: a null text has no words; texts under ``WINDOW`` words keep everything.  Rows that share an id
 do not remove each other; rows equal in id and text get equal results.  A null id is neither
@@ -42,7 +43,7 @@ from tenderlake.llm.textarrays import chunks, split_words, text_bytes, window_ha
 WINDOW = 50
 GRAM = 10
 GROUP = 2000
-REPEATED_BITS = 24               # log2 of the bits of the two bitmaps
+REPEATED_BITS = 26               # log2 of the bits of the two bitmaps
 LARGE_BITS = 22
 
 
@@ -84,7 +85,7 @@ def anchored_windows(words: np.ndarray, first: np.ndarray, window: int, gram: in
 
 
 def _pieces(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
-    return chunks(batch, text_col, 1 << 21)
+    return chunks(batch, text_col)
 
 
 def _bitmap(rows: DataFrame, bits: int) -> np.ndarray:
@@ -188,19 +189,40 @@ def _subtrees(suffixes: DataFrame) -> DataFrame:
             .select("anchor", "_id", "_row", "at", "nodes").mapInArrow(run, "_row bigint, a bigint, b bigint"))
 
 
-def _explode_nodes(suffixes: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _large_groups(suffixes: DataFrame) -> DataFrame:
+    """The same for groups of any size: by contexts (equal runs of nodes), which many rows share."""
+    occur = suffixes.withColumn("ctx", F.xxhash64("nodes"))
+    contexts = occur.groupBy("ctx").agg(F.min("_id").alias("_least"), F.first("nodes").alias("nodes"))
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column("nodes").to_pylist()
             size = np.array([len(x) >> 3 for x in raw], np.int64)
             node = np.frombuffer(b"".join(raw), np.int64)
-            begin = np.cumsum(size) - size
-            at = np.repeat(batch.column("at").to_numpy().astype(np.int64) - begin, size) + np.arange(len(node))
+            k = np.arange(len(node)) - np.repeat(np.cumsum(size) - size, size)
             take = pa.array(np.repeat(np.arange(batch.num_rows), size))
-            yield pa.record_batch([pa.array(node), batch.column("_id").take(take), batch.column("_row").take(take), pa.array(at)],
-                                  names=["node", "_id", "_row", "at"])
+            yield pa.record_batch([pa.array(node), batch.column("ctx").take(take), batch.column("_least").take(take), pa.array(k)],
+                                  names=["node", "ctx", "_least", "k"])
+
+    nodes = stage_table(contexts.select("nodes", "ctx", "_least").mapInArrow(explode, "node bigint, ctx bigint, _least bigint, k bigint"), "substring-nodes")
+    least = nodes.groupBy("node").agg(F.min("_least").alias("_first"))
+    decided = (salted_join(nodes.select("node", "ctx", "k"), least, ["node"], F.col("ctx")).groupBy("ctx")
+               .agg(F.array_sort(F.collect_list(F.struct("k", "_first"))).alias("_d")).select("ctx", F.col("_d._first").alias("_firsts")))
+    places = occur.groupBy("ctx", "_id", "_row").agg(F.collect_list("at").alias("_at"))       # bounded by the row's words
+    both = salted_join(places, decided, ["ctx"], F.col("_row")).filter(F.array_min("_firsts") < F.col("_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, wins = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for who, row, at, firsts in zip(*[batch.column(c).to_pylist() for c in ("_id", "_row", "_at", "_firsts")]):
+                hit = np.flatnonzero(np.array(firsts) < who)
+                win = np.unique((np.array(at, np.int64)[:, None] + hit[None, :]).ravel())
+                rows.append(np.full(len(win), row, np.int64))
+                wins.append(win)
+            r, a, b = _runs(np.concatenate(rows), np.concatenate(wins))
+            yield pa.record_batch([pa.array(r, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["_row", "a", "b"])
 
-    return suffixes.select("_id", "_row", "at", "nodes").mapInArrow(run, "node bigint, _id bigint, _row bigint, at bigint")
+    return both.select("_id", "_row", "_at", "_firsts").mapInArrow(run, "_row bigint, a bigint, b bigint")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP, id_col: str = "doc_id",
@@ -214,10 +236,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, gr
     small = _subtrees(suffixes.filter("NOT large"))
     if not large.any():
         return small
-    nodes = stage_table(_explode_nodes(suffixes.filter("large")), "substring-nodes")
-    least = nodes.groupBy("node").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most")).filter("_least < _most")
-    hit = salted_join(nodes, least.select("node", "_least"), ["node"], F.col("_row")).filter("_id > _least")
-    return small.unionByName(hit.select("_row", F.col("at").alias("a"), F.col("at").alias("b")))
+    return small.unionByName(_large_groups(stage_table(suffixes.filter("large"), "substring-large")))
 
 
 def _row_key(id_col: str, text_col: str):
