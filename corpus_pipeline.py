@@ -38,7 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian int32) with digests of the ids and of the bytes decoded from them."""
     path = tokenizer_path(BYTE_BPE_RANKS)
-    return byte_bpe.decode(byte_bpe.encode(docs, path, keep=("source",)), path, digests=True, keep=("source", "ids"))
+    return byte_bpe.encode(docs, path, keep=("source",), digests=True)
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("byte_bpe", tokens)]

@@ -33,10 +33,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tenderlake.llm.common import once
+from tenderlake.llm.common import enter, once
 from tenderlake.llm.textarrays import PieceCache, chunks, text_bytes
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 HEAP_BYTES = 64                  # slices longer than this merge through a heap
 
 # character classes
@@ -173,7 +173,7 @@ class Ranks:
         self.pair_key = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max)
         self.pair_rank = np.append(np.array(vals, np.int64)[order], 0)
         self.none = self.width                                # larger than any rank
-        self.cache = PieceCache()
+        self.cache = PieceCache(slots_log2=20)
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of ids a and b (-1: no id), or ``none``."""
@@ -287,32 +287,42 @@ class Ranks:
         return [(ids[a:b], count[c:d]) for a, b, c, d in zip(to, to[1:], first.tolist(), first[1:].tolist())]
 
 
-def _ranks(path: str) -> Ranks:
-    return once(("bpe-ranks", path), lambda: Ranks(path))
-
+def _kinds(df: DataFrame, cols: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
 
-ENCODED = "n_tokens bigint, ids binary, slice_tokens binary"
 
+def _digests(ranks: Ranks, ids: np.ndarray) -> tuple[str, str]:
+    """SHA-256 of the decimal ids joined by commas, and of the bytes decoded from them."""
+    return (hashlib.sha256(",".join([ranks.decimal[i] for i in ids.tolist()]).encode()).hexdigest(),
+            hashlib.sha256(decode_ids(ranks, ids)).hexdigest())
 
-def _kinds(df: DataFrame, cols: list[str]) -> str:
-    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
 
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (),
+           digests: bool = False) -> DataFrame:
+    """``id_col``, columns ``keep``, ``n_tokens, ids, slice_tokens``: ids and tokens per slice as little-endian int32.
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, columns ``keep``, ``n_tokens, ids, slice_tokens``: ids and tokens per slice as little-endian int32."""
+    With ``digests`` each text's ids are decoded again in the same pass: also ``ids_sha256, decoded_sha256``.
+    """
     cols = [id_col, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("byte_bpe")
         ranks = _ranks(path)
         for batch in batches:
             for part in chunks(batch, text_col, CHUNK_BYTES):
                 got = ranks.encode(*text_bytes(part.column(text_col)))
-                yield pa.record_batch([*[part.column(c) for c in cols], pa.array([len(i) for i, _ in got], pa.int64()),
-                                       pa.array([i.tobytes() for i, _ in got], pa.binary()),
-                                       pa.array([s.astype(np.int32).tobytes() for _, s in got], pa.binary())],
-                                      names=[*cols, "n_tokens", "ids", "slice_tokens"])
+                out = [*[part.column(c) for c in cols], pa.array([len(i) for i, _ in got], pa.int64()),
+                       pa.array([i.tobytes() for i, _ in got], pa.binary()),
+                       pa.array([s.astype(np.int32).tobytes() for _, s in got], pa.binary())]
+                names = [*cols, "n_tokens", "ids", "slice_tokens"]
+                if digests:
+                    sha = [_digests(ranks, i) for i, _ in got]
+                    out += [pa.array([a for a, _ in sha], pa.string()), pa.array([b for _, b in sha], pa.string())]
+                    names += ["ids_sha256", "decoded_sha256"]
+                yield pa.record_batch(out, names=names)
 
-    return docs.select(*dict.fromkeys([*cols, text_col])).mapInArrow(run, f"{_kinds(docs, cols)}, {ENCODED}")
+    tail = "n_tokens bigint, ids binary, slice_tokens binary" + (", ids_sha256 string, decoded_sha256 string" if digests else "")
+    return docs.select(*dict.fromkeys([*cols, text_col])).mapInArrow(run, f"{_kinds(docs, cols)}, {tail}")
 
 
 def decode_ids(ranks: Ranks, ids: np.ndarray) -> bytes:
@@ -325,28 +335,21 @@ def decode_slice(ranks: Ranks, ids: np.ndarray, slice_tokens: np.ndarray, at: in
     return decode_ids(ranks, ids[lo:lo + int(slice_tokens[at])])
 
 
-def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", digests: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, columns ``keep``, ``n_tokens, decoded`` (bytes), or with ``digests`` the SHA-256 of ids and of bytes."""
+def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, columns ``keep``, ``n_tokens, decoded`` (bytes) of encoded texts."""
     cols = [id_col, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("byte_bpe")
         ranks = _ranks(path)
         for batch in batches:
             for part in chunks(batch, "ids", 2 * CHUNK_BYTES):
-                out, ids_sha = [], []
-                for raw in part.column("ids").to_pylist():
-                    ids = np.frombuffer(raw or b"", np.int32)
-                    out.append(decode_ids(ranks, ids))
-                    if digests:
-                        ids_sha.append(hashlib.sha256(",".join([ranks.decimal[i] for i in ids.tolist()]).encode()).hexdigest())
-                got = [*[part.column(c) for c in cols], part.column("n_tokens")]
-                if digests:
-                    got += [pa.array(ids_sha, pa.string()), pa.array([hashlib.sha256(b).hexdigest() for b in out], pa.string())]
-                    names = ["ids_sha256", "decoded_sha256"]
-                else:
-                    got, names = got + [pa.array(out, pa.binary())], ["decoded"]
-                yield pa.record_batch(got, names=[*cols, "n_tokens", *names])
-
-    tail = "ids_sha256 string, decoded_sha256 string" if digests else "decoded binary"
-    asked = dict.fromkeys([*cols, "n_tokens", "ids"])
-    return encoded.select(*asked).mapInArrow(run, f"{_kinds(encoded, cols)}, n_tokens bigint, {tail}")
+                out = [decode_ids(ranks, np.frombuffer(raw or b"", np.int32)) for raw in part.column("ids").to_pylist()]
+                yield pa.record_batch([*[part.column(c) for c in cols], part.column("n_tokens"), pa.array(out, pa.binary())],
+                                      names=[*cols, "n_tokens", "decoded"])
+
+    return encoded.select(*dict.fromkeys([*cols, "n_tokens", "ids"])).mapInArrow(run, f"{_kinds(encoded, cols)}, n_tokens bigint, decoded binary")
+
+
+def _ranks(path: str) -> Ranks:
+    return once(("bpe-ranks", path), lambda: Ranks(path))

@@ -54,6 +54,20 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Colum
     return left.join(right, on, how).drop("_salt", "_rsalt", *[f"_r_{k}" for k in keys])
 
 
+def spread_join(big: DataFrame, small: DataFrame, key: str, spread: Column, over: int = 1000, salts: int = 16,
+                counted: DataFrame | None = None) -> DataFrame:
+    """Inner join on ``key`` for wide rows in ``small``: only keys with more than ``over`` rows in ``big`` are
+    salted, so the other rows of ``small`` are not repeated.  ``counted``: a cheaper table with the same keys."""
+    hot = stage_table((big if counted is None else counted).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > over)
+                      .select(F.col(key).alias("_hot")), "hot-keys")
+    is_hot = F.col("_hot").isNotNull()
+    left = (big.join(hot, F.col(key) == F.col("_hot"), "left")
+            .withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot"))
+    right = (small.join(hot, F.col(key) == F.col("_hot"), "left")
+             .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, F.lit(salts - 1)).otherwise(0)))).drop("_hot"))
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def worker_store() -> dict:
     """A dict that lives as long as the Python worker process, across tasks.
 
@@ -73,3 +87,24 @@ def once(key, make):
     if key not in store:
         store[key] = make()
     return store[key]
+
+
+def enter(operator: str) -> None:
+    """Called first in a task: what another operator kept in this worker is dropped, so kept tables don't add up."""
+    store = worker_store()
+    if store.get("operator") != operator:
+        store.clear()
+        store["operator"] = operator
+        tidy()
+
+
+def tidy() -> None:
+    """Give memory that Arrow and the allocator hold without use back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:                                    # not glibc
+        pass

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import stage_table
+from tenderlake.llm.common import enter, stage_table
 from tenderlake.llm.textarrays import chunks, split_words
 
 WINDOW = 8
@@ -144,6 +144,7 @@ def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("pii")
         for batch in batches:
             for part in chunks(batch, text_col):
                 counts, joined, seen = [], [], []
@@ -172,6 +173,7 @@ def _document_frequency(docs: DataFrame, wanted: DataFrame, id_col: str, text_co
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("pii")
         mask = np.unpackbits(shared.value).astype(bool)
         held: list[np.ndarray] = []
 
@@ -227,6 +229,7 @@ def added_spans(docs: DataFrame, found: DataFrame, terms: DataFrame, id_col: str
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("pii")
         for batch in batches:
             out = []
             for text, base, terms_ in zip(*[batch.column(c).to_pylist() for c in (text_col, "_base", "_terms")]):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import once
+from tenderlake.llm.common import enter, once
 from tenderlake.llm.textarrays import Words, chunks, split_words, text_bytes
 
 BITS = 18
@@ -116,10 +116,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, cost:
     neg = SMOOTH + np.bincount(np.concatenate([r for r, v in zip(rows, y) if v < 0]), minlength=size)
     ratio = np.log((pos / pos.sum()) / (neg / neg.sum()))
     ratio[(pos == SMOOTH) & (neg == SMOOTH)] = 0.0            # never seen
-    vec = []
-    for r in rows:
-        v = ratio[r]
-        vec.append(v / np.sqrt((v * v).sum() + DAMP))
+    first = np.append(0, np.cumsum([len(r) for r in rows]))
+    flat = ratio[np.concatenate(rows)].astype(np.float32) if len(rows) else np.zeros(0, np.float32)
+    vec = [flat[a:c] for a, c in zip(first, first[1:])]       # views of one array
+    for v in vec:
+        v /= np.sqrt((v * v).sum() + DAMP)
     upper = np.where(y > 0, cost * len(y) / (2 * n_pos), cost * len(y) / (2 * n_neg))
     diag = np.array([(v * v).sum() + 1.0 for v in vec])       # + 1: the constant feature
     alpha = np.zeros(len(y))
@@ -129,7 +130,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, cost:
         moved = 0.0
         for i in rng.permutation(len(y)).tolist():
             r, v = rows[i], vec[i]
-            grad = y[i] * (w[r] @ v + b) - 1.0
+            grad = y[i] * (float(w[r] @ v) + b) - 1.0
             new = min(max(alpha[i] - grad / diag[i], 0.0), upper[i])
             step = (new - alpha[i]) * y[i]
             if step:
@@ -169,6 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_ro
               .select("_key", "_y", text_col))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality")
         for batch in batches:
             for part in chunks(batch, text_col):
                 rows = features(part.column(text_col))
@@ -176,8 +178,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_ro
                                       names=["_key", "_y", "_f"])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sorted((k, y, f) for b in batches for k, y, f in zip(*[b.column(c).to_pylist() for c in ("_key", "_y", "_f")]))
-        model = fit([np.frombuffer(f, np.uint32) for _, _, f in got], np.array([y for _, y, _ in got], np.int64))
+        enter("quality")
+        table = pa.Table.from_batches(list(batches), pa.schema([("_key", pa.string()), ("_y", pa.int32()), ("_f", pa.binary())]))
+        keys, labels_ = table.column("_key").to_pylist(), table.column("_y").to_pylist()
+        buf, off = text_bytes(table.column("_f"))             # one buffer for all rows
+        order = sorted(range(len(keys)), key=lambda k: (keys[k], labels_[k], buf[off[k]:off[k + 1]].tobytes()))
+        model = fit([buf[off[k]:off[k + 1]].view(np.uint32) for k in order], np.array([labels_[k] for k in order], np.int64))
         yield pa.record_batch([pa.array([model["weight"].tobytes()], pa.binary()), pa.array([model["square"].tobytes()], pa.binary()),
                                *[pa.array([model[k]], pa.float64()) for k in ("bias", "slope", "shift")]],
                               names=["weight", "square", "bias", "slope", "shift"])
@@ -200,6 +206,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality")
         for batch in batches:
             for part in chunks(batch, text_col):
                 p = _scores(shared.value, part.column(text_col))
@@ -214,6 +221,7 @@ def keep_good(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality")
         for batch in batches:
             for part in chunks(batch, text_col):
                 yield part.filter(pa.array(_scores(shared.value, part.column(text_col)) >= 0.5))

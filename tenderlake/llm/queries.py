@@ -96,7 +96,8 @@ def tokenizer_path(name: str) -> str:
 @llm_query("op3_byte_bpe")
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path(BYTE_BPE_RANKS)
-    return byte_bpe.decode(byte_bpe.encode(documents(spark, sf_dir), path), path, digests=True)
+    return (byte_bpe.encode(documents(spark, sf_dir), path, digests=True)
+            .select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 WORD_BPE = "word_bpe_49k.json"

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import once
+from tenderlake.llm.common import enter, once
 from tenderlake.llm.textarrays import PieceCache, chunks, split_words
 
 SHARD_TOKENS = 1 << 21
@@ -229,6 +229,7 @@ def write_shards(docs: DataFrame, tokenizer: str, out_path: str, closing_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
+        enter("repair")
         part, enc, shard = TaskContext.get().partitionId(), _encoder(tokenizer), 0
         close = np.uint32(closing_id).tobytes()
         held: list[tuple[int | None, bytes]] = []

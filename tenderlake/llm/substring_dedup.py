@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import salted_join, stage_table
+from tenderlake.llm.common import enter, salted_join, stage_table
 from tenderlake.llm.textarrays import chunks, split_words, text_bytes, window_hashes
 
 WINDOW = 50
@@ -108,6 +108,7 @@ def count_anchors(rows: DataFrame, window: int, gram: int) -> DataFrame:
     """``anchor, first_id, last_id, n`` over ``_id, _text`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substring")
         for batch in batches:
             for part in _pieces(batch, "_text"):
                 w = split_words(part.column("_text"))
@@ -126,6 +127,7 @@ def suffix_runs(rows: DataFrame, repeated: np.ndarray, large: np.ndarray, window
     shared = rows.sparkSession.sparkContext.broadcast((repeated, large))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substring")
         rep, big = shared.value
         for batch in batches:
             for part in _pieces(batch, "_text"):
@@ -172,6 +174,7 @@ def _subtrees(suffixes: DataFrame) -> DataFrame:
         return pa.record_batch([pa.array(r, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["_row", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substring")
         held: list[pa.RecordBatch] = []                       # rows of the last anchor, which may go on
         for batch in batches:
             if not batch.num_rows:
@@ -212,6 +215,7 @@ def _large_groups(suffixes: DataFrame) -> DataFrame:
     both = salted_join(places, decided, ["ctx"], F.col("_row")).filter(F.array_min("_firsts") < F.col("_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substring")
         for batch in batches:
             rows, wins = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for who, row, at, firsts in zip(*[batch.column(c).to_pylist() for c in ("_id", "_row", "_at", "_firsts")]):
@@ -254,6 +258,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substring")
         for batch in batches:
             for part in _pieces(batch, "_text"):
                 buf, off = text_bytes(part.column("_text"))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tenderlake.llm.common import once
+from tenderlake.llm.common import once, tidy
 
 MULT = 0x9E3779B97F4A7C15 | 1            # odd: powers are invertible modulo 2**64
 INVERSE = pow(MULT, -1, 1 << 64)
@@ -61,7 +61,7 @@ class PieceCache:
 
     PROBES = 12
 
-    def __init__(self, slots_log2: int = 22):
+    def __init__(self, slots_log2: int = 21):
         self.bits = slots_log2
         self.clear()
 
@@ -160,7 +160,7 @@ def _lower_table() -> np.ndarray:
     return t
 
 
-def chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose texts hold about ``limit`` bytes, or one text if that is longer."""
     if not batch.num_rows:
         return
@@ -171,6 +171,7 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 21) -> Iterator
         to = max(at + 1, int(np.searchsorted(size, base + limit, "right")))
         yield batch.slice(at, to - at)
         at = to
+    tidy()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
