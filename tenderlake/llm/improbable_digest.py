@@ -3,9 +3,9 @@
 Features are the ``WINDOW``-byte windows of a text.  A window's entropy (in thousandths of the
 maximum) is ranked by how rare that entropy is over all windows of the corpus: rarest first, windows
 of too little entropy never.  In every run of ``RUN`` consecutive windows the first one of lowest rank
-gets a point; windows with ``POINTS`` points or more are the selected features.  Each is hashed to
+gets a point; windows with ``POINTS`` points or more (fewer in short texts) are the selected features.  Each is hashed to
 ``HASHES`` bits of a Bloom filter of ``FILTER_BYTES`` bytes; a filter takes ``FILTER_FEATURES``
-features, then the next one is begun.
+features, then the next one is begun.  A feature that repeats in a text counts once.
 
 Likeness: for every filter of the digest with fewer filters the best match in the other, averaged.
 Two filters match by the bits they share, normalised from what chance gives (with a margin) to the
@@ -32,18 +32,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import once, stage_table
+from tenderlake.llm.common import enter, once, stage_table
 from tenderlake.llm.textarrays import MULT, _powers, INVERSE, chunks, mix64, text_bytes
 
 WINDOW = 64
 RUN = 64
 POINTS = 16
+FEW = 16                         # a text of w windows asks for w // FEW points, 1 at least and POINTS at most
 LEVELS = 1001
 LEAST_ENTROPY = 100              # thousandths; windows below say too little
 FILTER_BYTES = 256
 FILTER_FEATURES = 160
 HASHES = 5
-CHANCE_MARGIN = 0.3
+CHANCE_MARGIN = 0.1
 CHUNK_BYTES = 1 << 20
 
 
@@ -99,8 +100,8 @@ def _select(buf: np.ndarray, off: np.ndarray, rank: np.ndarray) -> tuple[np.ndar
         width *= 2
     best = key & ((1 << 40) - 1)
     points = np.bincount(best[valid & (key >> 40 < LEVELS)], minlength=m)
-    chosen = points >= POINTS
     doc_of = np.searchsorted(off, np.arange(m), "right") - 1
+    chosen = points >= np.clip((size - WINDOW + 1) // FEW, 1, POINTS)[doc_of]
     pos = np.flatnonzero(chosen)
     doc = doc_of[pos]
     got = np.zeros(len(size), bool)
@@ -137,6 +138,8 @@ def digests(buf: np.ndarray, off: np.ndarray, rank: np.ndarray) -> list[tuple[np
     out = []
     for d in range(len(off) - 1):
         hashes = h[first[d]:first[d + 1]]
+        if len(hashes) > 1:                                   # a repeated feature counts once, where it is first
+            hashes = hashes[np.sort(np.unique(hashes, return_index=True)[1])]
         chain = -(-len(hashes) // FILTER_FEATURES)
         bits = np.zeros((chain, FILTER_BYTES * 8), bool)
         which = np.arange(len(hashes)) // FILTER_FEATURES
@@ -185,6 +188,7 @@ def entropy_ranks(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Rank of each entropy level by its number of windows in the whole corpus (1001 sums)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("digest")
         count = np.zeros(LEVELS, np.int64)
         for batch in batches:
             for part in chunks(batch, text_col, CHUNK_BYTES):
@@ -228,6 +232,7 @@ def fingerprint(docs: DataFrame, rank: np.ndarray | None = None, id_col: str = "
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("digest")
         for batch in batches:
             for part in chunks(batch, text_col, CHUNK_BYTES):
                 got = digests(*text_bytes(part.column(text_col)), shared.value)
@@ -275,6 +280,7 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                                names=[id_col, *_NAMES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("digest")
         from pyspark import TaskContext
         part, ids, texts, id_type = TaskContext.get().partitionId(), [], [], None
         for batch in batches:
