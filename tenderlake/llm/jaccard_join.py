@@ -5,24 +5,25 @@ A document's set holds its distinct ``SHINGLE``-word shingles (A-Z lower-cased);
 
 Candidates come from an exact prefix index: in one global order of shingles, linked sets share one of
 their first n - ceil(0.8 n) + 1.  The order is: shingles that are frequent (seen often enough within
-the chunks of one scan; a bitmap of fixed size) last, then by hash, so common lines and passages
+the chunks of one scan, or in more than ``CROWDED`` prefixes under the order so far; bitmaps of fixed size)
+last, then by hash, so common lines and passages
 hardly enter the index.  It changes the work, never the result.
 
 Set relations skip work in the index lists (one list a shingle):
 
 * *Index level*: a list is sorted by set size; members out of the size range of a set, and members
   whose place of the shingle says that too many others differ, are skipped in whole blocks.
-* A parity bitmap of about one bit a shingle (1 % of the text) travels with each entry: the sets
-  differ in at least as many shingles as the bitmaps do in bits, which rules out almost every pair
-  without reading the sets.
+* A parity bitmap of about one bit a shingle (2 % of the text) stands for each set: the sets differ
+  in at least as many shingles as the bitmaps do in bits, which rules out almost every pair without
+  reading the sets.
 * *Answer level*: in long lists sets are gathered around leaders first, and only leader pairs are
   checked.  Sets that are then known to be linked need no answers between them; between classes a
   set's answers are derived from those of a similar set already answered (its bit distances, less
   the distance between the two), and only what remains is compared.
 
 So a list of m near copies gives about m pairs, not m * m / 2.  Lists over ``BLOCK`` entries are cut into
-blocks and every two blocks meet in a group of their own, so no list is gathered whole.  Copies are
-merged before the shuffle, joins on a frequent key are salted, components are found in Spark.
+blocks and every two blocks meet in a group of their own, so no list is gathered whole.  Of copies
+one row enters the index (a bitmap of fixed size tells which), joins on a frequent key are salted, components are found in Spark.
 
 Cases: a text with fewer words than a shingle has its whole sequence as one shingle; a null, empty
 or word-less text has the empty set and links with nothing.  A null id links like any other but
@@ -40,18 +41,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import salted_join, stage_table
+from tenderlake.llm.common import enter, salted_join, spread_join, stage_table
 from tenderlake.llm.components import connected_components
 from tenderlake.llm.textarrays import chunks, mix64, split_words, window_hashes
 
 SHINGLE = 5
 PERCENT = 80                     # the threshold; the bounds below are written for it
 FREQUENT_LOCAL = 3               # documents of one chunk of COUNT_SHINGLES that a shingle is in to be counted
-FREQUENT = 100                   # counted documents that make a shingle frequent
-COUNT_SHINGLES = 4_000_000
+FREQUENT = 9                     # counted documents that make a shingle frequent
+CROWDED = 4                      # prefixes that a shingle may be in before it goes last, too
+COUNT_SHINGLES = 2_000_000
 SHORT = 32                       # lists up to this many entries give their pairs at once
 BLOCK = 4096
-BITS = 24                        # log2 of the bits of each bitmap handed to the scans
+LONG_BYTES = 2048                # at most, of a bitmap that travels with an entry of a long list
+LONG_BITS = 8                    # bits a shingle of such a bitmap
+BITS = 26                        # log2 of the bits of each bitmap handed to the scans: 8 MB whatever the input
+ROUNDS = 2                       # rounds over the nearest classes before all remaining pairs are compared
+NEAREST = 2                      # partners a set gets in such a round
+HELD = 500_000                  # index entries that a task holds to drop repeated ones
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
@@ -78,9 +85,9 @@ def set_key(s: np.ndarray) -> int:
     return int(np.array([h], np.uint64).view(np.int64)[0]) or 1
 
 
-def parity(s: np.ndarray) -> bytes:
-    """A bit a bucket: odd number of shingles.  At least as many buckets as shingles, a power of two, 64 or more."""
-    size = max(64, 1 << int(len(s) - 1).bit_length())
+def parity(s: np.ndarray, each: int = 1) -> bytes:
+    """A bit a bucket: odd number of shingles.  At least ``each`` buckets a shingle, a power of two, 64 or more."""
+    size = max(64, 1 << (each * len(s) - 1).bit_length()) if len(s) else 64
     odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -101,7 +108,7 @@ def _holds(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _bitmap(rows: DataFrame, col: str) -> np.ndarray:
-    """A bit for each leading residue of a hash column: 2 MB whatever the input."""
+    """A bit for each leading residue of a hash column: fixed size whatever the input."""
     slot = F.shiftrightunsigned(col, 64 - BITS)
     got = (rows.select(F.shiftright(slot, 15).cast("int").alias("_part"), slot.bitwiseAND(F.lit(32767)).alias("_at"))
            .groupBy("_part").agg(F.bitmap_construct_agg("_at").alias("_bits")).collect())
@@ -116,9 +123,10 @@ def _as_long(values: np.ndarray) -> pa.Array:
 
 
 def scan_sets(rows: DataFrame) -> DataFrame:
-    """One scan, two kinds of rows: ``doc`` (id, row, key, size) and ``often`` (shingle, documents within a chunk)."""
+    """One scan, two kinds of rows: ``doc`` (id, row, key, size, bits) and others (shingle, documents within a chunk)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("jaccard")
         held, size = [], 0
 
         def often() -> pa.RecordBatch:
@@ -128,15 +136,15 @@ def scan_sets(rows: DataFrame) -> DataFrame:
             pick = n >= FREQUENT_LOCAL
             k = int(pick.sum())
             return pa.record_batch([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), _as_long(every[at[pick]]), pa.array(n[pick].astype(np.int64)),
-                                    pa.array([False] * k, pa.bool_())], names=["_id", "_row", "h", "n", "doc"])
+                                    pa.nulls(k, pa.binary()), pa.array([False] * k, pa.bool_())], names=["_id", "_row", "h", "n", "bits", "doc"])
 
         for batch in batches:
             for part in chunks(batch, "_text"):
                 sets = shingle_sets(part.column("_text"))
                 k = len(sets)
                 yield pa.record_batch([part.column("_id"), part.column("_row"), pa.array([set_key(s) for s in sets], pa.int64()),
-                                       pa.array([len(s) for s in sets], pa.int64()), pa.array([True] * k, pa.bool_())],
-                                      names=["_id", "_row", "h", "n", "doc"])
+                                       pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()),
+                                       pa.array([True] * k, pa.bool_())], names=["_id", "_row", "h", "n", "bits", "doc"])
                 held += sets
                 size += sum(map(len, sets))
                 if size >= COUNT_SHINGLES:
@@ -144,56 +152,78 @@ def scan_sets(rows: DataFrame) -> DataFrame:
                     held, size = [], 0
         yield often()
 
-    return rows.mapInArrow(run, "_id bigint, _row bigint, h bigint, n bigint, doc boolean")
+    return rows.mapInArrow(run, "_id bigint, _row bigint, h bigint, n bigint, bits binary, doc boolean")
 
 
-def prefix_shingles(rows: DataFrame, frequent) -> DataFrame:
+def _standing(part: pa.RecordBatch, stand: np.ndarray) -> pa.Array:
+    """Texts of the rows in the bitmap."""
+    return part.column("_text").filter(pa.array(_holds(stand, part.column("_row").to_numpy().view(np.uint64))))
+
+
+def prefix_shingles(rows: DataFrame, frequent, stand) -> DataFrame:
+    """Prefix shingles of the rows that stand for a set (and of the few copies that the bitmap lets pass)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("jaccard")
         for batch in batches:
             for part in chunks(batch, "_text"):
-                some = [prefix(s, frequent.value) for s in shingle_sets(part.column("_text"))]
-                yield pa.record_batch([_as_long(np.concatenate(some))], names=["token"])
+                some = [prefix(s, frequent.value) for s in shingle_sets(_standing(part, stand.value))]
+                yield pa.record_batch([_as_long(np.concatenate([*some, np.zeros(0, np.uint64)]))], names=["token"])
 
-    return rows.select("_text").mapInArrow(run, "token bigint")
+    return rows.select("_row", "_text").mapInArrow(run, "token bigint")
 
 
-def index_entries(rows: DataFrame, frequent, shared) -> DataFrame:
-    """``token, key, n, pos, bits`` for prefix shingles that occur more than once."""
+def index_entries(rows: DataFrame, frequent, shared, stand) -> DataFrame:
+    """``token, key, n, pos`` for prefix shingles that occur more than once, from the rows that stand for a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("jaccard")
+        held: list[tuple] = []
+
+        def entries() -> pa.RecordBatch:
+            token, key, n, pos = [np.concatenate(c) for c in zip(*held)] if held else [np.zeros(0, np.int64)] * 4
+            held.clear()
+            order = np.lexsort((key, token))
+            token, key = token[order], key[order]
+            keep = order[np.append(True, (token[1:] != token[:-1]) | (key[1:] != key[:-1]))[:len(order)]]
+            fresh = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (key[1:] != key[:-1]))[:len(order)])
+            return pa.record_batch([pa.array(token[fresh]), pa.array(key[fresh]), pa.array(n[keep].astype(np.int32)), pa.array(pos[keep].astype(np.int32))],
+                                   names=["token", "key", "n", "pos"])
+
         for batch in batches:
             for part in chunks(batch, "_text"):
-                token, key, size, pos, bits = [], [], [], [], []
-                for s in shingle_sets(part.column("_text")):
+                for s in shingle_sets(_standing(part, stand.value)):
                     p = prefix(s, frequent.value)
                     at = np.flatnonzero(_holds(shared.value, p))
                     if len(at):
-                        token.append(p[at])
-                        pos.append(at)
-                        key += [set_key(s)] * len(at)
-                        size += [len(s)] * len(at)
-                        bits += [parity(s)] * len(at)
-                if token:
-                    yield pa.record_batch([_as_long(np.concatenate(token)), pa.array(key, pa.int64()), pa.array(size, pa.int32()),
-                                           pa.array(np.concatenate(pos).astype(np.int32)), pa.array(bits, pa.binary())],
-                                          names=["token", "key", "n", "pos", "bits"])
+                        held.append((p[at].view(np.int64), np.full(len(at), set_key(s)), np.full(len(at), len(s)), at))
+                if sum(len(h[0]) for h in held) > HELD:
+                    yield entries()
+        yield entries()
 
-    return rows.select("_text").mapInArrow(run, "token bigint, key bigint, n int, pos int, bits binary")
+    return rows.select("_row", "_text").mapInArrow(run, "token bigint, key bigint, n int, pos int")
 
 
-def full_sets(rows: DataFrame, wanted) -> DataFrame:
-    """``key, set`` of the sets whose key is in the bitmap."""
+def full_sets(rows: DataFrame, wanted, long_bits: bool = False) -> DataFrame:
+    """``key, set`` of the rows in the bitmap, or (``long_bits``) their bitmaps for long lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("jaccard")
         for batch in batches:
             for part in chunks(batch, "_text"):
-                sets = shingle_sets(part.column("_text"))
-                keys = np.array([set_key(s) for s in sets], np.int64)
-                at = np.flatnonzero(_holds(wanted.value, keys.view(np.uint64)) & (keys != 0)) if len(keys) else []
-                at = list({int(keys[k]): int(k) for k in at}.values())
-                yield pa.record_batch([pa.array(keys[at]), pa.array([sets[k].tobytes() for k in at], pa.binary())], names=["key", "set"])
+                sets = [s for s in shingle_sets(_standing(part, wanted.value)) if len(s)]
+                body = [_small(parity(s, LONG_BITS)) if long_bits else s.tobytes() for s in sets]
+                yield pa.record_batch([pa.array([set_key(s) for s in sets], pa.int64()), pa.array(body, pa.binary())], names=["key", "set"])
+
+    return rows.select("_row", "_text").mapInArrow(run, "key bigint, set binary")
 
-    return rows.select("_text").mapInArrow(run, "key bigint, set binary").groupBy("key").agg(F.first("set").alias("set"))
+
+def _small(bits: bytes) -> bytes:
+    """At most ``LONG_BYTES`` bytes: halves are added up (still never more bits than shingles differ)."""
+    x = np.frombuffer(bits, np.uint8)
+    while len(x) > LONG_BYTES:
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    return x.tobytes()
 
 
 def _fold(x: int, size: int, to: int) -> int:
@@ -213,9 +243,9 @@ def _could_link(n1, p1, n2, p2):
 class _List:
     """Entries of one list, sorted by size, with their bitmaps by number of buckets."""
 
-    def __init__(self, key, n, pos, bits, tag):
+    def __init__(self, key, n, pos, bits, tag, block):
         order = np.lexsort((key, n))
-        self.key, self.n, self.pos, self.tag = key[order], n[order].astype(np.int64), pos[order].astype(np.int64), tag[order]
+        self.key, self.n, self.pos, self.tag, self.block = key[order], n[order], pos[order], tag[order], block[order]
         raw = [bits[k] for k in order.tolist()]
         self.width = np.array([len(b) for b in raw])
         self.begin = {int(w): int(np.searchsorted(self.width, w)) for w in np.unique(self.width)}      # sizes ascend, so do widths
@@ -259,15 +289,18 @@ def _leader_pairs(one: _List) -> list[tuple[int, int]]:
     return pairs
 
 
-def _class_pairs(one: _List, block: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs that may link across classes (``tag``), deriving answers from the last set answered in the class."""
+def _class_pairs(one: _List, two_blocks: bool, nearest: int) -> list[tuple[int, int]]:
+    """Pairs that may link across classes (``tag``), deriving answers from the last set answered in the class.
+
+    ``nearest``: only so many partners a set, the nearest ones; 0: all.
+    """
     pairs = []
     known: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}      # class: a set, entries in its range, distances to them
     for k in range(len(one.n)):
         others = np.arange(k + 1, one.reach(k))
         others = others[(one.tag[others] != one.tag[k]) & _could_link(one.n[k], one.pos[k], one.n[others], one.pos[others])]
-        if block[0] != block[1]:
-            others = others[one.other[others] != one.other[k]]
+        if two_blocks:
+            others = others[one.block[others] != one.block[k]]
         if not len(others):
             continue
         r, seen, far = known.get(int(one.tag[k]), (-1, None, None))
@@ -281,40 +314,22 @@ def _class_pairs(one: _List, block: np.ndarray) -> list[tuple[int, int]]:
         dist = one.distance(k, others)
         if r < 0 or len(others) > 4 * len(seen):
             known[int(one.tag[k])] = (k, others, dist)
-        others = others[9 * dist <= one.n[k] + one.n[others]]
+        ok = 9 * dist <= one.n[k] + one.n[others]
+        others, dist = others[ok], dist[ok]
+        if nearest and len(others) > nearest:
+            others = others[np.argsort(dist, kind="stable")[:nearest]]
         pairs += [(k, o) for o in others.tolist()]
     return pairs
 
 
-def _small_pairs(start: np.ndarray, size: np.ndarray, key, n, pos, bits) -> tuple[list, list]:
-    """Pairs that may link in all short lists at once."""
-    left, right = [], []
-    value: dict[int, int] = {}
-    for g in np.unique(size).tolist():
-        at = start[size == g]
-        i, j = np.triu_indices(g, 1)
-        a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-        ok = _could_link(n[a], pos[a], n[b], pos[b])
-        for x, y in zip(a[ok].tolist(), b[ok].tolist()):
-            for z in (x, y):
-                if z not in value:
-                    value[z] = int.from_bytes(bits[z], "little")
-            sx, sy = len(bits[x]) * 8, len(bits[y]) * 8
-            to = min(sx, sy)
-            if 9 * (_fold(value[x], sx, to) ^ _fold(value[y], sy, to)).bit_count() <= int(n[x]) + int(n[y]):
-                left.append(key[x])
-                right.append(key[y])
-    return left, right
-
-
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Whole lists (sorted by token, i, j), several at a time."""
+def _lists(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Whole lists (rows sorted by ``by``), several at a time."""
     held: list[pa.RecordBatch] = []
-    group = lambda b, k: (b.column("token")[k].as_py(), b.column("i")[k].as_py(), b.column("j")[k].as_py())
+    group = lambda b, k: [b.column(c)[k].as_py() for c in by]
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(c).to_numpy() for c in ("token", "i", "j")]
+        cols = [batch.column(c).to_numpy() for c in by]
         same = np.all([c == c[-1] for c in cols], axis=0)
         last = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
         if last or (held and group(held[0], 0) != group(batch, 0)):
@@ -325,49 +340,80 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def candidate_pairs(index: DataFrame, long_only: bool) -> DataFrame:
-    """``a, b``: keys of sets that may link.
+def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+    return pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+
+def short_pairs(index: DataFrame, bits: DataFrame) -> DataFrame:
+    """``a, b``: keys of sets that may link, from lists of up to ``SHORT`` entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("jaccard")
+        for table in _lists(batches, ("token",)):
+            token, key, n, pos = [table.column(c).to_numpy().astype(np.int64) for c in ("token", "key", "n", "pos")]
+            once = np.append(True, (token[1:] != token[:-1]) | (key[1:] != key[:-1]))
+            token, key, n, pos = token[once], key[once], n[once], pos[once]
+            start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            size = np.diff(np.append(start, len(token)))
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for g in np.unique(size[size > 1]).tolist():               # all lists of one length at once
+                at = start[size == g]
+                i, j = np.triu_indices(g, 1)
+                x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+                ok = _could_link(n[x], pos[x], n[y], pos[y])
+                a.append(key[x[ok]])
+                b.append(key[y[ok]])
+            yield _pair_batch(np.concatenate(a), np.concatenate(b))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y, m, n in zip(*[batch.column(c).to_pylist() for c in ("_x", "_y", "_m", "_n")]):
+                to = 8 * min(len(x), len(y))
+                far = _fold(int.from_bytes(x, "little"), 8 * len(x), to) ^ _fold(int.from_bytes(y, "little"), 8 * len(y), to)
+                ok.append(9 * far.bit_count() <= m + n)
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    found = (index.repartition("token").sortWithinPartitions("token", "key").select("token", "key", "n", "pos").mapInArrow(run, "a bigint, b bigint")
+             .filter("a <> b").distinct())
+    found = stage_table(found, "jaccard-found")
+    first = spread_join(found, bits.select(F.col("key").alias("a"), F.col("bits").alias("_x"), F.col("n").alias("_m")), "a", F.col("b"))
+    both = spread_join(first, bits.select(F.col("key").alias("b"), F.col("bits").alias("_y"), F.col("n").alias("_n")), "b", F.col("a"), counted=found)
+    return both.mapInArrow(near, "a bigint, b bigint")
+
+
+def long_pairs(index: DataFrame, classes: bool, nearest: int = 0) -> DataFrame:
+    """``a, b`` from long lists: leader pairs, or (``classes``) what may link across classes ``tag``.
 
-    ``index``: ``token, i, j, block, key, n, pos, bits, tag``; lists are (token, i, j).  First pass: short
-    lists give all pairs that may link, long ones their leader pairs.  Second pass (``long_only``):
-    long lists give the pairs that may link across classes ``tag``.
+    ``index``: ``token, i, j, block, key, n, pos, bits, tag``; a list, or two blocks of it, is (token, i, j).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _lists(batches):
+        enter("jaccard")
+        for table in _lists(batches, ("token", "i", "j")):
             token, i, j, block, key, n, pos, tag = [table.column(c).to_numpy() for c in ("token", "i", "j", "block", "key", "n", "pos", "tag")]
             bits = table.column("bits").to_pylist()
             n, pos = n.astype(np.int64), pos.astype(np.int64)
-            fresh = np.append(True, (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
-            start = np.flatnonzero(fresh)
-            size = np.diff(np.append(start, len(token)))
+            start = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
             a, b = [], []
-            if not long_only:
-                short = (size > 1) & (size <= SHORT) & (i[start] == j[start])
-                a, b = _small_pairs(start[short], size[short], key, n, pos, bits)
-            long = (size > SHORT) | (i[start] != j[start])
-            for lo, m in zip(start[long].tolist(), size[long].tolist()):
-                part = slice(lo, lo + m)
-                one = _List(key[part], n[part], pos[part], bits[part], tag[part])
-                if long_only:
-                    one.other = block[part][np.lexsort((key[part], n[part]))]
-                    pairs = _class_pairs(one, np.array([i[lo], j[lo]]))
-                else:
-                    pairs = _leader_pairs(one)
-                a += [one.key[x] for x, _ in pairs]
-                b += [one.key[y] for _, y in pairs]
-            a, b = np.array(a, np.int64), np.array(b, np.int64)
-            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    sorted_ = index.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return (sorted_.select("token", "i", "j", "block", "key", "n", "pos", "bits", "tag").mapInArrow(run, "a bigint, b bigint")
-            .filter("a <> b").distinct())
+            for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(token)]):
+                part = slice(lo, hi)
+                one = _List(key[part], n[part], pos[part], bits[part], tag[part], block[part])
+                for x, y in _class_pairs(one, i[lo] != j[lo], nearest) if classes else _leader_pairs(one):
+                    a.append(one.key[x])
+                    b.append(one.key[y])
+            yield _pair_batch(np.array(a, np.int64), np.array(b, np.int64))
+
+    return (index.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+            .select("token", "i", "j", "block", "key", "n", "pos", "bits", "tag").mapInArrow(run, "a bigint, b bigint").filter("a <> b").distinct())
 
 
 def check_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those pairs that do link, by their whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("jaccard")
         for batch in batches:
             ok, last, mine = [], None, None
             for x, y in zip(batch.column("_x").to_pylist(), batch.column("_y").to_pylist()):
@@ -378,8 +424,8 @@ def check_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok.append(100 * both >= PERCENT * (len(mine) + len(other) - both))
             yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    first = salted_join(pairs, sets.withColumnRenamed("key", "a").withColumnRenamed("set", "_x"), ["a"], F.col("b"), salts=8)
-    second = salted_join(first, sets.withColumnRenamed("key", "b").withColumnRenamed("set", "_y"), ["b"], F.col("a"), salts=8)
+    first = spread_join(pairs, sets.select(F.col("key").alias("a"), F.col("set").alias("_x")), "a", F.col("b"))
+    second = spread_join(first, sets.select(F.col("key").alias("b"), F.col("set").alias("_y")), "b", F.col("a"), counted=pairs)
     return second.select("a", "b", "_x", "_y").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -392,6 +438,19 @@ def _blocks(index: DataFrame, counts: DataFrame) -> DataFrame:
     return (spread.withColumn("i", F.least("block", "_k")).withColumn("j", F.greatest("block", "_k")).drop("_t", "_m", "_k"))
 
 
+def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes after more links: the links between classes are few, so only those are solved anew."""
+    named = classes.select(F.col("node").alias("_node"), "component")
+    ends = links
+    for c in ("a", "b"):
+        ends = ends.join(named, F.col(c) == F.col("_node"), "left").withColumn(c, F.coalesce("component", c)).drop("_node", "component")
+    over = stage_table(connected_components(ends), "class-links").select(F.col("node").alias("_c"), F.col("component").alias("_to"))
+    fresh = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct().join(classes, "node", "left_anti")
+    every = classes.unionByName(fresh.withColumn("component", F.col("node")))
+    return (every.join(over, F.col("component") == F.col("_c"), "left")
+            .select("node", F.coalesce("_to", "component").alias("component")))
+
+
 def _row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
@@ -404,30 +463,56 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = scanned.filter("doc").select("_id", "_row", F.col("h").alias("key"), "n")
     frequent = scanned.filter("NOT doc").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
     frequent = sc.broadcast(_bitmap(frequent, "h"))
-    counted = prefix_shingles(rows, frequent).groupBy("token").agg(F.count("*").alias("entries")).filter("entries > 1")
-    counted = stage_table(counted, "jaccard-counts")
-    shared = sc.broadcast(_bitmap(counted, "token"))
-
-    entries = index_entries(rows, frequent, shared).groupBy("token", "key").agg(*[F.first(c).alias(c) for c in ("n", "pos", "bits")])
-    index = stage_table(entries.withColumn("tag", F.lit(0).cast("bigint")), "jaccard-index")
-    lists = stage_table(index.groupBy("token").agg(F.count("*").alias("entries")).filter("entries > 1"), "jaccard-lists")
-    live = _blocks(index, lists)
-    pairs = stage_table(candidate_pairs(live, long_only=False), "jaccard-pairs")
-
-    long = lists.filter(F.col("entries") > SHORT).select(F.col("token").alias("_t"))
-    long_index = stage_table(index.join(long, F.col("token") == F.col("_t"), "left_semi"), "jaccard-long")
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(long_index.select("key"))
-    sets = stage_table(full_sets(rows, sc.broadcast(_bitmap(wanted, "key"))), "jaccard-sets")
-    links = stage_table(check_pairs(pairs, sets), "jaccard-links")
+    # one row stands for each set: its shingles enter the index, its bitmap and its set speak for all copies
+    first = F.min_by(F.struct("_row", "n", "bits"), "_row").alias("f")
+    bits = stage_table(scanned.filter("doc AND n > 0").groupBy(F.col("h").alias("key")).agg(first).select("key", "f.*"), "jaccard-bits")
+    stand = sc.broadcast(_bitmap(bits, "_row"))
+
+    def count_lists(last) -> DataFrame:
+        counted = prefix_shingles(rows, last, stand).groupBy("token").agg(F.count("*").alias("entries")).filter("entries > 1")
+        return stage_table(counted, "jaccard-lists")
+
+    # Shingles that turn out to be in several prefixes go last as well; what moves up in their place is mostly rare.
+    crowded = count_lists(frequent).filter(F.col("entries") > CROWDED)
+    frequent = sc.broadcast(frequent.value | _bitmap(crowded, "token"))
+    lists = count_lists(frequent)
+    shared = sc.broadcast(_bitmap(lists, "token"))
+
+    index = stage_table(index_entries(rows, frequent, shared, stand), "jaccard-index")
+    long = stage_table(lists.filter(F.col("entries") > SHORT), "jaccard-long-lists")
+    pairs = short_pairs(index.join(long.select("token"), "token", "left_anti"), bits)
+
+    def fetch(keys: DataFrame, long_bits: bool = False) -> DataFrame:
+        chosen = bits.select("key", "_row").join(keys.select("key").distinct(), "key", "left_semi")
+        return stage_table(full_sets(rows, sc.broadcast(_bitmap(chosen, "_row")), long_bits), "jaccard-sets")
+
+    def both(some: DataFrame) -> DataFrame:
+        return some.select(F.col("a").alias("key")).unionByName(some.select(F.col("b").alias("key")))
+
+    has_long = not long.isEmpty()
+    if has_long:
+        members = index.join(long.select("token"), "token", "left_semi").dropDuplicates(["token", "key"])
+        members = stage_table(members, "jaccard-members")
+        wide = fetch(members, long_bits=True).select("key", F.col("set").alias("bits"))
+        members = stage_table(spread_join(members, wide.dropDuplicates(["key"]), "key", F.col("token")), "jaccard-long")
+        pairs = pairs.unionByName(long_pairs(_blocks(members.withColumn("tag", F.lit(0).cast("bigint")), long), classes=False)).distinct()
+    pairs = stage_table(pairs, "jaccard-pairs")
+    links = stage_table(check_pairs(pairs, fetch(both(pairs))), "jaccard-links")
     classes = stage_table(connected_components(links), "jaccard-classes")
 
-    tagged = salted_join(long_index.drop("tag"), classes.select(F.col("node").alias("key"), F.col("component").alias("tag")), ["key"], F.col("token"), "left", salts=4)
-    more = candidate_pairs(_blocks(tagged.withColumn("tag", F.coalesce("tag", "key")), lists), long_only=True).join(pairs, ["a", "b"], "left_anti")
-    more = stage_table(more, "jaccard-more")
-    if not more.isEmpty():
-        extra = stage_table(check_pairs(more, sets), "jaccard-extra")
-        links = links.unionByName(extra)
-        classes = stage_table(connected_components(links), "jaccard-classes")
+    def across(nearest: int) -> DataFrame:
+        tags = classes.select(F.col("node").alias("key"), F.col("component").alias("tag"))
+        tagged = salted_join(members, tags, ["key"], F.col("token"), "left", salts=4).withColumn("tag", F.coalesce("tag", "key"))
+        return stage_table(long_pairs(_blocks(tagged, long), True, nearest).join(pairs, ["a", "b"], "left_anti"), "jaccard-across")
+
+    for round_ in range(ROUNDS + 1) if has_long else ():      # nearest classes first, then whatever remains
+        more = across(NEAREST if round_ < ROUNDS else 0)
+        if more.isEmpty():
+            continue
+        found = stage_table(check_pairs(more, fetch(both(more))), "jaccard-links")
+        pairs = pairs.unionByName(more)
+        if not found.isEmpty():
+            classes = stage_table(_joined(classes, found), "jaccard-classes")
 
     named = classes.select(F.col("node").alias("key"), F.col("component").alias("_class"))
     own = salted_join(own, named, ["key"], F.col("_row"), "left").withColumn("_class", F.coalesce("_class", "key"))
