@@ -1,25 +1,29 @@
 """Personal data: base patterns, plus terms that reveal a protected entity by corpus co-occurrence.
 
 Base spans (email, ip, card, phone) are found by pattern and checks, leftmost and non-overlapping
-per kind.  Each distinct value is a protected entity.  For the information-theoretic part, terms
-(words, A-Z lower-cased, without punctuation at their ends) within ``WINDOW`` words of a mention
-are counted over the corpus:
-
-    IC(e) = log(N / n(e))        PMI(e; t) = log(N n(e, t) / (n(e) n(t)))
-
-n counts documents, over all of them.  PMI / IC is 1 when t occurs only near e; from ``REMOVE`` on a
-term is removed, from ``GENERALISE`` on it is generalised, in every document that mentions e.  A pair
-needs ``MIN_CONTEXTS`` different contexts, so copies of one passage are not evidence.  Documents
-without base spans are never touched, and base spans always stay.
-
-Scale: one pass finds mentions; pairs are aggregated with partial sums on (entity, term, ...), so a
-frequent entity is spread over tasks; document frequencies are counted only for words in a filter
-of 2**20 bits (bounded, broadcast; a chance hit only counts a word more); the way back joins narrow
-rows, and texts are joined only for documents that get added spans.
+per kind.  Each distinct value is a protected entity.  For the information-theoretic part, every
+term (words, A-Z lower-cased, without punctuation at their ends, that touch no span) of a document
+that mentions an entity is scored, however rare the entity is:
+
+    IC(e) = log(N / n(e))        PMI(e; t) = log(P(e | t) N / n(e))
+
+n counts documents, over all of them and as wholes; those that mention e and are near copies of each
+other (classes of ``jaccard_join``) count once.  P(e | t) is not n(e, t) / n(t) itself but the lower end
+of its one-sided 95 % interval (Wilson, with continuity correction), so chance is priced in by how
+little was seen: one document of one gives 0.07, seven of seven 0.63.  PMI / IC nears 1 when
+t occurs only with e; from ``REMOVE`` on a term is removed, from ``GENERALISE`` on it is
+generalised, in every document that mentions e.  Documents without base spans are never touched,
+and base spans always stay.
+
+Scale: one pass finds entities, and terms as hashes; entities that the same documents mention have
+the same counts and are scored as one group; pairs are aggregated with partial sums on (group, term,
+class), joins on frequent keys are salted; document frequencies are counted only for words in a filter
+of 2**24 bits (bounded, broadcast; a chance hit only counts a word more); only texts with base spans
+are written and read again.
 
 Cases: a null text is empty and has no spans.  A null id is a document of its own kind: its base
 spans are reported, its mentions are not evidence and it gets no added spans.  n counts rows; rows
-that repeat an id get the added spans of either.  Other columns are ignored; an empty table gives
+that repeat an id are documents of their own.  Other columns are ignored; an empty table gives
 an empty table.
 """
 
@@ -31,17 +35,18 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import enter, stage_table
+from tenderlake.llm.common import enter, spread_join, stage_table
+from tenderlake.llm.jaccard_join import linked_classes
 from tenderlake.llm.textarrays import chunks, split_words
 
 WINDOW = 8
-MIN_CONTEXTS = 3
+Z = 1.645                        # one-sided 95 %
 GENERALISE = 0.5
 REMOVE = 0.8
-FILTER_BITS = 1 << 20
+FILTER_BITS = 1 << 24
 KINDS = ("email", "ip", "card", "phone")
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -106,15 +111,31 @@ def term(word: str) -> str:
     return word.strip(_ENDS).translate(_LOWER)
 
 
-def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, list[str]]]:
-    """For each span: the entity, a hash of its context, and the terms around it."""
+def free_words(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[tuple[int, int]], list[bool]]:
+    """Start and end of every word, and whether it touches no span."""
     words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    inside = sorted((a, b) for _, a, b in spans)
+    inside: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):          # spans that overlap as one
+        if inside and a <= inside[-1][1]:
+            inside[-1][1] = max(inside[-1][1], b)
+        else:
+            inside.append([a, b])
     free, k = [], 0
-    for a, b in words:                                        # words that touch no span
+    for a, b in words:
         while k < len(inside) and inside[k][1] <= a:
             k += 1
-        free.append(not any(s < b and e > a for s, e in inside[k:k + 8]))
+        free.append(k == len(inside) or inside[k][0] >= b)
+    return words, free
+
+
+def free_terms(text: str, spans: list[tuple[str, int, int]]) -> list[str]:
+    """The distinct terms of a whole document."""
+    return sorted({term(text[a:b]) for (a, b), f in zip(*free_words(text, spans)) if f} - {""})
+
+
+def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, list[str]]]:
+    """For each span: the entity, a hash of its context, and the terms around it."""
+    words, free = free_words(text, spans)
     starts = [a for a, _ in words]
     out = []
     for kind, a, b in spans:
@@ -131,8 +152,7 @@ def join_spans(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-_HASHED = pa.list_(pa.struct([("entity", pa.string()), ("ctx", pa.int64()), ("term", pa.string()), ("h", pa.int64())]))
-_FOUND = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, seen array<struct<entity:string,ctx:bigint,term:string,h:bigint>>"
+_FOUND = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, entities array<string>, terms array<bigint>, body string"
 
 
 def term_hashes(terms: list[str]) -> list[int]:
@@ -140,29 +160,31 @@ def term_hashes(terms: list[str]) -> list[int]:
 
 
 def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts and base spans of every document, with the mentions that are evidence."""
+    """Counts and base spans of every document; of those with spans the entities, hashes of terms, and the text.
+
+    ``row`` is a hash of id and body.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("pii")
         for batch in batches:
             for part in chunks(batch, text_col):
-                counts, joined, seen = [], [], []
+                counts, joined, who, held, body = [], [], [], [], []
                 for text in part.column(text_col).to_pylist():
                     spans = base_spans(text) if text else []
                     counts.append([sum(k == s[0] for s in spans) for k in KINDS])
                     joined.append(join_spans(spans))
-                    rows = []
-                    if spans:
-                        flat = [(e, c, t) for e, c, ts in mentions(text, spans) for t in (ts or [""])]
-                        hashes = iter(term_hashes([t for _, _, t in flat if t]))
-                        rows = [(e, c, t, next(hashes) if t else 0) for e, c, t in flat]
-                    seen.append([dict(zip(("entity", "ctx", "term", "h"), r)) for r in rows])
+                    who.append(sorted({entity(k, text[a:b]) for k, a, b in spans}))
+                    held.append(sorted(set(term_hashes(free_terms(text, spans)))) if spans else [])
+                    body.append(text if spans else None)
                 cols = list(zip(*counts)) if counts else [[]] * 4
-                yield pa.record_batch([part.column(id_col), *[pa.array(c, pa.int64()) for c in cols], pa.array(joined, pa.string()), pa.array(seen, _HASHED)],
-                                      names=[id_col, *[f"n_{k}" for k in KINDS], "base", "seen"])
+                yield pa.record_batch([part.column(id_col), *[pa.array(c, pa.int64()) for c in cols], pa.array(joined, pa.string()),
+                                       pa.array(who, pa.list_(pa.string())), pa.array(held, pa.list_(pa.int64())), pa.array(body, pa.string())],
+                                      names=[id_col, *[f"n_{k}" for k in KINDS], "base", "entities", "terms", "body"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {_FOUND}")
+    found = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {_FOUND}")
+    return found.withColumn("row", F.xxhash64(F.col(id_col), F.col("body")))
 
 
 def _document_frequency(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -187,7 +209,10 @@ def _document_frequency(docs: DataFrame, wanted: DataFrame, id_col: str, text_co
                 words = split_words(part.column(text_col), lower=True, trim=True)
                 at = np.flatnonzero(mask[(words.hash % np.uint64(FILTER_BITS)).astype(np.int64)])
                 doc = np.searchsorted(words.first, at, "right") - 1
-                held.append(np.unique(np.stack([words.hash[at].astype(np.int64), doc]), axis=1)[0])
+                h = words.hash[at].astype(np.int64)
+                order = np.lexsort((h, doc))
+                h, doc = h[order], doc[order]
+                held.append(h[np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))] if len(h) else h)
                 if sum(map(len, held)) > 4_000_000:
                     yield counts()
         yield counts()
@@ -196,72 +221,95 @@ def _document_frequency(docs: DataFrame, wanted: DataFrame, id_col: str, text_co
     return rows.groupBy("h").agg(F.sum("n").alias("n_term")).join(wanted, "h", "left_semi")
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     min_contexts: int = MIN_CONTEXTS, generalise: float = GENERALISE) -> DataFrame:
-    """``entity, term, ratio``: terms whose PMI with the entity reaches ``generalise`` of its information content."""
-    known = found.filter(F.col(id_col).isNotNull() & (F.size("seen") > 0))
-    seen = known.select(F.explode("seen").alias("s")).select("s.*")
-    contexts = (seen.filter("term <> ''").groupBy("entity", "term", "h", "ctx").agg(F.lit(1).alias("_one"))
-                .groupBy("entity", "term", "h").agg(F.count("*").alias("n_ctx")).filter(F.col("n_ctx") >= min_contexts))
-    contexts = stage_table(contexts, "pii-candidates")
-    wanted = contexts.select("h").distinct()
+def _known(found: DataFrame, id_col: str) -> DataFrame:
+    return found.filter(F.col(id_col).isNotNull() & (F.size("entities") > 0))
+
+
+def mentioned(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``row, who, n_rows, unit``: what each document mentions; ``who`` is a group of entities with the same documents,
+    ``n_rows`` their number, and documents that are near copies have the same ``unit``."""
+    known = _known(found, id_col)
+    mention = known.select("row", F.explode("entities").alias("entity"))
+    some = F.lit(1 << 31)
+    sums = [F.sum(F.pmod(h, some)).alias(n) for n, h in (("_a", F.col("row")), ("_b", F.xxhash64("row")))]
+    groups = (mention.groupBy("entity").agg(F.count("*").alias("n_rows"), *sums)
+              .select("entity", F.xxhash64("n_rows", "_a", "_b").alias("who"), "n_rows"))
+    held = stage_table(spread_join(mention, stage_table(groups, "pii-entities"), "entity", F.col("row"))
+                       .select("row", "who", "n_rows").distinct(), "pii-mentions")
+    shared = held.filter("n_rows > 1").select("row").distinct()
+    bodies = stage_table(known.select("row", "body").join(shared, "row", "left_semi").dropDuplicates(["row"]), "pii-shared")
+    if bodies.isEmpty():
+        return held.withColumn("unit", F.col("row"))
+    classes = linked_classes(bodies, "row", "body").groupBy("row").agg(F.min("component_id").alias("_class"))
+    return stage_table(held.join(classes, "row", "left").withColumn("unit", F.coalesce("_class", "row")).drop("_class"), "pii-units")
+
+
+def lower_bound(k: Column, n: Column) -> Column:
+    """Lower end of the one-sided interval of a share seen as k of n (k > 0): Wilson with continuity correction."""
+    z2, p = Z * Z, k / n
+    return (2 * k + z2 - 1 - Z * F.sqrt(z2 - 2 - 1 / n + 4 * p * (n - k + 1))) / (2 * (n + z2))
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, held: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                     generalise: float = GENERALISE) -> DataFrame:
+    """``who, h, ratio``: terms whose PMI with the entities reaches ``generalise`` of their information content."""
+    rows = _known(found, id_col).select("row", "terms").join(held, "row")
+    pairs = (rows.select("who", "unit", F.explode("terms").alias("h")).groupBy("who", "h", "unit").agg(F.count("*").alias("_n"))
+             .groupBy("who", "h").agg(F.sum("_n").alias("n_both_rows"), F.count("*").alias("n_both")))
+    pairs = stage_table(pairs, "pii-pairs")
+    alone = (held.groupBy("who", "unit").agg(F.max("n_rows").alias("n_rows"))
+             .groupBy("who").agg(F.max("n_rows").alias("n_rows"), F.count("*").alias("n_who")))
+    df = stage_table(_document_frequency(docs, pairs.select("h").distinct(), id_col, text_col), "pii-frequencies")
     n_docs = docs.filter(F.col(id_col).isNotNull()).count()
-    pairs = known.select(F.explode(F.array_distinct(F.transform("seen", lambda s: F.struct(s["entity"], s["term"])))).alias("s")).select("s.*")
-    both = (pairs.join(contexts.select("entity", "term"), ["entity", "term"], "left_semi").groupBy("entity", "term").agg(F.count("*").alias("n_both")))
-    alone = (known.select(F.explode(F.array_distinct(F.col("seen.entity"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")))
-    df = _document_frequency(docs, wanted, id_col, text_col)
-    content = F.log(F.lit(float(max(n_docs, 1))) / F.col("n_entity"))
+    scored = spread_join(pairs, alone, "who", F.col("h"))
+    scored = spread_join(scored, df, "h", F.col("who"), counted=pairs)
+    n = F.lit(float(n_docs)) - F.col("n_rows") + F.col("n_who")
+    n_term = F.col("n_term") - F.col("n_both_rows") + F.col("n_both")
+    content = F.log(n / F.col("n_who"))
     # an entity in (almost) every document has no content to disclose
-    ratio = F.when(content > 1e-9, 1 - F.log(F.col("n_term") / F.col("n_both")) / content)
-    return (contexts.join(both, ["entity", "term"]).join(alone, "entity").join(df, "h")
-            .select("entity", "term", ratio.alias("ratio")).filter(F.col("ratio") >= generalise))
-
-
-def added_spans(docs: DataFrame, found: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                remove: float = REMOVE) -> DataFrame:
-    """``id_col, added``: spans ``remove`` / ``generalise`` of disclosing terms in documents that mention the entity."""
-    who = (found.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), "base", F.explode("seen.entity").alias("entity"))
-           .join(terms, "entity").groupBy("_id", "base", "term").agg(F.max("ratio").alias("ratio"))
-           .groupBy("_id").agg(F.max("base").alias("_base"), F.collect_list(F.struct("term", "ratio")).alias("_terms")))
-    # Few documents as a rule; written once, so that Spark knows the size and need not shuffle texts for a small one.
-    who = stage_table(who, "pii-documents")
-    texts = docs.select(id_col, text_col).join(who, F.col(id_col) == F.col("_id")).select(id_col, text_col, "_base", "_terms")
-    kind = docs.schema[id_col].dataType.simpleString()
+    ratio = F.when(content > 1e-9, 1 + F.log(lower_bound(F.col("n_both").cast("double"), n_term.cast("double"))) / content)
+    return scored.select("who", "h", ratio.alias("ratio")).filter(F.col("ratio") >= generalise)
+
+
+def added_spans(found: DataFrame, held: DataFrame, terms: DataFrame, id_col: str = "doc_id", remove: float = REMOVE) -> DataFrame:
+    """``row, added``: spans ``remove`` / ``generalise`` of disclosing terms in documents that mention the entity."""
+    known = _known(found, id_col)
+    pair = F.xxhash64("who", "h").alias("pair")
+    every = known.select("row", "terms").join(held.select("row", "who"), "row").select("row", "who", F.explode("terms").alias("h")).select("row", "h", pair)
+    marked = (spread_join(every, terms.select(pair, "ratio"), "pair", F.col("row")).groupBy("row", "h").agg(F.max("ratio").alias("ratio"))
+              .groupBy("row").agg(F.collect_list(F.struct("h", "ratio")).alias("_terms")))
+    texts = known.select("row", "base", "body").dropDuplicates(["row"]).join(marked, "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("pii")
         for batch in batches:
             out = []
-            for text, base, terms_ in zip(*[batch.column(c).to_pylist() for c in (text_col, "_base", "_terms")]):
-                ratio = {t["term"]: t["ratio"] for t in terms_}
-                taken = sorted((int(a), int(b)) for _, a, b in (s.split(":") for s in base.split(",") if s))
-                spans, k = [], 0
-                for m in _WORD.finditer(text or ""):
-                    word = m[0].strip(_ENDS)
-                    r = ratio.get(word.translate(_LOWER)) if word else None
-                    if r is None:
-                        continue
-                    a = m.start() + m[0].index(word)
-                    while k < len(taken) and taken[k][1] <= a:
-                        k += 1
-                    if not any(s < a + len(word) and e > a for s, e in taken[k:k + 8]):
-                        spans.append(("remove" if r >= remove else "generalise", a, a + len(word)))
+            for text, base, terms_ in zip(*[batch.column(c).to_pylist() for c in ("body", "base", "_terms")]):
+                ratio = {t["h"]: t["ratio"] for t in terms_}
+                words, free = free_words(text, [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in base.split(","))])
+                at = [(a, b, t) for (a, b), f in zip(words, free) if f and (t := term(text[a:b]))]
+                spans = []
+                for (a, b, t), h in zip(at, term_hashes([t for _, _, t in at])):
+                    if (r := ratio.get(h)) is not None:
+                        a += len(text[a:b]) - len(text[a:b].lstrip(_ENDS))
+                        spans.append(("remove" if r >= remove else "generalise", a, a + len(t)))
                 out.append(join_spans(sorted(spans, key=lambda s: (s[0] != "generalise", s[1]))))
-            yield pa.record_batch([batch.column(id_col), pa.array(out, pa.string())], names=[id_col, "added"])
+            yield pa.record_batch([batch.column("row"), pa.array(out, pa.string())], names=["row", "added"])
 
-    return texts.mapInArrow(run, f"`{id_col}` {kind}, added string")
+    return texts.mapInArrow(run, "row bigint, added string")
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_contexts: int = MIN_CONTEXTS,
-             generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE,
+             remove: float = REMOVE) -> DataFrame:
     """One row a document: ``id_col, n_email, n_ip, n_card, n_phone, base, spans`` (spans: base, then added)."""
     found = stage_table(find_base(docs, id_col, text_col), "pii-found")
     counts = [f"n_{k}" for k in KINDS]
-    terms = stage_table(disclosing_terms(docs, found, id_col, text_col, min_contexts, generalise), "pii-terms")
-    extra = (added_spans(docs, found, terms, id_col, text_col, remove).groupBy(id_col).agg(F.max("added").alias("_added"))
-             .withColumnRenamed(id_col, "_xid"))
-    spans = F.concat_ws(",", F.nullif(F.col("base"), F.lit("")), F.nullif(F.col("_added"), F.lit("")))
-    return (found.select(id_col, *counts, "base").join(extra, F.col(id_col) == F.col("_xid"), "left")
+    held = mentioned(found, id_col)
+    terms = stage_table(disclosing_terms(docs, found, held, id_col, text_col, generalise), "pii-terms")
+    extra = added_spans(found, held, terms, id_col, remove).withColumnRenamed("row", "_xrow")
+    known = F.col(id_col).isNotNull() & (F.col("row") == F.col("_xrow"))
+    spans = F.concat_ws(",", F.nullif(F.col("base"), F.lit("")), F.nullif(F.col("added"), F.lit("")))
+    return (found.select(id_col, *counts, "base", "row").join(extra, known, "left")
             .select(id_col, *counts, "base", spans.alias("spans")))
 
 

@@ -166,6 +166,28 @@ def test_pii_query_and_terms(spark, small_rows, edge, edge_rows, nothing):
     assert pii.find_pii(edge).count() == len(edge_rows) and pii.find_pii(nothing).count() == 0
 
 
+def test_pii_scores_rare_entities_over_whole_documents(spark):
+    """An entity mentioned once: a term far from it is scored; near copies count as one document."""
+    fill = " ".join(f"plain{i}" for i in range(60))
+    rows = [(k, f"{fill} number n{k} of the list") for k in range(600)]
+    rows.append((1000, f"zyxgroup starts here, {fill} and ends with rare@corp.example.com only"))
+    body = " ".join(f"w{i}" for i in range(150))
+    rows += [(2000 + k, f"{body} copyword copy{k} then many@corp.example.com") for k in range(8)]
+    rows += [(3000 + k, " ".join(f"v{k}x{i}" for i in range(40)) + " ownword then twice@corp.example.com") for k in range(8)]
+    found = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    def marks(d):
+        return {dict(rows)[d][int(a):int(b)]: k for k, a, b in (s.split(":") for s in found[d].split(",")[1:])}
+
+    assert marks(1000)["zyxgroup"] == "generalise" and "plain7" not in marks(1000) and "list" not in marks(1000)
+    assert all(marks(2000 + k)["copyword"] == "generalise" for k in range(8))    # eight copies are one document
+    assert all(marks(3000 + k)["ownword"] == "remove" for k in range(8))         # eight documents are eight
+    assert all(found[k] == "" for k in range(600))
+    # the measure by hand: one document of one, of 617
+    low = (2 + 1.645 ** 2 - 1 - 1.645 * math.sqrt(1.645 ** 2 - 2 - 1 + 4)) / (2 * (1 + 1.645 ** 2))
+    assert 0.05 < low < 0.08 and pii.GENERALISE <= 1 + math.log(low) / math.log(617) < pii.REMOVE
+
+
 def _rank():
     return np.arange(improbable_digest.LEVELS).astype(np.int32)
 
