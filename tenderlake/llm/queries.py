@@ -82,7 +82,7 @@ _MIX_SQL = f"""
 
 @llm_query("op7_mix_sources", _MIX_SQL)
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir))
+    return mixing.mix(documents(spark, sf_dir), by_size=False)          # the rule that the SQL above states
 
 
 BYTE_BPE_RANKS = "byte_bpe_multi_50k.tiktoken"

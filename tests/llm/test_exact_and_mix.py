@@ -95,6 +95,23 @@ def test_mix_targets_and_taken(spark, edge, edge_rows, nothing):
     assert mixing.mix(nothing).count() == 0 and mixing.take_mix(nothing).count() == 0
 
 
+def test_mix_reaches_targets_beside_a_very_long_document(spark):
+    """The long document's draw and share vary; small documents always suffice to fill the target."""
+    rows = [(d, " ".join(["w"] * (5 + d * 13 % 90)), f"s{d % 8}") for d in range(2400)]
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    rows += [(5000 + k, " ".join(["w"] * int(sizes[f"s{k}"] * share)), f"s{k}") for k, share in enumerate((0.05, 0.2, 0.5, 0.8, 0.05, 0.2, 0.5, 0.8))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    source, taken, target = {d: s for d, _, s in rows}, collections.Counter(), {}
+    got = mixing.mix(docs).collect()
+    for r in got:
+        taken[source[r["doc_id"]]] += r["taken"]
+        target[source[r["doc_id"]]] = r["target"]
+    assert len(target) == 8 and all(abs(taken[s] - t) <= 10 for s, t in target.items()), [(s, t, taken[s]) for s, t in target.items()]
+    assert collections.Counter(r["doc_id"] for r in mixing.take_mix(docs).collect()) == +collections.Counter({r["doc_id"]: r["repeats"] for r in got})
+
+
 def test_take_mix_repeats_rows(small_docs):
     plan = {r["doc_id"]: r["repeats"] for r in mixing.mix(small_docs).collect()}
     mixed = mixing.take_mix(small_docs)
