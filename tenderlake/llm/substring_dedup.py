@@ -1,4 +1,4 @@
-"""Substring dedup with prefix-partitioned suffix trees.
+"""Substring dedup by hashed windows, partitioned by prefix; no suffix tree is built.
 
 A window is ``WINDOW`` consecutive words.  Every word covered by a window whose word sequence also
 starts in a document with a smaller id is removed; windows are judged on the input.
