@@ -134,6 +134,8 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> dict:
     alphabet = np.append(closing, used).astype(np.uint32)
     rules, rounds = [], []
     n_symbols = len(alphabet)
+    if n_symbols > MAX_SYMBOLS:
+        raise ValueError(f"{n_symbols} distinct symbols in a shard do not fit 16 bits")
     while n_symbols < MAX_SYMBOLS and len(seq) > 1:
         key = (seq[:-1] << np.uint32(16)) | seq[1:]
         runs = np.sort(key)

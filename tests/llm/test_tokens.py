@@ -130,3 +130,10 @@ def test_op2_query_and_edge_cases(spark, small_rows, edge, edge_rows, nothing, t
         repair_shards.write_shards(frame, tokenizer_path(WORD_BPE), str(tmp_path / name))
         got = repair_shards.read_documents(spark, str(tmp_path / name)).drop("ids").collect()
         assert sorted(map(tuple, got), key=lambda r: r[1]) == _repair_rows([r[:2] for r in rows])
+
+
+def test_repair_refuses_an_alphabet_beyond_16_bits():
+    fits = repair_shards.compress(np.arange(65536, dtype=np.uint32), np.array([65535]))
+    assert len(fits["alphabet"]) == 65536
+    with pytest.raises(ValueError, match="16 bits"):
+        repair_shards.compress(np.arange(65537, dtype=np.uint32), np.array([65536]))
