@@ -38,34 +38,81 @@ def ascii_lower(col: Column) -> Column:
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "inner",
-                salts: int = 16) -> DataFrame:
-    """Join on ``keys`` (nulls equal nulls) with every key of ``big`` split over ``salts`` tasks.
+                over: int = 2000, counted: DataFrame | None = None) -> DataFrame:
+    """Join on ``keys`` (nulls equal nulls); a key with more than ``over`` rows in ``big`` is split by its count.
 
-    ``small`` holds one row a key and is repeated ``salts`` times; ``spread`` tells the rows of one
-    key in ``big`` apart.  A key that holds a third of all rows then meets ``salts`` tasks.
+    Such a key meets one task for every ``over`` rows, and only its rows of ``small`` are repeated, so at most one row
+    for each ``over`` rows of ``big`` comes on top.  ``spread`` tells the rows of one key in ``big`` apart;
+    ``counted`` is a cheaper table with the same keys, to count them in.
     """
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = small.withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hot = ((big if counted is None else counted).groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > over)
+           .select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.ceil(F.col("_n") / over).cast("int").alias("_salts")))
+    hot = stage_table(hot, "hot-keys")
+    right = small
     for k in keys:
         right = right.withColumnRenamed(k, f"_r_{k}")
-    on = F.col("_salt") == F.col("_rsalt")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(right, on, how).drop("_salt", "_rsalt", *[f"_r_{k}" for k in keys])
 
+    def same(a: str, b: str) -> Column:
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(f"{a}{k}").eqNullSafe(F.col(f"{b}{k}"))
+        return on
+
+    gone = ["_salt", "_rsalt", *[f"_r_{k}" for k in keys]]
+    if hot.isEmpty():
+        return big.join(right, same("", "_r_"), how).drop(*gone)
+    away = ["_salts", *[f"_h_{k}" for k in keys]]
+    salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int"), F.lit(0))
+    left = big.join(hot, same("", "_h_"), "left").withColumn("_salt", salt).drop(*away)
+    every = F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0)))
+    right = right.join(hot, same("_r_", "_h_"), "left").withColumn("_rsalt", F.explode(every)).drop(*away)
+    return left.join(right, (F.col("_salt") == F.col("_rsalt")) & same("", "_r_"), how).drop(*gone)
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, spread: Column, over: int = 1000, salts: int = 16,
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, spread: Column, over: int = 1000,
                 counted: DataFrame | None = None) -> DataFrame:
-    """Inner join on ``key`` for wide rows in ``small``: only keys with more than ``over`` rows in ``big`` are
-    salted, so the other rows of ``small`` are not repeated.  ``counted``: a cheaper table with the same keys."""
-    hot = stage_table((big if counted is None else counted).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > over)
-                      .select(F.col(key).alias("_hot")), "hot-keys")
-    is_hot = F.col("_hot").isNotNull()
-    left = (big.join(hot, F.col(key) == F.col("_hot"), "left")
-            .withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot"))
-    right = (small.join(hot, F.col(key) == F.col("_hot"), "left")
-             .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, F.lit(salts - 1)).otherwise(0)))).drop("_hot"))
-    return left.join(right, [key, "_salt"]).drop("_salt")
+    """``salted_join`` on one key, for wide rows in ``small``."""
+    return salted_join(big, small, [key], spread, over=over, counted=counted)
+
+
+BITMAP_WORD = 32768                                           # bits in one row of a stored bitmap
+
+
+def bitmap_bits(n: int, per_key: int = 16, most: int = 31) -> int:
+    """log2 of the bits of a bitmap for ``n`` keys: about ``per_key`` bits a key, 2**16 to 2**``most`` (256 MB)."""
+    return min(max(16, (max(n, 1) * per_key - 1).bit_length()), most)
+
+
+def bitmap_rows(hashes: DataFrame, col: str, bits: int) -> DataFrame:
+    """``_part, _bits``: the leading ``bits`` bits of 64-bit hashes as a bitmap, 4 KB a row (built-ins only)."""
+    slot = F.shiftrightunsigned(col, 64 - bits)
+    return (hashes.select(F.shiftright(slot, 15).cast("int").alias("_part"), slot.bitwiseAND(F.lit(BITMAP_WORD - 1)).alias("_at"))
+            .groupBy("_part").agg(F.bitmap_construct_agg("_at").alias("_bits")))
+
+
+def bitmap_hit(rows: DataFrame, h: Column, bitmap: DataFrame, bits: int, hit: str) -> DataFrame:
+    """Add ``hit``: is the bit of ``h`` set?  The bitmap (of bounded size) is broadcast; built-ins only."""
+    slot = F.shiftrightunsigned(h, 64 - bits)
+    marked = rows.join(F.broadcast(bitmap), F.shiftright(slot, 15).cast("int") == F.col("_part"), "left")
+    at = slot.bitwiseAND(F.lit(BITMAP_WORD - 1)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return marked.withColumn(hit, F.coalesce(F.getbit(byte, at.bitwiseAND(F.lit(7))) == 1, F.lit(False))).drop("_part", "_bits")
+
+
+def hash_bitmap(hashes: DataFrame, col: str, bits: int):
+    """The same bitmap as bytes (numpy), for tasks in Python."""
+    import numpy as np
+    out = np.zeros(((1 << bits) // 8 // 4096, 4096), np.uint8)
+    for r in bitmap_rows(hashes, col, bits).collect():        # at most 2**(bits - 15) rows of 4 KB
+        out[r["_part"]] = np.frombuffer(r["_bits"], np.uint8)
+    return out.ravel()
+
+
+def bitmap_holds(bitmap, h, bits: int):
+    """Which of the hashes (uint64) have their bit set in ``hash_bitmap``'s bytes."""
+    import numpy as np
+    slot = (h >> np.uint64(64 - bits)).astype(np.int64)
+    return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
 def worker_store() -> dict:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenderlake.llm.common import enter, once, stage_table
-from tenderlake.llm.textarrays import MULT, _powers, INVERSE, chunks, mix64, text_bytes
+from tenderlake.llm.textarrays import MULT, chunks, mix64, text_bytes
 
 WINDOW = 64
 RUN = 64
@@ -115,6 +115,12 @@ def _select(buf: np.ndarray, off: np.ndarray, rank: np.ndarray) -> tuple[np.ndar
     return pos.astype(np.int64), doc.astype(np.int64)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    out[1:] = np.uint64(base)
+    return np.multiply.accumulate(out)
+
+
 def digests(buf: np.ndarray, off: np.ndarray, rank: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each text its Bloom filters (rows of bytes) and the number of features in each."""
     n = len(buf)
@@ -123,7 +129,7 @@ def digests(buf: np.ndarray, off: np.ndarray, rank: np.ndarray) -> list[tuple[np
     store = once("digest-powers", dict)
     if size not in store:
         store.clear()
-        store[size] = (_powers(MULT, size), _powers(INVERSE, size))
+        store[size] = (_powers(MULT, size), _powers(pow(MULT, -1, 1 << 64), size))
     up, down = store[size]
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])

@@ -6,20 +6,16 @@ there and the excess goes to the others by weight, until none is above.
 
 A source with target / size = w + f is taken w times whole; the fraction f of its words comes by
 size class (powers of two), long documents first: each class gives f of its words, plus or less what
-the longer classes left open, in a seeded order of its documents (24 bits of an MD5 of seed and id):
-documents are taken while the sum of their sizes stays within that, and the next one if it brings the
-sum nearer.  So a document that is too long for the rest never ends the filling, and what it leaves
-open is made good by shorter ones.  What is open at last is closed by one more document, or one less:
-the one whose size is nearest to it, if that brings the sum nearer.
+the longer classes left open, in a seeded order of its documents: a document's bin is 12 bits of an MD5 of
+seed and id, and whole bins are taken in order while the sum of their sizes stays within that, and the next
+one if it brings the sum nearer.  So a document that is too long for the rest never ends the filling, and
+what it leaves open is made good by shorter ones.  What is open at last is closed by one more document, or
+one less: the one whose size is nearest to it, if that brings the sum nearer.
 
-``by_size=False`` is the rule of the SQL of ``op7_mix_sources``: one class for all sizes, cut before
-the first document that does not fit, and one more document; a source with a very long document can
-then miss its target by far.
-
-The cut in the seeded order is found on two histograms of at most 4096 bins a source (every
-document is counted, pre-aggregated before the shuffle), so a source that holds a third of all rows
-is never gathered in one task.  Sources are ranked by code point within range partitions plus
-offsets, not in one global window.
+All classes are cut on one histogram of at most 4096 bins a source and class (some twenty classes; every
+document is counted, pre-aggregated before the shuffle), so a source that holds a third of all rows is never
+gathered in one task.  Sources are ranked by code point within range partitions plus offsets, not in one
+global window.
 
 Cases: a null or empty text has size 0 and is taken 0 times in words (it repeats as its source
 does, with f by its draw); a null source is a source of its own, last in order; a source of size 0 has target 0;
@@ -37,7 +33,8 @@ from tenderlake.llm.common import WORD_PATTERN, salted_join, stage_table
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 17
-_HALF = 4096                     # bins of each of the two histograms; 24 bits of draw in all
+BINS = 4096                      # 12 bits of an MD5
+SPLIT = 20_000                   # rows of one source that meet its plan in one task
 
 
 def n_words(text: Column) -> Column:
@@ -45,9 +42,14 @@ def n_words(text: Column) -> Column:
 
 
 def draw(id_col: Column, seed: int) -> Column:
-    """24 seeded bits a document."""
+    """The seeded bin of a document."""
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(key), 1, 6), 16, 10).cast("int")
+    return F.conv(F.substring(F.md5(key), 1, 3), 16, 10).cast("int")
+
+
+def size_class(size: Column) -> Column:
+    """Floor of the binary logarithm, -1 for no words."""
+    return (F.length(F.bin(size)) - F.when(size == 0, 2).otherwise(1)).cast("int")
 
 
 def _rank_sources(src: DataFrame) -> DataFrame:
@@ -82,86 +84,62 @@ def water_fill(src: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     return src.select("source", "source_size", F.least(cap.cast("double"), share).alias("target"))
 
 
-def _cut(hist: DataFrame) -> DataFrame:
-    """``source, _bin, _size, _have, _want`` to the first bin that exceeds the wanted words: ``_at, _base, _over``."""
-    upto = F.sum("_size").over(Window.partitionBy("source").orderBy("_bin"))
-    return (hist.withColumn("_upto", F.col("_have") + upto).filter(F.col("_upto") > F.col("_want"))
-            .groupBy("source").agg(F.min_by(F.struct("_bin", "_size", (F.col("_upto") - F.col("_size")).alias("_base")), "_bin").alias("_c"))
-            .select("source", F.col("_c._bin").alias("_at"), F.col("_c._base").alias("_base"), F.col("_c._size").alias("_over")))
-
-
 def _null_safe(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     b = b.withColumnRenamed("source", "_src")
     return a.join(b, F.col("source").eqNullSafe(F.col("_src")), how).drop("_src")
 
 
-def _cut_draws(sized: DataFrame, src: DataFrame) -> DataFrame:
-    """``source, _cut, _base, _over``: the draw that exceeds ``_want`` of ``src``, the words before it and at it."""
-    top = F.floor(F.col("_draw") / _HALF)
-    src = src.select("source", "_want")
-    coarse = sized.groupBy("source", top.alias("_bin")).agg(F.sum("_size").alias("_size"))
-    first = _cut(_null_safe(coarse, src).withColumn("_have", F.lit(0)))
-    first = stage_table(_null_safe(src, first.select("source", F.col("_at").alias("_top"), F.col("_base").alias("_have"))), "mix-cut1")
-    inside = salted_join(sized, first, ["source"], F.col("_id")).filter(top == F.col("_top"))
-    fine = inside.groupBy("source", F.pmod("_draw", F.lit(_HALF)).alias("_bin")).agg(
-        F.sum("_size").alias("_size"), F.first("_have").alias("_have"), F.first("_want").alias("_want"))
-    both = _null_safe(first.select("source", "_top"), _cut(fine))
-    return both.select("source", (F.col("_top") * _HALF + F.col("_at")).cast("bigint").alias("_cut"), "_base", "_over")
-
-
-def _size_class(size: Column, by_size: bool) -> Column:
-    """Floor of the binary logarithm, -1 for no words; 0 for every document without classes."""
-    return (F.length(F.bin(size)) - F.when(size == 0, 2).otherwise(1) if by_size else F.lit(0)).cast("int")
-
-
-def _fill_classes(sized: DataFrame, src: DataFrame) -> DataFrame:
-    """Add ``_cuts`` (a map of size class to draw) and ``_gap``, the words still open, below 0 if there are too many."""
-    f = F.col("_want") / F.greatest(F.col("source_size"), F.lit(1))
-    src = (src.withColumn("_f", f).withColumn("_gap", F.lit(0.0))
-           .withColumn("_cuts", F.create_map(F.lit(-1), F.floor(F.col("_f") * (_HALF * _HALF)).cast("bigint"))))
-    kinds = sized.select("_class").distinct().toArrow().column("_class").to_pylist()     # some twenty
-    for k in sorted((c for c in kinds if c >= 0), reverse=True):
-        part = sized.filter(F.col("_class") == k)
-        words = part.groupBy("source").agg(F.sum("_size").alias("_words"))
-        src = _null_safe(src, words, "left").withColumn("_words", F.coalesce("_words", F.lit(0)))
-        src = stage_table(src.withColumn("_open", F.col("_gap") + F.col("_f") * F.col("_words"))
-                          .withColumn("_want", F.greatest(F.col("_open"), F.lit(0.0))), "mix-class")
-        src = _null_safe(src, _cut_draws(part, src), "left")
-        nearer = F.col("_base") + F.col("_over") - F.col("_want") < F.col("_want") - F.col("_base")
-        taken = F.when(F.col("_cut").isNull(), F.col("_words")).otherwise(F.col("_base") + F.when(nearer, F.col("_over")).otherwise(0))
-        cut = F.when(F.col("_cut").isNull(), F.lit(_HALF * _HALF)).otherwise(F.col("_cut") + nearer.cast("bigint")).cast("bigint")
-        src = stage_table(src.withColumn("_gap", F.col("_open") - taken).withColumn("_cuts", F.map_concat("_cuts", F.create_map(F.lit(k), cut)))
-                          .drop("_words", "_open", "_cut", "_base", "_over"), "mix-cut2")
-    return src.drop("_f")
+def _class_bins(sized: DataFrame) -> DataFrame:
+    """``source, _classes``: for every size class, long ones first, its bins and the words up to each (at most ``BINS``)."""
+    hist = sized.filter("_class >= 0").groupBy("source", "_class", "_draw").agg(F.sum("_size").alias("_words"))
+    upto = F.sum("_words").over(Window.partitionBy("source", "_class").orderBy("_draw"))
+    bins = F.array_sort(F.collect_list(F.struct("_draw", "_upto"))).alias("_bins")
+    classes = hist.withColumn("_upto", upto).groupBy("source", "_class").agg(bins)
+    return classes.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("_class", "_bins")), asc=False).alias("_classes"))
+
+
+def _fill(f: Column, state: Column, one: Column) -> Column:
+    """One size class: what it gives of the open words ``state.gap`` and of its own fraction; adds its cut to ``state.cuts``."""
+    uptos = one["_bins"]["_upto"]
+    words = F.element_at(uptos, -1)
+    open_ = state["gap"] + f * words
+    want = F.greatest(open_, F.lit(0.0))
+    within = F.size(F.filter(uptos, lambda u: u <= want))
+    base = F.when(within == 0, F.lit(0).cast("bigint")).otherwise(F.get(uptos, within - 1))
+    over = F.get(uptos, within) - base
+    nearer = base + over - want < want - base
+    taken = F.when(within == F.size(uptos), words).otherwise(base + F.when(nearer, over).otherwise(F.lit(0)))
+    cut = F.when(within == F.size(uptos), F.lit(BINS)).otherwise(F.get(one["_bins"]["_draw"], within) + nearer.cast("int"))
+    return F.struct((open_ - taken).alias("gap"), F.concat(state["cuts"], F.array(F.struct(one["_class"].alias("key"), cut.alias("value")))).alias("cuts"))
 
 
 def _within(drawn: Column, kind: Column) -> Column:
     return drawn < F.coalesce(F.element_at("_cuts", kind), F.lit(0))
 
 
-def plan_sources(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, by_size: bool = True) -> DataFrame:
+def plan_sources(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """A row for each source: ``source, source_size, target, _whole, _cuts, _close``.
 
     ``sized``: ``_id, source, _size, _draw, _class`` of every document.
     """
     src = water_fill(sized.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, max_epochs)
     safe = F.greatest(F.col("source_size"), F.lit(1))
-    src = stage_table(src.withColumn("_whole", F.floor(F.col("target") / safe))
-                      .withColumn("_want", F.col("target") - F.col("_whole") * F.col("source_size")), "mix-targets")
-    if by_size:
-        src = _fill_classes(sized, src)
-    else:
-        src = _null_safe(src, _cut_draws(sized, src), "left")
-        src = stage_table(src.withColumn("_cuts", F.create_map(F.lit(0), F.coalesce(F.col("_cut"), F.lit(0).cast("bigint"))))
-                          .withColumn("_gap", F.coalesce(F.col("_want") - F.col("_base"), F.lit(0.0)))
-                          .drop("_cut", "_base", "_over"), "mix-cut2")
+    src = (src.withColumn("_whole", F.floor(F.col("target") / safe))
+           .withColumn("_f", (F.col("target") - F.col("_whole") * F.col("source_size")) / safe))
+    src = _null_safe(src, _class_bins(sized), "left")
+    empty = F.array(F.struct(F.lit(-1).alias("key"), F.floor(F.col("_f") * BINS).cast("int").alias("value")))
+    none = F.expr("CAST(array() AS array<struct<_class:int,_bins:array<struct<_draw:int,_upto:bigint>>>>)")
+    filled = F.aggregate(F.coalesce("_classes", none), F.struct(F.lit(0.0).alias("gap"), empty.alias("cuts")),
+                         lambda state, one: _fill(F.col("_f"), state, one))
+    src = stage_table(src.withColumn("_s", filled).select("source", "source_size", "target", "_whole", F.col("_s.gap").alias("_gap"),
+                                                          F.map_from_entries("_s.cuts").alias("_cuts")), "mix-targets")
     # One more document (or one less) closes the gap: the nearest in size.
     miss = F.abs(F.col("_size") - F.abs("_gap"))
-    close = (salted_join(sized, src.select("source", "_cuts", "_gap"), ["source"], F.col("_id"))
+    close = (salted_join(sized, src.select("source", "_cuts", "_gap"), ["source"], F.col("_id"), over=SPLIT)
              .filter((_within(F.col("_draw"), F.col("_class")) == (F.col("_gap") < 0)) & (miss < F.abs("_gap")))
              .groupBy("source")
              .agg(F.min_by(F.struct("_id"), F.struct(miss, F.col("_draw"), F.col("_id"))).alias("_close")))
-    return stage_table(_null_safe(src.drop("_gap", "_want"), close, "left"), "mix-plan")
+    return stage_table(_null_safe(src.drop("_gap"), close, "left"), "mix-plan")
 
 
 def _repeats(id_col: Column, drawn: Column, kind: Column) -> Column:
@@ -169,28 +147,29 @@ def _repeats(id_col: Column, drawn: Column, kind: Column) -> Column:
     return F.col("_whole").cast("bigint") + (_within(drawn, kind) != chosen).cast("bigint")
 
 
-def _sized(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str, by_size: bool) -> DataFrame:
+def _sized(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"),
                         n_words(F.col(text_col)).alias("_size"), draw(F.col(id_col), seed).alias("_draw"))
-    return stage_table(sized.withColumn("_class", _size_class(F.col("_size"), by_size)), "mix-sizes")
+    return stage_table(sized.withColumn("_class", size_class(F.col("_size"))), "mix-sizes")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id",
-        text_col: str = "text", source_col: str = "source", by_size: bool = True) -> DataFrame:
+        text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: ``id_col, size, source_size, target, repeats, taken``."""
-    sized = _sized(docs, seed, id_col, text_col, source_col, by_size)
-    rows = salted_join(sized, plan_sources(sized, weights, max_epochs, by_size), ["source"], F.col("_id"))
+    sized = _sized(docs, seed, id_col, text_col, source_col)
+    rows = salted_join(sized, plan_sources(sized, weights, max_epochs), ["source"], F.col("_id"), over=SPLIT)
     repeats = _repeats(F.col("_id"), F.col("_draw"), F.col("_class"))
     return rows.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target",
                        repeats.alias("repeats"), (F.col("_size") * repeats).alias("taken"))
 
 
 def take_mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id",
-             text_col: str = "text", source_col: str = "source", by_size: bool = True) -> DataFrame:
+             text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: every document as often as it is taken (all columns unchanged)."""
-    plan = plan_sources(_sized(docs, seed, id_col, text_col, source_col, by_size), weights, max_epochs, by_size)
+    sized = _sized(docs, seed, id_col, text_col, source_col)
+    plan = plan_sources(sized, weights, max_epochs)
     keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), F.col(source_col).alias("source"))
-    keyed = keyed.withColumn("_kind", _size_class(n_words(F.col(f"_doc.{text_col}")), by_size))
-    rows = salted_join(keyed, plan, ["source"], F.col(f"_doc.{id_col}"))
+    keyed = keyed.withColumn("_kind", size_class(n_words(F.col(f"_doc.{text_col}"))))
+    rows = salted_join(keyed, plan, ["source"], F.col(f"_doc.{id_col}"), over=SPLIT, counted=sized)
     repeats = _repeats(F.col(f"_doc.{id_col}"), draw(F.col(f"_doc.{id_col}"), seed), F.col("_kind"))
     return (rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), repeats.cast("int")))).select("_doc.*"))

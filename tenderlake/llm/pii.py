@@ -89,7 +89,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         out += [("email", a, b) for a, b in emails(text)]
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(d := p.lstrip("0")) < 3 or (len(d) == 3 and d <= "255") for p in m[0].split(".")):
                 out.append(("ip", m.start(), m.end()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 13:

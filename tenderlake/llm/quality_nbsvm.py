@@ -5,12 +5,13 @@ words; a shape is what kinds of bytes a word holds, its length class, its closin
 it repeats the word before).  Each indicator is scaled by its class log-count ratio r = log((p / |p|) / (q / |q|)), p and q the smoothed document counts of
 the two classes; a document's scaled vector is divided by its damped length.  A linear hinge-loss model is
 fitted on them by dual coordinate descent (box-constrained dual, one closed-form step a row, seeded
-order, class weights inverse to class size) and interpolated with the mean weight as in NB-SVM.  A
+order, class weights inverse to class size).  A
 logistic curve fitted to the margins turns them into scores with 0.5 at margin 0.
 
 Fitting uses at most ``max_rows`` labelled rows (documented bound; the rows with the smallest MD5 of
-their id), in one task, so its memory does not grow with the corpus; those ids are broadcast
-(bounded by ``max_rows``) and the texts are filtered where they lie.  Every document is scored, whole,
+their id); those ids are broadcast (bounded by ``max_rows``), the texts are filtered and turned into features where
+they lie, and the features of the chosen rows are written; one task then reads only those, so its memory
+does not grow with the corpus.  Every document is scored, whole,
 in one pass without a shuffle; each task holds the two weight vectors (2**18 numbers each).
 
 Cases: a null or empty text has no n-grams and gets the score of the intercept.  A row with a null id or
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import enter, once
+from tenderlake.llm.common import enter, once, stage_table
 from tenderlake.llm.textarrays import Words, chunks, split_words, text_bytes
 
 BITS = 18
@@ -39,7 +40,6 @@ MAX_ROWS = 5_000
 EPOCHS = 10
 COST = 1.0
 SMOOTH = 1.0
-BLEND = 0.25
 
 
 def held_out(id_col: Column) -> Column:
@@ -103,6 +103,33 @@ def features(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
+def dual_descent(rows: list[np.ndarray], vec: list[np.ndarray], y: np.ndarray, upper: np.ndarray, size: int, epochs: int,
+                 seed: int, tolerance: float) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, constant weight and dual variables of min |w|^2 / 2 + b^2 / 2 + sum of upper * hinge(y (w x + b)).
+
+    One coordinate of the dual at a time is set to its best value within [0, upper], until no step moves by ``tolerance``.
+    """
+    diag = np.array([(v * v).sum() + 1.0 for v in vec])       # + 1: the constant feature
+    alpha = np.zeros(len(y))
+    w, b = np.zeros(size), 0.0
+    rng = np.random.default_rng(seed)
+    for _ in range(epochs):
+        moved = 0.0
+        for i in rng.permutation(len(y)).tolist():
+            r, v = rows[i], vec[i]
+            grad = y[i] * (float(w[r] @ v) + b) - 1.0
+            new = min(max(alpha[i] - grad / diag[i], 0.0), upper[i])
+            step = (new - alpha[i]) * y[i]
+            if step:
+                alpha[i] = new
+                w[r] += step * v
+                b += step
+                moved = max(moved, abs(step))
+        if moved < tolerance:
+            break
+    return w, b, alpha
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, cost: float = COST, seed: int = 1) -> dict:
     """NB-SVM weights from feature lists and 0/1 labels."""
     size = 1 << BITS
@@ -122,24 +149,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, cost:
     for v in vec:
         v /= np.sqrt((v * v).sum() + DAMP)
     upper = np.where(y > 0, cost * len(y) / (2 * n_pos), cost * len(y) / (2 * n_neg))
-    diag = np.array([(v * v).sum() + 1.0 for v in vec])       # + 1: the constant feature
-    alpha = np.zeros(len(y))
-    w, b = np.zeros(size), 0.0
-    rng = np.random.default_rng(seed)
-    for _ in range(epochs):
-        moved = 0.0
-        for i in rng.permutation(len(y)).tolist():
-            r, v = rows[i], vec[i]
-            grad = y[i] * (float(w[r] @ v) + b) - 1.0
-            new = min(max(alpha[i] - grad / diag[i], 0.0), upper[i])
-            step = (new - alpha[i]) * y[i]
-            if step:
-                alpha[i] = new
-                w[r] += step * v
-                b += step
-                moved = max(moved, abs(step))
-        if moved < 1e-3 * cost:
-            break
+    w, b, _ = dual_descent(rows, vec, y, upper, size, epochs, seed, 1e-3 * cost)
     margin = np.array([w[r] @ v + b for r, v in zip(rows, vec)])
     slope = 1.0
     for _ in range(25):                                       # one-parameter logistic fit, class-balanced
@@ -188,8 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_ro
                                *[pa.array([model[k]], pa.float64()) for k in ("bias", "slope", "shift")]],
                               names=["weight", "square", "bias", "slope", "shift"])
 
-    fitted = (sample.mapInArrow(featurise, "_key string, _y int, _f binary").coalesce(1)
-              .mapInArrow(solve, "weight binary, square binary, bias double, slope double, shift double"))
+    chosen = stage_table(sample.mapInArrow(featurise, "_key string, _y int, _f binary"), "quality-sample")
+    fitted = chosen.repartition(1).mapInArrow(solve, "weight binary, square binary, bias double, slope double, shift double")
     row = fitted.first()                                      # one row of fixed size
     return {"weight": np.frombuffer(row["weight"], np.float32), "square": np.frombuffer(row["square"], np.float32),
             "bias": row["bias"], "slope": row["slope"], "shift": row["shift"]}

@@ -39,17 +39,15 @@ _LOWER_SQL = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcd
            doc_id = max(doc_id) OVER w AS kept, text_sha256
     FROM d WINDOW w AS (PARTITION BY text_sha256)""")
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    verdicts = exact_dedup.exact_dedup(docs)
-    digest = docs.select("doc_id", F.sha2(exact_dedup.normalised(F.col("text")), 256).alias("text_sha256"))
-    return verdicts.join(digest, "doc_id")
+    return exact_dedup.exact_dedup(documents(spark, sf_dir), digest=True)
 
 
 _MIX_SQL = f"""
-    WITH RECURSIVE sized AS (
+    WITH RECURSIVE counted AS (
       SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-             CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 6) AS INTEGER) AS draw
+             CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 3) AS INTEGER) AS draw
       FROM documents),
+    sized AS (SELECT *, CASE WHEN size = 0 THEN -1 ELSE length(bin(size)) - 1 END AS class FROM counted),
     src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
                    [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
             FROM sized GROUP BY source),
@@ -64,25 +62,40 @@ _MIX_SQL = f"""
     goal AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), w * level.rest / level.free) AS target
              FROM src, level),
     part AS (SELECT *, CAST(floor(target / greatest(source_size, 1)) AS BIGINT) AS whole,
-                    target - floor(target / greatest(source_size, 1)) * source_size AS want FROM goal),
-    line AS (SELECT d.*, g.source_size, g.target, g.whole, g.want,
-                    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw) AS upto
-             FROM sized d JOIN part g ON d.source IS NOT DISTINCT FROM g.source),
-    base AS (SELECT source, max(want) - coalesce(max(upto) FILTER (upto <= want), 0) AS gap,
-                    min(draw) FILTER (upto > want) AS cut FROM line GROUP BY source),
-    near AS (SELECT l.source, arg_min(l.doc_id, (abs(l.size - b.gap), l.draw, l.doc_id)) AS closer
-             FROM line l JOIN base b ON l.source IS NOT DISTINCT FROM b.source
-             WHERE l.draw >= b.cut AND abs(l.size - b.gap) < b.gap GROUP BY l.source)
-    SELECT l.doc_id, l.size, l.source_size, l.target,
-           l.whole + CAST(l.draw < coalesce(b.cut, 0) OR l.doc_id IS NOT DISTINCT FROM n.closer AND n.closer IS NOT NULL AS BIGINT) AS repeats,
-           l.size * (l.whole + CAST(l.draw < coalesce(b.cut, 0) OR l.doc_id IS NOT DISTINCT FROM n.closer AND n.closer IS NOT NULL AS BIGINT)) AS taken
-    FROM line l JOIN base b ON l.source IS NOT DISTINCT FROM b.source
-    LEFT JOIN near n ON l.source IS NOT DISTINCT FROM n.source"""
+                    (target - floor(target / greatest(source_size, 1)) * source_size) / greatest(source_size, 1) AS f FROM goal),
+    hist AS (SELECT source, class, draw, sum(size) AS words FROM sized WHERE class >= 0 GROUP BY source, class, draw),
+    line AS (SELECT *, CAST(sum(words) OVER (PARTITION BY source, class ORDER BY draw) AS BIGINT) AS upto FROM hist),
+    class AS (SELECT h.source, h.class, f, list(draw ORDER BY draw) AS bins, list(upto ORDER BY draw) AS uptos,
+                     row_number() OVER (PARTITION BY h.source ORDER BY h.class DESC) AS k
+              FROM line h JOIN part p ON h.source IS NOT DISTINCT FROM p.source GROUP BY h.source, h.class, f),
+    fill_class AS (                                  -- long documents first; what a class leaves open goes on to the next
+      SELECT source, CAST(0 AS BIGINT) AS k, -1 AS class, CAST(floor(f * 4096) AS BIGINT) AS cut, CAST(0 AS DOUBLE) AS gap FROM part
+      UNION ALL
+      SELECT source, k, class, CASE WHEN within = len(uptos) THEN 4096 ELSE bins[within + 1] + CAST(nearer AS BIGINT) END,
+             open - CASE WHEN within = len(uptos) THEN uptos[-1] ELSE base + CASE WHEN nearer THEN over ELSE 0 END END
+      FROM (SELECT *, base + over - want < want - base AS nearer FROM
+        (SELECT *, uptos[within + 1] - base AS over FROM
+          (SELECT *, CASE WHEN within = 0 THEN 0 ELSE uptos[within] END AS base FROM
+            (SELECT *, len(list_filter(uptos, lambda u: u <= want)) AS within FROM
+              (SELECT *, greatest(open, 0) AS want FROM
+                (SELECT c.source, c.k, c.class, bins, uptos, s.gap + c.f * uptos[-1] AS open
+                 FROM fill_class s JOIN class c ON s.source IS NOT DISTINCT FROM c.source AND c.k = s.k + 1))))))),
+    gaps AS (SELECT source, arg_max(gap, k) AS gap FROM fill_class GROUP BY source),
+    marked AS (SELECT d.*, d.draw < coalesce(c.cut, 0) AS inside, g.gap FROM sized d
+               LEFT JOIN fill_class c ON d.source IS NOT DISTINCT FROM c.source AND d.class = c.class
+               JOIN gaps g ON d.source IS NOT DISTINCT FROM g.source),
+    near AS (SELECT source, arg_min(doc_id, (abs(size - abs(gap)), draw, doc_id)) AS closer
+             FROM marked WHERE inside = (gap < 0) AND abs(size - abs(gap)) < abs(gap) GROUP BY source)
+    SELECT m.doc_id, m.size, p.source_size, p.target,
+           p.whole + CAST(inside <> (m.doc_id IS NOT DISTINCT FROM n.closer AND n.closer IS NOT NULL) AS BIGINT) AS repeats,
+           m.size * (p.whole + CAST(inside <> (m.doc_id IS NOT DISTINCT FROM n.closer AND n.closer IS NOT NULL) AS BIGINT)) AS taken
+    FROM marked m JOIN part p ON m.source IS NOT DISTINCT FROM p.source
+    LEFT JOIN near n ON m.source IS NOT DISTINCT FROM n.source"""
 
 
 @llm_query("op7_mix_sources", _MIX_SQL)
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir), by_size=False)          # the rule that the SQL above states
+    return mixing.mix(documents(spark, sf_dir))
 
 
 BYTE_BPE_RANKS = "byte_bpe_multi_50k.tiktoken"

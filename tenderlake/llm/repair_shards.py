@@ -8,7 +8,7 @@ Re-Pair, per shard: count all adjacent pairs, make nonterminals of the most freq
 them left to right without overlap, repeat on the shorter sequence until no pair is frequent or a
 round no longer pays.  Pairs never span documents (each document's closing id is a symbol that does
 not pair), so documents are found in the compressed sequence without decoding it.  Stored: the
-alphabet, the rules (two symbols each), the expansion length of every symbol, the rules made per
+alphabet, the rules (two symbols each; symbols take 16 bits, or 32 where a shard's alphabet is large), the expansion length of every symbol, the rules made per
 round, the sequence.  ``read_tokens`` uses the lengths to decode any range of one document alone.
 
 Encoding: the tokenizer's words never span white space, so each distinct white-space-free piece is
@@ -34,7 +34,8 @@ from tenderlake.llm.common import enter, once
 from tenderlake.llm.textarrays import PieceCache, chunks, split_words
 
 SHARD_TOKENS = 1 << 21
-MAX_SYMBOLS = 1 << 16            # symbols are stored in 16 bits
+NARROW = 3 << 14                 # an alphabet up to this size leaves room for rules in 16-bit symbols; larger ones take 32 bits
+MAX_SYMBOLS = {2: 1 << 16, 4: 1 << 24}
 RULES_PER_ROUND = 4096
 MIN_COUNT = 8                    # a pair this frequent in its shard becomes a rule
 MIN_GAIN = 0.02                  # a round that shortens the sequence by less is the last
@@ -107,9 +108,11 @@ def _encoder(path: str) -> WordEncoder:
 def _match(key: np.ndarray, rule_key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of keys that are rules, and which; of rules that share a slot only the first takes part."""
     bits = 18
-    slot_of = lambda k: (k * np.uint32(2654435761)) >> np.uint32(32 - bits)
+    wide = key.dtype == np.uint64
+    factor, shift = (np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - bits)) if wide else (np.uint32(2654435761), np.uint32(32 - bits))
+    slot_of = lambda k: (k * factor) >> shift
     slots = slot_of(rule_key)[::-1]
-    held = np.zeros(1 << bits, np.uint32)                     # 0 is the key of no rule
+    held = np.zeros(1 << bits, key.dtype)                     # 0 is the key of no rule
     held[slots] = rule_key[::-1]
     which = np.zeros(1 << bits, np.int32)
     which[slots] = np.arange(len(rule_key), dtype=np.int32)[::-1]
@@ -124,27 +127,31 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> dict:
     """Re-Pair of ``ids`` (uint32); ``ends``: positions of the closing ids."""
     is_end = np.zeros(len(ids), bool)
     is_end[ends] = True
-    seen = np.zeros(int(ids.max(initial=0)) + 1, bool)
-    seen[ids[~is_end]] = True
-    used = np.flatnonzero(seen)
     closing = ids[ends[0]] if len(ends) else 0
-    symbol = np.cumsum(seen, dtype=np.uint32)
-    seq = symbol[ids]
-    seq[is_end] = 0                                           # symbol 0: a document's end
+    if ids.max(initial=0) < 1 << 22:
+        seen = np.zeros(int(ids.max(initial=0)) + 1, bool)
+        seen[ids[~is_end]] = True
+        used = np.flatnonzero(seen)
+        seq = np.cumsum(seen, dtype=np.uint32)[ids]
+    else:
+        used = np.unique(ids[~is_end])
+        seq = (np.searchsorted(used, ids) + 1).astype(np.uint32)
     alphabet = np.append(closing, used).astype(np.uint32)
+    seq[is_end] = 0                                           # symbol 0: a document's end
     rules, rounds = [], []
     n_symbols = len(alphabet)
-    if n_symbols > MAX_SYMBOLS:
-        raise ValueError(f"{n_symbols} distinct symbols in a shard do not fit 16 bits")
-    while n_symbols < MAX_SYMBOLS and len(seq) > 1:
-        key = (seq[:-1] << np.uint32(16)) | seq[1:]
+    width = 2 if n_symbols <= NARROW else 4                   # bytes a symbol
+    pair, half = (np.uint32, np.uint32(16)) if width == 2 else (np.uint64, np.uint64(32))
+    low = pair((1 << int(half)) - 1)
+    while n_symbols < MAX_SYMBOLS[width] and len(seq) > 1:
+        key = (seq[:-1].astype(pair) << half) | seq[1:]
         runs = np.sort(key)
         at = np.flatnonzero(runs[1:] != runs[:-1]) + 1
         at = np.append(0, at)
         count = np.diff(np.append(at, len(runs)))
         often = np.flatnonzero(count >= MIN_COUNT)
-        often = often[(runs[at[often]] > 0xFFFF) & (runs[at[often]] & np.uint32(0xFFFF) != 0)]   # not across documents
-        room = min(RULES_PER_ROUND, MAX_SYMBOLS - n_symbols)
+        often = often[(runs[at[often]] > low) & (runs[at[often]] & low != 0)]   # not across documents
+        room = min(RULES_PER_ROUND, MAX_SYMBOLS[width] - n_symbols)
         if len(often) > room:
             often = often[np.argpartition(-count[often], room)[:room]]
         often = often[np.argsort(-count[often], kind="stable")]
@@ -162,7 +169,7 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> dict:
         live = np.unique(rule)                                # rules that lost every match are not stored
         new = np.zeros(len(rule_key), np.uint32)
         new[live] = np.arange(n_symbols, n_symbols + len(live))
-        rules.append(np.stack([rule_key[live] >> np.uint32(16), rule_key[live] & np.uint32(0xFFFF)], axis=1))
+        rules.append(np.stack([rule_key[live] >> half, rule_key[live] & low], axis=1).astype(np.uint32))
         rounds.append(len(live))
         n_symbols += len(live)
         seq[pos] = new[rule]
@@ -176,8 +183,9 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> dict:
         part = table[base - len(alphabet):base - len(alphabet) + size]
         length[base:base + size] = length[part[:, 0]] + length[part[:, 1]]
         base += size
-    return {"alphabet": alphabet, "rules": table.astype(np.uint16), "rounds": np.array(rounds, np.uint32),
-            "lengths": length, "sequence": seq.astype(np.uint16)}
+    kind = np.uint16 if width == 2 else np.uint32
+    return {"alphabet": alphabet, "rules": table.astype(kind), "rounds": np.array(rounds, np.uint32),
+            "lengths": length, "sequence": seq.astype(kind)}
 
 
 class Grammar:
@@ -185,7 +193,8 @@ class Grammar:
 
     def __init__(self, row: dict):
         self.alphabet = np.frombuffer(row["alphabet"], np.uint32)
-        rules = np.frombuffer(row["rules"], np.uint16).reshape(-1, 2)
+        kind = np.uint16 if len(self.alphabet) <= NARROW else np.uint32
+        rules = np.frombuffer(row["rules"], kind).reshape(-1, 2)
         self.length = np.frombuffer(row["lengths"], np.uint32).astype(np.int64)
         self.offset = np.zeros(len(self.length), np.int64)
         n = len(self.alphabet)
@@ -199,7 +208,7 @@ class Grammar:
             out = self.expand(rules[base - n:base - n + size].ravel())
             self.pool[lo:lo + len(out)] = out
             base += size
-        self.sequence = np.frombuffer(row["sequence"], np.uint16)
+        self.sequence = np.frombuffer(row["sequence"], kind)
         self.ends = np.flatnonzero(self.sequence == 0)
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:

@@ -10,8 +10,8 @@ import pyarrow.compute as pc
 
 from tenderlake.llm.common import once, tidy
 
-MULT = 0x9E3779B97F4A7C15 | 1            # odd: powers are invertible modulo 2**64
-INVERSE = pow(MULT, -1, 1 << 64)
+MULT = 0x9E3779B97F4A7C15
+LENGTH_KEY = 0xD6E8FEB86659FD93
 
 
 class Words(NamedTuple):
@@ -31,32 +31,81 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    out[1:] = np.uint64(base)
-    return np.multiply.accumulate(out)
+class Blocks(NamedTuple):
+    """Slices cut into 8-byte blocks (the last one padded with zeros); ``first[i]:first[i + 1]`` are those of slice i."""
+
+    value: np.ndarray    # uint64
+    place: np.ndarray    # int64, number of the block in its slice
+    first: np.ndarray    # int64, one more than slices
+    size: np.ndarray     # int64, bytes of each slice
+
+
+def blocks_of(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> Blocks:
+    size = (end - start).astype(np.int64)
+    many = (size + 7) >> 3
+    first = np.append(0, np.cumsum(many))
+    place = np.arange(first[-1]) - np.repeat(first[:-1], many)
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[:len(buf)] = buf
+    every = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))     # the 8 bytes from each position on
+    value = every[np.repeat(start, many) + (place << 3)]
+    over = np.maximum(((place + 1) << 3) - np.repeat(size, many), 0).astype(np.uint64)
+    value &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (over << np.uint64(3))
+    return Blocks(value, place, first, size)
+
+
+def block_hashes(b: Blocks) -> np.ndarray:
+    """64-bit hashes: every block goes with the key of its place through a nonlinear mix; the sum is mixed with the
+    length.  Never 0.  Two given different slices meet with a chance of about 2**-64, whatever their form."""
+    keyed = mix64(b.value ^ mix64((b.place.astype(np.uint64) + np.uint64(1)) * np.uint64(MULT)))
+    total = np.append(np.uint64(0), np.cumsum(mix64(keyed + np.uint64(MULT)), dtype=np.uint64))
+    h = total[b.first[1:]] - total[b.first[:-1]]
+    return np.maximum(mix64(h + b.size.astype(np.uint64) * np.uint64(LENGTH_KEY)), np.uint64(1))
 
 
 def slice_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``buf[start:end]``: a polynomial in an odd base by one running sum, then mixed; never 0."""
-    n = len(buf)
-    size = 1 << max(16, n.bit_length())
-    store = once("powers", dict)
-    if size not in store:
-        store.clear()
-        store[size] = (_powers(MULT, size), _powers(INVERSE, size))
-    up, down = store[size]
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    h = (total[end] - total[start]) * down[start]
-    return np.maximum(mix64(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.uint64(1))
+    """64-bit hashes of ``buf[start:end]``, equal for equal bytes; see ``block_hashes``."""
+    return block_hashes(blocks_of(buf, start, end))
+
+
+def _spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All positions of the spans that begin at ``first`` and have ``size`` entries."""
+    to = np.cumsum(size)
+    total = int(to[-1]) if len(to) else 0
+    return np.arange(total) + np.repeat(first - (to - size), size)
+
+
+class Pool:
+    """Arrays of many entries one after the other, with room to grow; entry i ends where i + 1 begins."""
+
+    def __init__(self, kind):
+        self.offset = np.zeros(1 << 16, np.int64)
+        self.data = np.zeros(1 << 18, kind)
+        self.entries = 0
+
+    def add(self, data: np.ndarray, size: np.ndarray) -> None:
+        start = int(self.offset[self.entries])
+        need, many = start + len(data), self.entries + len(size) + 1
+        while len(self.data) < need:
+            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
+        while len(self.offset) < many:
+            self.offset = np.concatenate([self.offset, np.zeros_like(self.offset)])
+        self.data[start:need] = data
+        self.offset[self.entries + 1:many] = start + np.cumsum(size)
+        self.entries = many - 1
+
+    def size(self, entry: np.ndarray) -> np.ndarray:
+        return self.offset[entry + 1] - self.offset[entry]
+
+    def get(self, entry: np.ndarray) -> np.ndarray:
+        return self.data[_spans(self.offset[entry], self.size(entry))]
 
 
 class PieceCache:
-    """Ids of text pieces by 64-bit hash: an open-addressing table in flat arrays, for whole chunks at once.
+    """Ids of text pieces: an open-addressing table by 64-bit hash in flat arrays, for whole chunks at once.
 
-    Two different pieces share a hash with a chance of about 1e-7 for a million pieces.  When the
-    table is full it starts anew, so memory is bounded by ``slots``.
+    Every hit is compared with the bytes kept for its entry; a piece that meets another one's hash gets ids of
+    its own.  When the table is full it starts anew, so memory is bounded by ``slots``.
     """
 
     PROBES = 12
@@ -69,9 +118,9 @@ class PieceCache:
         size = 1 << self.bits
         self.key = np.zeros(size, np.uint64)                   # 0: free
         self.where = np.zeros(size, np.int32)
-        self.offset = np.zeros(1 << 16, np.int64)              # of entry i; entry i ends where i + 1 begins
-        self.pool = np.zeros(1 << 18, np.uint32)
-        self.entries = 0
+        self.made = Pool(np.uint32)                            # ids of each entry
+        self.text = Pool(np.uint64)                            # its blocks
+        self.length = Pool(np.int64)                           # its bytes
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Entry of each hash, or -1."""
@@ -92,19 +141,17 @@ class PieceCache:
             left = left[~same & (key != 0)]
         return out
 
-    def add(self, h: np.ndarray, made: tuple[np.ndarray, np.ndarray]) -> None:
-        """Entries for distinct new hashes: all their ids in one array, and the number of ids of each."""
-        ids, size = made
-        start = int(self.offset[self.entries])
-        need, many = start + len(ids), self.entries + len(size) + 1
-        while len(self.pool) < need:
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while len(self.offset) < many:
-            self.offset = np.concatenate([self.offset, np.zeros_like(self.offset)])
-        self.pool[start:need] = ids
-        self.offset[self.entries + 1:many] = start + np.cumsum(size)
-        entry = np.arange(self.entries, many - 1, dtype=np.int32)
-        self.entries = many - 1
+    def _store(self, b: Blocks, which: np.ndarray, raw: bytes, start: np.ndarray, end: np.ndarray, make) -> np.ndarray:
+        """New entries for the slices ``which``; returns their numbers."""
+        base = self.made.entries
+        ids, size = make([raw[a:c] for a, c in zip(start[which].tolist(), end[which].tolist())])
+        self.made.add(ids, size)
+        many = b.first[which + 1] - b.first[which]
+        self.text.add(b.value[_spans(b.first[which], many)], many)
+        self.length.add(b.size[which], np.ones(len(which), np.int64))
+        return np.arange(base, self.made.entries, dtype=np.int32)
+
+    def _enter(self, h: np.ndarray, entry: np.ndarray) -> None:
         mask = (1 << self.bits) - 1
         slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         for step in range(self.PROBES):
@@ -117,35 +164,42 @@ class PieceCache:
             if not len(h):
                 break
 
+    def _differs(self, b: Blocks, entry: np.ndarray) -> np.ndarray:
+        """Slices whose bytes are not those of their entry."""
+        wrong = self.length.data[entry] != b.size
+        same = np.flatnonzero(~wrong)
+        many = b.first[same + 1] - b.first[same]
+        unlike = b.value[_spans(b.first[same], many)] != self.text.get(entry[same])
+        if unlike.any():
+            wrong[np.repeat(same, many)[unlike]] = True
+        return np.flatnonzero(wrong)
+
     def ids(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all slices, one after the other, and their number in each; ``make`` gives those of new pieces."""
-        h = slice_hashes(buf, start, end)
+        b = blocks_of(buf, start, end)
+        h = block_hashes(b)
         entry = self.find(h)
         new = np.flatnonzero(entry < 0)
+        raw = b""
         if len(new):
+            raw = buf.tobytes()
             fresh, at, back = np.unique(h[new], return_index=True, return_inverse=True)
-            at = new[at]
-            if self.entries + len(fresh) > 0.6 * (1 << self.bits):
+            if self.made.entries + len(fresh) > 0.6 * (1 << self.bits):
                 self.clear()
-                return self._all_new(buf, start, end, h, make)
-            base = self.entries
-            raw = buf.tobytes()
-            self.add(fresh, make([raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())]))
-            entry[new] = base + back
-        return self._gather(entry)
-
-    def _all_new(self, buf, start, end, h, make):
-        fresh, at, back = np.unique(h, return_index=True, return_inverse=True)
-        raw = buf.tobytes()
-        self.add(fresh, make([raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())]))
-        return self._gather(back)
-
-    def _gather(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lo = self.offset[entry]
-        size = self.offset[entry + 1] - lo
-        to = np.cumsum(size)
-        total = int(to[-1]) if len(to) else 0
-        return self.pool[np.arange(total) + np.repeat(lo - (to - size), size)], size
+                new = np.arange(len(h))
+                fresh, at, back = np.unique(h, return_index=True, return_inverse=True)
+            made = self._store(b, new[at], raw, start, end, make)
+            self._enter(fresh, made)
+            entry[new] = made[back]
+        clash = self._differs(b, entry)
+        if len(clash):                                         # another piece has this hash: entries that no hash leads to
+            raw = raw or buf.tobytes()
+            own: dict[bytes, int] = {}
+            for i in clash.tolist():
+                own.setdefault(raw[start[i]:end[i]], i)
+            made = dict(zip(own, self._store(b, np.array(list(own.values())), raw, start, end, make).tolist()))
+            entry[clash] = [made[raw[start[i]:end[i]]] for i in clash.tolist()]
+        return self.made.get(entry), self.made.size(entry)
 
 
 def _space_table() -> np.ndarray:

@@ -7,9 +7,9 @@ and headers as they were, the source's block and payload digests (SHA-1, base 32
 and the resolved out-links; the conversion record carries the visible text.  Record ids are name
 based (from the source's id and the record type), so a task that runs again writes the same records.
 
-Text: comments and the contents of script, style, noscript, template and head are dropped, block
-tags end a line, other tags vanish, character references are resolved, blanks are collapsed, empty
-lines go.  All patterns run in time linear in the page, whole pages are read.  No shuffle.
+Text: comments, the contents of script, style, noscript and template, and the page's head are dropped,
+block tags end a line, other tags vanish, character references are resolved, blanks are collapsed, empty
+lines go.  A head without a closing tag ends, as in HTML, before the first tag or text that cannot stand in one.  All patterns run in time linear in the page, whole pages are read.  No shuffle.
 
 Cases: a null payload is an empty page (both records are still made, with the digest of no bytes);
 a null target URI leaves out the header and relative links; null HTTP headers leave out those
@@ -37,7 +37,10 @@ from tenderlake.llm.textarrays import chunks
 BLOCK_TAGS = frozenset("""address article aside blockquote body br caption dd div dl dt fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section table tbody td tfoot th thead title
 tr ul""".split())
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+# A head ends at its closing tag (which is optional) or before the first tag or text that cannot stand in one.
+_HEAD = re.compile(r"<head(?=[\s/>])[^<>]*+>(?:\s++|</?(?:base|basefont|bgsound|link|meta|head)(?=[\s/>])[^<>]*+>"
+                   r"|<title(?=[\s/>])[^<>]*+>.*?(?:</title\s*>|\Z))*+", re.I | re.S)
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
 _TITLE = re.compile(r"<title\b[^<>]*>([^<]*)", re.I)
 _LANG = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
@@ -51,7 +54,7 @@ def digest(data: bytes) -> str:
 
 
 def visible_text(page: str) -> str:
-    parts = _TAG.split(_HIDDEN.sub(" ", page))
+    parts = _TAG.split(_HEAD.sub(" ", _HIDDEN.sub(" ", page), count=1))
     out = [parts[0]]
     for tag, text in zip(parts[1::2], parts[2::2]):
         out.append("\n" if tag and tag.lower() in BLOCK_TAGS else "")

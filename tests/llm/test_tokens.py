@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from tenderlake.llm import byte_bpe, repair_shards
+from tenderlake.llm import byte_bpe, repair_shards, textarrays
 from tenderlake.llm.queries import BYTE_BPE_RANKS, LLM_QUERIES, WORD_BPE, tokenizer_path
 from tenderlake.llm.textarrays import PieceCache, text_bytes
 
@@ -132,8 +132,48 @@ def test_op2_query_and_edge_cases(spark, small_rows, edge, edge_rows, nothing, t
         assert sorted(map(tuple, got), key=lambda r: r[1]) == _repair_rows([r[:2] for r in rows])
 
 
-def test_repair_refuses_an_alphabet_beyond_16_bits():
-    fits = repair_shards.compress(np.arange(65536, dtype=np.uint32), np.array([65535]))
-    assert len(fits["alphabet"]) == 65536
-    with pytest.raises(ValueError, match="16 bits"):
-        repair_shards.compress(np.arange(65537, dtype=np.uint32), np.array([65536]))
+@pytest.mark.parametrize("top", [100_000, 1 << 31])
+def test_repair_of_a_large_alphabet(top):
+    """More distinct ids than 16 bits hold: symbols take 32 bits, rules and random access work as before."""
+    r = np.random.default_rng(3)
+    phrase = r.integers(top - 500, top, 9)
+    plain = r.permutation(90_000) * (top // 90_000)
+    docs = [np.concatenate([part, *[phrase] * 40, [1]]).astype(np.uint32) for part in np.array_split(plain, 30)]
+    ids, ends = np.concatenate(docs), np.cumsum([len(d) for d in docs]) - 1
+    got = repair_shards.compress(ids, ends)
+    assert len(got["alphabet"]) > 65536 and got["sequence"].dtype == np.uint32 and len(got["rules"]) and len(got["sequence"]) < len(ids) - 8000
+    grammar = repair_shards.Grammar({k: v.tobytes() for k, v in got.items()})
+    assert (grammar.expand(grammar.sequence) == ids).all()
+    assert grammar.read_tokens(4, 2990, 3100).tolist() == docs[4][2990:3100].tolist()
+
+
+def _parity_words():
+    """Two words with equal values under every polynomial hash in an odd base modulo 2**64."""
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_share_a_polynomial_hash(spark):
+    """op2 and op3 give such words, and documents that hold them, the ids and bytes of their own."""
+    t, u = _parity_words()
+    tail = " ".join(f"w{i}" for i in range(49))
+    rows = list(enumerate([t, u, f"{t} {tail}", f"{u} {tail}"], 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    path = tokenizer_path(BYTE_BPE_RANKS)
+    got = byte_bpe.encode(docs, path, digests=True).collect()
+    assert {r["doc_id"]: r["decoded_sha256"] for r in got} == {i: hashlib.sha256(x.encode()).hexdigest() for i, x in rows}
+    enc = repair_shards.WordEncoder(tokenizer_path(WORD_BPE))
+    tok = Tokenizer.from_file(tokenizer_path(WORD_BPE))
+    assert [x.tolist() for x in enc.encode(pa.array([x for _, x in rows]))] == [tok.encode(x, add_special_tokens=False).ids for _, x in rows]
+
+
+def test_cache_compares_bytes(monkeypatch):
+    """Even if all pieces shared one hash, each gets its own ids."""
+    monkeypatch.setattr(textarrays, "block_hashes", lambda b: np.full(len(b.size), 7, np.uint64))
+    cache = textarrays.PieceCache(slots_log2=8)
+    make = lambda some: (np.array([x[0] for x in some], np.uint32), np.ones(len(some), np.int64))
+    for _ in range(2):
+        column = pa.array(["a bb a cccccccccc", "b a cccccccccd d"])
+        w = textarrays.split_words(column, hashes=False)
+        ids, size = cache.ids(w.buf, w.start, w.end, make)
+        assert bytes(ids.tolist()) == b"abacbacd" and (size == 1).all()
