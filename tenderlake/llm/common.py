@@ -38,14 +38,15 @@ def ascii_lower(col: Column) -> Column:
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "inner",
-                over: int = 2000, counted: DataFrame | None = None) -> DataFrame:
+                over: int = 2000, counted: DataFrame | None = None, weight: str | None = None) -> DataFrame:
     """Join on ``keys`` (nulls equal nulls); a key with more than ``over`` rows in ``big`` is split by its count.
 
     Such a key meets one task for every ``over`` rows, and only its rows of ``small`` are repeated, so at most one row
     for each ``over`` rows of ``big`` comes on top.  ``spread`` tells the rows of one key in ``big`` apart;
-    ``counted`` is a cheaper table with the same keys, to count them in.
+    ``counted`` is a cheaper table with the same keys, to count them in (``weight``: its column of row numbers).
     """
-    hot = ((big if counted is None else counted).groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > over)
+    many = F.count("*") if weight is None else F.sum(weight)
+    hot = ((big if counted is None else counted).groupBy(*keys).agg(many.alias("_n")).filter(F.col("_n") > over)
            .select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.ceil(F.col("_n") / over).cast("int").alias("_salts")))
     hot = stage_table(hot, "hot-keys")
     right = small

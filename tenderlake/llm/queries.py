@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderlake.llm import (byte_bpe, exact_dedup, improbable_digest, jaccard_join, mixing, pii, quality_nbsvm,
-                            repair_shards, substring_dedup, warc_derive)
+                            repair_shards, repetition_rules, spelling, substring_dedup, token_alignment, warc_derive)
 from tenderlake.llm.common import documents
 from tenderlake.session import checkpoint_dir
 from tenderlake.sources.tables import read_table
@@ -157,3 +157,23 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm_query("op9_jaccard_join")
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked_classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+BYTE_BPE_JSON, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+@llm_query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(documents(spark, sf_dir), tokenizer_path(BYTE_BPE_JSON), tokenizer_path(PIECE_BPE))
+
+
+@llm_query("op13_spelling_variants")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+@llm_query("op11_repetition_rules")
+def op11_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repetition_rules.judge(documents(spark, sf_dir))
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return rows.select("doc_id", *base, "n_covered", "longest_repeat", "n_repeats")

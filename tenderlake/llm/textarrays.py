@@ -1,4 +1,4 @@
-"""Texts of an Arrow batch as flat numpy arrays: bytes, word slices and word hashes."""
+"""Texts of an Arrow batch as flat numpy arrays: bytes, word slices, word hashes, and a cache by piece."""
 
 from __future__ import annotations
 
@@ -68,7 +68,7 @@ def slice_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return block_hashes(blocks_of(buf, start, end))
 
 
-def _spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """All positions of the spans that begin at ``first`` and have ``size`` entries."""
     to = np.cumsum(size)
     total = int(to[-1]) if len(to) else 0
@@ -98,7 +98,7 @@ class Pool:
         return self.offset[entry + 1] - self.offset[entry]
 
     def get(self, entry: np.ndarray) -> np.ndarray:
-        return self.data[_spans(self.offset[entry], self.size(entry))]
+        return self.data[spans(self.offset[entry], self.size(entry))]
 
 
 class PieceCache:
@@ -147,7 +147,7 @@ class PieceCache:
         ids, size = make([raw[a:c] for a, c in zip(start[which].tolist(), end[which].tolist())])
         self.made.add(ids, size)
         many = b.first[which + 1] - b.first[which]
-        self.text.add(b.value[_spans(b.first[which], many)], many)
+        self.text.add(b.value[spans(b.first[which], many)], many)
         self.length.add(b.size[which], np.ones(len(which), np.int64))
         return np.arange(base, self.made.entries, dtype=np.int32)
 
@@ -169,13 +169,18 @@ class PieceCache:
         wrong = self.length.data[entry] != b.size
         same = np.flatnonzero(~wrong)
         many = b.first[same + 1] - b.first[same]
-        unlike = b.value[_spans(b.first[same], many)] != self.text.get(entry[same])
+        unlike = b.value[spans(b.first[same], many)] != self.text.get(entry[same])
         if unlike.any():
             wrong[np.repeat(same, many)[unlike]] = True
         return np.flatnonzero(wrong)
 
     def ids(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all slices, one after the other, and their number in each; ``make`` gives those of new pieces."""
+        entry = self.entry(buf, start, end, make)
+        return self.made.get(entry), self.made.size(entry)
+
+    def entry(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, make) -> np.ndarray:
+        """The entry of every slice, valid until the next call."""
         b = blocks_of(buf, start, end)
         h = block_hashes(b)
         entry = self.find(h)
@@ -199,7 +204,7 @@ class PieceCache:
                 own.setdefault(raw[start[i]:end[i]], i)
             made = dict(zip(own, self._store(b, np.array(list(own.values())), raw, start, end, make).tolist()))
             entry[clash] = [made[raw[start[i]:end[i]]] for i in clash.tolist()]
-        return self.made.get(entry), self.made.size(entry)
+        return entry
 
 
 def _space_table() -> np.ndarray:
@@ -241,6 +246,23 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0]:off[-1]], off - off[0]
 
 
+def word_ids(words: Words) -> tuple[np.ndarray, int]:
+    """A number for every word, equal for equal bytes only, and how many numbers there are.  Hashes are checked."""
+    b = blocks_of(words.buf, words.start, words.end)
+    _, at, ids = np.unique(block_hashes(b), return_index=True, return_inverse=True)
+    pick = at[ids]
+    wrong = b.size[pick] != b.size
+    same = np.flatnonzero(~wrong)
+    many = b.first[same + 1] - b.first[same]
+    unlike = b.value[spans(b.first[same], many)] != b.value[spans(b.first[pick[same]], many)]
+    wrong[np.repeat(same, many)[unlike]] = True
+    n = len(at)
+    own: dict[bytes, int] = {}
+    for i in np.flatnonzero(wrong).tolist():                   # words that share a hash with another one
+        ids[i] = own.setdefault(words.buf[words.start[i]:words.end[i]].tobytes(), n + len(own))
+    return ids, n + len(own)
+
+
 def _punctuation_table() -> np.ndarray:
     t = np.zeros(256, bool)
     t[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
