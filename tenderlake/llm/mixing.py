@@ -98,19 +98,28 @@ def _class_bins(sized: DataFrame) -> DataFrame:
     return classes.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("_class", "_bins")), asc=False).alias("_classes"))
 
 
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _fill(f: Column, state: Column, one: Column) -> Column:
     """One size class: what it gives of the open words ``state.gap`` and of its own fraction; adds its cut to ``state.cuts``."""
-    uptos = one["_bins"]["_upto"]
-    words = F.element_at(uptos, -1)
-    open_ = state["gap"] + f * words
-    want = F.greatest(open_, F.lit(0.0))
-    within = F.size(F.filter(uptos, lambda u: u <= want))
-    base = F.when(within == 0, F.lit(0).cast("bigint")).otherwise(F.get(uptos, within - 1))
-    over = F.get(uptos, within) - base
-    nearer = base + over - want < want - base
-    taken = F.when(within == F.size(uptos), words).otherwise(base + F.when(nearer, over).otherwise(F.lit(0)))
-    cut = F.when(within == F.size(uptos), F.lit(BINS)).otherwise(F.get(one["_bins"]["_draw"], within) + nearer.cast("int"))
-    return F.struct((open_ - taken).alias("gap"), F.concat(state["cuts"], F.array(F.struct(one["_class"].alias("key"), cut.alias("value")))).alias("cuts"))
+
+    def end(uptos, open_, within, base, over):
+        words, want = F.element_at(uptos, -1), F.greatest(open_, F.lit(0.0))
+        nearer = base + over - want < want - base
+        taken = F.when(over.isNull(), words).otherwise(base + F.when(nearer, over).otherwise(F.lit(0)))
+        cut = F.when(over.isNull(), F.lit(BINS)).otherwise(F.get(one["_bins"]["_draw"], within) + nearer.cast("int"))
+        return F.struct((open_ - taken).alias("gap"), F.concat(state["cuts"], F.array(F.struct(one["_class"].alias("key"), cut.alias("value")))).alias("cuts"))
+
+    # ``within``: bins whose words up to there are wanted; ``over``: the words of the next bin, null if there is none
+    def cut_at(uptos, open_):
+        return _let(F.size(F.filter(uptos, lambda u: u <= F.greatest(open_, F.lit(0.0)))), lambda within:
+                    _let(F.when(within == 0, F.lit(0).cast("bigint")).otherwise(F.get(uptos, within - 1)), lambda base:
+                         _let(F.get(uptos, within) - base, lambda over: end(uptos, open_, within, base, over))))
+
+    return _let(one["_bins"]["_upto"], lambda uptos: _let(state["gap"] + f * F.element_at(uptos, -1), lambda open_: cut_at(uptos, open_)))
 
 
 def _within(drawn: Column, kind: Column) -> Column:

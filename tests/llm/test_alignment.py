@@ -1,3 +1,4 @@
+import bisect
 import collections
 import hashlib
 import json
@@ -38,10 +39,10 @@ def _brute(rows):
                         mine.append(at)
                     ends.append(mine)
                 cuts = sorted(set(ends[0]) & set(ends[1]))
-                last = 0
-                for c in cuts:
-                    groups.append(([i for i, e in zip(a, ends[0]) if last < e <= c], [i for i, e in zip(b, ends[1]) if last < e <= c]))
-                    last = c
+                groups = [([], []) for _ in cuts]
+                for which, (ids, mine) in enumerate(((a, ends[0]), (b, ends[1]))):
+                    for i, e in zip(ids, mine):
+                        groups[bisect.bisect_left(cuts, e)][which].append(i)
         texts.append(groups)
     count = collections.Counter()
     for groups in texts:
