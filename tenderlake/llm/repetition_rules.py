@@ -22,13 +22,14 @@ gives an empty table.
 
 from __future__ import annotations
 
-from typing import Iterator, NamedTuple
+from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tenderlake.llm.common import enter, once
+from tenderlake.llm.suffixes import Suffixes, suffix_array
 from tenderlake.llm.textarrays import Words, chunks, split_words, text_bytes, word_ids
 
 MIN_WORDS = 50
@@ -40,64 +41,6 @@ _SYMBOLS = b"#*$%&|<>"
 _WHITE = " \t\n\x0b\x0c\r"
 
 
-class Suffixes(NamedTuple):
-    """Suffix array of several word sequences, one after the other."""
-
-    order: np.ndarray            # positions, by sequence, then in the order of their suffixes
-    common: np.ndarray           # words that a suffix shares with the one before it in ``order``; 0 at a sequence's first
-    ranks: list[np.ndarray]      # ranks by the first 1, 2, 4, ... words: equal for equal runs of one sequence
-
-
-def suffix_array(ids: np.ndarray, first: np.ndarray) -> Suffixes:
-    """Of sequences ``ids[first[d]:first[d + 1]]``; only suffixes of one sequence are compared."""
-    n = len(ids)
-    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    end = np.repeat(first[1:], np.diff(first))
-    key = owner * (int(ids.max(initial=0)) + 1) + ids
-    order = np.argsort(key, kind="stable")
-    rank = np.empty(n, np.int32)
-    opens = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])[:n])
-    size = np.diff(np.append(opens, n))
-    rank[order] = np.repeat(opens, size)                       # a rank is the first place of its group
-    active = order[np.repeat(size > 1, size)]                  # sorted by rank
-    ranks, step = [rank], 1
-    while len(active):
-        old = rank[active].astype(np.int64)
-        ahead = active + step
-        second = np.where(ahead < end[active], rank[np.minimum(ahead, n - 1)].astype(np.int64), -1)
-        by = np.argsort(old * (n + 1) + second + 1, kind="stable")
-        active, old, second = active[by], old[by], second[by]
-        group = np.append(True, old[1:] != old[:-1])
-        fresh = group | np.append(True, second[1:] != second[:-1])
-        at = np.arange(len(active))
-        before = np.maximum.accumulate(np.where(group, at, 0))
-        inside = np.maximum.accumulate(np.where(fresh, at, 0))
-        rank = rank.copy()
-        rank[active] = old + inside - before
-        ranks.append(rank)
-        size = np.diff(np.append(np.flatnonzero(fresh), len(active)))
-        active = active[np.repeat(size > 1, size)]
-        step *= 2
-    order = np.empty(n, np.int64)
-    order[rank] = np.arange(n)
-    return Suffixes(order, _common(order, owner, end, ranks), ranks)
-
-
-def _common(order: np.ndarray, owner: np.ndarray, end: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
-    """Common-prefix lengths of neighbours, from the ranks by powers of two, longest first."""
-    out = np.zeros(len(order), np.int64)
-    here = np.flatnonzero(owner[order[1:]] == owner[order[:-1]]) + 1
-    p, q = order[here - 1].copy(), order[here].copy()
-    stop = end[q]
-    for level in range(len(ranks) - 1, -1, -1):
-        live = np.flatnonzero((p < stop) & (q < stop))
-        same = live[ranks[level][p[live]] == ranks[level][q[live]]]
-        out[here[same]] += 1 << level
-        p[same] += 1 << level
-        q[same] += 1 << level
-    return out
-
-
 def maximal_repeats(suffixes: Suffixes, ids: np.ndarray, first: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """``depth, lo, hi``: maximal repeats of ``depth >= least`` words; their occurrences are ``order[lo:hi]``."""
     order, common = suffixes.order, suffixes.common

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -127,6 +128,38 @@ def test_op9_query_and_edge_cases(spark, small_rows, edge, edge_rows, nothing):
     assert kept.columns == edge.columns and jaccard_join.keep_one_of_each(nothing).count() == 0
 
 
+def _parity_words():
+    """Two words with equal values under every polynomial hash in an odd base modulo 2**64."""
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("group", [1, 2000])
+def test_words_that_share_a_polynomial_hash(spark, group):
+    t, u = _parity_words()
+    tail = " ".join(f"w{i}" for i in range(49))
+    rows = list(enumerate([t, u, f"{t} {tail}", f"{u} {tail}", f"{t} {tail}"], 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert _sha(substring_dedup.remove_repeats(docs, group=group).collect()) == brute_substrings(rows)
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.linked_classes(docs).collect())
+    assert got == brute_classes(rows)
+
+
+def test_deep_nodes_equal_sorting():
+    """Suffixes under a node of ``window`` words: those whose first words another suffix of their group shares."""
+    r = random.Random(12)
+    rows = [[f"x{r.randint(0, 2)}" for _ in range(r.randint(0, 30))] for _ in range(40)]
+    group = np.sort(np.array([r.randint(0, 5) for _ in rows]))
+    row, at, node = substring_dedup.deep_nodes(pa.array([" ".join(x).encode() for x in rows], pa.binary()), group, 6)
+    got, want = collections.defaultdict(set), collections.defaultdict(set)
+    for a, b, n in zip(row.tolist(), at.tolist(), node.tolist()):
+        got[n].add((a, b))
+    for k, x in enumerate(rows):
+        for i in range(len(x) - 5):
+            want[(group[k], *x[i:i + 6])].add((k, i))
+    assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
 def test_bitmaps_never_rule_out_a_link():
     r = np.random.default_rng(2)
     for _ in range(300):
