@@ -5,20 +5,22 @@ per kind.  Each distinct value is a protected entity.  For the information-theor
 term (words, A-Z lower-cased, without punctuation at their ends, that touch no span) of a document
 that mentions an entity is scored, however rare the entity is:
 
-    IC(e) = log(N / n(e))        PMI(e; t) = log(P(e | t) N / n(e))
+    bits(e; t) = IC(e) - PMI(e; t) = -log2 P(e | t)
 
-n counts documents, over all of them and as wholes; those that mention e and are near copies of each
-other (classes of ``jaccard_join``) count once.  P(e | t) is not n(e, t) / n(t) itself but the lower end
+the information about e that somebody who reads t still lacks: with 4 bits left, e is one of about 16 equally
+likely entities.  n(e, t) and n(t) count documents, over all of them and as wholes; those that mention e and are near copies of
+each other (classes of ``jaccard_join``) count once.  P(e | t) is not n(e, t) / n(t) itself but the lower end
 of its one-sided 95 % interval (Wilson, with continuity correction), so chance is priced in by how
-little was seen: one document of one gives 0.07, seven of seven 0.63.  PMI / IC nears 1 when
-t occurs only with e; from ``REMOVE`` on a term is removed, from ``GENERALISE`` on it is
-generalised, in every document that mentions e.  Documents without base spans are never touched,
-and base spans always stay.
+little was seen: one document of one leaves 3.8 bits, two of two 2.0, five of five 0.9, one of two 4.8.  A term
+that leaves at most ``GENERALISE`` bits is generalised, one that leaves at most ``REMOVE`` is removed, in every document that
+mentions e.  So one sighting can generalise a term but never removes it, and the bars do not depend on
+how many other documents there are.  Documents without base spans are never touched, and base spans always stay.
+``redact`` writes a generalised term as its kind (name, number, code or word).
 
-Scale: one pass finds entities, and terms as hashes; entities that the same documents mention have
+Scale: one pass finds entities, and terms as hashes (64 bits; a document that mentions an entity is known by 64 bits of its id and text); entities that the same documents mention have
 the same counts and are scored as one group; pairs are aggregated with partial sums on (group, term,
-class), joins on frequent keys are salted; document frequencies are counted only for words in a filter
-of 2**24 bits (bounded, broadcast; a chance hit only counts a word more); only texts with base spans
+class), a frequent key is split by its count; document frequencies are counted only for words in a bitmap
+sized by their number (256 MB at most, broadcast; a chance hit only counts a word more); only texts with base spans
 are written and read again.
 
 Cases: a null text is empty and has no spans.  A null id is a document of its own kind: its base
@@ -29,7 +31,6 @@ an empty table.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from typing import Iterator
 
@@ -38,15 +39,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import enter, spread_join, stage_table
+from tenderlake.llm.common import bitmap_bits, bitmap_holds, enter, hash_bitmap, spread_join, stage_table
 from tenderlake.llm.jaccard_join import linked_classes
 from tenderlake.llm.textarrays import chunks, split_words
 
-WINDOW = 8
 Z = 1.645                        # one-sided 95 %
-GENERALISE = 0.5
-REMOVE = 0.8
-FILTER_BITS = 1 << 24
+GENERALISE = 4.0                 # bits
+REMOVE = 1.0
 KINDS = ("email", "ip", "card", "phone")
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -133,21 +132,6 @@ def free_terms(text: str, spans: list[tuple[str, int, int]]) -> list[str]:
     return sorted({term(text[a:b]) for (a, b), f in zip(*free_words(text, spans)) if f} - {""})
 
 
-def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, list[str]]]:
-    """For each span: the entity, a hash of its context, and the terms around it."""
-    words, free = free_words(text, spans)
-    starts = [a for a, _ in words]
-    out = []
-    for kind, a, b in spans:
-        lo = int(np.searchsorted(starts, a, "right")) - 1
-        hi = int(np.searchsorted(starts, b))
-        near = [term(text[slice(*words[i])]) for i in [*range(max(0, lo - WINDOW), lo), *range(hi, min(len(words), hi + WINDOW))] if free[i]]
-        near = [t for t in near if t]
-        ctx = int.from_bytes(hashlib.blake2b(" ".join(near).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-        out.append((entity(kind, text[a:b]), ctx, sorted(set(near))))
-    return out
-
-
 def join_spans(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -189,14 +173,11 @@ def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def _document_frequency(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``h, n_term``: documents that hold each wanted word, over the whole table."""
-    bits = np.zeros(FILTER_BITS, bool)
-    hit = wanted.select(F.pmod("h", F.lit(FILTER_BITS)).cast("int").alias("b")).distinct()      # at most FILTER_BITS rows
-    bits[hit.toArrow().column("b").to_numpy()] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    bits = bitmap_bits(wanted.count())
+    shared = docs.sparkSession.sparkContext.broadcast((hash_bitmap(wanted, "h", bits), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("pii")
-        mask = np.unpackbits(shared.value).astype(bool)
         held: list[np.ndarray] = []
 
         def counts() -> pa.RecordBatch:
@@ -207,7 +188,7 @@ def _document_frequency(docs: DataFrame, wanted: DataFrame, id_col: str, text_co
         for batch in batches:
             for part in chunks(batch, text_col):
                 words = split_words(part.column(text_col), lower=True, trim=True)
-                at = np.flatnonzero(mask[(words.hash % np.uint64(FILTER_BITS)).astype(np.int64)])
+                at = np.flatnonzero(bitmap_holds(shared.value[0], words.hash, shared.value[1]))
                 doc = np.searchsorted(words.first, at, "right") - 1
                 h = words.hash[at].astype(np.int64)
                 order = np.lexsort((h, doc))
@@ -252,23 +233,17 @@ def lower_bound(k: Column, n: Column) -> Column:
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, held: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      generalise: float = GENERALISE) -> DataFrame:
-    """``who, h, ratio``: terms whose PMI with the entities reaches ``generalise`` of their information content."""
+    """``who, h, bits``: terms that leave at most ``generalise`` bits about the entities."""
     rows = _known(found, id_col).select("row", "terms").join(held, "row")
     pairs = (rows.select("who", "unit", F.explode("terms").alias("h")).groupBy("who", "h", "unit").agg(F.count("*").alias("_n"))
              .groupBy("who", "h").agg(F.sum("_n").alias("n_both_rows"), F.count("*").alias("n_both")))
     pairs = stage_table(pairs, "pii-pairs")
-    alone = (held.groupBy("who", "unit").agg(F.max("n_rows").alias("n_rows"))
-             .groupBy("who").agg(F.max("n_rows").alias("n_rows"), F.count("*").alias("n_who")))
-    df = stage_table(_document_frequency(docs, pairs.select("h").distinct(), id_col, text_col), "pii-frequencies")
-    n_docs = docs.filter(F.col(id_col).isNotNull()).count()
-    scored = spread_join(pairs, alone, "who", F.col("h"))
-    scored = spread_join(scored, df, "h", F.col("who"), counted=pairs)
-    n = F.lit(float(n_docs)) - F.col("n_rows") + F.col("n_who")
+    words = stage_table(pairs.select("h").distinct(), "pii-words")
+    df = stage_table(_document_frequency(docs, words, id_col, text_col), "pii-frequencies")
+    scored = spread_join(pairs, df, "h", F.col("who"), counted=pairs)
     n_term = F.col("n_term") - F.col("n_both_rows") + F.col("n_both")
-    content = F.log(n / F.col("n_who"))
-    # an entity in (almost) every document has no content to disclose
-    ratio = F.when(content > 1e-9, 1 + F.log(lower_bound(F.col("n_both").cast("double"), n_term.cast("double"))) / content)
-    return scored.select("who", "h", ratio.alias("ratio")).filter(F.col("ratio") >= generalise)
+    bits = -F.log2(lower_bound(F.col("n_both").cast("double"), n_term.cast("double")))
+    return scored.select("who", "h", bits.alias("bits")).filter(F.col("bits") <= generalise)
 
 
 def added_spans(found: DataFrame, held: DataFrame, terms: DataFrame, id_col: str = "doc_id", remove: float = REMOVE) -> DataFrame:
@@ -276,8 +251,8 @@ def added_spans(found: DataFrame, held: DataFrame, terms: DataFrame, id_col: str
     known = _known(found, id_col)
     pair = F.xxhash64("who", "h").alias("pair")
     every = known.select("row", "terms").join(held.select("row", "who"), "row").select("row", "who", F.explode("terms").alias("h")).select("row", "h", pair)
-    marked = (spread_join(every, terms.select(pair, "ratio"), "pair", F.col("row")).groupBy("row", "h").agg(F.max("ratio").alias("ratio"))
-              .groupBy("row").agg(F.collect_list(F.struct("h", "ratio")).alias("_terms")))
+    marked = (spread_join(every, terms.select(pair, "bits"), "pair", F.col("row")).groupBy("row", "h").agg(F.min("bits").alias("bits"))
+              .groupBy("row").agg(F.collect_list(F.struct("h", "bits")).alias("_terms")))
     texts = known.select("row", "base", "body").dropDuplicates(["row"]).join(marked, "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,14 +260,14 @@ def added_spans(found: DataFrame, held: DataFrame, terms: DataFrame, id_col: str
         for batch in batches:
             out = []
             for text, base, terms_ in zip(*[batch.column(c).to_pylist() for c in ("body", "base", "_terms")]):
-                ratio = {t["h"]: t["ratio"] for t in terms_}
+                left = {t["h"]: t["bits"] for t in terms_}
                 words, free = free_words(text, [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in base.split(","))])
                 at = [(a, b, t) for (a, b), f in zip(words, free) if f and (t := term(text[a:b]))]
                 spans = []
                 for (a, b, t), h in zip(at, term_hashes([t for _, _, t in at])):
-                    if (r := ratio.get(h)) is not None:
+                    if (r := left.get(h)) is not None:
                         a += len(text[a:b]) - len(text[a:b].lstrip(_ENDS))
-                        spans.append(("remove" if r >= remove else "generalise", a, a + len(t)))
+                        spans.append(("remove" if r <= remove else "generalise", a, a + len(t)))
                 out.append(join_spans(sorted(spans, key=lambda s: (s[0] != "generalise", s[1]))))
             yield pa.record_batch([batch.column("row"), pa.array(out, pa.string())], names=["row", "added"])
 
@@ -313,16 +288,22 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ge
             .select(id_col, *counts, "base", spans.alias("spans")))
 
 
+def general_form(term_: str) -> str:
+    """The kind that a generalised term is written as."""
+    if all(c.isdigit() or c in ".,:/-" for c in term_):
+        return "[NUMBER]"
+    if any(c.isdigit() for c in term_):
+        return "[CODE]"
+    return "[NAME]" if term_[:1].isupper() else "[WORD]"
+
+
 def redact(text: str, spans: str) -> str:
-    """The text with base spans replaced by their kind, generalised terms by ``[TERM]``, removed ones by nothing."""
-    label = {k: f"[{k.upper()}]" for k in KINDS} | {"generalise": "[TERM]", "remove": ""}
+    """The text with base spans replaced by their kind, generalised terms by their general form, removed ones by nothing."""
     out, at = [], 0
     for a, b, kind in sorted((int(a), int(b), k) for k, a, b in (s.split(":") for s in spans.split(",") if s)):
         if a >= at:
-            out += [text[at:a], label[kind]]
+            out += [text[at:a], "" if kind == "remove" else general_form(text[a:b]) if kind == "generalise" else f"[{kind.upper()}]"]
             at = b
         else:
             at = max(at, b)
     return "".join(out) + text[at:]
-
-
