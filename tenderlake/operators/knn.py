@@ -153,6 +153,15 @@ def _partition_topk(batches: Iterable[pa.RecordBatch], qmat: np.ndarray, qids: n
     pending_rows = 0
     limit = 4 * k * max(len(qids), 1)
     running: pd.DataFrame | None = None
+    floor = np.full(len(qids), np.iinfo(np.int64).min)        # the k-th score known so far; rows below cannot enter
+
+    def merge() -> pd.DataFrame:
+        found = _merge_running(running, pd.concat(pending, ignore_index=True), k, id_col, key_col)
+        full = found.groupby("__q")["__s"].agg(["size", "min"])
+        full = full[full["size"] >= k]
+        floor[full.index.to_numpy()] = full["min"].to_numpy()
+        return found
+
     dim = qmat.shape[1] if qmat.size else None
     for batch in batches:
         if batch.num_rows == 0 or len(qids) == 0:
@@ -174,16 +183,20 @@ def _partition_topk(batches: Iterable[pa.RecordBatch], qmat: np.ndarray, qids: n
             key_codes = key_codes.to_numpy(zero_copy_only=False).astype(np.int64) - 1
         mask = pair_filter.fn(qinfo, batch) if pair_filter is not None else None
         q_idx, rows, s_int = _local_topk(qmat, cmat, id_rank, key_codes, k, scale, mask)
+        able = s_int >= floor[q_idx]
+        if not able.any():
+            continue
+        q_idx, rows, s_int = q_idx[able], rows[able], s_int[able]
         payload = batch.select(list(out_cols)).take(pa.array(rows)).to_pandas()
         payload["__q"] = q_idx
         payload["__s"] = s_int
         pending.append(payload)
         pending_rows += len(payload)
         if pending_rows > limit:
-            running = _merge_running(running, pd.concat(pending, ignore_index=True), k, id_col, key_col)
+            running = merge()
             pending, pending_rows = [], 0
     if pending:
-        running = _merge_running(running, pd.concat(pending, ignore_index=True), k, id_col, key_col)
+        running = merge()
     if running is None or running.empty:
         return
     out = running.copy()

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tenderlake.functions.filters import FilterSpec
 from tenderlake.functions.text import NO_EMBEDDING_MESSAGE, NOTICE_BASE_URL, NOT_FOUND_MESSAGE
 from tenderlake.operators.knn import top_k_similar
+from tenderlake.operators.knn_pruned import build_cells, pruned_top_k
 from tenderlake.operators.matching import (dedup_by_ocid, enrich, hit_ocids, match_tenders,
                                            resolve_profiles)
 from tenderlake.plans.oracle_views import cosine_sql, with_views
 from tenderlake.plans.registry import joined, query, r6
 from tenderlake.plans.sql_filters import sql_where, truncate_sql
+from tenderlake.session import checkpoint_dir
 from tenderlake.sources.stored import Views
 
 K = 10
@@ -135,6 +139,21 @@ def knn_topk_blocked(spark, sf_dir):
     return hits.select("profile_id", "rank", "doc_id", "ocid", r6("score").alias("score"))
 
 
+@query("knn_topk_pruned", with_views(["requests", "profiles", "chunks"], f"""
+SELECT profile_id, CAST(rank AS BIGINT) AS rank, doc_id, ocid, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, doc_id) AS rank FROM (
+    SELECT q.profile_id, c.doc_id, c.ocid, {cosine_sql('q.embedding', 'c.embedding')} AS score
+    FROM ready q CROSS JOIN chunks c WHERE c.embedding IS NOT NULL))
+WHERE rank <= {K}""", [("ready", _READY)]))
+def knn_topk_pruned(spark, sf_dir):
+    """Same result over cells of a pivot index, built here from the chunks; cells out of reach are not read."""
+    t = Views(spark, sf_dir)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tenderlake-cells-{uuid.uuid4().hex}"
+    cells = build_cells(t.chunks, path, through=["ocid"])
+    hits, _ = pruned_top_k(_ready_queries(t), cells, K, query_id="profile_id", through=["ocid"])
+    return hits.select("profile_id", "rank", "doc_id", "ocid", r6("score").alias("score"))
+
+
 @query("match_tenders", match_sql(mode="overfetch"), headline=True)
 def q_match_tenders(spark, sf_dir):
     return run_match(spark, sf_dir, mode="overfetch")

@@ -1,184 +1,86 @@
-"""Stored procurement tables.
-
-In production the releases, chunk index and profile table are stored
-tables.  Here they are derived from the driver's tables by
-``tenderlake.sources.procurement`` and written once, as parquet, into the
-shared folder named by ``spark.checkpoint.dir`` (never a machine-local
-folder on a cluster).  Queries then scan the stored copy: filters and column
-pruning reach the parquet reader, and the derivation's lineage is cut, so a
-lost executor re-reads files instead of recomputing the whole build.
-
-The location is keyed by the input folder, the input files' sizes and
-modification times, and a hash of the view code, so a change to either
-produces a fresh copy.  ``TENDERLAKE_STORED=0`` turns storing off (views are
-then planned from the driver tables on every call).
+"""The procurement views of one folder of driver tables.
+
+Releases, release metadata, chunks, profiles and lots are planned from the given tables on every access
+(``tenderlake.sources.procurement``).  ``prepare`` writes them once as Parquet, sorted within files by their key, into a
+folder that the caller names; ``use_prepared`` makes ``Views`` of those tables read that folder.  Benches and tests do so
+in their set-up; nothing in the library does it by itself.
 """
 
 from __future__ import annotations
 
-import hashlib
-import inspect
-import os
-import sys
-import threading
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.session import checkpoint_dir
 from tenderlake.sources import procurement as P
 from tenderlake.sources.tables import TABLE_NAMES, Tables
 
-# view -> (builder, sort columns within files); builders read the stored
-# views they depend on, so each derivation runs once (dict order = build order)
-def _lots(t: Tables) -> DataFrame:
-    return P.lots(t)
-
-
-def _releases(t: Tables) -> DataFrame:
-    return P.releases(t, lots_df=stored(t.spark, t.sf_dir, "lots"))
-
-
-def _meta(t: Tables) -> DataFrame:
-    return P.release_meta(t, lots_df=stored(t.spark, t.sf_dir, "lots"))
-
-
-def _chunks(t: Tables) -> DataFrame:
-    return P.chunks(t, lots_df=stored(t.spark, t.sf_dir, "lots"))
-
 
 def _chunk_hash_vectors(t: Tables) -> DataFrame:
     from tenderlake.operators.embed import MODEL_DIM, hash_embed
-    return hash_embed(stored(t.spark, t.sf_dir, "chunks").select("doc_id", "text"), "doc_id", "text", MODEL_DIM)
-
+    return hash_embed(P.chunks(t).select("doc_id", "text"), "doc_id", "text", MODEL_DIM)
 
-def _profiles(t: Tables) -> DataFrame:
-    return P.profiles(t)
 
-
-BUILDERS = {
-    "lots": (_lots, ["orderkey", "lot_num"]),
-    "releases": (_releases, ["ocid"]),
-    "release_meta": (_meta, ["date", "ocid"]),
-    "chunks": (_chunks, ["ocid", "doc_id"]),
+# view -> (its plan, sort columns within files)
+PLANS = {
+    "lots": (P.lots, ["orderkey", "lot_num"]),
+    "releases": (P.releases, ["ocid"]),
+    "release_meta": (P.release_meta, ["date", "ocid"]),
+    "chunks": (P.chunks, ["ocid", "doc_id"]),
     "chunk_hash_vectors": (_chunk_hash_vectors, ["doc_id"]),
-    "profiles": (_profiles, ["id"]),
+    "profiles": (P.profiles, ["id"]),
 }
+_PREPARED: dict[str, str] = {}
 
 
-def enabled() -> bool:
-    return os.environ.get("TENDERLAKE_STORED", "1") != "0"
-
-
-def _fs_status(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs, hpath
-
-
-def _stamp(spark: SparkSession, sf_dir: str) -> str:
-    """Input folder + size and modification time of every input (any Hadoop filesystem) + view code."""
-    h = hashlib.sha1((sf_dir.rstrip("/") + os.environ.get("TENDERLAKE_VIEW_SALT", "")).encode())
-    for name in TABLE_NAMES:
-        p = f"{sf_dir.rstrip('/')}/{name}.parquet"
-        fs, hp = _fs_status(spark, p)
-        if fs.exists(hp):
-            summary = fs.getContentSummary(hp)
-            mtime = max(int(st.getModificationTime()) for st in fs.listStatus(hp))
-            h.update(f"{name}:{summary.getLength()}:{summary.getFileCount()}:{mtime}".encode())
-        else:
-            h.update(f"{name}:missing".encode())
-    from tenderlake import schemas
-    from tenderlake.functions import filters, text, vectors
-    from tenderlake.operators import embed, metadata
-    from tenderlake.sources import tables
-    for module in (P, metadata, embed, schemas, filters, text, vectors, tables, sys.modules[__name__]):
-        h.update(inspect.getsource(module).encode())
-    return h.hexdigest()[:16]
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, hp = _fs_status(spark, path + "/_SUCCESS")
-    return fs.exists(hp)
-
-
-# the same views planned from the driver tables (TENDERLAKE_STORED=0)
-_PLANNED = {
-    "lots": P.lots,
-    "releases": P.releases,
-    "release_meta": P.release_meta,
-    "chunks": P.chunks,
-    "chunk_hash_vectors": lambda t: __import__("tenderlake.operators.embed", fromlist=["hash_embed"]).hash_embed(
-        P.chunks(t).select("doc_id", "text"), "doc_id", "text"),
-    "profiles": P.profiles,
-}
-_FRAMES: dict = {}
-_LOCKS: dict = {}
-
-
-def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The stored copy of view ``name`` for ``sf_dir`` (written on first use)."""
-    builder, sort_cols = BUILDERS[name]
-    if not enabled():
-        return _PLANNED[name](Tables(spark, sf_dir))
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tenderlake-views/{_stamp(spark, sf_dir)}/{name}"
-    key = (spark.sparkContext.applicationId, path)
-    if key in _FRAMES:
-        return _FRAMES[key]
-    with _LOCKS.setdefault(path, threading.Lock()):
-        if key not in _FRAMES:
-            if not _exists(spark, path):
-                _build(spark, builder(Tables(spark, sf_dir)), sort_cols, path)
-            _FRAMES[key] = spark.read.parquet(path)
-    return _FRAMES[key]
-
-
-def _build(spark: SparkSession, df: DataFrame, sort_cols, path: str) -> None:
-    """Write into a fresh folder, then rename it into place: readers never see a
-    half-written table, a failed job leaves nothing behind at ``path``, and of two
-    concurrent builders the first rename wins."""
-    tmp = f"{path}.tmp-{uuid.uuid4().hex}"
-    df.sortWithinPartitions(*sort_cols).write.parquet(tmp)
-    fs, src = _fs_status(spark, tmp)
-    _, dst = _fs_status(spark, path)
-    if not fs.exists(dst) and fs.rename(src, dst):
-        return
-    fs.delete(src, True)                      # another builder won; keep its copy
+def prepare(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Write every view of ``sf_dir`` into ``folder``."""
+    tables = Tables(spark, sf_dir)
+    for name, (plan, order) in PLANS.items():
+        plan(tables).sortWithinPartitions(*order).write.parquet(f"{folder.rstrip('/')}/{name}")
+
+
+def use_prepared(sf_dir: str, folder: str | None) -> None:
+    """Read the views of ``sf_dir`` from ``folder`` from now on; None: plan them again."""
+    if folder is None:
+        _PREPARED.pop(sf_dir.rstrip("/"), None)
+    else:
+        _PREPARED[sf_dir.rstrip("/")] = folder.rstrip("/")
 
 
 class Views:
-    """Attribute access to the procurement views of one folder (stored or planned)."""
+    """Attribute access to the procurement views of one folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.tables = Tables(spark, sf_dir)
 
+    def _view(self, name: str) -> DataFrame:
+        folder = _PREPARED.get(self.sf_dir.rstrip("/"))
+        return PLANS[name][0](self.tables) if folder is None else self.spark.read.parquet(f"{folder}/{name}")
+
     @property
     def releases(self) -> DataFrame:
-        return stored(self.spark, self.sf_dir, "releases")
+        return self._view("releases")
 
     @property
     def meta(self) -> DataFrame:
-        return stored(self.spark, self.sf_dir, "release_meta")
+        return self._view("release_meta")
 
     @property
     def chunks(self) -> DataFrame:
-        return stored(self.spark, self.sf_dir, "chunks")
+        return self._view("chunks")
 
     @property
     def chunk_hash_vectors(self) -> DataFrame:
-        return stored(self.spark, self.sf_dir, "chunk_hash_vectors")
+        return self._view("chunk_hash_vectors")
 
     @property
     def profiles(self) -> DataFrame:
-        return stored(self.spark, self.sf_dir, "profiles")
+        return self._view("profiles")
 
     @property
     def lots(self) -> DataFrame:
-        return stored(self.spark, self.sf_dir, "lots")
+        return self._view("lots")
 
     @property
     def requests(self) -> DataFrame:
