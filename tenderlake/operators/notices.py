@@ -58,6 +58,59 @@ def merge_notices(notices: DataFrame) -> DataFrame:
     return notices.groupBy(KEY).agg(*merge_aggregates(notices.schema))
 
 
+def _leaves(fields, path: str = "") -> list[tuple[str, T.DataType]]:
+    """Paths and types of all fields that are not structs, outside the key, phase and order columns."""
+    out: list[tuple[str, T.DataType]] = []
+    for f in fields:
+        here = f"{path}.`{f.name}`" if path else f"`{f.name}`"
+        if not path and f.name in (KEY, PHASE, *ORDER):
+            continue
+        out += _leaves(f.dataType.fields, here) if isinstance(f.dataType, T.StructType) else [(here, f.dataType)]
+    return out
+
+
+def notice_state(notices: DataFrame) -> DataFrame:
+    """Partial merge of some notices: ``ocid, tag, n_notices, first_ts, last_ts`` and, for the k-th leaf field, ``v<k>``, its latest
+    present value with the (ts, notice_id) that it came with."""
+    aggs = []
+    for k, (path, kind) in enumerate(_leaves(notices.schema.fields)):
+        here = F.struct(*ORDER, F.col(path).alias("value"))
+        aggs.append(F.max_by(here, F.when(_present(path, kind), F.struct(*ORDER))).alias(f"v{k}"))
+    return notices.groupBy(KEY).agg(F.array_sort(F.collect_set(PHASE)).alias("tag"), F.count(F.lit(1)).alias("n_notices"),
+                                    F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), *aggs)
+
+
+def merge_states(state: DataFrame, more: DataFrame) -> DataFrame:
+    """Two partial merges as one; associative and commutative, so days can come in any order and grouping.
+
+    Notices must not be in both: they would count twice in ``n_notices`` (values and times would stay right)."""
+    values = [c for c in state.columns if c[:1] == "v" and c[1:].isdigit()]
+    known = [F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(F.col(f"{v}.ts"), F.col(f"{v}.notice_id")))).alias(v) for v in values]
+    return state.unionByName(more).groupBy(KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tag")))).alias("tag"),
+                                                    F.sum("n_notices").alias("n_notices"), F.min("first_ts").alias("first_ts"),
+                                                    F.max("last_ts").alias("last_ts"), *known)
+
+
+def _rebuilt(fields, count, top: bool = True) -> list[Column]:
+    out = []
+    for f in fields:
+        if top and f.name in (KEY, PHASE, *ORDER):
+            continue
+        if isinstance(f.dataType, T.StructType):
+            parts = _rebuilt(f.dataType.fields, count, top=False)
+            some = functools.reduce(lambda a, b: a | b, [p.isNotNull() for p in parts])
+            out.append(F.when(some, F.struct(*parts)).alias(f.name))
+        else:
+            out.append(F.col(f"v{next(count)}.value").alias(f.name))
+    return out
+
+
+def finish_state(state: DataFrame, schema: T.StructType | None = None) -> DataFrame:
+    """The releases of a merged state, in the columns of ``merge_notices`` (``schema``: that of the notices)."""
+    import itertools
+    return state.select(KEY, "tag", *_rebuilt((schema or S.NOTICE).fields, itertools.count()), "n_notices", "first_ts", "last_ts")
+
+
 def lifecycle_state(tag: Column, status: Column) -> Column:
     """``open``: tender without award and status active; ``closed``: tender and award (H8)."""
     has_tender = F.array_contains(tag, F.lit("tender"))

@@ -99,6 +99,51 @@ def write_snapshot(df: DataFrame, base: str, version: int) -> str:
     return path
 
 
+# ---------------------------------------------------------------- bucketed table
+
+BUCKETS = 256
+
+
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+
+
+def write_buckets(df: DataFrame, base: str, buckets: int = BUCKETS) -> None:
+    """Write a profile table in ``buckets`` folders by hash of the id (A7), for changes that rewrite few of them.
+
+    Each folder also holds one row without an id, so that a bucket whose last profile goes is rewritten as well."""
+    rows = conform(df).withColumn("bucket", _bucket(buckets))
+    empty = df.sparkSession.range(buckets).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in conform(df).schema.fields],
+                                                  F.col("id").cast("int").alias("bucket"))
+    (rows.unionByName(empty).repartition("bucket").sortWithinPartitions("bucket", "id")
+     .write.mode("errorifexists").partitionBy("bucket").parquet(base))
+
+
+def read_buckets(spark: SparkSession, base: str) -> DataFrame:
+    """The profiles of a bucketed table, with their ``bucket``."""
+    return spark.read.parquet(base).filter(F.col("id").isNotNull())
+
+
+def change_buckets(spark: SparkSession, base: str, batch: DataFrame, change, buckets: int = BUCKETS) -> tuple[DataFrame, list[int]]:
+    """Apply ``change(snapshot, batch) -> (next, status)`` (K1-K3) to the buckets that the batch's ids fall into.
+
+    Only those folders are read and rewritten (``partitionOverwriteMode=dynamic``); the others stay as they are.  Returns the status
+    rows and the rewritten buckets.  ``batch`` needs ids; give new profiles theirs first.  The next rows are written to the shared
+    folder before a bucket is replaced, so a failed change leaves the table as it was or can be run again."""
+    kept = write_once(batch, "profile-batch")
+    touched = sorted(r["b"] for r in kept.filter(F.col("id").isNotNull()).select(_bucket(buckets).alias("b")).distinct().collect())   # at most ``buckets``
+    snapshot = read_buckets(spark, base).filter(F.col("bucket").isin(touched) if touched else F.lit(False)).drop("bucket")
+    nxt, status = change(snapshot, kept)
+    status = write_once(status, "profile-status")
+    rows = write_once(conform(nxt).withColumn("bucket", _bucket(buckets)), "profile-buckets")
+    if touched:
+        marks = spark.createDataFrame([(b,) for b in touched], "bucket int")
+        marks = marks.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields if f.name != "bucket"], "bucket")
+        (rows.unionByName(marks).repartition("bucket").sortWithinPartitions("bucket", "id")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(base))
+    return status, touched
+
+
 # ---------------------------------------------------------------- operations
 
 def create_profiles(snapshot: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:

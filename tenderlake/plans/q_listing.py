@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from tenderlake.functions.filters import FilterSpec
 from tenderlake.operators.listing import count_releases, get_releases, index_info, list_releases, summaries
 from tenderlake.operators.metadata import release_metadata
+from tenderlake.operators.paging import list_releases_located
+from tenderlake.operators.postings import filter_with_postings, read_postings, write_postings
 from tenderlake.plans.oracle_views import with_views
 from tenderlake.plans.registry import joined, query, r6
 from tenderlake.plans.sql_filters import sql_where
+from tenderlake.session import scratch_path
 from tenderlake.sources.stored import Views
 
 LIST_VIEWS = ["releases", "release_nuts", "party_nuts", "release_cpvs"]
@@ -79,12 +82,42 @@ def list_releases_deep_offset(spark, sf_dir):
     return _present(list_releases(_meta(spark, sf_dir), FilterSpec(), limit=50, offset=12000))
 
 
+@query("list_releases_located", with_views(LIST_VIEWS, f"""
+SELECT {SUMMARY_SQL} FROM releases r ORDER BY r.date DESC, r.ocid LIMIT 50 OFFSET 12000"""))
+def list_releases_located_page(spark, sf_dir):
+    """The same page, found by counts: only the dates that it touches are sorted."""
+    return _present(list_releases_located(_meta(spark, sf_dir), FilterSpec(), limit=50, offset=12000))
+
+
 @query("list_releases_total", with_views(LIST_VIEWS, f"""
 SELECT count(*) AS total FROM releases r WHERE {sql_where(PAGE_FILTER, c=None)}"""))
 def list_releases_total(spark, sf_dir):
     return count_releases(_meta(spark, sf_dir), PAGE_FILTER)
 
 
+POSTING_CASES = {
+    "posting_cpv_prefix": FilterSpec(cpv_prefix="45"),
+    "posting_location_nuts": FilterSpec(location_nuts="DE3"),
+    "posting_nuts_code": FilterSpec(nuts_code="DE2"),
+    "posting_buyer_name": FilterSpec(buyer_name="CUSTOMER#0000000"),
+    "posting_buyer_short": FilterSpec(buyer_name="#0"),
+    "posting_conjunction": FilterSpec(cpv_prefix="45", location_nuts="DE", buyer_name="customer#00000", status="active", value_min=100000.0),
+}
+
+
+def _register_posting(name: str, f: FilterSpec):
+    @query(name, _full_listing_sql(f))
+    def fn(spark, sf_dir):
+        meta, path = _meta(spark, sf_dir), scratch_path(spark, "postings")
+        write_postings(meta, path)
+        return _present(summaries(filter_with_postings(meta, read_postings(spark, path), f)))
+    fn.__name__ = name
+
+
+for _n, _f in POSTING_CASES.items():
+    _register_posting(_n, _f)
+
+
 KEYSET_AFTER = ("1998-01-01T00:00:00Z", "ocds-5")
 
 

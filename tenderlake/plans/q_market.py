@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tenderlake.functions.filters import FilterSpec
 from tenderlake.operators import market as M
+from tenderlake.operators.distinct_counts import cpv_rollup_bitmaps
 from tenderlake.plans.oracle_views import with_views
 from tenderlake.plans.q_match import match_ctes
 from tenderlake.plans.registry import query, r6
@@ -48,18 +49,30 @@ def q_likely_winner(spark, sf_dir):
     return M.likely_winner(_rel(spark, sf_dir))
 
 
-@query("cpv_rollup", with_views(["releases", "lots"], """
+_ROLLUP_SQL = with_views(["releases", "lots"], """
 SELECT CAST(GROUPING(d2, d4, d5, d8) AS BIGINT) AS gid, d2, d4, d5, d8, count(*) AS n_items,
        count(DISTINCT ocid) AS n_releases, round(sum(amount), 2) AS value
 FROM (SELECT r.ocid, substr(l.cpv, 1, 2) AS d2, substr(l.cpv, 1, 4) AS d4, substr(l.cpv, 1, 5) AS d5,
              substr(l.cpv, 1, 8) AS d8, l.amount
       FROM releases r JOIN lots l ON l.orderkey = r.orderkey WHERE l.cpv IS NOT NULL)
-GROUP BY ROLLUP (d2, d4, d5, d8)"""))
-def q_cpv_rollup(spark, sf_dir):
-    c = M.cpv_rollup(_rel(spark, sf_dir))
+GROUP BY ROLLUP (d2, d4, d5, d8)""")
+
+
+def _present_rollup(c):
     return c.select("gid", "d2", "d4", "d5", "d8", "n_items", "n_releases", r2("value").alias("value"))
 
 
+@query("cpv_rollup", _ROLLUP_SQL)
+def q_cpv_rollup(spark, sf_dir):
+    return _present_rollup(M.cpv_rollup(_rel(spark, sf_dir)))
+
+
+@query("cpv_rollup_bitmaps", _ROLLUP_SQL)
+def q_cpv_rollup_bitmaps(spark, sf_dir):
+    """The same roll-up by mergeable bitmaps of dense release numbers."""
+    return _present_rollup(cpv_rollup_bitmaps(_rel(spark, sf_dir)))
+
+
 @query("method_competition", with_views(["releases", "lots"], """
 SELECT procurement_method, count(*) AS n_releases,
        round(avg(CASE WHEN order_status = 'F' THEN coalesce(s.n, 0) ELSE n_tenderers END), 6) AS avg_bids,

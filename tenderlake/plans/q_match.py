@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tenderlake.functions.filters import FilterSpec
@@ -15,7 +13,7 @@ from tenderlake.operators.matching import (dedup_by_ocid, enrich, hit_ocids, mat
 from tenderlake.plans.oracle_views import cosine_sql, with_views
 from tenderlake.plans.registry import joined, query, r6
 from tenderlake.plans.sql_filters import sql_where, truncate_sql
-from tenderlake.session import checkpoint_dir
+from tenderlake.session import scratch_path
 from tenderlake.sources.stored import Views
 
 K = 10
@@ -148,8 +146,7 @@ WHERE rank <= {K}""", [("ready", _READY)]))
 def knn_topk_pruned(spark, sf_dir):
     """Same result over cells of a pivot index, built here from the chunks; cells out of reach are not read."""
     t = Views(spark, sf_dir)
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tenderlake-cells-{uuid.uuid4().hex}"
-    cells = build_cells(t.chunks, path, through=["ocid"])
+    cells = build_cells(t.chunks, scratch_path(spark, "cells"), through=["ocid"])
     hits, _ = pruned_top_k(_ready_queries(t), cells, K, query_id="profile_id", through=["ocid"])
     return hits.select("profile_id", "rank", "doc_id", "ocid", r6("score").alias("score"))
 

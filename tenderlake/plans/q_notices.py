@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tenderlake.operators.notices import daily_phase_counts, lifecycle_state, merge_notices
+from tenderlake.operators.notices import (daily_phase_counts, finish_state, lifecycle_state, merge_notices, merge_states,
+                                          notice_state)
 from tenderlake.plans.oracle_views import with_views
 from tenderlake.plans.registry import query, r6
+from tenderlake.session import write_once
 from tenderlake.sources import procurement as P
 
 TS_FMT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
@@ -38,6 +40,23 @@ def notice_merge(spark, sf_dir):
     return present_merged(merge_notices(P.notices(spark, sf_dir)))
 
 
+@query("notice_merge_incremental", with_views(["notices"], f"""
+SELECT ocid, array_to_string(list_sort(tag), ',') AS tag, status, description,
+       round(award_value, 6) AS award_value, n_notices,
+       strftime(first_ts, {TS_SQL}) AS first_ts, strftime(last_ts, {TS_SQL}) AS last_ts
+FROM merged""", [("merged", _MERGED_SQL)]))
+def notice_merge_incremental(spark, sf_dir):
+    """The same releases from stored partial merges: a state of the earlier months, to which each later month's is added."""
+    n = P.notices(spark, sf_dir)
+    month = F.date_format("ts", "yyyy-MM")
+    months = sorted(r["m"] for r in n.select(month.alias("m")).distinct().collect())        # the months of the input
+    state = None
+    for later in (months[:-2], months[-2:-1], months[-1:]):
+        part = notice_state(n.filter(month.isin(later) if later else F.lit(False)))
+        state = write_once(part if state is None else merge_states(state, part), "notice-state")
+    return present_merged(finish_state(state))
+
+
 @query("notice_merge_nested", with_views(["notices"], """
 SELECT ocid, status, description, round(award_value, 6) AS award_value,
        (SELECT count(*) FROM notices x WHERE x.ocid = m.ocid AND x.award_value IS NOT NULL) > 0 AS has_award

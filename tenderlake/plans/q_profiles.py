@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 from tenderlake.operators import profiles as K
 from tenderlake.plans.oracle_views import with_views
-from tenderlake.plans.registry import iso, joined, query
+from tenderlake.plans.registry import ORACLE, iso, joined, query
+from tenderlake.session import scratch_path
 from tenderlake.sources.stored import Views
 
 STRINGS = T.ArrayType(T.StringType())
@@ -135,6 +136,16 @@ def profile_update(spark, sf_dir):
     return _present(nxt)
 
 
+@query("profile_update_bucketed", ORACLE["profile_update"])
+def profile_update_bucketed(spark, sf_dir):
+    """The same changes on a bucketed table: only the buckets of the changed ids are rewritten."""
+    t = Views(spark, sf_dir)
+    base = scratch_path(spark, "profile-buckets")
+    K.write_buckets(_snapshot(t), base, buckets=16)
+    K.change_buckets(spark, base, _changes(t), K.update_profiles, buckets=16)
+    return _present(K.read_buckets(spark, base))
+
+
 @query("profile_update_status", with_views(["profiles"], """
 SELECT c.id, p.id IS NOT NULL AS updated, (p.id IS NOT NULL AND c.c = 1) AS needs_embedding
 FROM chg c LEFT JOIN profiles p ON p.id = c.id""", _UPD_CTE))

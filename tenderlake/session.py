@@ -59,11 +59,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder name in the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/tenderlake-{name}-{uuid.uuid4().hex}"
+
+
 def write_once(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     What is read twice is computed once, a lost executor re-reads files, and the planner knows the
     size of the result, so it chooses between broadcast and shuffle by bytes."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tenderlake-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,9 +13,9 @@ def spark():
     from tenderlake.session import get_session
     s = get_session(master="local[4]", shuffle_partitions=4, app_name="tenderlake-tests")
     # the derived tables of the small folder once for all tests; test_oracle plans some queries without them
-    from tenderlake.session import checkpoint_dir
+    from tenderlake.session import scratch_path
     from tenderlake.sources.stored import prepare, use_prepared
-    folder = f"{checkpoint_dir(s).rstrip('/')}/test-views"
+    folder = scratch_path(s, "test-views")
     prepare(s, SF_SMALL, folder)
     use_prepared(SF_SMALL, folder)
     yield s
