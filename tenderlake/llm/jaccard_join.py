@@ -22,7 +22,8 @@ Set relations skip work in the index lists (one list a shingle):
   the distance between the two), and only what remains is compared.
 
 So a list of m near copies gives about m pairs, not m * m / 2.  Lists over ``BLOCK`` entries are cut into
-blocks and every two blocks meet in a group of their own, so no list is gathered whole.  Of copies
+blocks: leaders are found block by block, then entries outside the list's largest class visit all its blocks, so no list is
+gathered whole and its rows grow with its length.  Of copies
 one row enters the index (a bitmap of fixed size tells which), joins on a frequent key are salted, components are found in Spark.
 
 Cases: a text with fewer words than a shingle has its whole sequence as one shingle; a null, empty
@@ -53,6 +54,7 @@ CROWDED = 4                      # prefixes that a shingle may be in before it g
 COUNT_SHINGLES = 2_000_000
 SHORT = 32                       # lists up to this many entries give their pairs at once
 BLOCK = 4096
+MINOR = 32_768                   # entries outside a list's largest class that may go to all its blocks
 LONG_BYTES = 2048                # at most, of a bitmap that travels with an entry of a long list
 LONG_BITS = 8                    # bits a shingle of such a bitmap
 BITS = 26                        # log2 of the bits of each bitmap handed to the scans: 8 MB whatever the input
@@ -243,9 +245,9 @@ def _could_link(n1, p1, n2, p2):
 class _List:
     """Entries of one list, sorted by size, with their bitmaps by number of buckets."""
 
-    def __init__(self, key, n, pos, bits, tag, block):
+    def __init__(self, key, n, pos, bits, tag, block, minor):
         order = np.lexsort((key, n))
-        self.key, self.n, self.pos, self.tag, self.block = key[order], n[order], pos[order], tag[order], block[order]
+        self.key, self.n, self.pos, self.tag, self.block, self.minor = (x[order] for x in (key, n, pos, tag, block, minor))
         raw = [bits[k] for k in order.tolist()]
         self.width = np.array([len(b) for b in raw])
         self.begin = {int(w): int(np.searchsorted(self.width, w)) for w in np.unique(self.width)}      # sizes ascend, so do widths
@@ -289,7 +291,7 @@ def _leader_pairs(one: _List) -> list[tuple[int, int]]:
     return pairs
 
 
-def _class_pairs(one: _List, two_blocks: bool, nearest: int) -> list[tuple[int, int]]:
+def _class_pairs(one: _List, two_blocks: bool, group: int, nearest: int) -> list[tuple[int, int]]:
     """Pairs that may link across classes (``tag``), deriving answers from the last set answered in the class.
 
     ``nearest``: only so many partners a set, the nearest ones; 0: all.
@@ -301,6 +303,8 @@ def _class_pairs(one: _List, two_blocks: bool, nearest: int) -> list[tuple[int,
         others = others[(one.tag[others] != one.tag[k]) & _could_link(one.n[k], one.pos[k], one.n[others], one.pos[others])]
         if two_blocks:
             others = others[one.block[others] != one.block[k]]
+        elif one.minor[k]:                                     # two entries that are in all blocks meet in one of them
+            others = others[~one.minor[others] | (np.minimum(one.block[others], one.block[k]) == group)]
         if not len(others):
             continue
         r, seen, far = known.get(int(one.tag[k]), (-1, None, None))
@@ -386,27 +390,28 @@ def short_pairs(index: DataFrame, bits: DataFrame) -> DataFrame:
 def long_pairs(index: DataFrame, classes: bool, nearest: int = 0) -> DataFrame:
     """``a, b`` from long lists: leader pairs, or (``classes``) what may link across classes ``tag``.
 
-    ``index``: ``token, i, j, block, key, n, pos, bits, tag``; a list, or two blocks of it, is (token, i, j).
+    ``index``: ``token, i, j, block, key, n, pos, bits, tag, minor``; a list, a block or two blocks of it are (token, i, j).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("jaccard")
         for table in _lists(batches, ("token", "i", "j")):
             token, i, j, block, key, n, pos, tag = [table.column(c).to_numpy() for c in ("token", "i", "j", "block", "key", "n", "pos", "tag")]
+            minor = np.asarray(table.column("minor").to_pandas(), bool)
             bits = table.column("bits").to_pylist()
             n, pos = n.astype(np.int64), pos.astype(np.int64)
             start = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
             a, b = [], []
             for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(token)]):
                 part = slice(lo, hi)
-                one = _List(key[part], n[part], pos[part], bits[part], tag[part], block[part])
-                for x, y in _class_pairs(one, i[lo] != j[lo], nearest) if classes else _leader_pairs(one):
+                one = _List(key[part], n[part], pos[part], bits[part], tag[part], block[part], minor[part])
+                for x, y in _class_pairs(one, i[lo] != j[lo], int(i[lo]), nearest) if classes else _leader_pairs(one):
                     a.append(one.key[x])
                     b.append(one.key[y])
             yield _pair_batch(np.array(a, np.int64), np.array(b, np.int64))
 
     return (index.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-            .select("token", "i", "j", "block", "key", "n", "pos", "bits", "tag").mapInArrow(run, "a bigint, b bigint").filter("a <> b").distinct())
+            .select("token", "i", "j", "block", "key", "n", "pos", "bits", "tag", "minor").mapInArrow(run, "a bigint, b bigint").filter("a <> b").distinct())
 
 
 def check_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -429,13 +434,40 @@ def check_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return second.select("a", "b", "_x", "_y").mapInArrow(run, "a bigint, b bigint")
 
 
-def _blocks(index: DataFrame, counts: DataFrame) -> DataFrame:
-    """Cut long lists: entry of block b of m goes to the groups (min(b, k), max(b, k)) for k < m."""
-    big = counts.filter(F.col("entries") > BLOCK).select(F.col("token").alias("_t"), F.ceil(F.col("entries") / BLOCK).cast("int").alias("_m"))
-    block = F.when(F.col("_m").isNull(), F.lit(0)).otherwise(F.pmod("key", F.col("_m")).cast("int"))
-    marked = index.join(big, F.col("token") == F.col("_t"), "left").withColumn("block", block)
-    spread = marked.withColumn("_k", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_m") - 1, F.lit(0)))))
-    return (spread.withColumn("i", F.least("block", "_k")).withColumn("j", F.greatest("block", "_k")).drop("_t", "_m", "_k"))
+def _cut(index: DataFrame, lists: DataFrame) -> DataFrame:
+    """Add ``block`` and ``_m``: lists over ``BLOCK`` entries are cut into ``_m`` blocks, each list in a way of its own."""
+    big = lists.filter(F.col("entries") > BLOCK).select(F.col("token").alias("_t"), F.ceil(F.col("entries") / BLOCK).cast("int").alias("_m"))
+    marked = index.join(big, F.col("token") == F.col("_t"), "left").drop("_t")
+    return marked.withColumn("block", F.when(F.col("_m").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("token", "key"), F.col("_m")).cast("int")))
+
+
+def _leader_blocks(index: DataFrame, lists: DataFrame) -> DataFrame:
+    """One group for each block of a list: near copies gather around leaders block by block, and meet through their other lists."""
+    return (_cut(index, lists).withColumn("i", F.col("block")).withColumn("j", F.col("block")).withColumn("tag", F.lit(0).cast("bigint"))
+            .withColumn("minor", F.lit(False)).drop("_m"))
+
+
+def _class_blocks(tagged: DataFrame, lists: DataFrame) -> DataFrame:
+    """Groups in which every two entries of different classes of a list meet once; lists of one class have none.
+
+    Entries of a list's largest class stay in their block, the few others go to all blocks of the list, so the rows
+    grow with the list and not with its square.  Only a list whose other classes hold more than ``MINOR`` entries
+    has every two blocks meet in a group of their own.
+    """
+    tagged = stage_table(tagged, "jaccard-tagged")
+    sizes = tagged.groupBy("token", "tag").agg(F.count("*").alias("_n")).groupBy("token").agg(
+        F.max_by(F.struct("tag", "_n"), F.struct("_n", "tag")).alias("_most"), F.sum("_n").alias("_all"))
+    several = stage_table(sizes.filter(F.col("_most._n") < F.col("_all")).select(
+        F.col("token").alias("_st"), F.col("_most.tag").alias("_major"), (F.col("_all") - F.col("_most._n") <= MINOR).alias("_few")), "jaccard-several")
+    held = _cut(tagged, lists).join(several, F.col("token") == F.col("_st"))
+    cut = F.col("_m").isNotNull()
+    minor = cut & F.col("_few") & (F.col("tag") != F.col("_major"))
+    every = F.sequence(F.lit(0), F.col("_m") - 1)
+    meets = F.when(~cut | (F.col("_few") & ~minor), F.array(F.col("block"))).otherwise(every)
+    spread = held.withColumn("minor", minor).withColumn("_k", F.explode(meets))
+    pairs = cut & ~F.col("_few")
+    return (spread.withColumn("i", F.when(pairs, F.least("block", "_k")).otherwise(F.col("_k")))
+            .withColumn("j", F.when(pairs, F.greatest("block", "_k")).otherwise(F.col("_k"))).drop("_m", "_k", "_st", "_major", "_few"))
 
 
 def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -495,15 +527,15 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         members = stage_table(members, "jaccard-members")
         wide = fetch(members, long_bits=True).select("key", F.col("set").alias("bits"))
         members = stage_table(spread_join(members, wide.dropDuplicates(["key"]), "key", F.col("token")), "jaccard-long")
-        pairs = pairs.unionByName(long_pairs(_blocks(members.withColumn("tag", F.lit(0).cast("bigint")), long), classes=False)).distinct()
+        pairs = pairs.unionByName(long_pairs(_leader_blocks(members, long), classes=False)).distinct()
     pairs = stage_table(pairs, "jaccard-pairs")
     links = stage_table(check_pairs(pairs, fetch(both(pairs))), "jaccard-links")
     classes = stage_table(connected_components(links), "jaccard-classes")
 
     def across(nearest: int) -> DataFrame:
         tags = classes.select(F.col("node").alias("key"), F.col("component").alias("tag"))
-        tagged = salted_join(members, tags, ["key"], F.col("token"), "left", salts=4).withColumn("tag", F.coalesce("tag", "key"))
-        return stage_table(long_pairs(_blocks(tagged, long), True, nearest).join(pairs, ["a", "b"], "left_anti"), "jaccard-across")
+        tagged = salted_join(members, tags, ["key"], F.col("token"), "left").withColumn("tag", F.coalesce("tag", "key"))
+        return stage_table(long_pairs(_class_blocks(tagged, long), True, nearest).join(pairs, ["a", "b"], "left_anti"), "jaccard-across")
 
     for round_ in range(ROUNDS + 1) if has_long else ():      # nearest classes first, then whatever remains
         more = across(NEAREST if round_ < ROUNDS else 0)
@@ -529,7 +561,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs`` with one document of each class (the smallest id; of equal ids the smallest row hash) left."""
     found = linked_classes(docs, id_col, text_col)
     stays = found.filter("_class IS NOT NULL").groupBy("_class").agg(
-        F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_row"))).alias("_best")).select(F.col("_best._row").alias("_r"))
-    stays = stays.unionByName(found.filter("_class IS NULL").select(F.col("_row").alias("_r"))).distinct()
+        F.min(F.struct(F.col(id_col).isNull().alias("_none"), F.col(id_col).alias("_i"), F.col("_row").alias("_r"))).alias("_best")).select("_best._r", "_best._i")
+    stays = stays.unionByName(found.filter("_class IS NULL").select(F.col("_row").alias("_r"), F.col(id_col).alias("_i"))).distinct()
     whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), _row_key(id_col, text_col).alias("_row"))
-    return whole.join(stays, F.col("_row") == F.col("_r"), "left_semi").select("_doc.*")
+    same = (F.col("_row") == F.col("_r")) & F.col(f"_doc.{id_col}").cast("bigint").eqNullSafe(F.col("_i"))
+    return whole.join(stays, same, "left_semi").select("_doc.*")

@@ -107,8 +107,9 @@ def _near(n=90, seed=11):
     return rows + [(5000, rows[3][1].upper()), (1, "a b"), (2, "A  b"), (3, "a b c"), (4, None), (6, "")]
 
 
-@pytest.mark.parametrize("short,block,frequent", [(32, 4096, 100), (2, 8, 4), (1, 3, 10 ** 6)])
-def test_classes_equal_brute_force(spark, monkeypatch, short, block, frequent):
+@pytest.mark.parametrize("short,block,frequent,minor", [(32, 4096, 100, 100), (2, 8, 4, 1000), (1, 3, 10 ** 6, 1000), (1, 3, 10 ** 6, 0)])
+def test_classes_equal_brute_force(spark, monkeypatch, short, block, frequent, minor):
+    monkeypatch.setattr(jaccard_join, "MINOR", minor)
     monkeypatch.setattr(jaccard_join, "SHORT", short)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
@@ -118,6 +119,27 @@ def test_classes_equal_brute_force(spark, monkeypatch, short, block, frequent):
     assert collections.Counter(map(tuple, got)) == brute_classes(rows)
 
 
+def test_rows_of_a_long_list_grow_with_its_length(spark, monkeypatch):
+    """A list of one large class and a few others: every two entries of different classes meet once, in few rows."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 10)
+    rows = [(7, k, 0 if k >= 5 else k + 1) for k in range(400)] + [(8, k, 3) for k in range(100)]
+    tagged = spark.createDataFrame(rows, "token long, key long, tag long")
+    lists = spark.createDataFrame([(7, 400), (8, 100)], "token long, entries long")
+    got = jaccard_join._class_blocks(tagged, lists).collect()
+    assert {r["token"] for r in got} == {7} and len(got) == 395 + 5 * 40 and jaccard_join._leader_blocks(tagged, lists).count() == 500
+    groups = collections.defaultdict(list)
+    for r in got:
+        assert r["i"] == r["j"]
+        groups[r["i"]].append(r)
+    met = collections.Counter()
+    for g, some in groups.items():
+        for x in some:
+            for y in some:
+                if x["key"] < y["key"] and x["tag"] != y["tag"] and not (x["minor"] and y["minor"] and min(x["block"], y["block"]) != g):
+                    met[(x["key"], y["key"])] += 1
+    assert met == collections.Counter({(a, b): 1 for a in range(5) for b in range(a + 1, 400)})
+
+
 def test_op9_query_and_edge_cases(spark, small_rows, edge, edge_rows, nothing):
     got = collections.Counter(map(tuple, LLM_QUERIES["op9_jaccard_join"](spark, SF).collect()))
     assert got == brute_classes(small_rows)
