@@ -13,7 +13,7 @@ from tenderlake.operators.matching import (dedup_by_ocid, enrich, hit_ocids, mat
 from tenderlake.plans.oracle_views import cosine_sql, with_views
 from tenderlake.plans.registry import joined, query, r6
 from tenderlake.plans.sql_filters import sql_where, truncate_sql
-from tenderlake.session import scratch_path
+from tenderlake.session import scratch_path, write_once
 from tenderlake.sources.stored import Views
 
 K = 10
@@ -261,3 +261,16 @@ def q_match_profile_hints(spark, sf_dir):
 @query("match_profile_hints_overfetch", match_sql(FilterSpec(status="complete"), mode="overfetch", hints=True))
 def q_match_profile_hints_overfetch(spark, sf_dir):
     return run_match(spark, sf_dir, FilterSpec(status="complete"), mode="overfetch", hints=True)
+
+
+@query("alert_lists_running", with_views(*match_ctes()[:1], "SELECT profile_id, CAST(rank AS BIGINT) AS rank, doc_id, ocid, round(score, 6) AS score "
+                                         f"FROM ranked WHERE rank <= {K}", match_ctes()[1]))
+def alert_lists_running(spark, sf_dir):
+    """Lists kept over three batches of chunks equal the lists of all chunks at once."""
+    from tenderlake.streaming.alerts import running_step
+    t = Views(spark, sf_dir)
+    profiles, meta, lists = write_once(t.profiles, "profiles"), t.meta, None
+    chunks = write_once(t.chunks, "chunks").withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(3)))
+    for k in range(3):
+        lists, _ = running_step(lists, chunks.filter(F.col("_part") == k).drop("_part"), profiles, meta, k=K)
+    return lists.select("profile_id", "rank", "doc_id", "ocid", r6("score").alias("score"))

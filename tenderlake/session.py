@@ -6,6 +6,9 @@ its settings.  ``get_session`` is for tests, benches and local runs.
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+import itertools
 import os
 import re
 import tempfile
@@ -59,8 +62,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+_SCOPE: contextvars.ContextVar = contextvars.ContextVar("tenderlake_scratch", default=None)
+
+
+@contextlib.contextmanager
+def scratch_scope(folder: str):
+    """Within it, what ``write_once`` writes goes to numbered names under ``folder``, in the order of the calls.
+
+    A job that does the same steps again and again (a micro-batch) uses the same names each time and overwrites
+    them, so its scratch tables do not pile up."""
+    token = _SCOPE.set((folder.rstrip("/"), itertools.count()))
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name in the shared folder."""
+    """A fresh folder name in the shared folder, or the next one of a scratch scope."""
+    scope = _SCOPE.get()
+    if scope is not None:
+        return f"{scope[0]}/{next(scope[1])}-{name}"
     return f"{checkpoint_dir(spark).rstrip('/')}/tenderlake-{name}-{uuid.uuid4().hex}"
 
 
@@ -70,5 +92,5 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
     What is read twice is computed once, a lost executor re-reads files, and the planner knows the
     size of the result, so it chooses between broadcast and shuffle by bytes."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.mode("errorifexists" if _SCOPE.get() is None else "overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

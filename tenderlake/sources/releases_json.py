@@ -59,3 +59,21 @@ def parse_releases(lines: DataFrame, json_col: str = "value") -> DataFrame:
 def read_releases(spark: SparkSession, path: str) -> DataFrame:
     """Read JSON-lines releases with the release schema; malformed lines are left out."""
     return parse_releases(spark.read.text(path))
+
+
+def parse_with_rejects(lines: DataFrame, json_col: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(releases, rejects): what ``parse_releases`` leaves out comes back as ``value, reason``.
+
+    Reasons: ``empty`` (null or blank), ``not json``, ``not an object``, ``no ocid`` (such a release is in both frames: it has content,
+    but no lookup can find it).  So "missing" and "broken" can be told apart, and nothing is dropped without a trace."""
+    text = F.col(json_col)
+    kind = F.schema_of_variant(F.try_parse_json(text))
+    ocid = F.get_json_object(text, "$.ocid")
+    reason = (F.when(text.isNull() | (F.trim(text) == ""), F.lit("empty")).when(kind.isNull(), F.lit("not json"))
+              .when(~kind.startswith("OBJECT"), F.lit("not an object")).when(ocid.isNull() | (ocid == ""), F.lit("no ocid")))
+    return parse_releases(lines, json_col), lines.select(text.alias("value"), reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
+def read_with_rejects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``parse_with_rejects`` of the lines of JSON files."""
+    return parse_with_rejects(spark.read.text(path))
