@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tenderlake.functions.filters import FilterSpec
+from tenderlake.operators.copartition import lookup, write_copartitioned
 from tenderlake.operators.listing import count_releases, get_releases, index_info, list_releases, summaries
 from tenderlake.operators.metadata import release_metadata
 from tenderlake.operators.paging import list_releases_located
 from tenderlake.operators.postings import filter_with_postings, read_postings, write_postings
 from tenderlake.plans.oracle_views import with_views
-from tenderlake.plans.registry import joined, query, r6
+from tenderlake.plans.registry import ORACLE, joined, query, r6
 from tenderlake.plans.sql_filters import sql_where
 from tenderlake.session import scratch_path
 from tenderlake.sources.stored import Views
@@ -143,6 +146,16 @@ def release_lookup(spark, sf_dir):
                       F.array_join(F.col("tag"), ",").alias("tag"))
 
 
+@query("release_lookup_copartitioned", ORACLE["release_lookup"])
+def release_lookup_copartitioned(spark, sf_dir):
+    """The same lookup on releases bucketed by ocid: only the keys are exchanged."""
+    t = Views(spark, sf_dir)
+    table = write_copartitioned(t.releases, f"releases_{uuid.uuid4().hex}", buckets=8)
+    got = lookup(t.chunks.select("ocid").distinct(), table)
+    return got.select("ocid", "found", F.col("tender.title").alias("title"), F.col("tender.status").alias("status"), F.col("buyer.name").alias("buyer_name"),
+                      F.array_join(F.col("tag"), ",").alias("tag"))
+
+
 @query("index_info", with_views(["releases", "chunks", "profiles"], """
 SELECT (SELECT count(*) FROM releases) AS api_release_count,
        (SELECT count(embedding) FROM chunks) AS api_embedding_count,

@@ -178,3 +178,31 @@ def test_partial_merges_in_any_order(spark):
     right = notices.merge_states(states[4], notices.merge_states(states[5], states[6]))
     got = notices.finish_state(notices.merge_states(right, left), frame.schema).select("ocid", "tag", "tender", "awards", "n_notices", "first_ts", "last_ts")
     assert sorted(map(str, got.collect())) == want
+
+
+def test_copartitioned_tables_are_not_exchanged(spark, meta, tmp_path):
+    """Lookup and enrichment hash only their small side; two tables of one layout join without any exchange."""
+    import uuid
+
+    from tenderlake.operators import copartition
+    from tenderlake.operators.matching import enrich
+    v = Views(spark, SF)
+    name = uuid.uuid4().hex
+    held = copartition.write_copartitioned(meta, f"meta_{name}", buckets=4, path=str(tmp_path / "meta"))
+    chunks = copartition.write_copartitioned(v.chunks.select("doc_id", "ocid"), f"chunks_{name}", buckets=4, path=str(tmp_path / "chunks"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        keys = spark.createDataFrame([("ocds-1",), ("ocds-2",), ("none",)], "ocid string")
+        found = copartition.lookup(keys, held)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+        both = chunks.join(held.hint("merge"), "ocid")
+        assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert {r["ocid"]: r["found"] for r in found.collect()} == {"ocds-1": True, "ocds-2": True, "none": False}
+    hits = v.chunks.select(F.lit("p").alias("profile_id"), "doc_id", "ocid")
+    cols = ["doc_id", "ocid", "title", "buyer_name"]
+    assert sorted(map(str, copartition.enrich_copartitioned(hits, held).select(cols).collect())) == sorted(map(str, enrich(hits, meta).select(cols).collect()))
+    spark.sql(f"DROP TABLE meta_{name}")
+    spark.sql(f"DROP TABLE chunks_{name}")
