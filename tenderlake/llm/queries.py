@@ -148,13 +148,36 @@ def op10_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return improbable_digest.compare_neighbours(documents(spark, sf_dir))
 
 
-@llm_query("op4_substring_dedup")
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
+
+@llm_query("op4_substring_dedup", f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+    win AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k
+            FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+    again AS (SELECT r, i FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY k) AS least FROM win) WHERE least < doc_id),
+    gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS p FROM again),
+    word AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+    kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (r, p) GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+           sha256(coalesce(t, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (r)""")
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (substring_dedup.remove_repeats(documents(spark, sf_dir))
             .select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
 
 
-@llm_query("op9_jaccard_join")
+@llm_query("op9_jaccard_join", f"""
+    WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(_LOWER_SQL)} AS w FROM documents),
+    held AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS s
+             FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+    size AS (SELECT r, count(*) AS n FROM held GROUP BY r),
+    shared AS (SELECT a.r AS x, b.r AS y, count(*) AS n FROM held a JOIN held b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r),
+    link AS (SELECT x, y FROM shared JOIN size a ON a.r = x JOIN size b ON b.r = y WHERE 100 * shared.n >= 80 * (a.n + b.n - shared.n)),
+    edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+    reach(x, y) AS (SELECT r, r FROM d UNION SELECT reach.x, edge.y FROM reach JOIN edge ON edge.x = reach.y)
+    SELECT any_value(d.doc_id) AS doc_id, CAST(coalesce(any_value(size.n), 0) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+    FROM reach JOIN d ON d.r = reach.x JOIN d o ON o.r = reach.y LEFT JOIN size ON size.r = d.r GROUP BY reach.x""")
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked_classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
@@ -172,8 +195,29 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
 
-@llm_query("op11_repetition_rules")
+def _repeated_words(width: int) -> str:
+    """For every row the words in runs of ``width`` words that the row holds twice or more."""
+    return f"""SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + {width})) AS p FROM (
+                 SELECT r, i, count(*) OVER (PARTITION BY r, k) AS many FROM (
+                   SELECT r, i, md5(array_to_string(w[i:i + {width - 1}], ' ')) AS k
+                   FROM (SELECT r, w, unnest(range(1, len(w) - {width - 2})) AS i FROM d WHERE len(w) >= {width}))) WHERE many > 1) GROUP BY r"""
+
+
+@llm_query("op11_repetition_rules", f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+    line AS (SELECT r, count(*) - count(DISTINCT x) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d)
+             WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+    three AS ({_repeated_words(repetition_rules.REPEAT_WORDS)}),
+    cover AS ({_repeated_words(repetition_rules.LEAST)}),
+    beyond AS ({_repeated_words(repetition_rules.MAX_LONGEST + 1)}),
+    m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+                 CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(line.n, 0) AS BIGINT) AS n_dup_lines,
+                 CAST(coalesce(three.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(cover.n, 0) AS BIGINT) AS n_covered, beyond.n AS too_long
+          FROM d LEFT JOIN line USING (r) LEFT JOIN three USING (r) LEFT JOIN cover USING (r) LEFT JOIN beyond USING (r))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+           NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_covered <= {repetition_rules.MAX_COVERED} * n_words AND too_long IS NULL AS kept,
+           n_covered
+    FROM m""")
 def op11_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repetition_rules.judge(documents(spark, sf_dir))
-    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return rows.select("doc_id", *base, "n_covered", "longest_repeat", "n_repeats")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered")
