@@ -12,15 +12,21 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     from tenderlake.session import get_session
     s = get_session(master="local[4]", shuffle_partitions=4, app_name="tenderlake-tests")
-    # the derived tables of the small folder once for all tests; test_oracle plans some queries without them
-    from tenderlake.session import scratch_path
-    from tenderlake.sources.stored import prepare, use_prepared
-    folder = scratch_path(s, "test-views")
-    prepare(s, SF_SMALL, folder)
-    use_prepared(SF_SMALL, folder)
     yield s
 
 
+@pytest.fixture(scope="session", autouse=True)
+def prepared_views(request):
+    """The derived tables of the small folder once for all tests that may read them."""
+    if any("/llm/" not in item.nodeid for item in request.session.items):
+        from tenderlake.session import scratch_path
+        from tenderlake.sources.stored import prepare, use_prepared
+        spark = request.getfixturevalue("spark")
+        folder = scratch_path(spark, "test-views")
+        prepare(spark, SF_SMALL, folder)
+        use_prepared(SF_SMALL, folder)
+
+
 @pytest.fixture(scope="session")
 def duck_small():
     from tenderlake.plans.check import duck
