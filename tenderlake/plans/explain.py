@@ -27,8 +27,8 @@ def main(argv: list[str]) -> int:
         spark.conf.set("spark.sql.adaptive.enabled", "false")
     for n in names:
         df = QUERIES[n](spark, sf_dir)
-        plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
-        print(f"===== {n} =====\n{plan}")
+        print(f"===== {n} =====")
+        df.explain("formatted")
     return 0
 
 
