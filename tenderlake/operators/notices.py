@@ -58,6 +58,11 @@ def merge_notices(notices: DataFrame) -> DataFrame:
     return notices.groupBy(KEY).agg(*merge_aggregates(notices.schema))
 
 
+def value_leaves(schema: T.StructType) -> list[tuple[str, T.DataType]]:
+    """Path and type of every field that a notice's state keeps as ``v<k>``, in the order of k."""
+    return _leaves(schema.fields)
+
+
 def _leaves(fields, path: str = "") -> list[tuple[str, T.DataType]]:
     """Paths and types of all fields that are not structs, outside the key, phase and order columns."""
     out: list[tuple[str, T.DataType]] = []
@@ -80,15 +85,20 @@ def notice_state(notices: DataFrame) -> DataFrame:
                                     F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), *aggs)
 
 
+def combine_states(states: DataFrame) -> DataFrame:
+    """Any partial merges, several for an OCID, as one for each OCID."""
+    values = [c for c in states.columns if c[:1] == "v" and c[1:].isdigit()]
+    known = [F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(F.col(f"{v}.ts"), F.col(f"{v}.notice_id")))).alias(v) for v in values]
+    return states.groupBy(KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tag")))).alias("tag"),
+                                   F.sum("n_notices").alias("n_notices"), F.min("first_ts").alias("first_ts"),
+                                   F.max("last_ts").alias("last_ts"), *known)
+
+
 def merge_states(state: DataFrame, more: DataFrame) -> DataFrame:
     """Two partial merges as one; associative and commutative, so days can come in any order and grouping.
 
     Notices must not be in both: they would count twice in ``n_notices`` (values and times would stay right)."""
-    values = [c for c in state.columns if c[:1] == "v" and c[1:].isdigit()]
-    known = [F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(F.col(f"{v}.ts"), F.col(f"{v}.notice_id")))).alias(v) for v in values]
-    return state.unionByName(more).groupBy(KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tag")))).alias("tag"),
-                                                    F.sum("n_notices").alias("n_notices"), F.min("first_ts").alias("first_ts"),
-                                                    F.max("last_ts").alias("last_ts"), *known)
+    return combine_states(state.unionByName(more))
 
 
 def _rebuilt(fields, count, top: bool = True) -> list[Column]:
