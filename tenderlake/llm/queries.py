@@ -190,7 +190,34 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(documents(spark, sf_dir), tokenizer_path(BYTE_BPE_JSON), tokenizer_path(PIECE_BPE))
 
 
-@llm_query("op13_spelling_variants")
+# CRC-32 bit by bit: the message's bits, lowest first, after the start value; runs hold code points below 256 only.
+_CRC_SQL = """xor(list_reduce(list_concat([4294967295], flatten(list_transform({bytes}, lambda b: [b & 1, (b >> 1) & 1, (b >> 2) & 1, (b >> 3) & 1,
+                 (b >> 4) & 1, (b >> 5) & 1, (b >> 6) & 1, (b >> 7) & 1]))), lambda c, bit: xor(c >> 1, 3988292384 * (xor(c, bit) & 1))), 4294967295)"""
+_BYTES_SQL = """flatten(list_transform(string_split({text}, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [CAST(unicode(ch) AS BIGINT)]
+                 ELSE [CAST(192 + (unicode(ch) >> 6) AS BIGINT), CAST(128 + (unicode(ch) & 63) AS BIGINT)] END))"""
+
+
+@llm_query("op13_spelling_variants", f"""
+    WITH RECURSIVE run AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all({_LOWER_SQL}, '{spelling.RUN}')) AS w FROM documents),
+    hashed AS (SELECT w, n, {_CRC_SQL.format(bytes=_BYTES_SQL.format(text="id || ':' || w"))} AS h
+               FROM (SELECT id, w, count(*) AS n FROM run WHERE length(w) >= {spelling.MIN_LENGTH} GROUP BY id, w)),
+    slipped AS (SELECT CASE WHEN h % {spelling.SLIP} = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word, n
+                FROM hashed),
+    words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= {spelling.MIN_LENGTH}
+                           GROUP BY word HAVING sum(n) >= {spelling.MIN_COUNT}),
+    less AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+    near AS MATERIALIZED (
+      SELECT a.word AS a, b.word AS b FROM less a JOIN less b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+      UNION SELECT less.word, words.word FROM less JOIN words ON words.word = less.d
+      UNION SELECT words.word, less.word FROM less JOIN words ON words.word = less.d),
+    best AS (SELECT a, count(*) AS n_near, max(words.n) AS top FROM near JOIN words ON words.word = near.b GROUP BY a),
+    named AS MATERIALIZED (
+      SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= {spelling.RATIO} * w.n THEN top END AS form_n,
+             CASE WHEN top >= {spelling.RATIO} * w.n THEN (SELECT min(near.b) FROM near JOIN words x ON x.word = near.b WHERE near.a = w.word AND x.n = top) END AS form
+      FROM words w LEFT JOIN best ON best.a = w.word),
+    path AS (SELECT word, word AS root, form AS next FROM named UNION ALL
+             SELECT path.word, named.word, named.form FROM path JOIN named ON named.word = path.next)
+    SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM named JOIN (SELECT word, root FROM path WHERE next IS NULL) USING (word)""")
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
