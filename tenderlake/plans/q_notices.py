@@ -8,8 +8,10 @@ from tenderlake.operators.notices import (daily_phase_counts, finish_state, life
                                           notice_state)
 from tenderlake.plans.oracle_views import with_views
 from tenderlake.plans.registry import query, r6
-from tenderlake.session import write_once
+from tenderlake.session import scratch_path, write_once
 from tenderlake.sources import procurement as P
+from tenderlake.streaming.merge_state import merge_state_stream, read_states, start_merge_states
+from tenderlake.streaming.notices import read_notice_stream
 
 TS_FMT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 TS_SQL = "'%Y-%m-%dT%H:%M:%S.%fZ'"
@@ -57,6 +59,23 @@ def notice_merge_incremental(spark, sf_dir):
     return present_merged(finish_state(state))
 
 
+@query("notice_merge_states", with_views(["notices"], f"""
+SELECT ocid, array_to_string(list_sort(tag), ',') AS tag, status, description,
+       round(award_value, 6) AS award_value, n_notices,
+       strftime(first_ts, {TS_SQL}) AS first_ts, strftime(last_ts, {TS_SQL}) AS last_ts
+FROM merged""", [("merged", _MERGED_SQL)]))
+def notice_merge_states(spark, sf_dir):
+    """The same releases from a stream on keyed state with timers: two files of notices arrive, one micro-batch each, and closed processes
+    leave the state at once."""
+    folder = scratch_path(spark, "notice-stream")
+    src, target = f"{folder}/in", f"{folder}/out"
+    P.notices(spark, sf_dir).repartition(2, "notice_id").write.parquet(src)
+    states = merge_state_stream(read_notice_stream(spark, src, max_files_per_trigger=1), closed_quiet_ms=0)
+    run = start_merge_states(states, target, f"{folder}/checkpoint", trigger_once=True)
+    run.awaitTermination()
+    return present_merged(read_states(spark, target))
+
+
 @query("notice_merge_nested", with_views(["notices"], """
 SELECT ocid, status, description, round(award_value, 6) AS award_value,
        (SELECT count(*) FROM notices x WHERE x.ocid = m.ocid AND x.award_value IS NOT NULL) > 0 AS has_award
