@@ -65,14 +65,15 @@ SELECT ocid, array_to_string(list_sort(tag), ',') AS tag, status, description,
        strftime(first_ts, {TS_SQL}) AS first_ts, strftime(last_ts, {TS_SQL}) AS last_ts
 FROM merged""", [("merged", _MERGED_SQL)]))
 def notice_merge_states(spark, sf_dir):
-    """The same releases from a stream on keyed state with timers: two files of notices arrive, one micro-batch each, and closed processes
-    leave the state at once."""
+    """The same releases from a stream on keyed state with timers: notices arrive in two halves, the query restarts from its checkpoint
+    for the second, and closed processes leave the state at once."""
     folder = scratch_path(spark, "notice-stream")
     src, target = f"{folder}/in", f"{folder}/out"
-    P.notices(spark, sf_dir).repartition(2, "notice_id").write.parquet(src)
-    states = merge_state_stream(read_notice_stream(spark, src, max_files_per_trigger=1), closed_quiet_ms=0)
-    run = start_merge_states(states, target, f"{folder}/checkpoint", trigger_once=True)
-    run.awaitTermination()
+    notices = write_once(P.notices(spark, sf_dir), "notices")
+    for half in range(2):
+        notices.filter(F.pmod(F.xxhash64("notice_id"), F.lit(2)) == half).write.mode("append").parquet(src)
+        states = merge_state_stream(read_notice_stream(spark, src), closed_quiet_ms=0)
+        start_merge_states(states, target, f"{folder}/checkpoint", trigger_once=True).awaitTermination()
     return present_merged(read_states(spark, target))
 
 
