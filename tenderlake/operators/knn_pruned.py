@@ -26,7 +26,6 @@ import math
 from typing import Iterable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tenderlake.operators.knn import BLOCK_BYTES, MERGE_SALTS, _best, _local_topk, _matrix, _merge_running, _unit_rows
+from tenderlake.operators.knn import BATCH_ROWS, BLOCK_BYTES, MERGE_SALTS, STATE_ROWS, _best, _local_topk, _matrix, _Running, _Slice, _unit_rows
 from tenderlake.session import write_once
 
 CELL = "knn_cell"
@@ -123,7 +122,7 @@ def _first_visits(cells: Cells, bound: np.ndarray, k: int) -> np.ndarray:
     return visit & (cells.rows[None, :] > 0)
 
 
-def _scan(cells: Cells, qmat: np.ndarray, qids: np.ndarray, visit: np.ndarray, floor: np.ndarray | None, k: int, scale: float, distinct_by: str | None,
+def _scan(cells: Cells, qmat: np.ndarray, qids: pa.Array, visit: np.ndarray, floor: np.ndarray | None, k: int, scale: float, distinct_by: str | None,
           out_cols: list[str], query_id: str, score_col: str, schema: T.StructType) -> DataFrame:
     """Partial top-k lists from the cells that some query visits."""
     spark = cells.table.sparkSession
@@ -136,46 +135,19 @@ def _scan(cells: Cells, qmat: np.ndarray, qids: np.ndarray, visit: np.ndarray, f
         from pyspark import TaskContext
         qm, qi, vis, low = shared.value
         salt = TaskContext.get().partitionId() % MERGE_SALTS
-        running: pd.DataFrame | None = None
-        pending: list[pd.DataFrame] = []
-        limit = max(4 * k * int(vis.any(axis=1).sum()), 10_000)
-        best = np.full(len(qi), np.iinfo(np.int64).min) if low is None else low.copy()
-
-        def merge() -> pd.DataFrame:
-            found = _merge_running(running, pd.concat(pending, ignore_index=True), k, corpus_id, distinct_by)
-            full = found.groupby("__q")["__s"].agg(["size", "min"])
-            full = full[full["size"] >= k]
-            best[full.index.to_numpy()] = np.maximum(best[full.index.to_numpy()], full["min"].to_numpy())
-            pending.clear()
-            return found
-
-        for batch in batches:
-            for cell in np.unique(batch.column(CELL).to_numpy()).tolist() if batch.num_rows else ():
-                part = batch.filter(pc.equal(batch.column(CELL), cell))
-                who = np.flatnonzero(vis[:, cell])
-                if not len(who):
-                    continue
-                m = _unit_rows(_matrix(part.column(corpus_vec), qm.shape[1])[0])
-                rank = pc.rank(part.column(corpus_id), sort_keys="ascending", tiebreaker="first").to_numpy(zero_copy_only=False).astype(np.int64) - 1
-                keys = None
-                if distinct_by is not None:
-                    keys = pc.rank(part.column(distinct_by), sort_keys="ascending", tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64) - 1
-                q, r, s = _local_topk(qm[who], m, rank, keys, k, scale)
-                q = who[q]
-                ok = s >= best[q]                              # below the k-th score known so far
-                if not ok.any():
-                    continue
-                rows = part.select(out_cols).take(pa.array(r[ok])).to_pandas()
-                rows["__q"], rows["__s"] = q[ok], s[ok]
-                pending.append(rows)
-                if sum(map(len, pending)) > limit:
-                    running = merge()
-        if pending:
-            running = merge()
-        if running is not None and len(running):
-            out = running.copy()
-            out[query_id], out[score_col], out["__salt"] = qi[out["__q"].to_numpy()], out["__s"].to_numpy() / scale, salt
-            yield pa.RecordBatch.from_pandas(out[arrow.names], schema=arrow, preserve_index=False)
+        running = _Running(len(qi), k, corpus_id, distinct_by, low)
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(at, BATCH_ROWS)
+                for cell in np.unique(batch.column(CELL).to_numpy()).tolist():
+                    part = batch.filter(pc.equal(batch.column(CELL), cell))
+                    who = np.flatnonzero(vis[:, cell])
+                    if not len(who):
+                        continue
+                    rows = _Slice(part, qm.shape[1], corpus_id, corpus_vec, distinct_by)
+                    q, r, s = _local_topk(qm[who], rows, k, scale, running.floor[who])       # no row below the k-th score known so far
+                    running.add(who[q], s, part.select(out_cols).take(pa.array(r)))
+        yield from running.batches(qi, query_id, score_col, scale, salt, arrow)
 
     columns = list(dict.fromkeys([*out_cols, corpus_vec, CELL]))
     return cells.table.filter(F.col(CELL).isin(need) if need else F.lit(False)).select(*columns).mapInArrow(run, schema)
@@ -190,7 +162,7 @@ def pruned_top_k(queries: DataFrame, cells: Cells, k: int = 10, *, query_id: str
     scale, margin = float(10 ** score_digits), 10.0 ** -score_digits
     q = write_once(queries.select(query_id, query_vec).filter(F.col(query_vec).isNotNull()).dropDuplicates([query_id]), "queries")
     n_q, dim = q.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(query_vec)), F.lit(0))).first()
-    n_blocks = max(1, math.ceil(n_q / max(1, block_bytes // (8 * max(dim, 1, len(cells.rows))))))
+    n_blocks = max(1, math.ceil(n_q / max(1, min(block_bytes // (8 * max(dim, 1, len(cells.rows))), STATE_ROWS // k))))
     out_cols = list(dict.fromkeys([cells.corpus_id, *([distinct_by] if distinct_by else []), *through]))
     fields = {f.name: f for f in cells.table.schema.fields}
     schema = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType), *[T.StructField(c, fields[c].dataType) for c in out_cols],
@@ -207,13 +179,13 @@ def pruned_top_k(queries: DataFrame, cells: Cells, k: int = 10, *, query_id: str
         if not rows.num_rows:
             continue
         qmat = _unit_rows(_matrix(rows.column(query_vec), None)[0])
-        qids = np.asarray(rows.column(query_id).to_pylist(), dtype=object)
+        qids = pa.concat_arrays(rows.column(query_id).chunks)
         bound = bounds(cells, qmat)
         first = _first_visits(cells, bound, k)
         scan = lambda visit, floor: _scan(cells, qmat, qids, visit, floor, k, scale, distinct_by, out_cols, query_id, score_col, schema)
         wave = write_once(merged(scan(first, None)).withColumn("__salt", F.lit(0)), "wave")
         kth = wave.filter(F.col(rank_col) == k).select(query_id, score_col).toArrow()                   # at most a row a query
-        at = {i: n for n, i in enumerate(qids.tolist())}
+        at = {i: n for n, i in enumerate(qids.to_pylist())}
         floor = np.full(len(qids), -2.0)
         floor[[at[i] for i in kth.column(query_id).to_pylist()]] = kth.column(score_col).to_numpy()
         second = (bound + margin >= floor[:, None]) & ~first & (cells.rows[None, :] > 0)

@@ -153,3 +153,63 @@ def test_pair_filter_is_exact(spark, block_bytes):
                       [ids[i] for i in keep], 4, False)[k_]
         got = [(r.doc_id, r.score) for r in sorted((r for r in res if r.query_id == k_), key=lambda r: r.rank)]
         assert got == want
+
+
+@pytest.mark.parametrize("distinct", [False, True])
+def test_small_blocks_share_one_scan_of_the_corpus(spark, distinct):
+    """Blocks of two queries: the corpus is read once for all of them, and every slice keeps the right rows."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    rng = np.random.default_rng(5)
+    c, q = rng.integers(-2, 3, size=(9000, 4)).astype(float), rng.integers(-2, 3, size=(31, 4)) + 0.5
+    ids, keys = [f"d{i:05d}" for i in range(len(c))], [f"o{i % 50}" for i in range(len(c))]
+    corpus = (spark.createDataFrame([(i, o, v.tolist()) for i, o, v in zip(ids, keys, c)], "doc_id string, ocid string, embedding array<float>")
+              .coalesce(1).mapInArrow(count, "doc_id string, ocid string, embedding array<float>"))
+    queries = spark.createDataFrame([(f"q{j:02d}", v.tolist()) for j, v in enumerate(q)], "query_id string, embedding array<float>")
+    res = top_k_similar(queries, corpus, 6, distinct_by="ocid" if distinct else None, block_bytes=2 * 8 * 4).collect()
+    assert seen.value == len(c)
+    got = {}
+    for r in sorted(res, key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    assert got == _brute({f"q{j:02d}": v for j, v in enumerate(q)}, c, ids, keys, 6, distinct)
+
+
+def test_many_scans_equal_one(spark, monkeypatch):
+    import tenderlake.operators.knn as knn
+    rng = np.random.default_rng(12)
+    corpus = spark.createDataFrame([(f"d{i:03d}", v.tolist()) for i, v in enumerate(rng.normal(size=(200, 5)))], "doc_id string, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(f"q{i:03d}", v.tolist()) for i, v in enumerate(rng.normal(size=(40, 5)))], "query_id string, embedding array<float>")
+    once = sorted(map(tuple, knn.top_k_similar(queries, corpus, 5).collect()))
+    monkeypatch.setattr(knn, "STATE_ROWS", 60)              # twelve queries a scan
+    assert sorted(map(tuple, knn.top_k_similar(queries, corpus, 5).collect())) == once and len(once) == 200
+
+
+def _all_true(qinfo, batch):
+    assert len(qinfo["par"]) <= 256 and batch.num_rows <= 4096
+    return np.ones((batch.num_rows, len(qinfo["par"])), dtype=bool)
+
+
+def test_task_memory_is_bounded(spark):
+    """One task's arrays do not grow with queries x rows of a batch, nor does a pair rule see more than a slice and a block."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tenderlake.operators import knn
+    rng = np.random.default_rng(8)
+    q, c = rng.normal(size=(2500, 8)), rng.normal(size=(10_000, 8))
+    batch = pa.record_batch({"doc_id": [f"d{i:05d}" for i in range(len(c))], "embedding": pa.array(c.tolist(), pa.list_(pa.float32()))})
+    schema = pa.schema([("query_id", pa.string()), ("doc_id", pa.string()), ("score", pa.float64()), ("__salt", pa.int32())])
+    rows = knn.SIM_BLOCK_ELEMENTS // knn.BATCH_ROWS
+    blocks = [(knn._unit_rows(q[i:i + rows]), {"par": [0] * len(q[i:i + rows])}) for i in range(0, len(q), rows)]
+    rule = knn.PairFilter(query_cols=("par",), corpus_cols=(), fn=_all_true)
+    tracemalloc.start()
+    out = pa.Table.from_batches(knn._partition_topk([batch] * 3, blocks, pa.array([f"q{j}" for j in range(len(q))]), 10, 1e6, "doc_id", "embedding", None,
+                                                    ["doc_id"], "query_id", "score", schema, 0, rule))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == 10 * len(q) and peak < 10_000 * 2500 * 8       # less than one matrix of all pairs of a batch
