@@ -2,12 +2,16 @@
 
 ``write_copartitioned`` writes a table bucketed and sorted by ``ocid``.  Releases, metadata and chunks written with the same number
 of buckets join each other without an exchange, and a lookup or enrichment hashes only its small side (keys,
-hits) into those buckets: the large table is neither shuffled nor sorted again.  A hot process is one bucket's rows;
+hits) into those buckets: the large table is neither shuffled nor sorted again.  One task reads one bucket, so the number of
+buckets has to grow with the tables: ``buckets_for`` gives one for the files that they are derived from.  A hot process is one bucket's rows;
 its share is that of its rows, as in any join by key.
 """
 
 from __future__ import annotations
 
+import math
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +20,16 @@ from tenderlake.operators.matching import enrich
 from tenderlake.session import scratch_path
 
 BUCKETS = 64
+BUCKET_INPUT = 16 * 1024 * 1024     # bytes of input files behind a bucket; rows of nested releases take several times as much
+
+
+def buckets_for(*frames: DataFrame, least: int = BUCKETS, bucket_input: int = BUCKET_INPUT) -> int:
+    """Buckets for tables that are to join each other: ``least``, or more by the size of the files that they read."""
+    files = sorted({unquote(f) for df in frames for f in df.inputFiles()})
+    if not files:
+        return least
+    listed = frames[0].sparkSession.read.format("binaryFile").load(files).select("length")      # the contents are not read
+    return max(least, math.ceil((listed.agg(F.sum("length")).first()[0] or 0) / bucket_input))
 
 
 def write_copartitioned(df: DataFrame, table: str, key: str = "ocid", buckets: int = BUCKETS, path: str | None = None) -> DataFrame:
