@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderlake.functions.filters import FilterSpec
@@ -37,10 +37,19 @@ class Postings:
     names: DataFrame             # name, ocid
 
 
+def _coded(kind: str, col: str) -> Column:
+    """The distinct codes of an array column, as (kind, code)."""
+    found = F.transform(F.array_distinct(col), lambda c: F.struct(F.lit(kind).alias("kind"), c.alias("code")))
+    return F.coalesce(found, F.array().cast("array<struct<kind:string,code:string>>"))
+
+
 def write_postings(meta: DataFrame, path: str) -> None:
-    """Write the posting tables of release metadata under ``path``."""
-    every = [meta.select(F.lit(kind).alias("kind"), F.explode(col).alias("code"), "ocid") for kind, col in CODE_FIELDS.values()]
-    codes = every[0].unionByName(every[1]).unionByName(every[2]).filter(F.col("code").isNotNull()).distinct()
+    """Write the posting tables of release metadata under ``path``.
+
+    The metadata is planned once: the columns needed are written first, and one pass over them gives the codes of every kind."""
+    meta = write_once(meta.select("ocid", "buyer_name", *[col for _, col in CODE_FIELDS.values()]), "posting-input")
+    every = F.concat(*[_coded(kind, col) for kind, col in CODE_FIELDS.values()])
+    codes = meta.select("ocid", F.explode(every).alias("_c")).select("_c.kind", "_c.code", "ocid").filter(F.col("code").isNotNull()).distinct()
     (codes.repartitionByRange("kind", "code", "ocid").sortWithinPartitions("kind", "code", "ocid").write.parquet(f"{path}/codes"))
     names = meta.filter(F.col("buyer_name").isNotNull()).select(F.lower("buyer_name").alias("name"), "ocid").distinct()
     names.repartitionByRange("name", "ocid").sortWithinPartitions("name", "ocid").write.parquet(f"{path}/names")

@@ -15,7 +15,7 @@ from tenderlake.operators.postings import filter_with_postings, read_postings, w
 from tenderlake.plans.oracle_views import with_views
 from tenderlake.plans.registry import ORACLE, joined, query, r6
 from tenderlake.plans.sql_filters import sql_where
-from tenderlake.session import scratch_path
+from tenderlake.session import scratch_path, write_once
 from tenderlake.sources.stored import Views
 
 LIST_VIEWS = ["releases", "release_nuts", "party_nuts", "release_cpvs"]
@@ -111,7 +111,7 @@ POSTING_CASES = {
 def _register_posting(name: str, f: FilterSpec):
     @query(name, _full_listing_sql(f))
     def fn(spark, sf_dir):
-        meta, path = _meta(spark, sf_dir), scratch_path(spark, "postings")
+        meta, path = write_once(_meta(spark, sf_dir), "posting-meta"), scratch_path(spark, "postings")       # planned once for all tables
         write_postings(meta, path)
         return _present(summaries(filter_with_postings(meta, read_postings(spark, path), f)))
     fn.__name__ = name

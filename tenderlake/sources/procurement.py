@@ -306,16 +306,18 @@ def release_meta(spark_or_tables, sf_dir: str | None = None, lots_df: DataFrame
     order with a huge number of lines is never collected into one row."""
     t = _tables(spark_or_tables, sf_dir)
     lt = lots(t) if lots_df is None else lots_df
-    per_order = (lt.groupBy(F.col("orderkey").alias("o_orderkey"))
-                   .agg(F.bool_or("awarded").alias("any_awarded"),
-                        F.bool_or(F.col("awarded") & F.col("supplier_name").isNotNull()).alias("awarded_supplier"),
-                        F.array_sort(F.collect_set("cpv")).alias("release_cpv_codes"),
-                        F.collect_set(F.when(F.col("supplier_name").isNotNull(), F.col("nuts"))).alias("supplier_nuts")))
-    first_pos = (lt.filter(F.col("nuts").isNotNull())
-                   .groupBy("orderkey", "nuts").agg(F.min("lot_num").alias("pos"))
-                   .groupBy(F.col("orderkey").alias("o_orderkey"))
-                   .agg(F.array_sort(F.collect_list(F.struct("pos", "nuts"))).alias("lot_nuts")))
-    base = (_orders_with_buyer(t).join(per_order, "o_orderkey", "left").join(first_pos, "o_orderkey", "left"))
+    named = F.col("supplier_name").isNotNull()
+    # the lots are read once: first by NUTS of an order, then by order
+    by_nuts = (lt.groupBy("orderkey", "nuts")
+                 .agg(F.bool_or("awarded").alias("any_awarded"), F.bool_or(F.col("awarded") & named).alias("awarded_supplier"),
+                      F.bool_or(named).alias("named"), F.min("lot_num").alias("pos"), F.collect_set("cpv").alias("cpvs")))
+    per_order = (by_nuts.groupBy(F.col("orderkey").alias("o_orderkey"))
+                        .agg(F.bool_or("any_awarded").alias("any_awarded"),
+                             F.bool_or("awarded_supplier").alias("awarded_supplier"),
+                             F.array_sort(F.array_distinct(F.flatten(F.collect_list("cpvs")))).alias("release_cpv_codes"),
+                             F.collect_set(F.when(F.col("named"), F.col("nuts"))).alias("supplier_nuts"),
+                             F.array_sort(F.collect_list(F.when(F.col("nuts").isNotNull(), F.struct("pos", "nuts")))).alias("lot_nuts")))
+    base = _orders_with_buyer(t).join(per_order, "o_orderkey", "left")
     k, status = F.col("o_orderkey"), F.col("o_orderstatus")
     strings = T.ArrayType(T.StringType())
     empty = F.array().cast(strings)

@@ -4,6 +4,7 @@ import collections
 import itertools
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,6 +122,68 @@ def test_rollup_by_bitmaps_has_no_expand(spark):
     assert [(r["gid"], r["n_items"], r["n_releases"]) for r in none] in ([], [(15, 0, 0)])
 
 
+def test_sparse_bitmaps_are_words(spark):
+    """Groups with few keys of every bucket hold words, not bitmaps of 4 KB, and merge and count the same."""
+    rows = [(f"g{k % 400}", f"h{k % 4}", (k * 7919) % 70_000) for k in range(4000)] * 2
+    frame = spark.createDataFrame(rows, "g string, h string, number long").repartition(3)
+    fine = distinct_counts.bitmaps(frame, ["g", "h"], sums={"n": F.count("*")}, words=True)
+    assert fine.schema["_bits"].dataType.simpleString() == "bigint" and fine.count() <= len(set(rows))
+    coarse = distinct_counts.merge_bitmaps(fine, ["h"], ["n"])
+    assert coarse.count() <= 4 * (70_000 // 64 + 1)
+    for level, groups in ((fine, ["g", "h"]), (coarse, ["h"])):
+        got = {tuple(r[c] for c in groups): (r["d"], r["n"]) for r in distinct_counts.count_bitmaps(level, groups, "d", ["n"]).collect()}
+        want = collections.defaultdict(list)
+        for g, h, number in rows:
+            want[(g, h) if len(groups) == 2 else (h,)].append(number)
+        assert got == {k: (len(set(v)), len(v)) for k, v in want.items()}
+
+
+def test_rollup_carries_no_dense_bitmap(spark, monkeypatch):
+    """What the roll-up writes at its finest level is a word a row, and one exchange serves the levels above."""
+    written = {}
+
+    def keep(df, name):
+        written[name] = df
+        return write_once(df, name)
+    from tenderlake.session import write_once
+    monkeypatch.setattr(distinct_counts, "write_once", keep)
+    out = distinct_counts.cpv_rollup_bitmaps(Views(spark, SF).releases)
+    out.collect()
+    assert written["cpv-bitmaps"].schema["_bits"].dataType.simpleString() == "bigint"
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(set(re.findall(r"hashpartitioning\((_bucket#\d+)", plan))) <= 4 and "bitmap_or_agg" not in plan
+
+
+def test_postings_plan_the_metadata_once(spark, meta, tmp_path):
+    """Its rows are made once, whatever the number of posting tables."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    some = meta.select("ocid", "buyer_name", "release_cpv_codes", "location_nuts", "party_nuts").limit(300).coalesce(1)
+    postings.write_postings(some.mapInArrow(count, some.schema), str(tmp_path / "p"))
+    assert seen.value == 300
+
+
+def test_metadata_reads_the_lines_once(spark):
+    from tenderlake.sources import procurement
+    plan = procurement.release_meta(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[.*l_orderkey", plan)) == 1
+
+
+def test_buckets_grow_with_the_input(spark, tmp_path):
+    from tenderlake.operators import copartition
+    path = str(tmp_path / "a b%20c")
+    spark.range(4000).selectExpr("uuid() as ocid").repartition(3).write.parquet(path)
+    held = spark.read.parquet(path)
+    size = sum(os.path.getsize(f) for f in _files(path))
+    assert copartition.buckets_for(held, least=8) == 8
+    assert copartition.buckets_for(held, held, least=8, bucket_input=size // 20) in (20, 21)
+    assert copartition.buckets_for(spark.range(3), least=5) == 5
+
+
 def _files(base):
     return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(base) for f in fs if f.endswith(".parquet")}
 
