@@ -10,7 +10,7 @@ from tenderlake.plans.oracle_views import with_views
 from tenderlake.plans.registry import query, r6
 from tenderlake.session import scratch_path, write_once
 from tenderlake.sources import procurement as P
-from tenderlake.streaming.merge_state import merge_state_stream, read_states, start_merge_states
+from tenderlake.streaming.merge_state import buckets_for, merge_state_stream, read_states, start_merge_states
 from tenderlake.streaming.notices import read_notice_stream
 
 TS_FMT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
@@ -70,9 +70,10 @@ def notice_merge_states(spark, sf_dir):
     folder = scratch_path(spark, "notice-stream")
     src, target = f"{folder}/in", f"{folder}/out"
     notices = write_once(P.notices(spark, sf_dir), "notices")
+    buckets = buckets_for(notices.count())
     for half in range(2):
         notices.filter(F.pmod(F.xxhash64("notice_id"), F.lit(2)) == half).write.mode("append").parquet(src)
-        states = merge_state_stream(read_notice_stream(spark, src), closed_quiet_ms=0)
+        states = merge_state_stream(read_notice_stream(spark, src), closed_quiet_ms=0, buckets=buckets)
         start_merge_states(states, target, f"{folder}/checkpoint", trigger_once=True).awaitTermination()
     return present_merged(read_states(spark, target))
 

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tenderlake import schemas as S
@@ -115,3 +116,59 @@ def test_nested_fields_and_lists(spark, tmp_path):
     got = M.read_states(spark, target, schema=frame.schema)
     want = merge_notices(frame).select(got.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_state_calls_grow_with_buckets_not_processes(spark, tmp_path):
+    """Many processes in few buckets: a bucket is one state and one timer, however many states of processes it holds."""
+    rows = _notices(7, 900, 400)
+    src, target, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    for some in (rows[:500], rows[500:]):
+        _arrive(spark, some, src, 1)
+        q = _run(spark, src, target, ck, buckets=3, closed_quiet_ms=0)
+        assert 3 <= q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 12       # values, timers and their index
+    _same(spark, rows, target)
+    assert M.buckets_for(10) == M.PER_BUCKET and M.buckets_for(6_000_000) * M.PER_BUCKET >= 6_000_000
+
+
+def test_kept_lists_of_rows_are_written_back(spark, tmp_path):
+    """Other processes' notices rewrite the whole bucket, nested values with it."""
+    schema = "notice_id long, ocid string, ts timestamp, phase string, awards array<struct<id:string,at:timestamp>>"
+    rows = [(i, f"o{i % 3}", T0 + dt.timedelta(hours=i), "award", [(f"A{i}", T0)] if i < 3 else None) for i in range(9)]
+    src, target, frame = str(tmp_path / "in"), str(tmp_path / "out"), spark.createDataFrame(rows, schema)
+    for k in range(3):
+        frame.filter(F.floor(F.col("notice_id") / 3) == k).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(frame.schema).parquet(src)
+        q = M.start_merge_states(M.merge_state_stream(stream, parts=1, buckets=1), target, str(tmp_path / "ck"), trigger_once=True)
+        assert q.awaitTermination(100)
+    got = M.read_states(spark, target, schema=frame.schema)
+    assert sorted(map(str, got.collect())) == sorted(map(str, merge_notices(frame).select(got.columns).collect()))
+
+
+def test_one_timer_moves_to_the_first_state_that_is_due():
+    kept, timers = {}, set()
+
+    class State:
+        exists = staticmethod(lambda: "v" in kept)
+        get = staticmethod(lambda: kept["v"])
+        update = staticmethod(lambda v: kept.update(v=v))
+        clear = staticmethod(kept.clear)
+
+    class Handle:
+        getValueState = staticmethod(lambda name, schema: State)
+        registerTimer, deleteTimer = staticmethod(timers.add), staticmethod(timers.discard)
+
+    class At:
+        def __init__(self, now):
+            self.getCurrentProcessingTimeInMs = lambda: now
+
+    merge = M._Merge(M._state_type(S.NOTICE), ["_v0", "_v1", "_v2"], quiet_ms=100, closed_quiet_ms=10)
+    merge.init(Handle)
+    row = Row("ocid", "part", "notice_id", "ts", "phase", "_v0", "_v1", "_v2")
+    arrive = lambda now, *rows: [r["ocid"] for r in merge.handleInputRows((0,), iter(rows), At(now))]
+    assert arrive(1000, row("a", 0, 1, 5, "tender", "s", None, None), row("b", 0, 2, 6, "tender", None, None, 1.0)) == ["a", "b"]
+    assert timers == {1100}
+    assert arrive(1050, row("a", 0, 3, 7, "award", None, None, None)) == ["a"] and timers == {1060}     # closed: due earlier
+    merge.handleExpiredTimer((0,), At(1070), None)
+    assert kept["v"][0] == ["b"] and 1100 in timers
+    merge.handleExpiredTimer((0,), At(1100), None)
+    assert not kept
