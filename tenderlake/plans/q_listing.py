@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tenderlake.functions.filters import FilterSpec
-from tenderlake.operators.copartition import buckets_for, lookup, write_copartitioned
+from tenderlake.operators.copartition import buckets_for, lookup, passes_for, write_copartitioned
 from tenderlake.operators.listing import count_releases, get_releases, index_info, list_releases, summaries
 from tenderlake.operators.metadata import release_metadata
 from tenderlake.operators.paging import list_releases_located
@@ -151,8 +151,9 @@ def release_lookup_copartitioned(spark, sf_dir):
     """The same lookup on releases bucketed by ocid: only the keys are exchanged."""
     t = Views(spark, sf_dir)
     releases = t.releases
-    table = write_copartitioned(releases, f"releases_{uuid.uuid4().hex}", buckets=buckets_for(releases, least=8))
-    got = lookup(t.chunks.select("ocid").distinct(), table)
+    buckets = buckets_for(releases, least=8)
+    table = write_copartitioned(releases, f"releases_{uuid.uuid4().hex}", buckets=buckets, passes=passes_for(releases))
+    got = lookup(t.chunks.select("ocid").distinct(), table, buckets=buckets)
     return got.select("ocid", "found", F.col("tender.title").alias("title"), F.col("tender.status").alias("status"), F.col("buyer.name").alias("buyer_name"),
                       F.array_join(F.col("tag"), ",").alias("tag"))
 

@@ -87,6 +87,8 @@ def _lot_rows(t: Tables, orderkey_filter: Column | None = None, lots_df: DataFra
     lt = lots(t) if lots_df is None else lots_df
     if orderkey_filter is not None:
         lt = lt.filter(orderkey_filter)
+    # dealt by order before the nested fields are made of these: they are several times as wide
+    lt = lt.select("orderkey", "lot_num", "lot_id", "amount", "quantity", "suppkey", "supplier_name", "cpv", "nuts", "awarded").repartition("orderkey")
     null_s = F.lit(None).cast("string")
     # the OCDS lot and item of each line, built here per row (whole-stage codegen)
     # so the release build only extracts them

@@ -184,6 +184,80 @@ def test_buckets_grow_with_the_input(spark, tmp_path):
     assert copartition.buckets_for(spark.range(3), least=5) == 5
 
 
+def _shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    return {f for f in iter(lambda: blocks.next().getPath() if blocks.hasNext() else None, None) if "/shuffle_" in f and f.endswith(".data")}
+
+
+def test_a_copartitioned_table_is_written_in_passes(spark, tmp_path):
+    """Every row comes once, a bucket is one sorted file, and no pass leaves its shuffle files to the next."""
+    import time
+    import uuid
+
+    from tenderlake.operators import copartition
+    rows = [(f"ocds-{i % 90}" if i % 10 else None, i) for i in range(1000)] + [("ocds-7", 7)] * 50
+    sides = spark.createDataFrame(rows, "ocid string, n int"), spark.createDataFrame([(f"ocds-{i}", i) for i in range(0, 90, 2)], "ocid string, m int")
+    df = sides[0].join(sides[1].hint("merge"), "ocid", "left")
+    name, before, conf = uuid.uuid4().hex, _shuffle_files(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    had = spark.conf.get(conf, None)
+    held = copartition.write_copartitioned(df, f"passes_{name}", buckets=6, path=str(tmp_path / "t"), passes=4)
+    for _ in range(50):                                             # files are removed in the background
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(conf, None) == had
+    assert sorted(map(str, held.collect())) == sorted(map(str, df.collect()))
+    files = sorted(_files(str(tmp_path / "t")))
+    in_bucket = [re.search(r"_(\d{5})\.", f).group(1) for f in files]
+    assert len(set(in_bucket)) == len(in_bucket) <= 6               # as from one pass
+    for f in files:
+        got = [r.ocid or "" for r in spark.read.parquet(f).collect()]
+        assert got == sorted(got)
+    spark.sql(f"DROP TABLE passes_{name}")
+
+
+def test_passes_grow_with_the_input_to_a_bound(spark, tmp_path):
+    from tenderlake.operators import copartition
+    path = str(tmp_path / "t")
+    spark.range(4000).selectExpr("uuid() as ocid").repartition(3).write.parquet(path)
+    held = spark.read.parquet(path)
+    size = sum(os.path.getsize(f) for f in _files(path))
+    assert copartition.passes_for(held) == copartition.passes_for(spark.range(3)) == 1
+    assert copartition.passes_for(held, pass_input=size // 3) in (3, 4)
+    assert copartition.passes_for(held, pass_input=1) == copartition.PASSES
+
+
+def test_a_pass_reads_its_share_of_orders_lines_and_texts(spark):
+    from tenderlake.operators import copartition
+    from tenderlake.sources import procurement
+    plan = copartition._share(procurement.releases(spark, SF), "ocid", 8, 4, 1)._jdf.queryExecution().optimizedPlan().toString()
+    for key in ("o_orderkey", "l_orderkey", "doc_id"):
+        assert re.search(rf"Filter .*pmod\(pmod\(hash\(concat\(ocds-, cast\({key}#.*\n.*Relation \[", plan), key
+
+
+def test_lots_are_dealt_by_order_before_they_are_nested(spark):
+    from tenderlake.sources import procurement
+    lines = procurement.releases(spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    dealt = next(i for i, x in enumerate(lines) if "RepartitionByExpression [orderkey" in x)
+    assert any("EUR" in x for x in lines[:dealt]) and not any("EUR" in x for x in lines[dealt:])
+
+
+def test_lookup_keeps_buckets_below_the_shuffle_partitions(spark, tmp_path):
+    """Keys that come in more partitions than the table has buckets are exchanged, not the table."""
+    import uuid
+
+    from tenderlake.operators import copartition
+    name = uuid.uuid4().hex
+    held = copartition.write_copartitioned(spark.createDataFrame([("ocds-1", 1), ("ocds-1", 2), (None, 3)], "ocid string, n int"), f"few_{name}",
+                                           buckets=2, path=str(tmp_path / "t"))
+    keys = spark.createDataFrame([("ocds-1",), ("none",), (None,), ("none",)], "ocid string").distinct()
+    found = copartition.lookup(keys, held, buckets=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "Exchange" not in plan[plan.index("Bucketed: true") - 300:]
+    assert sorted(map(str, found.collect())) == sorted(map(str, copartition.lookup(keys, held).collect())) and found.count() == 4
+    spark.sql(f"DROP TABLE few_{name}")
+
+
 def _files(base):
     return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(base) for f in fs if f.endswith(".parquet")}
 
